@@ -67,6 +67,6 @@ def id_part(cuts: list[int], key: str = "doc_id"):
     return F.coalesce(F.size(F.filter(arr, lambda c: c <= F.col(key))), F.lit(0))
 
 
-def ascii_lower(text: str) -> str:
-    """A-Z lower-cased, all else as it is."""
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+def lower_words(text: str) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lower-cased: runs without space and U+0009 to U+000D (as bytes.split() has it)."""
+    return text.encode("utf-8", "surrogatepass").lower().split()

@@ -15,6 +15,12 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
 
+def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_documents
+
+    return simhash_documents(_documents(spark, sf_dir))
+
+
 def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sketch import edited_fingerprints
 
@@ -24,6 +30,7 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_hash_tree_shards": op1_hash_tree_shards,
+        "op3_simhash_golay": op3_simhash_golay,
         "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
     }
 

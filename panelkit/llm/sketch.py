@@ -9,27 +9,25 @@ exact while a set has fewer than k shingles.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_cuts, id_part, shuffle_partitions
+from .common import id_cuts, id_part, lower_words, shuffle_partitions
 
 K, SHINGLE, DIGITS = 96, 5, 12
 _SHIFT = np.uint64(64 - 4 * DIGITS)
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class _WordHash(dict):
     """64-bit hash of a word; starts anew at a fixed size, so memory stays bounded."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= 300_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+        h = self[word] = xxhash.xxh64_intdigest(word, 7)
         return h
 
 
@@ -45,7 +43,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     """One 64-bit hash per shingle, repeats included; fewer words than size: one of the whole sequence; none: empty."""
-    words = _WORDS.findall(ascii_lower(text))
+    words = lower_words(text)
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))

@@ -21,6 +21,52 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_documents(_documents(spark, sf_dir))
 
 
+def op4_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .lines import dedup_units
+
+    got = dedup_units(_documents(spark, sf_dir))
+    places = F.transform("removed", lambda c: F.concat_ws("-", c["first"].cast("string"), c["last"].cast("string")))
+    return got.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", places).alias("removed"))
+
+
+OP4_SQL = r"""
+WITH u AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?
+]+[.!?
+]*|[.!?
+]+')) AS unit,
+         generate_subscripts(regexp_extract_all(text, '[^.!?
+]+[.!?
+]*|[.!?
+]+'), 1) AS k
+  FROM documents),
+p AS (
+  SELECT *, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS last,
+         trim(regexp_replace(lower(unit), '[ 	-]+', ' ', 'g')) AS norm
+  FROM u),
+r AS (
+  SELECT *, len(string_split(norm, ' ')) >= 5 AND norm <> ''
+         AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone
+  FROM p),
+g AS (
+  SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE unit END, '' ORDER BY k) AS text,
+         count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg((last - length(unit)) || '-' || last, ',' ORDER BY k) FILTER (WHERE gone), '') AS removed
+  FROM r GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text,
+       coalesce(g.n_removed, 0) AS n_removed, coalesce(g.removed, '') AS removed
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
+def op9_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_languages
+
+    return identify_languages(_documents(spark, sf_dir))
+
+
 def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sketch import edited_fingerprints
 
@@ -31,9 +77,11 @@ def queries() -> dict:
     return {
         "op1_hash_tree_shards": op1_hash_tree_shards,
         "op3_simhash_golay": op3_simhash_golay,
+        "op4_sentence_dedup": op4_sentence_dedup,
+        "op9_cross_parsing_language": op9_cross_parsing_language,
         "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_sentence_dedup": OP4_SQL}

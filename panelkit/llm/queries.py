@@ -44,7 +44,8 @@ WITH u AS (
   FROM documents),
 p AS (
   SELECT *, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS last,
-         trim(regexp_replace(lower(unit), '[ 	-]+', ' ', 'g')) AS norm
+         trim(regexp_replace(lower(unit), '[ 	-
+]+', ' ', 'g')) AS norm
   FROM u),
 r AS (
   SELECT *, len(string_split(norm, ' ')) >= 5 AND norm <> ''
@@ -61,6 +62,12 @@ FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 
+def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_languages
 
@@ -78,6 +85,7 @@ def queries() -> dict:
         "op1_hash_tree_shards": op1_hash_tree_shards,
         "op3_simhash_golay": op3_simhash_golay,
         "op4_sentence_dedup": op4_sentence_dedup,
+        "op7_greedy_string_tiling": op7_greedy_string_tiling,
         "op9_cross_parsing_language": op9_cross_parsing_language,
         "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
     }

@@ -68,6 +68,12 @@ def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .huffman import token_round_trip
+
+    return token_round_trip(_documents(spark, sf_dir))
+
+
 def op9_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_languages
 
@@ -86,6 +92,7 @@ def queries() -> dict:
         "op3_simhash_golay": op3_simhash_golay,
         "op4_sentence_dedup": op4_sentence_dedup,
         "op7_greedy_string_tiling": op7_greedy_string_tiling,
+        "op8_huffman_tokens": op8_huffman_tokens,
         "op9_cross_parsing_language": op9_cross_parsing_language,
         "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
     }

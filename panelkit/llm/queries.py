@@ -62,6 +62,12 @@ FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_documents(spark, sf_dir))
+
+
 def op7_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contaminated
 
@@ -91,6 +97,7 @@ def queries() -> dict:
         "op1_hash_tree_shards": op1_hash_tree_shards,
         "op3_simhash_golay": op3_simhash_golay,
         "op4_sentence_dedup": op4_sentence_dedup,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_greedy_string_tiling": op7_greedy_string_tiling,
         "op8_huffman_tokens": op8_huffman_tokens,
         "op9_cross_parsing_language": op9_cross_parsing_language,

@@ -62,6 +62,12 @@ FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 
+def op5_clause_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -97,6 +103,7 @@ def queries() -> dict:
         "op1_hash_tree_shards": op1_hash_tree_shards,
         "op3_simhash_golay": op3_simhash_golay,
         "op4_sentence_dedup": op4_sentence_dedup,
+        "op5_clause_grammar_toxicity": op5_clause_grammar_toxicity,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_greedy_string_tiling": op7_greedy_string_tiling,
         "op8_huffman_tokens": op8_huffman_tokens,

@@ -15,6 +15,12 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir))
 
 
+def op2_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_documents
 
@@ -101,6 +107,7 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_hash_tree_shards": op1_hash_tree_shards,
+        "op2_crf_main_text": op2_crf_main_text,
         "op3_simhash_golay": op3_simhash_golay,
         "op4_sentence_dedup": op4_sentence_dedup,
         "op5_clause_grammar_toxicity": op5_clause_grammar_toxicity,

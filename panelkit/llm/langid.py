@@ -254,7 +254,10 @@ def identify_languages(docs: DataFrame, model: Model | None = None, fold: int =
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose language can't be told (null text, no letter); all columns are kept."""
+    """docs without the documents whose language can't be told (null text, no letter); all columns are kept.
+
+    Without any labelled row nothing is learned, and only texts without a letter go.
+    """
     model = learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -268,7 +271,8 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
             for i, t in enumerate(texts):
                 size += len(t)
                 if size >= BATCH_CHARS or i == len(texts) - 1:
-                    keep += [x != "und" for x in predict(m, texts[at : i + 1])[0]]
+                    part = texts[at : i + 1]
+                    keep += [x != "und" for x in predict(m, part)[0]] if m.languages else [any(map(str.isalpha, t)) for t in part]
                     at, size = i + 1, 0
             yield b.filter(pa.array(keep, pa.bool_()))
 

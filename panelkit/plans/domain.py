@@ -78,7 +78,7 @@ def panel_cy(spark: SparkSession, sf: str) -> DataFrame:
     cells = o.groupBy("id", "year").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("spend"))
     first = o.where(F.col("o_totalprice") > BIG).groupBy("id").agg(F.min("year").alias("g"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
-    full = c.select("id", "segment", F.explode(F.sequence(F.lit(FIRST), F.lit(LAST))).cast("long").alias("year"))
+    full = c.select("id", "segment", F.explode(F.sequence(F.lit(FIRST).cast("long"), F.lit(LAST).cast("long"))).alias("year"))
     p = fill_counts(full.join(cells, ["id", "year"], "left"), ["n_orders", "spend"]).join(first, "id", "left")
     g = F.coalesce("g", F.lit(0)).cast("long")
     return p.select(

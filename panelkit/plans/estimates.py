@@ -1 +1,249 @@
-"""Queries."""
+"""Queries on treatment effects, matching, splits and placebos."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import estimators as E
+from ..operators import hetero as H
+from ..operators import matching as M
+from ..operators import resample as X
+from ..operators.gram import fe_ols, result_frame
+from .domain import PANEL, panel_cy
+from .registry import query
+
+# On a balanced panel two-way effects are swept out by subtracting unit and period means and adding the overall mean.
+_SWEPT = f"""{PANEL}, s AS (SELECT id, year, g, k,
+  y - avg(y) OVER (PARTITION BY id) - avg(y) OVER (PARTITION BY year) + avg(y) OVER () AS yy,
+  d - avg(d) OVER (PARTITION BY id) - avg(d) OVER (PARTITION BY year) + avg(d) OVER () AS dd FROM panel),
+b AS (SELECT sum(dd * yy) / sum(dd * dd) AS beta, sum(dd * dd) AS sdd FROM s)"""
+
+
+@query(
+    "did_customer_year",
+    f"""WITH {_SWEPT}, c AS (SELECT id, sum(dd * (yy - beta * dd)) AS u FROM s, b GROUP BY 1)
+SELECT 'd' AS term, round(max(beta), 6) AS coef, round(sqrt(sum(u * u)) / max(sdd), 6) AS se, (SELECT count(*) FROM panel) AS nobs, count(*) AS n_entities FROM c, b""",
+)
+def _(spark, sf):
+    fit = fe_ols(panel_cy(spark, sf), "y", ["d"], "id", "year")
+    return result_frame(spark, fit.rows()).select("term", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"), "nobs", "n_entities")
+
+
+@query(
+    "did_cluster_year",
+    f"""WITH {_SWEPT}, c AS (SELECT year, sum(dd * (yy - beta * dd)) AS u FROM s, b GROUP BY 1) SELECT 'd' AS term, round(max(beta), 6) AS coef, round(sqrt(sum(u * u)) / max(sdd), 6) AS se FROM c, b""",
+)
+def _(spark, sf):
+    return result_frame(spark, fe_ols(panel_cy(spark, sf), "y", ["d"], "id", "year", "time").rows()).select("term", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"))
+
+
+@query(
+    "did_twoway_cluster",
+    f"""WITH {_SWEPT}, e AS (SELECT id, year, dd * (yy - beta * dd) AS u FROM s, b), i AS (SELECT sum(u) AS u FROM e GROUP BY id), t AS (SELECT sum(u) AS u FROM e GROUP BY year)
+SELECT 'd' AS term, round(sqrt((SELECT sum(u * u) FROM i) + (SELECT sum(u * u) FROM t) - (SELECT sum(u * u) FROM e)) / (SELECT sdd FROM b), 6) AS se""",
+)
+def _(spark, sf):
+    return result_frame(spark, fe_ols(panel_cy(spark, sf), "y", ["d"], "id", "year", "twoway").rows()).select("term", F.round("se", 6).alias("se"))
+
+
+@query("did_robust", f"""WITH {_SWEPT} SELECT 'd' AS term, round(sqrt(sum(dd * dd * (yy - beta * dd) * (yy - beta * dd))) / max(sdd), 6) AS se, round(1 - sum((yy - beta * dd) * (yy - beta * dd)) / sum(yy * yy), 6) AS r2_within FROM s, b""")
+def _(spark, sf):
+    return result_frame(spark, fe_ols(panel_cy(spark, sf), "y", ["d"], "id", "year", "robust").rows()).select("term", F.round("se", 6).alias("se"), F.round("r2_within", 6).alias("r2_within"))
+
+
+@query("did_table")
+def _(spark, sf):
+    return E.did_table(panel_cy(spark, sf), ["y", "x"], "id", "year", "d").select("outcome", "term", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"), "nobs", "status", "significant")
+
+
+@query("event_study_coefs")
+def _(spark, sf):
+    p = panel_cy(spark, sf).withColumn("t", (F.col("g") > 0).cast("int")).where("k is null or k between -3 and 3")
+    return E.event_study(p, "y", "id", "year", "k", "t", -3, 3)
+
+
+@query(
+    "event_study_moments",
+    f"WITH {PANEL} SELECT k, count(*) AS n, round(avg(y), 5) AS mean_y, round(stddev_samp(y), 5) AS sd_y FROM panel WHERE k BETWEEN -3 AND 3 GROUP BY 1",
+)
+def _(spark, sf):
+    return panel_cy(spark, sf).where("k between -3 and 3").groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("y"), 5).alias("mean_y"), F.round(F.stddev_samp("y"), 5).alias("sd_y"))
+
+
+@query("triple_did")
+def _(spark, sf):
+    p = panel_cy(spark, sf).withColumn("post", (F.col("year") >= 1998).cast("int")).withColumn("z", (F.col("segment") == "BUILDING").cast("int"))
+    return result_frame(spark, E.triple_did(p, "y", "z", "id", "year", "post", "d").rows())
+
+
+@query("heterogeneity_specs")
+def _(spark, sf):
+    p = H.baseline_z(panel_cy(spark, sf), "id", "k", "x", "zx").withColumn("post", (F.col("year") >= 1998).cast("int")).withColumn("t", (F.col("g") > 0).cast("int"))
+    p = H.quantile_z(p, "zx", "t", 2, "zx_q2")
+    return E.heterogeneity_specs(p, ["y", "x"], {"size": "zx", "size_q2": "zx_q2"}, "id", "year", post="post", treat="d")
+
+
+@query("all_baseline_splits")
+def _(spark, sf):
+    p = panel_cy(spark, sf).withColumn("t", (F.col("g") > 0).cast("int"))
+    return H.all_z(p, "id", "k", "t", "spend", "n_orders", "spend").select("id", "year", "z_size", "z_size_q2", "z_size_q3", "z_size_q5", "z_deal_q2")
+
+
+@query("sun_abraham")
+def _(spark, sf):
+    return E.sun_abraham(panel_cy(spark, sf), "y", "id", "year", "g", -3, 3)
+
+
+_ATT = f"""{PANEL}, c AS (SELECT g, year AS t, sum(y) AS s, count(*) AS n FROM panel GROUP BY 1, 2),
+w AS (SELECT g, t, t - g AS k, CASE WHEN t >= g THEN g - 1 ELSE t - 1 END AS b, s / n AS y1, n AS n1 FROM c WHERE g > 0),
+a AS (SELECT w.*, y1 - p.s / p.n AS dt FROM w JOIN c p ON p.g = w.g AND p.t = w.b),
+att AS (SELECT a.g, a.t, a.k, dt - ((SELECT sum(s) / sum(n) FROM c WHERE c.t = a.t AND (c.g = 0 OR c.g > greatest(a.t, a.b)) AND c.g <> a.g) - (SELECT sum(s) / sum(n) FROM c WHERE c.t = a.b AND (c.g = 0 OR c.g > greatest(a.t, a.b)) AND c.g <> a.g)) AS att,
+  n1 AS n_treated, (SELECT CAST(sum(n) AS BIGINT) FROM c WHERE c.t = a.t AND (c.g = 0 OR c.g > greatest(a.t, a.b)) AND c.g <> a.g) AS n_control FROM a)"""
+
+
+@query("att_gt", f"WITH {_ATT} SELECT g, t, k, round(att, 5) AS att, n_treated, n_control FROM att")
+def _(spark, sf):
+    return E.att_gt(panel_cy(spark, sf), "y", "id", "year", "g").withColumn("att", F.round("att", 5))
+
+
+@query(
+    "att_dynamic",
+    f"""WITH {_ATT}, z AS (SELECT g, count(DISTINCT id) AS w FROM panel WHERE g > 0 GROUP BY 1), d AS (SELECT k, sum(w * att) / sum(w) AS att, count(*) AS n_cohorts FROM att JOIN z USING (g) WHERE k BETWEEN -3 AND 3 GROUP BY 1)
+SELECT k, round(att, 5) AS att, n_cohorts, round((SELECT avg(att) FROM d WHERE k >= 0), 5) AS overall FROM d""",
+)
+def _(spark, sf):
+    p = panel_cy(spark, sf)
+    got = E.att_dynamic(E.att_gt(p, "y", "id", "year", "g"), E.cohort_sizes(p, "id", "g"), -3, 3)
+    return got.select("k", F.round("att", 5).alias("att"), "n_cohorts", F.round("overall", 5).alias("overall"))
+
+
+@query("att_composition_ci")
+def _(spark, sf):
+    p = panel_cy(spark, sf)
+    return E.composition_ci(E.att_gt(p, "y", "id", "year", "g"), E.cohort_sizes(p, "id", "g"), -3, 3)
+
+
+@query("att_gt_doubly_robust")
+def _(spark, sf):
+    return E.att_gt_dr(panel_cy(spark, sf).where("g in (0, 1998, 1999)"), "y", "id", "year", "g", ["x"], -1, 1)
+
+
+@query("bjs_att_by_k")
+def _(spark, sf):
+    return E.bjs_att(E.bjs_effects(panel_cy(spark, sf), "y", "id", "year", "d"), "d")
+
+
+@query("bjs_wild_band")
+def _(spark, sf):
+    return X.wild_band(E.bjs_effects(panel_cy(spark, sf), "y", "id", "year", "d"), "id", "d", draws=50)
+
+
+@query("bjs_refit_band")
+def _(spark, sf):
+    return X.refit_band(panel_cy(spark, sf), "y", "id", "year", "d", draws=50)
+
+
+@query("synthetic_control")
+def _(spark, sf):
+    return E.scm_att(E.synthetic_control(panel_cy(spark, sf), "y", "id", "year", "g", "segment", 3, 2, lo=-3, hi=3, max_donors=60), "id", 3)
+
+
+@query("synthetic_control_band")
+def _(spark, sf):
+    return X.scm_band(E.synthetic_control(panel_cy(spark, sf), "y", "id", "year", "g", "segment", 3, 2, lo=-3, hi=3, max_donors=60), "id", 50, hi=3)
+
+
+@query("dml_ate")
+def _(spark, sf):
+    p = panel_cy(spark, sf).withColumn("e", F.when(F.col("g") > 0, F.col("g")).otherwise(1998)).withColumn("t", (F.col("g") > 0).cast("int"))
+    x = E.event_cross_section(p.withColumn("kk", F.col("year") - F.col("e")), "y", ["x", "spend"], "id", "kk", "t", (1, 3))
+    return E.dml_cate(x, "y_post", "t", ["x", "spend"], "id", trees=10)[0]
+
+
+@query("significant_outcomes")
+def _(spark, sf):
+    names = E.significant_outcomes(E.did_table(panel_cy(spark, sf), ["y", "x"], "id", "year", "d"), "d")
+    return spark.createDataFrame([(n,) for n in names], "outcome string")
+
+
+@query(
+    "placebo_lead",
+    f"""WITH {PANEL} SELECT id, year, CASE WHEN g > 0 THEN g - 2 ELSE 0 END AS g_placebo, CASE WHEN g > 0 THEN year - g + 2 END AS k_placebo, CASE WHEN g > 0 AND year >= g - 2 THEN 1 ELSE 0 END AS d_placebo FROM panel WHERE g = 0 OR year < g""",
+)
+def _(spark, sf):
+    return X.placebo(panel_cy(spark, sf), "id", "year", "g", "lead", 2).select("id", "year", "g_placebo", "k_placebo", "d_placebo")
+
+
+@query("placebo_permute")
+def _(spark, sf):
+    return X.placebo(panel_cy(spark, sf), "id", "year", "g", "permute").select("id", "year", "g_placebo", "k_placebo", "d_placebo")
+
+
+@query("placebo_suite")
+def _(spark, sf):
+    return X.placebo_suite(panel_cy(spark, sf), ["y"], "id", "year", "g", 1)
+
+
+@query("sample_units")
+def _(spark, sf):
+    p = panel_cy(spark, sf).withColumn("t", (F.col("g") > 0).cast("int"))
+    return X.sample_units(p, "id", "t", 50, 100).select("id", "year", "t")
+
+
+def _pool(spark, sf, at=1998):
+    return panel_cy(spark, sf).where((F.col("year") == at - 1) & F.col("g").isin(0, at)).withColumn("t", (F.col("g") > 0).cast("int"))
+
+
+@query(
+    "match_mahalanobis",
+    f"""WITH {PANEL}, p AS (SELECT *, CASE WHEN g > 0 THEN 1 ELSE 0 END AS t FROM panel WHERE year = 1997 AND g IN (0, 1998)),
+v AS (SELECT segment, var_samp(x) + 1e-8 AS a, covar_samp(x, spend) AS b, var_samp(spend) + 1e-8 AS c FROM p GROUP BY 1),
+j AS (SELECT t.id, u.id AS control, t.segment, sqrt(greatest((c * (t.x - u.x) * (t.x - u.x) - 2 * b * (t.x - u.x) * (t.spend - u.spend) + a * (t.spend - u.spend) * (t.spend - u.spend)) / (a * c - b * b), 0)) AS dist
+  FROM p t JOIN p u ON t.segment = u.segment AND t.t = 1 AND u.t = 0 JOIN v ON v.segment = t.segment)
+SELECT id, segment, round(dist, 4) AS distance FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, control) = 1""",
+)
+def _(spark, sf):
+    return M.match_mahalanobis(_pool(spark, sf), "id", "t", "segment", "x", "spend").select("id", "segment", F.round("distance", 4).alias("distance"))
+
+
+@query("match_cohorts")
+def _(spark, sf):
+    return M.match_cohorts(panel_cy(spark, sf), "id", "year", "g", "segment", "x", "spend")
+
+
+@query("match_stack_cohorts")
+def _(spark, sf):
+    p = panel_cy(spark, sf)
+    pairs = M.match_mahalanobis(_pool(spark, sf), "id", "t", "segment", "x", "spend").withColumn("cohort", F.lit(1998).cast("long"))
+    return M.stack_cohorts(p, pairs, "id", "year", "g", -2, 2).select("id", "year", "cohort", "event_time", "treated", "post_treated")
+
+
+@query("propensity_scores")
+def _(spark, sf):
+    return M.propensity(_pool(spark, sf), "t", ["x", "spend"], ["segment"], standardise=True).select("id", "t", F.round("pscore", 4).alias("pscore"))
+
+
+@query("match_ps_greedy")
+def _(spark, sf):
+    s = M.propensity(_pool(spark, sf), "t", ["x", "spend"], standardise=True).where("pscore is not null")
+    side = lambda v: s.where(F.col("t") == v).select("id", "segment", "pscore", "x")
+    return M.match_greedy(M.candidates(side(1), side(0), ["segment"], "pscore", 0.05, [("x", 2)]), ["segment"], 3, 2)
+
+
+@query(
+    "match_euclid",
+    f"""WITH {PANEL}, p AS (SELECT *, CASE WHEN g > 0 THEN 1 ELSE 0 END AS t FROM panel WHERE year = 1997 AND g IN (0, 1998)), s AS (SELECT stddev_pop(x) AS sx, stddev_pop(spend) AS ss FROM p),
+j AS (SELECT t.id AS tid, u.id AS cid, sqrt(pow((t.x - u.x) / sx, 2) + pow((t.spend - u.spend) / ss, 2)) AS dist FROM p t JOIN p u ON t.segment = u.segment AND t.t = 1 AND u.t = 0, s)
+SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY dist, cid) AS control_rank, round(dist, 4) AS dist FROM j QUALIFY control_rank <= 3""",
+)
+def _(spark, sf):
+    p = _pool(spark, sf)
+    side = lambda v: p.where(F.col("t") == v).select("id", "segment", "x", "spend")
+    return M.match_euclid(side(1), side(0), ["segment"], ["x", "spend"], n=3).select("tid", F.col("control_rank").cast("long").alias("control_rank"), F.round("dist", 4).alias("dist"))
+
+
+@query("attach_control_firm", f"WITH {PANEL}, e AS (SELECT DISTINCT id, 1998 AS ey FROM panel WHERE g = 0) SELECT e.id, ey, coalesce(CASE WHEN a.n_orders > 0 THEN a.segment END, CASE WHEN b.n_orders > 0 THEN b.segment END) AS control_firm FROM e LEFT JOIN panel a ON a.id = e.id AND a.year = ey LEFT JOIN panel b ON b.id = e.id AND b.year = ey - 1")
+def _(spark, sf):
+    p = panel_cy(spark, sf)
+    e = p.where("g = 0").select("id", F.lit(1998).cast("long").alias("ey")).distinct()
+    return M.attach_control_firm(e, p.where("n_orders > 0"), "id", "ey", "year", "segment")

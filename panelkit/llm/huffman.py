@@ -14,8 +14,13 @@ a place where decoding can begin; decoding runs over all checkpoints of many blo
 from __future__ import annotations
 
 import os
+import re
+import string
+import unicodedata
 import uuid
 import zlib
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +31,7 @@ from .common import checkpoint_dir, id_cuts, id_part, shuffle_partitions, writte
 #: Ids of a block (a longer document is a block of its own), ids between checkpoints, most bits of a code word.
 BLOCK, CHECK, MAX_BITS = 1 << 16, 1 << 11, 20
 #: Words whose ids a worker remembers; ids that are decoded together.
-WORDS_KEPT, DECODED = 250_000, 1 << 21
+WORDS_KEPT, DECODED = 900_000, 1 << 21
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -120,8 +125,21 @@ class Decoder:
         return ids
 
 
-class _Words(dict):
-    """Ids of white-space separated words as bytes; starts anew at a fixed size."""
+_MARKS = string.punctuation
+#: White space to str.split(), not to the tokenizer: texts with one of these are encoded whole.
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+
+
+class Words:
+    """Ids of words as bytes, remembered in a table of bounded size.
+
+    This tokenizer cuts a text at white space and where letters and marks meet before anything else. So the ids of a
+    text are those of its words one after another, and those of a word of letters with marks behind it are the ids of
+    the letters and of the marks. Letters that are new are encoded together, with spaces between them, and told apart
+    by the ids that end a word; should their number not be that of the words (letters that normalise to something
+    else), they are encoded one by one.
+    """
 
     def __init__(self, path: str, wide: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,27 +148,84 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u4" if wide else "<u2"
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.table: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > WORDS_KEPT:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 10_000):
-            self.update(zip(new[at : at + 10_000], self.ids(new[at : at + 10_000]), strict=True))
-
-
-#: str.split() cuts at these, the tokenizer does not: such texts are encoded whole.
-_CONTROL = {chr(c) for c in range(0x1C, 0x20)}
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of these words; the table keeps them, and drops its older half to make room."""
+        known, marked, letters, other, marks = self.table.get, [], set(), [], set()
+        found: dict[str, bytes] = {}
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if not stem.isalpha():
+                other.append(w)
+            elif len(stem) == len(w):
+                letters.add(w)
+            else:
+                end = w[len(stem) :]
+                a, b = known(stem), known(end)
+                if a is not None and b is not None:
+                    found[w] = a + b
+                    continue
+                marked.append((w, stem, end))
+                if b is None:
+                    marks.add(end)
+                if a is None:
+                    letters.add(stem)
+                else:
+                    found[stem] = a
+        other += marks
+        found.update(zip(other, self.whole(other), strict=True))
+        new = [x for x in letters if x not in found]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
+            if len(ends) == len(part):
+                raw, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+                cuts = [0, *(ends * width).tolist()]
+                found.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            else:
+                found.update(zip(part, self.whole(part), strict=True))
+        for w, stem, end in marked:
+            found[w] = found[stem] + (found[end] if end in found else self.table[end])
+        if len(self.table) + len(found) > WORDS_KEPT:
+            for k in list(islice(self.table, WORDS_KEPT // 2)):
+                del self.table[k]
+        self.table.update(found)
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text."""
+        get, split = self.table.get, []
+        for t in texts:
+            if any(c in t for c in _WHOLE) or not unicodedata.is_normalized("NFC", t):
+                split.append(None)
+            else:
+                # lower case is the tokenizer's own next step; done here, a word recurs more often
+                split.append((t if _BEYOND_LATIN.search(t) else t.lower()).split())
+        got = [None if s is None else list(map(get, s)) for s in split]
+        new = self.learn({w for s, g in zip(split, got, strict=True) if g and None in g for w, x in zip(s, g, strict=True) if x is None})
+        out = []
+        for t, s, g in zip(texts, split, got, strict=True):
+            if g is None:
+                out += self.whole([t])
+            elif None in g:
+                out.append(b"".join([new[w] if x is None else x for w, x in zip(s, g, strict=True)]))
+            else:
+                out.append(b"".join(g))
+        return out
 
 
-def encoded(words: _Words, texts: list[str]) -> list[bytes]:
-    """Ids of each whole text. This tokenizer cuts at white space before anything else, so words are encoded one by one and remembered."""
-    split = [None if _CONTROL & set(t) else t.split() for t in texts]
-    words.learn(set().union(*(s for s in split if s)))
-    return [words.ids([t])[0] if s is None else b"".join(map(words.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+@lru_cache(maxsize=2)
+def _words(path: str, wide: bool) -> Words:
+    """One for each tokenizer in a worker process, kept from task to task."""
+    return Words(path, wide)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -173,7 +248,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wi
     def tokenise(batches):
         import pyarrow as pa
 
-        words = _Words(tokenizer, wide)
+        known = _words(tokenizer, wide)
         width = np.dtype(kind).itemsize
         part, block, first, held, n = None, 0, 0, [], 0
 
@@ -188,8 +263,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wi
 
         for b in batches:
             ids, texts, of = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", "part"))
-            for at in range(0, len(texts), 256):
-                for p, d, x in zip(of[at : at + 256], ids[at : at + 256], encoded(words, texts[at : at + 256]), strict=True):
+            for at in range(0, len(texts), 512):
+                for p, d, x in zip(of[at : at + 512], ids[at : at + 512], known.encode(texts[at : at + 512]), strict=True):
                     if p != part:
                         if held:
                             yield close()

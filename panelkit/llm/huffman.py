@@ -13,6 +13,7 @@ a place where decoding can begin; decoding runs over all checkpoints of many blo
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import string
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint_dir, id_cuts, id_part, shuffle_partitions, written
 
 #: Ids of a block (a longer document is a block of its own), ids between checkpoints, most bits of a code word.
-BLOCK, CHECK, MAX_BITS = 1 << 16, 1 << 11, 20
+BLOCK, CHECK, MAX_BITS = 1 << 16, 1 << 10, 20
 #: Words whose ids a worker remembers; ids that are decoded together.
-WORDS_KEPT, DECODED = 900_000, 1 << 21
+WORDS_KEPT, DECODED = 900_000, 1 << 22
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -157,7 +158,7 @@ class Words:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of these words; the table keeps them, and drops its older half to make room."""
+        """The ids of these words; the table keeps them, and drops its newer half to make room (common words came early)."""
         known, marked, letters, other, marks = self.table.get, [], set(), [], set()
         found: dict[str, bytes] = {}
         for w in words:
@@ -195,7 +196,7 @@ class Words:
         for w, stem, end in marked:
             found[w] = found[stem] + (found[end] if end in found else self.table[end])
         if len(self.table) + len(found) > WORDS_KEPT:
-            for k in list(islice(self.table, WORDS_KEPT // 2)):
+            for k in list(islice(self.table, WORDS_KEPT // 2, None)):
                 del self.table[k]
         self.table.update(found)
         return found
@@ -208,7 +209,7 @@ class Words:
                 split.append(None)
             else:
                 # lower case is the tokenizer's own next step; done here, a word recurs more often
-                split.append((t if _BEYOND_LATIN.search(t) else t.lower()).split())
+                split.append((t.lower() if t.isascii() or not _BEYOND_LATIN.search(t) else t).split())
         got = [None if s is None else list(map(get, s)) for s in split]
         new = self.learn({w for s, g in zip(split, got, strict=True) if g and None in g for w, x in zip(s, g, strict=True) if x is None})
         out = []
@@ -249,6 +250,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wi
         import pyarrow as pa
 
         known = _words(tokenizer, wide)
+        gc.disable()  # millions of words in lists, none of them in cycles
         width = np.dtype(kind).itemsize
         part, block, first, held, n = None, 0, 0, [], 0
 
@@ -275,6 +277,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wi
                         yield close()
         if held:
             yield close()
+        gc.enable()
 
     plain = written(ordered.mapInArrow(tokenise, "part int, block int, first long, doc_ids array<long>, counts array<int>, ids binary"), "plain-ids")
 

@@ -67,6 +67,8 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     before = np.cumsum(keep)
     n = np.diff(np.r_[0, before[ends - 1]])
     out = points[keep]
+    if not len(out):
+        return out, n
     at = np.cumsum(n)
     last = (n > 0) & (out[np.maximum(at - 1, 0)] == 0)
     if last.any():

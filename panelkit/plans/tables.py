@@ -1 +1,117 @@
-"""Queries."""
+"""Queries on accounting and deals, over statements and deals derived from customers' orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import accounting as A
+from ..operators import deals as D
+from .domain import table
+from .registry import query
+
+_AMOUNTS = "at sale teq intan mkvalt ppent ppegt dltt dlc csho prcc_f ajex xrd xad xsga xint cogs che capx dp re dv dvc dvp prstkc sstk oibdp oiadp ceq dltis dltr dlcch aqc wcap ib txt".split()
+_SHARES = {"at": "sale * (2 + gid % 3)", "teq": "sale * 0.5", "intan": "sale * 0.1", "ppent": "sale * 0.3", "ppegt": "sale * 0.4", "dltt": "sale * 0.2 * (gid % 3)", "dlc": "sale * 0.1", "csho": "n * 10.0", "prcc_f": "10.0 + gid % 7", "ajex": "1.0", "xrd": "CASE WHEN gid % 4 > 0 THEN sale * 0.05 END", "xint": "CASE WHEN gid % 5 > 0 THEN sale * 0.01 ELSE 0.0 END", "cogs": "sale * 0.6", "che": "sale * 0.15", "capx": "sale * 0.08", "dp": "sale * 0.04", "dvc": "CASE WHEN gid % 2 = 0 THEN sale * 0.02 END", "prstkc": "sale * 0.01", "sstk": "sale * 0.004", "oibdp": "sale * (0.2 - 0.1 * (gid % 4))", "oiadp": "sale * 0.15", "ceq": "sale * 0.7", "dltis": "sale * 0.03", "dltr": "sale * 0.02", "wcap": "sale * 0.25", "ib": "sale * 0.07", "txt": "sale * 0.02"}
+
+_RAW = """raw AS (
+  SELECT *, {} FROM (SELECT o_custkey AS gid, CAST(year(o_orderdate) AS BIGINT) AS fyear, sum(o_totalprice) AS sale, count(*) AS n FROM orders GROUP BY 1, 2)
+  WHERE gid % 10 > 0)""".format(", ".join(f"{v} AS {'assets' if k == 'at' else k}" for k, v in _SHARES.items()))
+
+
+def statements(spark, sf):
+    """Raw annual statements: one per customer and year, those of every tenth customer of an excluded industry."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("gid"), F.year("o_orderdate").cast("long").alias("fyear")).agg(F.sum("o_totalprice").alias("sale"), F.count("*").alias("n"))
+    o = o.withColumns({k: F.expr(v).cast("double") for k, v in _SHARES.items()})
+    o = o.withColumns({c: F.lit(None).cast("double") for c in _AMOUNTS if c not in o.columns})
+    return o.withColumns(
+        {
+            "gvkey": F.col("gid").cast("string"), "datadate": F.concat(F.col("fyear").cast("string"), F.lit("1231")), "sic": F.when(F.col("gid") % 10 == 0, "6021").otherwise(F.concat(F.lit("35"), (F.col("gid") % 3).cast("string"), F.lit("1"))),
+            "indfmt": F.lit("INDL"), "datafmt": F.lit("STD"), "popsrc": F.lit("D"), "consol": F.lit("C"), "pddur": F.lit(12), "ipodate": F.lit(None).cast("string"),
+        }
+    )
+
+
+def price_index(spark, sf):
+    """A monthly index over the months of the orders."""
+    m = table(spark, sf, "orders").select(F.last_day("o_orderdate").alias("month_end")).distinct()
+    return m.withColumn("cpi", (F.year("month_end") - 1990).cast("double") * 5 + F.month("month_end"))
+
+
+@query(
+    "fundamentals",
+    f"""WITH {_RAW}, c AS (SELECT DISTINCT CAST(last_day(o_orderdate) AS DATE) AS m FROM orders), cpi AS (SELECT m, (year(m) - 1990) * 5.0 + month(m) AS cpi FROM c),
+base AS (SELECT coalesce(max(CASE WHEN m = DATE '2004-12-31' THEN cpi END), median(cpi)) AS b FROM cpi),
+l AS (SELECT raw.*, CAST(gid % 3 AS INT) AS s3, csho * prcc_f AS mv, lag(assets) OVER w AS at_lag, lag(sale) OVER w AS sale_lag, lag(csho * prcc_f) OVER w AS mv_lag, CASE WHEN oibdp >= 0 OR oibdp < 0 THEN oibdp END AS op,
+  fyear - min(fyear) OVER (PARTITION BY gid) AS age, assets / cpi.cpi * b AS at_real FROM raw LEFT JOIN cpi ON cpi.m = make_date(fyear, 12, 31), base WINDOW w AS (PARTITION BY gid ORDER BY fyear)),
+g AS (SELECT *, (sale - sale_lag) / sale_lag AS sg FROM l), i AS (SELECT *, avg(sg) OVER (PARTITION BY fyear, s3) AS isg FROM g)
+SELECT CAST(gid AS VARCHAR) AS gvkey, fyear AS data_year, round((dltt + dlc) / assets, 5) AS leverage, round(op / at_lag, 5) AS roa, round(sg, 4) AS sale_growth, round((assets + mv - ceq) / assets, 5) AS market_to_book,
+  round((coalesce(dvc, 0) + 0.006 * sale) / assets, 5) AS net_payout_at, round(prstkc / mv_lag, 3) AS repo, round((ib + dp + coalesce(xrd, 0)) / at_lag, 5) AS cash_flow,
+  round(CASE WHEN xint > 0 AND op < 0 THEN 0 WHEN xint > 0 THEN op / xint END, 4) AS interest_coverage,
+  round(-0.091 * (ib + dp) / assets - 0.062 * CASE WHEN coalesce(dvc, 0) > 0 THEN 1 ELSE 0 END + 0.021 * (dltt + dlc) / assets - 0.044 * ln(assets) + 0.102 * sg - 0.035 * isg, 3) AS ww_index,
+  round(CASE WHEN at_real IS NOT NULL THEN -0.737 * least(ln(at_real), ln(4500)) + 0.043 * least(ln(at_real), ln(4500)) * least(ln(at_real), ln(4500)) - 0.04 * age END, 3) AS sa_index FROM i""",
+)
+def _(spark, sf):
+    got = A.fundamentals(statements(spark, sf), price_index(spark, sf))
+    r = lambda c, n=5: F.round(c, n).alias(c)
+    return got.select("gvkey", F.col("data_year").cast("long").alias("data_year"), r("leverage"), r("roa"), r("sale_growth", 4), r("market_to_book"), r("net_payout_at"), r("repo", 3), r("cash_flow"), r("interest_coverage", 4), (F.round("ww_index", 3) + 0.0).alias("ww_index"), r("sa_index", 3))
+
+
+def raw_links(spark, sf):
+    """Links of customers to 40 permanent ids, valid from a date that depends on the customer; some end, some stay open."""
+    c, day = table(spark, sf, "customer"), lambda k: F.date_format(F.date_add(F.lit("1994-01-01").cast("date"), k.cast("int")), "yyyyMMdd")
+    k = F.col("c_custkey")
+    return c.select(
+        k.cast("string").alias("gvkey"), (k + 1000).cast("string").alias("lpermno"), (k % 40).cast("string").alias("lpermco"), F.concat(F.lit("C"), F.lpad((k % 200).cast("string"), 5, "0"), F.lit("10")).alias("cusip"),
+        F.lit("3571").alias("sic"), day(k % 900).alias("linkdt"), F.when(k % 3 > 0, day(k % 900 + 1500)).alias("linkenddt"),
+        F.when(k % 11 == 0, "NR").otherwise("LU").alias("linktype"), F.when(k % 13 == 0, "N").otherwise("P").alias("linkprim"),
+    )
+
+
+_LINKS = """links AS (SELECT c_custkey AS gvkey, c_custkey % 40 AS permco, 'C' || lpad(CAST(c_custkey % 200 AS VARCHAR), 5, '0') AS code, DATE '1994-01-01' + CAST(c_custkey % 900 AS INT) AS lo,
+  CASE WHEN c_custkey % 3 > 0 THEN DATE '1994-01-01' + CAST(c_custkey % 900 + 1500 AS INT) ELSE DATE '2021-10-01' END AS hi FROM customer WHERE c_custkey % 11 > 0 AND c_custkey % 13 > 0)"""
+
+
+@query("link_table", f"WITH {_LINKS} SELECT gvkey, permco, lo AS linkdt, hi AS linkenddt FROM links")
+def _(spark, sf):
+    return A.link_table(raw_links(spark, sf)).select("gvkey", "permco", "linkdt", "linkenddt")
+
+
+@query("link_on_date", f"WITH {_LINKS} SELECT l.permco, s.y AS data_year, s.gid AS gvkey FROM (SELECT DISTINCT o_custkey AS gid, CAST(year(o_orderdate) AS BIGINT) AS y FROM orders WHERE o_custkey % 10 > 0) s JOIN links l ON l.gvkey = s.gid AND make_date(s.y, 12, 31) BETWEEN lo AND hi QUALIFY row_number() OVER (PARTITION BY l.permco, s.y ORDER BY s.gid) = 1")
+def _(spark, sf):
+    facts = A.clean_fundamentals(statements(spark, sf))
+    return A.link_on_date(facts, A.link_table(raw_links(spark, sf))).select("permco", F.col("data_year").cast("long").alias("data_year"), "gvkey")
+
+
+_DEALS = f"""{_LINKS}, raw AS (SELECT o_orderkey AS ref, CAST(o_orderdate AS DATE) AS announced, 'C' || lpad(CAST(o_custkey % 200 AS VARCHAR), 5, '0') AS acq, 'C' || lpad(CAST(o_orderkey % 200 AS VARCHAR), 5, '0') AS tgt,
+  o_totalprice AS deal_value, CAST(least(100, o_orderkey % 120) AS DOUBLE) AS pct, o_orderstatus, CAST(o_custkey % 3 <> o_orderkey % 3 AS INT) AS diversifying FROM orders WHERE o_totalprice > 400000 AND o_orderstatus IN ('F', 'O')),
+k AS (SELECT DISTINCT code, permco, lo, hi FROM links),
+deals AS (SELECT ref, t.permco AS permco_target, a.permco AS permco_acquiror, CAST(year(announced) - CASE WHEN month(announced) >= 6 THEN 0 ELSE 1 END AS BIGINT) AS deal_year, deal_value, pct, CAST(o_orderstatus = 'O' AS INT) AS failed, diversifying
+  FROM raw JOIN k t ON t.code = tgt AND announced BETWEEN t.lo AND t.hi JOIN k a ON a.code = acq AND announced BETWEEN a.lo AND a.hi WHERE t.permco <> a.permco
+  QUALIFY row_number() OVER (PARTITION BY permco_target, permco_acquiror, deal_year ORDER BY announced DESC, deal_value DESC) = 1)"""
+
+
+def deals(spark, sf):
+    o = table(spark, sf, "orders").where(F.col("o_totalprice") > 400000)
+    code = lambda c: F.concat(F.lit("c"), F.lpad((F.col(c) % 200).cast("string"), 5, "0"), F.lit("99"))
+    raw = o.select(
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("date_announced"), F.lit(None).cast("string").alias("date_effective"), code("o_orderkey").alias("target_cusip"), code("o_custkey").alias("acquiror_cusip"),
+        F.when(F.col("o_orderstatus") == "F", " completed").when(F.col("o_orderstatus") == "O", "WITHDRAWN ").otherwise("Pending").alias("status"), F.col("o_totalprice").cast("string").alias("deal_value"),
+        F.concat(F.lit("about "), (F.col("o_orderkey") % 120).cast("string"), F.lit("%")).alias("pct_acquired"), F.lit(None).cast("string").alias("pct_owned"), F.lit(None).cast("string").alias("pct_sought"),
+        (F.col("o_custkey") % 3).cast("string").alias("acquiror_sic2"), (F.col("o_orderkey") % 3).cast("string").alias("target_sic2"), F.lit(None).cast("string").alias("acquiror_sic3"), F.lit("357").alias("target_sic3"),
+    )
+    return D.deal_panel(raw, A.link_table(raw_links(spark, sf)))
+
+
+@query("deal_panel", f"WITH {_DEALS} SELECT permco_target, permco_acquiror, deal_year, round(deal_value, 2) AS deal_value, pct AS pct_acquired, failed, diversifying FROM deals")
+def _(spark, sf):
+    return deals(spark, sf).select("permco_target", "permco_acquiror", F.col("deal_year").cast("long").alias("deal_year"), F.round("deal_value", 2).alias("deal_value"), "pct_acquired", "failed", "diversifying")
+
+
+@query(
+    "deal_counts",
+    f"""WITH {_DEALS}, r AS (SELECT permco_acquiror AS permco, 'a' AS role, * FROM deals UNION ALL SELECT permco_target, 't', * FROM deals)
+SELECT permco, deal_year AS data_year, count(*) FILTER (role = 'a') AS n_deals_acquiror, count(*) FILTER (role = 't') AS n_deals_target, count(*) FILTER (role = 'a' AND failed = 1) AS n_failed_acquiror,
+  round(coalesce(sum(deal_value) FILTER (role = 't'), 0), 2) AS deal_value_target, round(avg(pct) FILTER (role = 'a'), 4) AS mean_pct_acquired_acquiror FROM r GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    got = D.deal_counts(D.deal_roles(deals(spark, sf)))
+    return got.select("permco", F.col("data_year").cast("long").alias("data_year"), "n_deals_acquiror", "n_deals_target", "n_failed_acquiror", F.round("deal_value_target", 2).alias("deal_value_target"), F.round("mean_pct_acquired_acquiror", 4).alias("mean_pct_acquired_acquiror"))

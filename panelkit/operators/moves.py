@@ -56,27 +56,33 @@ def peer_benchmark(moves: DataFrame, rows: DataFrame, unit: str, firm: str, year
     of another unit. Ratios are m / (p + epsilon); zero_peer='null' gives NULL where peers have nothing.
     """
     cells = rows.groupBy(firm, year, unit).agg(sum0(metric).alias("s"), F.count(metric).alias("n"))
+    firm_years = cells.groupBy(firm, year).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     docs = rows.select(firm, year, doc, unit).distinct()
     teams = docs.groupBy(firm, year, doc).agg(F.count("*").alias("k"))
     m = moves.select(F.col(unit).alias("__u"), F.col("move_year").alias("__m"), "from_state", "to_state").distinct()
-    out = m
+    keys, out = ["__u", "__m", "from_state", "to_state"], m
     for name, at, lo, hi in (("origin_pre", "from_state", -window, -1), ("dest_pre", "to_state", -window, -1), ("dest_post", "to_state", 0, window - 1)):
-        when = lambda t, at=at, lo=lo, hi=hi: (t[firm] == m[at]) & (t[year] - m["__m"]).between(lo, hi)
-        c = m.join(cells, when(cells))
-        own = c[unit] == c["__u"]
-        sums = c.groupBy("__u", "__m", "from_state", "to_state").agg(
-            F.sum(F.when(own, F.col("s"))).alias("ms"), F.sum(F.when(own, F.col("n"))).alias("mn"), F.sum(F.when(~own, F.col("s"))).alias("ps"), F.sum(F.when(~own, F.col("n"))).alias("pn")
-        ).select("__u", "__m", "from_state", "to_state", ratio(F.col("ms"), F.col("mn")).alias(f"mover_{name}"), ratio(F.col("ps"), F.col("pn")).alias(f"peers_{name}"))
-        total = m.join(teams, when(teams)).groupBy("__u", "__m", "from_state", "to_state").agg(F.countDistinct(doc).alias("all"))
-        keys = ["__u", "__m", "from_state", "to_state"]
-        mine = m.join(docs, when(docs) & (docs[unit] == m["__u"])).groupBy(*keys, docs[doc].alias("__d")).agg(F.count("*").alias("years"))
+        # totals depend on the firm and the year of the move only, so they are made once for all its moves
+        pairs = m.select(at, "__m").distinct()
+        near = lambda left, t, at=at, lo=lo, hi=hi: (t[firm] == left[at]) & (t[year] - left["__m"]).between(lo, hi)
+        total = pairs.join(firm_years, near(pairs, firm_years)).groupBy(at, "__m").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+        all_docs = pairs.join(teams, near(pairs, teams)).groupBy(at, "__m").agg(F.countDistinct(doc).alias("all"))
+        own = m.join(cells, near(m, cells) & (cells[unit] == m["__u"])).groupBy(*keys).agg(F.sum("s").alias("ms"), F.sum("n").alias("mn"))
+        mine = m.join(docs, near(m, docs) & (docs[unit] == m["__u"])).groupBy(*keys, docs[doc].alias("__d")).agg(F.count("*").alias("years"))
         # alone: in no year of the window does another unit have the document at the firm
-        near = (teams[firm] == mine[at]) & (teams[doc] == mine["__d"]) & (teams[year] - mine["__m"]).between(lo, hi)
-        mine = mine.join(teams, near).groupBy(*keys, "__d", "years").agg(F.sum("k").alias("k"))
-        mine = mine.groupBy(*keys).agg(F.count("*").alias(f"mover_docs_{name}"), F.sum((F.col("k") == F.col("years")).cast("int")).alias("alone"))
-        part = sums.join(total, ["__u", "__m", "from_state", "to_state"], "left").join(mine, ["__u", "__m", "from_state", "to_state"], "left")
-        part = part.withColumn(f"mover_docs_{name}", F.coalesce(F.col(f"mover_docs_{name}"), F.lit(0))).withColumn(f"peers_docs_{name}", F.coalesce(F.col("all"), F.lit(0)) - F.coalesce(F.col("alone"), F.lit(0))).drop("all", "alone")
-        out = out.join(part, ["__u", "__m", "from_state", "to_state"], "left").fillna(0, [f"mover_docs_{name}", f"peers_docs_{name}"])
+        same = (teams[firm] == mine[at]) & (teams[doc] == mine["__d"]) & (teams[year] - mine["__m"]).between(lo, hi)
+        mine = mine.join(teams, same).groupBy(*keys, "__d", "years").agg(F.sum("k").alias("k"))
+        mine = mine.groupBy(*keys).agg(F.count("*").alias("md"), F.sum((F.col("k") == F.col("years")).cast("int")).alias("alone"))
+        part = m.join(total, [at, "__m"], "left").join(all_docs, [at, "__m"], "left").join(own, keys, "left").join(mine, keys, "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        part = part.select(
+            *keys,
+            ratio(F.col("ms"), F.col("mn")).alias(f"mover_{name}"),
+            ratio(F.col("ts") - zero("ms"), F.col("tn") - zero("mn")).alias(f"peers_{name}"),
+            zero("md").alias(f"mover_docs_{name}"),
+            (zero("all") - zero("alone")).alias(f"peers_docs_{name}"),
+        )
+        out = out.join(part, keys)
 
     def against(a: str, b: str):
         den = F.col(b) if zero_peer == "null" else F.col(b) + epsilon

@@ -46,7 +46,7 @@ g AS (SELECT *, (sale - sale_lag) / sale_lag AS sg FROM l), i AS (SELECT *, avg(
 SELECT CAST(gid AS VARCHAR) AS gvkey, fyear AS data_year, round((dltt + dlc) / assets, 5) AS leverage, round(op / at_lag, 5) AS roa, round(sg, 4) AS sale_growth, round((assets + mv - ceq) / assets, 5) AS market_to_book,
   round((coalesce(dvc, 0) + 0.006 * sale) / assets, 5) AS net_payout_at, round(prstkc / mv_lag, 3) AS repo, round((ib + dp + coalesce(xrd, 0)) / at_lag, 5) AS cash_flow,
   round(CASE WHEN xint > 0 AND op < 0 THEN 0 WHEN xint > 0 THEN op / xint END, 4) AS interest_coverage,
-  round(-0.091 * (ib + dp) / assets - 0.062 * CASE WHEN coalesce(dvc, 0) > 0 THEN 1 ELSE 0 END + 0.021 * (dltt + dlc) / assets - 0.044 * ln(assets) + 0.102 * sg - 0.035 * isg, 3) AS ww_index,
+  round(-0.091 * (ib + dp) / assets - 0.062 * CASE WHEN coalesce(dvc, 0) > 0 THEN 1 ELSE 0 END + 0.021 * (dltt + dlc) / assets - 0.044 * ln(assets) + 0.102 * sg - 0.035 * isg, 3) + 0.0 AS ww_index,
   round(CASE WHEN at_real IS NOT NULL THEN -0.737 * least(ln(at_real), ln(4500)) + 0.043 * least(ln(at_real), ln(4500)) * least(ln(at_real), ln(4500)) - 0.04 * age END, 3) AS sa_index FROM i""",
 )
 def _(spark, sf):

@@ -69,11 +69,6 @@ def nearby(w: np.ndarray) -> np.ndarray:
     return (w[:, None] ^ _NEAR[syndrome(w)]) >> (N - K)
 
 
-def nearby_patterns(w: np.ndarray) -> np.ndarray:
-    """(len(w), 6): the bits in which w differs from each of these codewords."""
-    return _NEAR[syndrome(w)]
-
-
 def one_apart_keys(w: np.ndarray) -> np.ndarray:
     """(len(w), 6): indices such that words at distance 0 or 1 have one in common; repeats fill up.
 

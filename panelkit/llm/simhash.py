@@ -7,9 +7,9 @@ full.
 Exact plan (64 bits, radius 3): three segments. Of three segments with at most 3 errors together, two have at most one
 error each, and segments one bit apart share an index, so every linked pair shares a key.
 
-Wide plan (256 bits): for similarity joins at larger radius. Eleven segments; the index list of a segment is the
-nearest codeword and those that the segment's least certain bits make likely. It finds a pair with the probability
-that some pair of segments agrees (see README), as its fingerprints estimate similarity with a known error too.
+Wide plan (256 bits): for similarity joins at larger radius, where no key of code segments finds every pair. Keys are
+32 bands of four min-hashes of the text's shingles, so a pair of resemblance r shares one with probability
+1 - (1 - r^4)^32; the bits only sift the pairs under a key, and exact resemblance decides on those that are left.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import lower_words, shuffle_partitions, written
+from .common import cut, lower_words, shuffle_partitions, written
 from .components import components
 from .sketch import mixed, shingle_hashes
 
@@ -40,21 +40,36 @@ class Plan:
     radius: int  # linked at so many differing bits or fewer
     segments: tuple[tuple[int, int], ...]  # (first bit, bits)
     pairs: tuple[tuple[int, int], ...]
-    soft: int = 0  # indices per segment by certainty; 0: the exact rule
+    bands: int = 0  # keys of BAND min-hashes each; 0: pairs of segments by the exact rule
+    similarity: float = 0.0  # least exact resemblance of shingle sets, with bands
 
 
 EXACT = Plan(3, 1, 3, ((0, 22), (22, 21), (43, 21)), ((0, 1), (0, 2), (1, 2)))
 
 
-def wide(similarity: float = 0.8, slack: float = 1.5) -> Plan:
-    """Links texts whose five-word shingle sets have about this resemblance or more.
+def wide(similarity: float = 0.8, slack: float = 4.0) -> Plan:
+    """Links texts whose five-word shingle sets have this resemblance or more.
 
     The expected share of differing bits is the angle between the sets' indicator vectors over pi; slack standard
-    deviations are added, so that few pairs at the limit are missed.
+    deviations are added, so that pairs at the limit are hardly ever missed.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = round(256 * p + slack * math.sqrt(256 * p * (1 - p)))
-    return Plan(5, 4, radius, tuple((23 * i, 23) for i in range(11)), tuple((i, (i + d) % 11) for i in range(11) for d in (1, 2)), 2)
+    return Plan(5, 4, radius, (), (), 32, similarity)
+
+
+#: Min-hashes in a key, and the odd factors that order the shingle hashes anew for each.
+BAND = 4
+_FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 32 * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit key per band from distinct shingle hashes; no hash: the band's number."""
+    low = np.array([(h * f).min() if len(h) else 0 for f in _FACTORS[: bands * BAND]], np.uint64).reshape(bands, BAND)
+    out = np.arange(bands, dtype=np.uint64)
+    for i in range(BAND):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + low[:, i])
+    return out
 
 
 def _string_hashes(text: str, size: int) -> np.ndarray:
@@ -67,26 +82,25 @@ def _string_hashes(text: str, size: int) -> np.ndarray:
     return np.fromiter((h(join(s), 42) for s in zip(*(w[i:] for i in range(size)))), np.uint64, len(w) - size + 1)
 
 
-def _majority(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bits (0 or 1) set in over half of the 64-bit hashes, bit 0 first, and how far each count is from half."""
+def _majority(h: np.ndarray) -> np.ndarray:
+    """The bits (0 or 1) set in over half of the 64-bit hashes, bit 0 first."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 255 * 256):
         part = h[at : at + 255 * 256].astype("<u8")
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):
             counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
-    return (counts * 2 > len(h)).astype(np.uint8), np.abs(counts * 2 - len(h))
+    return (counts * 2 > len(h)).astype(np.uint8)
 
 
 def fingerprint(text: str, plan: Plan = EXACT) -> tuple[np.ndarray, np.ndarray]:
-    """(lanes of uint64, certainty of each bit); no word: zeros."""
-    if plan.lanes == 1:
-        hashes = [_string_hashes(text, plan.words)]
-    else:
+    """(lanes of uint64, distinct shingle hashes in order with bands, else none); no word: zeros."""
+    if plan.bands:
         h = np.unique(shingle_hashes(text, plan.words))
         hashes = [mixed(h ^ np.uint64(0xA5A5A5A5 * (i + 1))) for i in range(plan.lanes)]
-    out = [_majority(h) for h in hashes]
-    return np.packbits(np.concatenate([b for b, _ in out]), bitorder="little").view("<u8").copy(), np.concatenate([c for _, c in out])
+    else:
+        h, hashes = np.empty(0, np.uint64), [_string_hashes(text, plan.words)]
+    return np.packbits(np.concatenate([_majority(x) for x in hashes]), bitorder="little").view("<u8").copy(), h
 
 
 def segment_words(lanes: np.ndarray, first: int, bits: int) -> np.ndarray:
@@ -98,23 +112,9 @@ def segment_words(lanes: np.ndarray, first: int, bits: int) -> np.ndarray:
     return (w & np.uint64((1 << bits) - 1)).astype(np.int32)
 
 
-def _soft_order(patterns: np.ndarray, certainty: np.ndarray, keep: int) -> np.ndarray:
-    """Which codewords are likeliest: those whose flipped bits are least certain together."""
-    bits = (patterns[:, :, None] >> np.arange(golay.N)) & 1
-    cost = (bits * certainty[:, None, :]).sum(2)
-    return np.argsort(cost, axis=1, kind="stable")[:, :keep]
-
-
-def keys(lanes: np.ndarray, plan: Plan, certainty: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def keys(lanes: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, keys): the distinct keys of each fingerprint."""
-    index = []
-    for first, bits in plan.segments:
-        w = segment_words(lanes, first, bits)
-        if plan.soft:
-            order = _soft_order(golay.nearby_patterns(w), certainty[:, first : first + bits].astype(np.int64) + 1, plan.soft)
-            index.append(np.take_along_axis(golay.nearby(w), order, axis=1))
-        else:
-            index.append(golay.one_apart_keys(w))
+    index = [golay.one_apart_keys(segment_words(lanes, first, bits)) for first, bits in plan.segments]
     rows, out = [], []
     for k, (i, j) in enumerate(plan.pairs):
         a, b = index[i], index[j]
@@ -133,7 +133,7 @@ def _lane_names(plan: Plan) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
-    """doc_id, f0.. (lanes as signed 64-bit) and, for a wide plan, certainty (one byte a bit, 255 at most)."""
+    """doc_id, f0.. (lanes as signed 64-bit) and, for a wide plan, digest (of the shingle set) and bands (its keys)."""
 
     def run(batches):
         import pyarrow as pa
@@ -144,11 +144,12 @@ def fingerprints(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
             got = [fingerprint(t.as_py() or "", plan) for t in b.column(1)]
             lanes = np.stack([g[0] for g in got]).view(np.int64)
             cols = [b.column(0), *(pa.array(lanes[:, i]) for i in range(plan.lanes))]
-            if plan.soft:
-                cols.append(pa.array([np.minimum(g[1], 255).astype(np.uint8).tobytes() for g in got], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *_lane_names(plan), *["certainty"] * bool(plan.soft)])
+            if plan.bands:
+                cols.append(pa.array(np.array([xxhash.xxh3_64_intdigest(g[1].tobytes()) for g in got], np.uint64).view(np.int64)))
+                cols.append(pa.array([band_keys(g[1], plan.bands).tobytes() for g in got], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *_lane_names(plan), *["digest", "bands"][: 2 * bool(plan.bands)]])
 
-    schema = ", ".join(["doc_id long", *(f"{f} long" for f in _lane_names(plan)), *["certainty binary"] * bool(plan.soft)])
+    schema = ", ".join(["doc_id long", *(f"{f} long" for f in _lane_names(plan)), *["digest long", "bands binary"][: 2 * bool(plan.bands)]])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -170,36 +171,53 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[away], nodes[root[away]]
 
 
-def linked(cell: np.ndarray, node: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that are next to each other in cell order, share a cell and differ in radius bits or fewer."""
+def linked(cell: np.ndarray, node: np.ndarray, lanes: np.ndarray, radius: int, group: np.ndarray | None = None, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows that share a cell and differ in radius bits or fewer, a spanning forest of each cell.
+
+    Rows of a cell stand next to each other. nearest adds for each row the pair with its least differing bits. With
+    group, all pairs between different groups are given, and no others.
+    """
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
     end = np.repeat(starts + sizes, sizes)
     at = np.flatnonzero(end > np.arange(len(cell)) + 1)
+    least, best = np.full(len(cell), radius + 1), np.zeros(len(cell), np.int64)
     a, b, d = [], [], 1
     while len(at):
         far = np.zeros(len(at), np.int64)
         for i in range(lanes.shape[1]):
             far += np.bitwise_count(lanes[at, i] ^ lanes[at + d, i])
-        hit = at[far <= radius]
+        near = far <= radius
+        if group is not None:
+            near &= group[at] != group[at + d]
+        hit = at[near]
         a.append(node[hit])
         b.append(node[hit + d])
+        if nearest:
+            for one, other in ((hit, hit + d), (hit + d, hit)):
+                less = far[near] < least[one]
+                least[one[less]], best[one[less]] = far[near][less], other[less]
         d += 1
         at = at[end[at] > at + d]
     if not a:
         return node[:0], node[:0]
     a, b = np.concatenate(a), np.concatenate(b)
-    return _forest(a, b) if len(a) else (a, b)
+    if group is not None or not len(a):
+        return a, b
+    a, b = _forest(a, b)
+    one = np.flatnonzero(least <= radius) if nearest else best[:0]
+    return np.concatenate([a, node[one]]), np.concatenate([b, node[best[one]]])
 
 
-def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL) -> DataFrame:
+def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL, group: str | None = None) -> DataFrame:
     """(a, b): edges that connect the same nodes as all pairs of fingerprints within the radius that share a key.
 
-    nodes: node long, f0.., certainty with a wide plan; one row per distinct fingerprint. All rows of a cell are
-    compared, but of each cell only a spanning forest leaves the task. A key with more than cell_rows rows is split
-    into chunks, and each two chunks meet in a cell of their own, so no task gets a whole hot key and no pair is left out.
+    nodes: node long, f0.., bands with a wide plan; one row per distinct fingerprint. All rows of a cell are compared,
+    but of each cell only a spanning forest leaves the task (with bands, also each row's nearest pair). A key with more
+    than cell_rows rows is split into chunks, and each two chunks meet in a cell of their own, so no task gets a whole
+    hot key and no pair is left out. With group (a column of nodes), every pair between different groups leaves, a < b.
     """
-    spark, names = nodes.sparkSession, _lane_names(plan)
+    spark, names = nodes.sparkSession, [*_lane_names(plan), *([group] if group else [])]
 
     def make(batches):
         import pyarrow as pa
@@ -207,24 +225,27 @@ def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL) -> DataFr
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                lanes = np.stack([part.column(1 + i).to_numpy().view(np.uint64) for i in range(plan.lanes)], axis=1)
-                sure = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in part.column(1 + plan.lanes)]) if plan.soft else None
-                r, k = keys(lanes, plan, sure)
-                got = lanes[r].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(part.column(0).to_numpy()[r]), *(pa.array(got[:, i]) for i in range(plan.lanes))], names=["key", "node", *names])
+                cols = [part.column(i).to_numpy() for i in range(1 + len(names))]
+                if plan.bands:
+                    k = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in part.column(1 + len(names))])
+                    r = np.repeat(np.arange(part.num_rows), plan.bands)
+                else:
+                    r, k = keys(np.stack([c.view(np.uint64) for c in cols[1 : 1 + plan.lanes]], axis=1), plan)
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(c[r]) for c in cols)], names=["key", "node", *names])
 
     def compare(batches):
         import pyarrow as pa
 
         def found(cols):
-            lanes = np.stack([c.view(np.uint64) for c in cols[4:]], axis=1)
+            lanes = np.stack([c.view(np.uint64) for c in cols[4 : 4 + plan.lanes]], axis=1)
             cell = np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)])
-            a, b = linked(cell, cols[3], lanes, plan.radius)
+            a, b = linked(cell, cols[3], lanes, plan.radius, cols[-1] if group else None, bool(plan.bands))
+            a, b = (np.minimum(a, b), np.maximum(a, b)) if plan.bands else (a, b)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4 + plan.lanes)]
+            cols = [batch.column(i).to_numpy() for i in range(4 + len(names))]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
             if len(held[0]) >= 200_000:
                 same = np.all([c == c[-1] for c in held[:3]], axis=0)
@@ -236,7 +257,7 @@ def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL) -> DataFr
             yield found(held)
 
     lane_types = ", ".join(f"{f} long" for f in names)
-    keyed = nodes.select("node", *names, *["certainty"] * bool(plan.soft)).mapInArrow(make, f"key long, node long, {lane_types}")
+    keyed = nodes.select("node", *names, *["bands"] * bool(plan.bands)).mapInArrow(make, f"key long, node long, {lane_types}")
     hot = written(
         keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("key", F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks")),
         "hot-keys",
@@ -254,20 +275,65 @@ def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL) -> DataFr
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
+def resembling(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Those of pairs (a, b: values of doc_id) whose texts' shingle sets have an exact resemblance of plan.similarity or more."""
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [np.unique(shingle_hashes(t.as_py() or "", plan.words)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "hashes"])
+
+    def check(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= plan.similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, "doc_id", "left_semi")
+    hashes = written(texts.mapInArrow(sets, "node long, hashes binary").distinct(), "shingles")
+    left, right = hashes.toDF("a", "x"), hashes.toDF("b", "y")
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
+
+
+def verified_links(nodes: DataFrame, docs: DataFrame, plan: Plan, cell_rows: int = CELL) -> DataFrame:
+    """(a, b): edges that connect the same nodes as all pairs that share a key, are within the radius and resemble exactly.
+
+    First the few pairs of links() are looked at. Then every pair whose ends these did not yet connect is, so a large
+    group of copies costs about as many pairs as it has rows, and yet no pair that matters is left out.
+    """
+    first = cut(links(nodes, plan, cell_rows))
+    good = resembling(first, docs, plan)
+    group = components(good).withColumnRenamed("component", "group")
+    named = nodes.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    rest = cut(links(named, plan, cell_rows, "group").join(first, ["a", "b"], "left_anti"))
+    return good.union(resembling(rest, docs, plan))
+
+
 def near_components(docs: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL) -> DataFrame:
     """doc_id, f0.., component_id: the smallest doc_id reachable over links, itself included.
 
     Texts that are null, empty or without a word have fingerprint zero, linked like any other. Rows with equal doc_id
     are kept, each with its own text's fingerprint. A null doc_id makes no component of its own: such a row takes that
-    of equal fingerprints, else null. Other columns are ignored, whatever their names.
+    of equal fingerprints, else null. Other columns are ignored, whatever their names. With a wide plan equal means
+    equal shingle sets, and every link has the exact resemblance that the plan asks for.
     """
-    names = _lane_names(plan)
+    lanes = _lane_names(plan)
+    names = [*lanes, *["digest"] * bool(plan.bands)]
     prints = written(fingerprints(docs, plan), "fingerprints")
-    extra = [F.first("certainty").alias("certainty")] if plan.soft else []
+    extra = [F.first("bands").alias("bands")] if plan.bands else []
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("node"), *extra), "nodes")
-    found = components(links(nodes.where("node is not null"), plan, cell_rows))
+    some = nodes.where("node is not null")
+    found = components(verified_links(some, docs, plan, cell_rows) if plan.bands else links(some, plan, cell_rows))
     groups = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", *names).join(groups, names).select("doc_id", *names, "component_id")
+    return prints.select("doc_id", *names).join(groups, names).select("doc_id", *lanes, "component_id")
 
 
 def simhash_documents(docs: DataFrame, cell_rows: int = CELL) -> DataFrame:

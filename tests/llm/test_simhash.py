@@ -102,3 +102,27 @@ def test_near_copies_go(spark):
     got = drop_near_copies(docs)
     assert sorted(x["doc_id"] for x in got.collect()) == [100 * i for i in range(12)]
     assert got.columns == docs.columns and wide().lanes == 4
+
+
+def test_only_exact_near_copies_are_linked(spark):
+    r = random.Random(8)
+    vocab = ["w%d" % i for i in range(5000)]
+    sets, rows = {}, []
+    for i in range(60):
+        base = [r.choice(vocab) for _ in range(300)]
+        for c in range(4):
+            rows.append((10 * i + c, " ".join(base)))
+            for at in r.sample(range(300), r.randint(5, 10)):  # resemblance of one to the next about 0.72 to 0.85
+                base[at] = r.choice(vocab)
+    for d, t in rows:
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and a // 10 == b // 10}
+    assert sum(0.8 <= x < 0.85 for x in like.values()) > 20 and sum(0.7 <= x < 0.8 for x in like.values()) > 20
+    least = {d: d for d in sets}
+    for _ in range(4):
+        for (a, b), x in like.items():
+            if x >= 0.8:
+                least[a] = least[b] = min(least[a], least[b])
+    got = near_components(spark.createDataFrame(rows, "doc_id long, text string"), wide(), 64)
+    assert {x["doc_id"]: x["component_id"] for x in got.collect()} == least

@@ -5,7 +5,12 @@ its normalised words (lower case, single spaces). Of all units of the corpus wit
 (doc_id, position) stays; the others are cut out of their texts, and their places in the original text are kept.
 
 Sentence units catch a repeated passage inside a line, all but the pieces at its two ends that share a sentence with
-other text. Units of fewer than MIN_WORDS words are never cut: short ones repeat by chance in any prose.
+other text. Units of fewer than MIN_WORDS words are never cut alone: short ones repeat by chance in any prose. With
+windows they are cut together with their neighbours: from each short unit a window reaches forward (back at the end
+of a text) over whole units until it has MIN_WORDS words, and a window that stands earlier in the corpus goes with all
+its units. The first place of a unit's words always stays, as no window over it has an earlier one. Also with windows,
+a unit of more than LONG words is split behind each word whose hash says so, so that a passage without marks, or a long
+sentence with a few words changed, is cut as well.
 """
 
 from __future__ import annotations
@@ -21,18 +26,56 @@ from pyspark.sql import types as T
 from .common import written
 
 MIN_WORDS = 5
+LONG, PIECE = 24, 8  # words of a unit that is split; one word in so many ends a piece
 #: Ends of units; the same patterns hold in SQL.
-UNITS = {"line": "[^\n]+\n*|\n+", "sentence": "[^.!?\n]+[.!?\n]*|[.!?\n]+"}
-
-
-def _digests(text: str, pattern: re.Pattern, least: int):
-    """(number, start, end, 128-bit digest) of each unit of at least so many words."""
+UNITS = {"line": "[^\n]+\n*|\n+", "sentence": "[^.!?\n]+[.!?\n]*|[.!?\n]+", "passage": "[^.!?\n。！？｡．؟۔।…]+[.!?\n。！？｡．؟۔।…]*|[.!?\n。！？｡．؟۔।…]+"}
+#: Characters of scripts without spaces between words (Thai to Khmer, kana, Han); two count as a word in windows.
+_RUN = re.compile(r"[^\x20\x09-\x0D]+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def _pieces(unit: str, start: int):
+    """(start, end, words, number of words) of the pieces that tile a long unit; their ends depend on the words there only."""
+    out, at, words = [], 0, []
+    for m in _RUN.finditer(unit):
+        words.append(m.group().encode("utf-8", "surrogatepass"))
+        if xxhash.xxh3_64_intdigest(words[-1]) % PIECE == 0:
+            out.append((start + at, start + m.end(), words, len(words)))
+            at, words = m.end(), []
+    if at < len(unit):
+        out.append((start + at, start + len(unit), words, len(words)))
+    return out
+
+
+def _digests(text: str, pattern: re.Pattern, least: int, windows: bool = False):
+    """(start, end, 128-bit digest) of each unit of at least so many words and, with windows, of the windows of the others."""
     h = xxhash.xxh3_128_intdigest
     low = text.lower() if len(text.lower()) == len(text) else None
-    for k, m in enumerate(pattern.finditer(text)):
-        w = (low[m.start() : m.end()] if low is not None else m.group().lower()).encode("utf-8", "surrogatepass").split()
-        if len(w) >= least:
-            yield k, m.start(), m.end(), h(b" ".join(w))
+    units = []
+    for m in pattern.finditer(text):
+        t = low[m.start() : m.end()] if low is not None else m.group().lower()
+        w = t.encode("utf-8", "surrogatepass").split()
+        n = len(w)
+        if windows and n < least and not t.isascii():
+            n = max(n, len(_UNSPACED.findall(t)) // 2)
+        if windows and len(w) > LONG:
+            units += _pieces(t, m.start())
+        elif windows:
+            units.append((m.start(), m.end(), w, n))
+        elif n >= least:
+            yield m.start(), m.end(), h(b" ".join(w))
+    spans = set()
+    for k, (_, _, w, n) in enumerate(units):
+        for step in (1, -1) if w else ():
+            j, total = k, n
+            while total < least and 0 <= j + step < len(units):
+                j += step
+                total += units[j][3]
+            if total >= least:
+                spans.add((min(j, k), max(j, k)))
+                break
+    for i, j in sorted(spans):
+        yield units[i][0], units[j][1], h(b" ".join([x for u in units[i : j + 1] for x in u[2]]))
 
 
 def _signed(x: int) -> int:
@@ -41,20 +84,25 @@ def _signed(x: int) -> int:
 
 @F.pandas_udf(T.StringType())
 def _cut_out(text: pd.Series, cuts: pd.Series) -> pd.Series:
-    """The texts without the places in cuts, a flat array of first, last, first, last ..."""
+    """The texts without the places in cuts, a flat array of first, last, first, last ... in order of first."""
 
     def one(t, c):
         if t is None or c is None:
             return t
-        at = [0, *c.tolist(), len(t)]
-        return "".join(t[at[i] : at[i + 1]] for i in range(0, len(at), 2))
+        kept, at = [], 0
+        for first, last in c.reshape(-1, 2).tolist():
+            kept.append(t[at:first])  # none where places overlap
+            at = max(at, last)
+        return "".join([*kept, t[at:]])
 
     return pd.Series([one(t, c) for t, c in zip(text, cuts, strict=True)], dtype=object)
 
 
-def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, windows: bool = False) -> DataFrame:
     """(doc_id, first, last): the places, in code points, of all units that repeat an earlier one. 0-based, last excluded.
 
+    With windows also those of repeated windows, which may overlap.
+
     Earlier: smaller doc_id, then smaller place. Repeats of one unit are counted on the map side before they meet, so
     a unit of very many documents costs each task one row; the earliest is found by grouping, the rest by a join.
     """
@@ -66,7 +114,7 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
         for b in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for _, start, end, d in _digests(text or "", pattern, min_words):
+                for start, end, d in _digests(text or "", pattern, min_words, windows):
                     for c, v in zip(cols, (doc_id, start, end, _signed(d >> 64), _signed(d & mask)), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "first", "last", "d1", "d2"])
@@ -78,14 +126,14 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     return found.join(groups, ["d1", "d2"]).where(later).select("doc_id", "first", "last")
 
 
-def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, keep_empty: bool = True) -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, keep_empty: bool = True, windows: bool = False) -> DataFrame:
     """docs with repeats cut from text, and removed: array of (first, last) of the cut places in the original text.
 
     All columns are kept; one more, removed, is added (a column of that name is replaced). Rows whose doc_id is null
     are left as they are. Rows with equal doc_id must be copies of each other: they share their cuts, so the copies
     stay equal. Null texts stay null. keep_empty=False drops documents of which nothing but white space is left.
     """
-    cuts = repeated_units(docs, unit, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__cuts"))
+    cuts = repeated_units(docs, unit, min_words, windows).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__cuts"))
     columns = [c for c in docs.columns if c != "removed"]
     both = docs.select(*columns).join(cuts, F.col("doc_id").cast("long") == F.col("__id"), "left")
     flat = F.flatten(F.transform("__cuts", lambda c: F.array(c["first"], c["last"])))

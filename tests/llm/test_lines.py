@@ -53,3 +53,25 @@ def test_long_text(spark):
     t = "".join(f"line {i} has a number of words\n" for i in range(20000))
     got = {r["doc_id"]: r for r in dedup_units(spark.createDataFrame([(1, t), (2, t)], "doc_id long, text string")).collect()}
     assert got[1]["text"] == t and got[2]["text"] == "" and len(got[2]["removed"]) == 20000
+
+
+def test_runs_of_short_units_go_and_their_first_place_stays(spark):
+    short = "Yes, sir. No. Quite so!\nAll rights\nTerms of use\nGo home. "
+    han = "今天天气非常好我们一起去公园。明天再见。"
+    docs = spark.createDataFrame(
+        [(1, "One opening of its own here. " + short + "An end that nobody else has got."), (2, "Another start with other words. Hm. " + short + "And here it ends in another way."), (3, "Yes, sir. Something quite different comes after that one."), (4, han + "这是第一篇文章的结尾部分内容。"), (5, "另外一篇文章有不同的开头内容。" + han), (6, "b b. " * 9)],
+        "doc_id long, text string",
+    )
+    got = {r["doc_id"]: r["text"] for r in dedup_units(docs, "passage", windows=True).collect()}
+    assert got[1].count("Quite so!") == 1 and got[2] == "Another start with other words. Hm. And here it ends in another way."
+    assert got[3].startswith("Yes, sir. Something") and got[4].startswith(han) and got[5] == "另外一篇文章有不同的开头内容。明天再见。"  # a short unit at a passage's end stays
+    assert got[6].split() == ["b", "b."]
+
+
+def test_passages_without_marks_go(spark):
+    r = random.Random(3)
+    words = lambda n: " ".join(f"w{r.randrange(9999)}" for _ in range(n))
+    passage = words(200)
+    rows = [(1, words(30) + " " + passage + " " + words(30)), (2, words(30) + " " + passage + " " + words(30))]
+    got = {x["doc_id"]: x["text"] for x in dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), "passage", windows=True).collect()}
+    assert got[1] == rows[0][1] and len(set(got[2].split()) & set(passage.split())) < 50

@@ -20,6 +20,9 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^
 _SPACE = re.compile(r"\s+")
 #: Tags whose content is not text of the page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed", "noframes"}
+#: Those of them whose content has no markup.
+PLAIN = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+_PLAIN_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in PLAIN}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: An opening tag of the left closes an open one of the right.
@@ -73,6 +76,25 @@ def _element(tag: str, attributes: str) -> tuple[str, tuple[int, ...], frozenset
     return tag, tuple(f + [_AT["hidden"]] * hidden), frozenset(kinds)
 
 
+def _raw_end(html: str, at: int, tag: str) -> int:
+    """Where the content of a RAW element that starts at this place, and its closing tag, end; not closed: the page's end.
+
+    In elements of plain text nothing but the closing tag is markup. The others are read by tags, so that a closing
+    tag in a comment or an attribute does not end them.
+    """
+    if tag in PLAIN:
+        m = _PLAIN_END[tag].search(html, at)
+        return m.end() if m else len(html)
+    while m := _TOKEN.search(html, at):
+        at = m.end()
+        inner = (m.group(2) or "").lower()
+        if m.group(1) and inner == tag:
+            return at
+        if inner in PLAIN and not m.group(1) and not (m.group(3) or "").rstrip().endswith("/"):
+            at = _raw_end(html, at, inner)
+    return len(html)
+
+
 def blocks(html: str) -> tuple[list[str], list[tuple[int, ...]]]:
     """(text of each leaf block, its feature numbers), in page order; blocks of white space only are left out."""
     texts: list[str] = []
@@ -80,7 +102,7 @@ def blocks(html: str) -> tuple[list[str], list[tuple[int, ...]]]:
     stack: list[tuple[str, tuple[int, ...], frozenset]] = []
     parts: list[str] = []
     linked = 0
-    at, skip = 0, None
+    at = 0
 
     def flush():
         nonlocal linked
@@ -104,17 +126,12 @@ def blocks(html: str) -> tuple[list[str], list[tuple[int, ...]]]:
             if any(e[0] == "a" for e in stack):
                 linked += len(s)
 
-    for m in _TOKEN.finditer(html):
-        if skip is None:
-            text_part(html[at : m.start()])
+    while m := _TOKEN.search(html, at):
+        text_part(html[at : m.start()])
         at = m.end()
         close, tag, attributes = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
         if not tag:
             continue
-        if skip is not None:
-            if close and tag == skip:
-                skip = None
-            continue
         if tag == "br":
             parts.append(" ")
             continue
@@ -128,7 +145,7 @@ def blocks(html: str) -> tuple[list[str], list[tuple[int, ...]]]:
             continue
         if tag in RAW:
             if not attributes.rstrip().endswith("/"):
-                skip = tag
+                at = _raw_end(html, at, tag)
             continue
         if tag in VOID:
             continue
@@ -141,8 +158,7 @@ def blocks(html: str) -> tuple[list[str], list[tuple[int, ...]]]:
             if stack[i][0] not in INLINE:
                 break
         stack.append(_element(tag, attributes))
-    if skip is None:
-        text_part(html[at:])
+    text_part(html[at:])
     flush()
 
     out = []

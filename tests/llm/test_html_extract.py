@@ -52,3 +52,23 @@ def test_rows_of_every_kind(spark):
     by = {r["page_id"]: r for r in got}
     assert by[2]["text"] == by[3]["text"] == "" and by[1]["text"].startswith("A & B") and by[4]["n_chars"] == 5 * 50000 - 1
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text string")).collect() == []
+
+
+def test_scripts_that_look_like_markup():
+    first = '<article><h1>A title</h1><p>First para of the article, with words enough to be read as its text.</p>'
+    last = '<p>Second para of the article, which also goes on for some more words.</p></article>'
+    want = blocks(first + last)[0]
+    assert len(want) == 3
+    for raw in (
+        "<script>for(i=0;i<n;i++){go()}</script>",
+        "<script>var s = '<!--'; if (a<b && c) x()</SCRIPT >",
+        "<script>if(a<b){s='it'}</script >",
+        "<style>a:before{content:'<b'}</style>",
+        "<script>s='</scripts>'</script>",
+        "<textarea><!-- <p \"</textarea>",
+        "<title>a<b</title>",
+        "<noscript><style>x<y</style><p>no</p></noscript>",
+        "<svg><!-- </svg> --><text>no</text></svg>",
+    ):
+        assert blocks(first + raw + last)[0] == want, raw
+    assert blocks(first + "<script>a<b")[0] == want[:2]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,12 +13,19 @@ from pyspark.sql import functions as F
 
 #: White space of the word rules: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Narrow runs that are counted for each run of ids; bytes that a row has besides its text.
+FINE, ROW_BYTES = 8, 64
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one that spark.checkpoint.dir names, a new one of our own only where it is unset."""
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names.
+
+    Where it is unset, a local session (all of it on one machine) gets a new folder; on a cluster that is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="panelkit-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", place)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -47,24 +56,41 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(n)
 
 
-def id_cuts(docs: DataFrame, parts: int, key: str = "doc_id") -> list[int]:
-    """Ascending values of key that split the rows into at most ``parts`` runs of about equal size.
+def id_cuts(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text") -> list[int]:
+    """Ascending values of key that split the rows into at most about ``parts`` runs of about equal size in bytes.
 
-    At most parts - 1 numbers reach the driver, whatever the number of rows. Every cut is a key that occurs.
+    Every cut is a key that occurs. Rows are first counted into FINE narrow runs a part, then neighbours are put
+    together up to the size of a part, so a run is larger only by what one narrow run or one key holds. At most
+    FINE * parts numbers reach the driver, whatever the number of rows.
     """
-    at = [i / parts for i in range(1, parts)]
-    if not at:
+    at = [i / (FINE * parts) for i in range(1, FINE * parts)]
+    got = docs.agg(F.percentile_approx(key, at, max(10_000, 10 * len(at))).alias("c")).first()["c"] if parts > 1 else None
+    cuts = sorted(set(got or []))
+    if not cuts:
         return []
-    got = docs.agg(F.percentile_approx(key, at, 10000).alias("c")).first()["c"]
-    return sorted(set(got or []))
+    size = F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(ROW_BYTES))
+    sizes = {r["run"]: r["n"] for r in docs.groupBy(id_part(cuts, key).alias("run")).agg(size.alias("n")).collect()}
+    target, held, out = sum(sizes.values()) / parts, 0, []
+    for run, cut_at in enumerate(cuts):
+        held += sizes.get(run, 0)
+        if held and held + sizes.get(run + 1, 0) / 2 >= target:
+            out.append(cut_at)
+            held = 0
+    return out
 
 
 def id_part(cuts: list[int], key: str = "doc_id"):
-    """The number of cuts at or below key: the run that a row belongs to. Null keys come first."""
+    """The number of cuts at or below key: the run that a row belongs to. Null keys come first.
+
+    Looked up in two levels, so a row is compared with about twice the root of the number of cuts.
+    """
     if not cuts:
         return F.lit(0)
-    arr = F.array(*[F.lit(c) for c in cuts])
-    return F.coalesce(F.size(F.filter(arr, lambda c: c <= F.col(key))), F.lit(0))
+    step = math.isqrt(len(cuts)) + 1
+    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  one folded constant
+    below = lambda arr: F.size(F.filter(arr, lambda c: c <= F.col(key)))
+    blocks = below(numbers(cuts[step - 1 :: step])) if len(cuts) >= step else F.lit(0)
+    return F.when(F.col(key).isNull(), 0).otherwise(blocks * step + below(F.slice(numbers(cuts), blocks * step + 1, F.lit(step))))
 
 
 def lower_words(text: str) -> list[bytes]:

@@ -127,19 +127,27 @@ class Decoder:
 
 
 _MARKS = string.punctuation
-#: White space to str.split(), not to the tokenizer: texts with one of these are encoded whole.
-_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f")
-_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+#: White space to str.split(), not to the tokenizer.
+_OTHER_SPACE = re.compile("[\x1c-\x1f]")
+#: Texts of these code points are in NFC, and each of them has one lower-case letter whatever stands beside it: Latin
+#: up to U+024F but for U+0130, whose lower case is a letter and a mark.
+_SIMPLE = re.compile("[\x00-\u012f\u0131-\u024f]*")
+#: Lower-case letters among them, by Python's and by the tokenizer's rules alike.
+_LETTERS = re.compile("[a-zªµºß-öø-\u012f\u0131-\u024f]+")
 
 
 class Words:
-    """Ids of words as bytes, remembered in a table of bounded size.
+    """Ids of words as bytes, remembered in a table of bounded size; equal to the library's ids of the whole text.
 
-    This tokenizer cuts a text at white space and where letters and marks meet before anything else. So the ids of a
-    text are those of its words one after another, and those of a word of letters with marks behind it are the ids of
-    the letters and of the marks. Letters that are new are encoded together, with spaces between them, and told apart
-    by the ids that end a word; should their number not be that of the words (letters that normalise to something
-    else), they are encoded one by one.
+    The tokenizer (a word-level BPE) first brings a text into NFC, makes each run of white space one space, lower-cases
+    it, and cuts it at white space and where letters meet marks. None of these steps looks across white space: white
+    space composes with nothing, and is neither cased nor passed over by the rules of lower case. So the ids of a text
+    in NFC are those of its words one after another. Not so for texts that hold an added token (matched in the raw
+    text before anything else), that are not in NFC, or that hold U+001C to U+001F: these are encoded whole.
+
+    A word of Latin letters with ASCII marks behind it is cut between the two, so its ids are those of the letters and
+    of the marks. Letters that are new are encoded together, with spaces between them, and told apart by the ids that
+    end a word; only Latin letters that the library leaves as they are go this way.
     """
 
     def __init__(self, path: str, wide: bool):
@@ -147,11 +155,11 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "<u4" if wide else "<u2"
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -163,7 +171,7 @@ class Words:
         found: dict[str, bytes] = {}
         for w in words:
             stem = w.rstrip(_MARKS)
-            if not stem.isalpha():
+            if not _LETTERS.fullmatch(stem):
                 other.append(w)
             elif len(stem) == len(w):
                 letters.add(w)
@@ -201,21 +209,27 @@ class Words:
         self.table.update(found)
         return found
 
+    def split(self, text: str) -> list[str] | None:
+        """The words of a text, or None where it must be encoded whole."""
+        low = text.lower()
+        # in lower case too: words go to the library in lower case, and must not become added tokens there
+        if _OTHER_SPACE.search(text) or any(a in text or a in low for a in self.added):
+            return None
+        if text.isascii() or _SIMPLE.fullmatch(text):
+            return low.split()  # the tokenizer's own step; done here, a word recurs more often
+        return text.split() if unicodedata.is_normalized("NFC", text) else None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
-        get, split = self.table.get, []
-        for t in texts:
-            if any(c in t for c in _WHOLE) or not unicodedata.is_normalized("NFC", t):
-                split.append(None)
-            else:
-                # lower case is the tokenizer's own next step; done here, a word recurs more often
-                split.append((t.lower() if t.isascii() or not _BEYOND_LATIN.search(t) else t).split())
+        get = self.table.get
+        split = list(map(self.split, texts))
         got = [None if s is None else list(map(get, s)) for s in split]
         new = self.learn({w for s, g in zip(split, got, strict=True) if g and None in g for w, x in zip(s, g, strict=True) if x is None})
+        whole = iter(self.whole([t for t, s in zip(texts, split, strict=True) if s is None]))
         out = []
-        for t, s, g in zip(texts, split, got, strict=True):
+        for s, g in zip(split, got, strict=True):
             if g is None:
-                out += self.whole([t])
+                out.append(next(whole))
             elif None in g:
                 out.append(b"".join([new[w] if x is None else x for w, x in zip(s, g, strict=True)]))
             else:

@@ -3,7 +3,9 @@ import zlib
 from itertools import product
 
 import numpy as np
-from panelkit.llm.huffman import CHECK, Decoder, Words, canonical, code_lengths, pack, read_tokens, token_round_trip, tokenizer_path, write_tokens
+from panelkit.llm.common import ROW_BYTES, id_cuts, id_part
+from panelkit.llm.huffman import BLOCK, CHECK, Decoder, Words, canonical, code_lengths, pack, read_tokens, token_round_trip, tokenizer_path, write_tokens
+from pyspark.sql import functions as F
 
 
 def test_lengths_are_the_best_within_the_limit():
@@ -40,13 +42,56 @@ def test_blocks_come_back_and_checkpoints_stand_alone():
     assert (Decoder(lengths).unpack([(data, marks[2:3], CHECK)])[0] == blocks[-1][2 * CHECK : 3 * CHECK]).all()
 
 
+def library(texts):
+    """Ids by an untouched tokenizer of the library."""
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def same(texts):
+    words, want = Words(tokenizer_path(), False), library(texts)
+    for _ in range(2):  # the second time from the table
+        got = [np.frombuffer(x, "<u2").tolist() for x in words.encode(texts)]
+        assert got == want, next((t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w)
+
+
 def test_words_give_the_ids_of_whole_texts():
-    words = Words(tokenizer_path(), False)
     r = random.Random(3)
-    parts = ["The", "Über", "İstanbul", "don't", "ﬁne", "áb", "x2y", "...", "foo,", "BAR!!", "naïve", "ΣΑΣ", " ", "\t", "\x1c", "²", "日本", "'s", "<|endoftext|>", "e-mail", "_x_", "$5.00", "​", "ñ"]
-    texts = ["".join(r.choice(parts) + r.choice([" ", "", "\n"]) for _ in range(r.randint(0, 30))) for _ in range(400)]
-    for _ in range(2):
-        assert words.encode(texts) == words.whole(texts)
+    parts = ["The", "Über", "İstanbul", "İ_", "don't", "ﬁne", "a\u0301b", "x2y", "...", "foo,", "BAR!!", "naïve", "ΣΑΣ", "ΑΣ'", " ", "\t", "\x1c", "\x85", "\xa0", "²", "日本", "'s", "<|endoftext|>", "<|EndOfText|>", "_<|startoftext|>", "e-mail", "_x_", "$5.00", "\u200b", "ñ", "\u2001", "K", "ẞ"]
+    same(["".join(r.choice(parts) + r.choice([" ", "", "\n"]) for _ in range(r.randint(0, 30))) for _ in range(1500)])
+
+
+def test_ids_of_random_code_points():
+    r = random.Random(5)
+    plain = [*range(0xD800), *range(0xE000, 0x110000)]
+    point = lambda: chr(r.choice([r.randrange(32, 127), r.randrange(0x250), r.randrange(0x250), r.choice(plain)]))
+    same(["".join(point() for _ in range(r.randint(0, 20))) for _ in range(20_000)])
+    same([f"a{chr(c)}_ {chr(c)}! B{chr(c)}'" for c in range(0x3100)])
+
+
+def test_a_document_longer_than_a_block(spark):
+    r = random.Random(6)
+    long = " ".join(r.choice(["alpha", "beta,", "Gamma", "12", "é!"]) for _ in range(BLOCK))
+    rows = [(1, "a b"), (2, long), (3, None), (4, "c")]
+    got = sorted(token_round_trip(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    at = 0
+    for x, ids in zip(got, library([t or "" for _, t in rows]), strict=True):
+        raw = np.array([*ids, 1], "<u4")
+        assert tuple(x)[1:] == (at, len(raw), zlib.crc32(raw.tobytes()))
+        at += len(raw)
+    assert got[1]["n_tokens"] > BLOCK
+
+
+def test_runs_are_of_about_equal_bytes(spark):
+    rows = [(i, "x" * (20_000 if i < 400 and i % 10 == 0 else 10)) for i in range(2000)] + [(None, "y"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = id_cuts(docs, 8)
+    runs = {x["run"]: x["n"] for x in docs.groupBy(id_part(cuts).alias("run")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("n")).collect()}
+    assert 4 < len(runs) <= 12 and max(runs.values()) < 0.25 * sum(runs.values())
+    for cuts in ([], [5], list(range(0, 2000, 7))):
+        got = docs.select("doc_id", id_part(cuts).alias("p")).collect()
+        assert all(x["p"] == (0 if x["doc_id"] is None else sum(c <= x["doc_id"] for c in cuts)) for x in got)
 
 
 def test_round_trip(spark):
@@ -55,9 +100,9 @@ def test_round_trip(spark):
     rows = [(11 * i % 63, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as start", "'x' as part")
     got = sorted(token_round_trip(docs).collect())
-    words, at = Words(tokenizer_path(), False), 0
-    for x, (d, t) in zip(got, sorted(rows), strict=True):
-        ids = np.append(np.frombuffer(words.whole([t or ""])[0], "<u2"), 1).astype("<u4")
+    at, want = 0, library([t or "" for _, t in sorted(rows)])
+    for x, (d, _), own in zip(got, sorted(rows), want, strict=True):
+        ids = np.array([*own, 1], "<u4")
         assert tuple(x) == (d, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
 

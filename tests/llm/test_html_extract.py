@@ -72,3 +72,116 @@ def test_scripts_that_look_like_markup():
     ):
         assert blocks(first + raw + last)[0] == want, raw
     assert blocks(first + "<script>a<b")[0] == want[:2]
+
+
+def test_quotes_belong_to_values_only():
+    for page in (
+        "<article><p title=it's>Hello world</p><p>don't do this.</p><p>three</p></article>",
+        "<article><p title=it's>Hello world</p><p>do this.</p><p>three</p></article>",
+        """<article><p title="a > b" data-x='>"'>Hello world</p><p =' '>don't do this.</p><p a=">three</p></article>""",
+        "<article><p a = \"x\"b='y'/>Hello world</p><p a=>do this.</p><p\ntitle=\"it's\"\n>three</p></article>",
+    ):
+        got = blocks(page)[0]
+        assert got[0] == "Hello world" and "<" not in "".join(got), page
+        assert len(got) == (2 if 'a=">' in page else 3), page
+    assert blocks("<p>a<!-->b<!--->c<!-- x --!>d</p></ x>e</>f")[0] == ["abcd", "ef"]
+
+
+def test_inline_ends_leave_blocks_open():
+    assert blocks("<ul><li><b>one<li>two</b> more</ul>tail")[0] == ["one", "two more", "tail"]
+    assert blocks("<object><object>no</object>no</object>yes<template/>too")[0] == ["yes", "too"]
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    for unit in ("<div>", "<b>", "<p><b>x", "</i>", "<b><div>", '<a x="', "<a b='", "<!--", "<script>"):
+        began = time.time()
+        main_text(unit * 100_000, model())
+        assert time.time() - began < 8, unit
+    began = time.time()
+    blocks("<b>" * 50_000 + "<div>" * 50_000 + "</b>" * 50_000 + "x")
+    assert time.time() - began < 5
+
+
+def brute_blocks(html):
+    """Texts between block tags by the standard library's parser, for pages whose elements are all closed."""
+    from html.parser import HTMLParser
+
+    from panelkit.llm.html_extract import INLINE, RAW
+
+    out, skip = [""], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in RAW:
+                skip.append(tag)
+            if tag == "br":
+                out[-1] += " "
+            elif tag not in INLINE:
+                out.append("")
+
+        def handle_endtag(self, tag):
+            if tag in RAW:
+                skip.pop()
+            if tag not in INLINE:
+                out.append("")
+
+        def handle_data(self, data):
+            if not skip:
+                out[-1] += data
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(html)
+    reader.close()
+    return [t for t in (" ".join(x.split()) for x in out) if t]
+
+
+def brute_decode(chain, feats):
+    """The likeliest labels by trying all; ties to the first in the order of labels from the end."""
+    u = chain.unary(feats)
+    n = len(feats)
+
+    def value(path):
+        return sum(u[i] for i, y in enumerate(path) if y) + sum(chain.moves[a, b] for a, b in zip(path, path[1:], strict=False))
+
+    return list(max(([m >> i & 1 for i in range(n)] for m in range(1 << n)), key=value)) if n else []
+
+
+HAND = [
+    (
+        """<html><head><title>Tide tables | Harbour Gazette</title></head><body class="home page">
+<div id="masthead" role='navigation'><a href=/>Gazette</a> | <a href=/sport>Sport</a></div>
+<main><article data-id="7"><h1>Tide tables explained</h1>
+<p class=lead>High water isn't the same every day &ndash; it moves by some fifty minutes.</p>
+<aside class="related"><h4>See also</h4><a href="/m">The moon</a></aside>
+<p>The moon pulls the sea, and the sun helps<br>twice a month.</p></article></main>
+<div class="comments"><p>Great read, thank you!</p></div><footer><p>&copy; Harbour Gazette. All rights reserved.</p></footer></body></html>""",
+        "Tide tables explained\n\nHigh water isn't the same every day – it moves by some fifty minutes.\n\nThe moon pulls the sea, and the sun helps twice a month.",
+    ),
+    (
+        """<body><nav><ul><li><a href="#">Start</a></li></ul></nav><div class="cookie-banner">We use cookies, please accept them.</div>
+<article><h1>Bread</h1><p>Flour, water, salt&nbsp;and time.</p><pre>mix; wait; bake</pre>
+<form action="/q"><label>Mail</label><input name=m><button>Send</button></form>
+<p>Bake it until it sounds hollow, and let it cool for an hour.</p></article><script>if (a<b) { s = "</p>" }</script></body>""",
+        "Bread\n\nFlour, water, salt and time.\n\nmix; wait; bake\n\nBake it until it sounds hollow, and let it cool for an hour.",
+    ),
+]
+
+
+def test_pages_that_the_generator_did_not_make():
+    for html, want in HAND:
+        assert brute_blocks(html) == blocks(html)[0]
+        assert main_text(html, model()) == want
+
+
+def test_query_as_brute_force(spark):
+    r, pages = random.Random(9), [h for h, _ in HAND]
+    while len(pages) < 12:
+        inner = "".join(f"<{t} class='{r.choice(['ad', 'post', 'menu', 'x'])}'>{r.choice(['a &lt; b', 'one, two <b>three</b>.', 'w ' * 30, '<!-- c -->x'])}</{t}>" for t in r.choices(["p", "div", "li", "h2", "script", "nav", "svg", "footer"], k=8))
+        pages.append(f"<body>{r.choice(['<article>', '<div>'])}{inner}</body>")
+    got = {x["page_id"]: x["text"] for x in extract_pages(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "'u' as url", "html")).collect()}
+    for i, html in enumerate(pages):
+        texts, feats = blocks(html)
+        assert texts == brute_blocks(html)
+        assert got[i] == "\n\n".join(t for t, y in zip(texts, brute_decode(model(), feats), strict=True) if y)

@@ -27,12 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, id_cuts, id_part, shuffle_partitions, written
+from .common import RUNS, checkpoint_dir, id_cuts, id_part, shuffle_partitions, written
 
 #: Ids of a block (a longer document is a block of its own), ids between checkpoints, most bits of a code word.
 BLOCK, CHECK, MAX_BITS = 1 << 16, 1 << 10, 20
 #: Words whose ids a worker remembers; ids that are decoded together.
-WORDS_KEPT, DECODED = 900_000, 1 << 22
+WORDS_KEPT, DECODED = 600_000, 1 << 21
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -253,11 +253,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wi
     """Encodes every whole text (null: empty), appends end_id to each, and writes the token file in ascending doc_id order.
 
     wide: ids of 65,536 and more can occur. Equal ids are ordered by text; null ids come first. Documents go to runs of
-    doc_id of about equal size; the ids are kept once as plain blocks, since the code needs the counts of all of them.
+    doc_id of about equal bytes; the ids are kept once as plain blocks, since the code needs the counts of all of them.
     """
     parts, kind = shuffle_partitions(docs.sparkSession), "<u4" if wide else "<u2"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.withColumn("part", id_part(id_cuts(rows, parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "text")
+    ordered = rows.withColumn("part", id_part(id_cuts(rows, RUNS * parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("part", "doc_id", "text")
     end = np.array([end_id], kind).tobytes()
 
     def tokenise(batches):
@@ -278,9 +278,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wi
             return row
 
         for b in batches:
-            ids, texts, of = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", "part"))
-            for at in range(0, len(texts), 512):
-                for p, d, x in zip(of[at : at + 512], ids[at : at + 512], known.encode(texts[at : at + 512]), strict=True):
+            for at in range(0, b.num_rows, 512):
+                ids, texts, of = (b.slice(at, 512).column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text", "part"))
+                for p, d, x in zip(of, ids, known.encode(texts), strict=True):
                     if p != part:
                         if held:
                             yield close()
@@ -332,8 +332,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wi
 
         lengths, codes = table.value
         for b in batches:
-            got = [pack(np.frombuffer(x.as_py(), kind), lengths, codes) for x in b.column(5)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array([c for _, c in got], pa.list_(pa.int64())), pa.array([p for p, _ in got], pa.binary())], names=["part", "block", "first", "doc_ids", "counts", "checkpoints", "payload"])
+            for at in range(0, b.num_rows, 64):
+                c = b.slice(at, 64).columns
+                got = [pack(np.frombuffer(x.as_py(), kind), lengths, codes) for x in c[5]]
+                yield pa.RecordBatch.from_arrays([*c[:5], pa.array([c for _, c in got], pa.list_(pa.int64())), pa.array([p for p, _ in got], pa.binary())], names=["part", "block", "first", "doc_ids", "counts", "checkpoints", "payload"])
 
     plain.mapInArrow(encode, "part int, block int, first long, doc_ids array<long>, counts array<int>, checkpoints array<long>, payload binary").write.parquet(f"{path}/blocks")
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_cuts, id_part, lower_words, shuffle_partitions
+from .common import RUNS, id_cuts, id_part, lower_words, shuffle_partitions
 
 K, SHINGLE, DIGITS = 96, 5, 12
 _SHIFT = np.uint64(64 - 4 * DIGITS)
@@ -114,7 +114,7 @@ def _fingerprints(batches):
     held = None  # (part, copy, doc_id, text, sketch)
     for b in batches:
         out = []
-        for part, copy, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for part, copy, doc_id, text in (x for at in range(0, b.num_rows, 512) for x in zip(*(b.slice(at, 512).column(i).to_pylist() for i in range(4)), strict=True)):
             now = (part, copy, doc_id, text, sketch(text))
             if held and held[0] == part and not held[1]:
                 out.append(row(held[2], held[3], held[4], text, now[4]))
@@ -136,7 +136,7 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     parts = parts or shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    cuts = id_cuts(rows, parts)
+    cuts = id_cuts(rows, RUNS * parts)
     lowest = rows.agg(F.min("doc_id").alias("m"), F.max(F.col("doc_id").isNull()).alias("n")).first()
     part = id_part(cuts)
     is_first = F.col("doc_id").isNull() if lowest["n"] else F.col("doc_id") == F.lit(lowest["m"])

@@ -86,9 +86,9 @@ def test_a_document_longer_than_a_block(spark):
 def test_runs_are_of_about_equal_bytes(spark):
     rows = [(i, "x" * (20_000 if i < 400 and i % 10 == 0 else 10)) for i in range(2000)] + [(None, "y"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    cuts = id_cuts(docs, 8)
+    cuts = id_cuts(docs, 64)
     runs = {x["run"]: x["n"] for x in docs.groupBy(id_part(cuts).alias("run")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).alias("n")).collect()}
-    assert 4 < len(runs) <= 12 and max(runs.values()) < 0.25 * sum(runs.values())
+    assert 12 < len(runs) <= 80 and max(runs.values()) < 0.12 * sum(runs.values())
     for cuts in ([], [5], list(range(0, 2000, 7))):
         got = docs.select("doc_id", id_part(cuts).alias("p")).collect()
         assert all(x["p"] == (0 if x["doc_id"] is None else sum(c <= x["doc_id"] for c in cuts)) for x in got)

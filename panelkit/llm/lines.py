@@ -1,22 +1,22 @@
-"""Substring dedup by hashing of lines or sentences.
-
-A text is cut into units that tile it: runs of text each with the marks that end it. A unit's digest is the hash of
-its normalised words (lower case, single spaces). Of all units of the corpus with one digest the first in order of
-(doc_id, position) stays; the others are cut out of their texts, and their places in the original text are kept.
-
-Sentence units catch a repeated passage inside a line, all but the pieces at its two ends that share a sentence with
-other text. Units of fewer than MIN_WORDS words are never cut alone: short ones repeat by chance in any prose. With
-windows they are cut together with their neighbours: from each short unit a window reaches forward (back at the end
-of a text) over whole units until it has MIN_WORDS words, and a window that stands earlier in the corpus goes with all
-its units. The first place of a unit's words always stays, as no window over it has an earlier one. Also with windows,
-a unit of more than LONG words is split behind each word whose hash says so, so that a passage without marks, or a long
-sentence with a few words changed, is cut as well.
+"""Substring dedup by hashing of lines, of the sentences of lines, or of passages.
+
+A text is cut into units that tile it: runs of text each with the marks that end it (a line by its line ends; a
+sentence also by full stops and the like; a passage by the marks of other scripts too, and a unit of more than LONG
+words once more behind each word whose hash says so). A unit's digest is the hash of its normalised words (lower case,
+single spaces). Of all units of the corpus with one digest the first in order of (doc_id, position) is the original, the
+others are repeats, and their places in the original text are kept.
+
+Short units repeat by chance in any prose. So repeats are cut where they stand next to each other in runs of RUN words
+or more: a run is a passage that was copied, while a single short sentence that also stands elsewhere stays. Units
+without a word (white space, marks) neither end a run nor are cut. A copied passage is found but for the pieces at its
+two ends that share a unit with other text.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,118 +25,124 @@ from pyspark.sql import types as T
 
 from .common import written
 
-MIN_WORDS = 5
+#: Least words of a run of repeats that is cut.
+RUN = 16
 LONG, PIECE = 24, 8  # words of a unit that is split; one word in so many ends a piece
 #: Ends of units; the same patterns hold in SQL.
 UNITS = {"line": "[^\n]+\n*|\n+", "sentence": "[^.!?\n]+[.!?\n]*|[.!?\n]+", "passage": "[^.!?\n。！？｡．؟۔।…]+[.!?\n。！？｡．؟۔।…]*|[.!?\n。！？｡．؟۔।…]+"}
-#: Characters of scripts without spaces between words (Thai to Khmer, kana, Han); two count as a word in windows.
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Characters of scripts without spaces between words (Thai to Khmer, kana, Han); two count as a word of a passage.
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
 
 
 def _pieces(unit: str, start: int):
-    """(start, end, words, number of words) of the pieces that tile a long unit; their ends depend on the words there only."""
-    out, at, words = [], 0, []
+    """(start, end, words) of the pieces that tile a long unit; their ends depend on the words there only."""
+    at, words = 0, []
     for m in _RUN.finditer(unit):
         words.append(m.group().encode("utf-8", "surrogatepass"))
         if xxhash.xxh3_64_intdigest(words[-1]) % PIECE == 0:
-            out.append((start + at, start + m.end(), words, len(words)))
+            yield start + at, start + m.end(), words
             at, words = m.end(), []
-    if at < len(unit):
-        out.append((start + at, start + len(unit), words, len(words)))
-    return out
-
-
-def _digests(text: str, pattern: re.Pattern, least: int, windows: bool = False):
-    """(start, end, 128-bit digest) of each unit of at least so many words and, with windows, of the windows of the others."""
-    h = xxhash.xxh3_128_intdigest
-    low = text.lower() if len(text.lower()) == len(text) else None
-    units = []
-    for m in pattern.finditer(text):
-        t = low[m.start() : m.end()] if low is not None else m.group().lower()
+    if words:
+        yield start + at, start + len(unit), words
+
+
+def units(text: str, unit: str):
+    """(start, end, number of words, digest as 16 bytes) of each unit that has a word."""
+    h = xxhash.xxh3_128_digest
+    low = text.lower()
+    same = len(low) == len(text)
+    for m in re.finditer(UNITS[unit], text):
+        t = low[m.start() : m.end()] if same else m.group().lower()
         w = t.encode("utf-8", "surrogatepass").split()
-        n = len(w)
-        if windows and n < least and not t.isascii():
-            n = max(n, len(_UNSPACED.findall(t)) // 2)
-        if windows and len(w) > LONG:
-            units += _pieces(t, m.start())
-        elif windows:
-            units.append((m.start(), m.end(), w, n))
-        elif n >= least:
-            yield m.start(), m.end(), h(b" ".join(w))
-    spans = set()
-    for k, (_, _, w, n) in enumerate(units):
-        for step in (1, -1) if w else ():
-            j, total = k, n
-            while total < least and 0 <= j + step < len(units):
-                j += step
-                total += units[j][3]
-            if total >= least:
-                spans.add((min(j, k), max(j, k)))
-                break
-    for i, j in sorted(spans):
-        yield units[i][0], units[j][1], h(b" ".join([x for u in units[i : j + 1] for x in u[2]]))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-@F.pandas_udf(T.StringType())
-def _cut_out(text: pd.Series, cuts: pd.Series) -> pd.Series:
-    """The texts without the places in cuts, a flat array of first, last, first, last ... in order of first."""
-
-    def one(t, c):
-        if t is None or c is None:
-            return t
-        kept, at = [], 0
-        for first, last in c.reshape(-1, 2).tolist():
-            kept.append(t[at:first])  # none where places overlap
-            at = max(at, last)
-        return "".join([*kept, t[at:]])
-
-    return pd.Series([one(t, c) for t, c in zip(text, cuts, strict=True)], dtype=object)
-
-
-def repeated_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, windows: bool = False) -> DataFrame:
-    """(doc_id, first, last): the places, in code points, of all units that repeat an earlier one. 0-based, last excluded.
-
-    With windows also those of repeated windows, which may overlap.
-
-    Earlier: smaller doc_id, then smaller place. Repeats of one unit are counted on the map side before they meet, so
-    a unit of very many documents costs each task one row; the earliest is found by grouping, the rest by a join.
+        if unit != "passage":
+            if w:
+                yield m.start(), m.end(), len(w), h(b" ".join(w))
+            continue
+        for start, end, ws in _pieces(t, m.start()) if len(w) > LONG and len(t) == m.end() - m.start() else [(m.start(), m.end(), w)] * bool(w):
+            n = len(ws)
+            if not t.isascii():
+                n = max(n, len(_UNSPACED.findall(text, start, end)) // 2)
+            yield start, end, n, h(b" ".join(ws))
+
+
+_PLACE = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+_OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.ArrayType(_PLACE))])
+
+
+@F.pandas_udf(_OUT)
+def _cut_out(text: pd.Series, found: pd.Series, run: pd.Series) -> pd.DataFrame:
+    """Texts without their runs of repeats; found: a flat array of number, first, last, words of each repeat, in order."""
+    texts, places = [], []
+    for t, c, least in zip(text, found, run, strict=True):
+        cuts = []
+        if t is not None and c is not None and len(c):
+            at, first, last, n = c.reshape(-1, 4).T
+            of = np.cumsum(np.r_[0, at[1:] != at[:-1] + 1])
+            gone = np.bincount(of, n)[of] >= least
+            cuts = list(zip(first[gone].tolist(), last[gone].tolist(), strict=True))
+        kept, end = [], 0
+        for first, last in cuts:
+            kept.append(t[end:first])
+            end = last
+        texts.append(t if t is None else "".join([*kept, t[end:]]))
+        places.append([{"first": a, "last": b} for a, b in cuts])
+    return pd.DataFrame({"text": pd.Series(texts, dtype=object), "removed": pd.Series(places, dtype=object)})
+
+
+def repeated_units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
+    """(id, t, at, first, last, n): all units that repeat an earlier one; id and t tell the document.
+
+    at: the unit's number among those of its text that have a word. first, last: its place in code points, 0-based,
+    last excluded. n: its words. Earlier: smaller doc_id (null: after all others), then smaller hash of the text, then
+    smaller place. Repeats of one unit are counted on the map side before they meet, so a unit of very many documents
+    costs each task one row; the original is found by grouping, the rest by a join.
     """
-    pattern, mask = re.compile(UNITS[unit]), (1 << 64) - 1
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for start, end, d in _digests(text or "", pattern, min_words, windows):
-                    for c, v in zip(cols, (doc_id, start, end, _signed(d >> 64), _signed(d & mask)), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "first", "last", "d1", "d2"])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, first int, last int, d1 long, d2 long")
+            rows, at, places, digests = [], [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                k = -1
+                for k, (start, end, n, d) in enumerate(units(text or "", unit)):  # noqa: B007
+                    places.append((start, end, n))
+                    digests.append(d)
+                rows.append(k + 1)
+            of = np.repeat(np.arange(len(rows)), rows)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
+            place = np.array(places, np.int32).reshape(-1, 3)
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), *(pa.array(place[:, i]) for i in range(3)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["id", "t", "at", "first", "last", "n", "d1", "d2"])
+
+    found = docs.select(*_key(), "text").mapInArrow(run, "id long, t long, at int, first int, last int, n int, d1 long, d2 long")
     found = written(found, "units")
-    groups = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "first")).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = F.struct("doc_id", "first") != F.col("earliest")
-    return found.join(groups, ["d1", "d2"]).where(later).select("doc_id", "first", "last")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "t", "first")
+    groups = found.groupBy("d1", "d2").agg(F.min(order).alias("original"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    return found.join(groups, ["d1", "d2"]).where(order != F.col("original")).select("id", "t", "at", "first", "last", "n")
+
+
+def _key():
+    """What tells a document: its id and a hash of its text."""
+    return F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t")
 
 
-def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, keep_empty: bool = True, windows: bool = False) -> DataFrame:
-    """docs with repeats cut from text, and removed: array of (first, last) of the cut places in the original text.
+def dedup_units(docs: DataFrame, unit: str = "sentence", run: int = RUN, keep_empty: bool = True) -> DataFrame:
+    """docs with runs of repeats cut from text, and removed: array of (first, last), the places of the cut units.
 
-    All columns are kept; one more, removed, is added (a column of that name is replaced). Rows whose doc_id is null
-    are left as they are. Rows with equal doc_id must be copies of each other: they share their cuts, so the copies
-    stay equal. Null texts stay null. keep_empty=False drops documents of which nothing but white space is left.
+    All columns are kept; one more, removed, is added (a column of that name is replaced). Rows that agree in doc_id
+    and text are one document: they stay equal. Rows with equal doc_id and unlike texts are documents of their own, as
+    are rows with a null doc_id, which rank last. Null texts stay null, empty ones empty; an empty table gives no rows.
+    run=1 cuts every repeat. keep_empty=False drops documents of which nothing but white space is left.
     """
-    cuts = repeated_units(docs, unit, min_words, windows).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("__cuts"))
+    places = F.array_sort(F.collect_list(F.struct("at", "first", "last", "n")))
+    found = repeated_units(docs, unit).groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(places.alias("__found"))
     columns = [c for c in docs.columns if c != "removed"]
-    both = docs.select(*columns).join(cuts, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    flat = F.flatten(F.transform("__cuts", lambda c: F.array(c["first"], c["last"])))
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    out = both.select(*[_cut_out("text", flat).alias(c) if c == "text" else F.col(c) for c in columns], F.coalesce("__cuts", none).alias("removed"))
+    i, t = _key()
+    both = docs.select(*columns).join(found, i.eqNullSafe(F.col("__id")) & (t == F.col("__t")), "left")
+    flat = F.flatten(F.transform("__found", lambda c: F.array(c["at"], c["first"], c["last"], c["n"])))
+    both = both.withColumn("__out", _cut_out("text", flat, F.lit(run)))
+    out = both.select(*[F.col("__out.text").alias(c) if c == "text" else F.col(c) for c in columns], F.col("__out.removed").alias("removed"))
     return out if keep_empty else out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -50,13 +50,15 @@ WITH u AS (
   FROM documents),
 p AS (
   SELECT *, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS last,
-         trim(regexp_replace(lower(unit), '[ 	-
-]+', ' ', 'g')) AS norm
+         trim(regexp_replace(lower(unit), '[\x20\x09-\x0d]+', ' ', 'g')) AS norm
   FROM u),
-r AS (
-  SELECT *, len(string_split(norm, ' ')) >= 5 AND norm <> ''
-         AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone
-  FROM p),
+w AS (
+  SELECT *, len(string_split(norm, ' ')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS nth,
+         row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again
+  FROM p WHERE norm <> ''),
+i AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id, again ORDER BY nth) AS run FROM w),
+c AS (SELECT doc_id, k, again AND sum(n) OVER (PARTITION BY doc_id, again, run) >= 16 AS gone FROM i),
+r AS (SELECT p.*, coalesce(c.gone, false) AS gone FROM p LEFT JOIN c USING (doc_id, k)),
 g AS (
   SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE unit END, '' ORDER BY k) AS text,
          count(*) FILTER (WHERE gone) AS n_removed,

@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text becomes a stream of symbols: insult, threat, target (a person spoken to or of), negation, reported speech, end of
-a clause, other. Three transducers read it in a row, composed into one machine before any text is read:
+A text becomes a stream of symbols: insult, threat, target (a person spoken to or of), negation, reported speech, comma
+or colon, end of a sentence, other. Three transducers read it in a row, composed into one machine before any text is
+read:
 
-1. ``negation``: an insult or threat up to REACH words after a negation in its clause becomes a denied one;
-2. ``reported``: one after a verb of saying in its clause becomes a quoted one;
+1. ``negation``: an insult or threat up to REACH words after a negation in its clause becomes a denied one ("no, you
+   ..." denies nothing: a comma ends the clause);
+2. ``reported``: one after a verb of saying in its sentence becomes a quoted one, also behind a comma or colon;
 3. ``clauses``: emits an event for each pattern matched in a clause: a bare insult, an insult with a target, a threat,
-   a threat with a target, a denied one, a quoted one.
+   a threat with a target, a denied one, a quoted one. A comma parts clauses, but a target that stands alone before it,
+   or right behind it, belongs to the insult across it ("you, ...", "..., you").
 
 A document's score is a logistic function of its events, weighted by how telling their insult words are. Which words
-and word beginnings are insults is learned from labelled documents, as is the weight of each event.
+and word beginnings are insults is learned from labelled documents, and so are words that deny (they stand before
+insults in clean documents) besides a few known ones, and the weight of each event.
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-#: Bounds of the labelled sample (documents of each label, by hash of their ids) and of the learned lexicon.
-SAMPLE, LEXICON = 3000, 4000
+#: Bound of the labelled sample: documents of each label, by hash of their ids. All that is learned comes from these.
+SAMPLE = 3000
 #: A feature is an insult if it occurs in so many unlike documents and so large a share of them is toxic.
 LEAST_DOCS, LEAST_SHARE = 4, 0.9
 #: Lengths of the word beginnings that can be learned.
 STEMS = (4, 5, 6)
 REACH = 3
-OTHER, END, TARGET, NEGATION, REPORT, THREAT, INSULT = range(7)
+OTHER, END, COMMA, TARGET, NEGATION, REPORT, THREAT, INSULT = range(8)
 
-_TOKENS = re.compile(r"[^\W_]+|[.!?;:\n]")
+_TOKENS = re.compile(r"[^\W_]+|[.!?;:,\n。！？；：，、؟।]")
+_COMMAS = set(",:，、：")
 _CUES = {
     TARGET: "you your yours yourself he she him her they them their these those du dich dir dein ihr euch sie tu te toi ton ta vous votre ils elles tú usted ustedes ellos ellas",
     NEGATION: "not no never none nobody neither without nicht kein keine nie niemals ohne pas jamais aucun sans nunca jamás ninguno sin",
@@ -73,15 +78,17 @@ def compose(first: Transducer, second: Transducer, alphabet: list) -> Transducer
     return out
 
 
-ALPHABET = list(range(7))
+ALPHABET = list(range(8))
 EVENTS = ("insult", "insult at target", "threat", "threat at target", "denied", "quoted")
+AT_TARGET, DENIED = (1, 3), 4
 
 
 def negation(reach: int = REACH) -> Transducer:
     t = Transducer(0)
     for left in range(reach + 1):
         t.arcs[left, NEGATION] = (reach, (NEGATION,))
-        t.arcs[left, END] = (0, (END,))
+        for s in (END, COMMA):
+            t.arcs[left, s] = (0, (s,))
         for s in (OTHER, TARGET, REPORT):
             t.arcs[left, s] = (max(0, left - 1), (s,))
         for s in (INSULT, THREAT):
@@ -99,20 +106,33 @@ def reported() -> Transducer:
 
 
 def clauses() -> Transducer:
-    """States: whether the clause has a target, and which insult or threat still waits for one."""
-    t = Transducer((False, None))
-    for target in (False, True):
-        for waits in (None, "insult", "threat"):
-            s = (target, waits)
-            pending = (EVENTS.index(waits),) if waits else ()
-            t.arcs[s, END] = ((False, None), pending)
-            t.arcs[s, TARGET] = ((True, None), (EVENTS.index(waits + " at target"),) if waits else ())
-            for kind, symbol in (("insult", INSULT), ("threat", THREAT)):
-                t.arcs[s, symbol] = ((True, None), (EVENTS.index(kind + " at target"),)) if target else ((False, kind), pending)
+    """States: what the clause holds (nothing, no target, targets alone, a target and other words) and what waits.
+
+    An insult or threat waits for a target to the clause's end, or to the first word behind its comma.
+    """
+    t = Transducer(("nothing", None))
+    after = {"nothing": "none", "none": "none", "alone": "any", "any": "any"}
+    for holds in after:
+        target = holds in ("alone", "any")
+        for waits in (None, "insult", "threat", "insult,", "threat,"):
+            s = (holds, waits)
+            kind = waits.rstrip(",") if waits else None
+            bare = (EVENTS.index(kind),) if kind else ()
+            across = bool(waits) and waits.endswith(",")
+            t.arcs[s, END] = (("nothing", None), bare)
+            t.arcs[s, TARGET] = (("alone" if holds in ("nothing", "alone") else "any", None), (EVENTS.index(kind + " at target"),) if kind else ())
+            if kind and not across:
+                t.arcs[s, COMMA] = (("nothing", kind + ","), ())
+            else:
+                t.arcs[s, COMMA] = (("alone" if holds == "alone" else "nothing", None), bare)
+            # any word but a target ends the wait across a comma
+            told, held = (bare, None) if across else ((), waits)
+            for own, symbol in (("insult", INSULT), ("threat", THREAT)):
+                t.arcs[s, symbol] = (("any", None), (*told, EVENTS.index(own + " at target"))) if target else (("none", own), bare)
             for symbol in ("denied", "quoted"):
-                t.arcs[s, symbol] = (s, (EVENTS.index(symbol),))
+                t.arcs[s, symbol] = ((after[holds], held), (*told, EVENTS.index(symbol)))
             for symbol in (OTHER, NEGATION, REPORT):
-                t.arcs[s, symbol] = (s, ())
+                t.arcs[s, symbol] = ((after[holds], held), told)
     return t
 
 
@@ -139,9 +159,9 @@ def features(word: str) -> list[str]:
 class Reader:
     """Symbols of words, remembered; the memory starts anew at a fixed size."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], denials: frozenset[str] = frozenset()):
         outer = self
-        self.lexicon = lexicon
+        self.lexicon, self.denials = lexicon, denials
 
         class Known(dict):
             def __missing__(self, w):
@@ -156,11 +176,24 @@ class Reader:
 
     def classify(self, w: str) -> tuple[int, float]:
         if not w[0].isalnum():
-            return (END, 0.0)
+            return (COMMA if w in _COMMAS else END, 0.0)
         weight = max((self.lexicon.get(f, 0.0) for f in features(w)), default=0.0)
         if weight:
             return (INSULT, weight)
-        return (_CUE_OF.get(w, OTHER), 0.0)
+        return (NEGATION if w in self.denials else _CUE_OF.get(w, OTHER), 0.0)
+
+    def before(self, text: str) -> set[str]:
+        """The words up to REACH places before an insult in its clause."""
+        out, held = set(), []
+        for w in _TOKENS.findall(text.lower()):
+            c, _ = self.known[w]
+            if c in (END, COMMA):
+                held = []
+                continue
+            if c == INSULT:
+                out.update(held)
+            held = [*held, w][-REACH:]
+        return out
 
     def row(self, text: str) -> list[float]:
         """Sum of weights of each event, insults' weights counting from the lexicon and threats' as 1."""
@@ -171,11 +204,15 @@ class Reader:
         state, waiting = 0, 0.0
         for c, w in (*got, (END, 0.0)):
             own = w or 1.0
-            fired = self.events[state][c]
-            for e in fired:
-                # an event fired by a later word belongs to the insult or threat that waited
-                out[e] += own if c >= THREAT and (e >= 4 or EVENTS[e].endswith("target")) else waiting
-            if c >= THREAT:
+            mine = False
+            for e in self.events[state][c]:
+                # denied, quoted or at a target known before: this word's own; else of the one that waited
+                if c >= THREAT and (e >= DENIED or e in AT_TARGET):
+                    mine = True
+                    out[e] += own
+                else:
+                    out[e] += waiting
+            if c >= THREAT and not mine:
                 waiting = own
             state = self.next[state][c]
         return out
@@ -197,13 +234,19 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, ro
     return b
 
 
+def inputs(rows: np.ndarray) -> np.ndarray:
+    """What the logistic function reads: each event's sum, and those of all own insults and all own threats together."""
+    return np.log1p(np.column_stack([rows, rows[:, 0] + rows[:, 1], rows[:, 2] + rows[:, 3]]))
+
+
 @dataclass
 class Model:
     lexicon: dict[str, float]
+    denials: frozenset[str]
     weights: np.ndarray
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.log1p(rows) @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(inputs(rows) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) -> Model:
@@ -217,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) ->
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         share = 0.0 if not n else float(1 in n)
-        return Model({}, np.r_[np.zeros(len(EVENTS)), 30.0 if share else -30.0])
+        return Model({}, frozenset(), np.r_[np.zeros(len(EVENTS) + 2), 30.0 if share else -30.0])
     some = [known.where(F.col("toxic") == k).withColumn("h", F.xxhash64("doc_id", F.lit("toxic"))).orderBy("h", "doc_id").limit(SAMPLE) for k in (0, 1)]
     picked = [(r["doc_id"], r["toxic"]) for s in some for r in s.select("doc_id", "toxic").collect()]
     spark = docs.sparkSession
@@ -243,14 +286,25 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) ->
     # the sample takes a smaller share of clean documents: their counts stand for more; half a document is added to them
     up = max(1.0, (n[0] / min(n[0], SAMPLE)) / (n[1] / min(n[1], SAMPLE)))
     share = F.col("t") / (F.col("t") + F.lit(up) * (F.col("c") + 0.5))
-    telling = per.where((F.col("t") >= LEAST_DOCS) & (share >= LEAST_SHARE)).orderBy(F.desc("t"), "f").limit(LEXICON).collect()
+    telling = per.where((F.col("t") >= LEAST_DOCS) & (share >= LEAST_SHARE)).collect()  # of 2 * SAMPLE documents at most
     lexicon = {r["f"]: float(np.log((r["t"] + 0.5) / (up * r["c"] + 0.5))) for r in telling}
     shared = spark.sparkContext.broadcast(lexicon)
 
-    def rows(batches):
+    def context(batches):
         import pyarrow as pa
 
         reader = Reader(shared.value)
+        for b in batches:
+            got = [(w, t) for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in reader.before(text or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([t for _, t in got], pa.int32())], names=["w", "toxic"])
+
+    near = sample.select("text", "toxic").mapInArrow(context, "w string, toxic int").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    denials = frozenset(r["w"] for r in near.where((F.col("c") >= LEAST_DOCS) & (F.lit(up) * F.col("c") >= LEAST_SHARE * (F.col("t") + F.lit(up) * F.col("c")))).collect())
+
+    def rows(batches):
+        import pyarrow as pa
+
+        reader = Reader(shared.value, denials)
         for b in batches:
             got = [reader.row(t or "") for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, pa.float64()) for c in zip(*got, strict=True))], names=["toxic", *(f"e{i}" for i in range(len(EVENTS)))])
@@ -258,7 +312,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) ->
     table = sample.select("text", "toxic").mapInArrow(rows, "toxic int, " + ", ".join(f"e{i} double" for i in range(len(EVENTS)))).toPandas()
     y = table["toxic"].to_numpy(float)
     weight = np.where(y == 1, 1.0, up)
-    return Model(lexicon, fit(np.log1p(table.drop(columns="toxic").to_numpy(float)), y, weight))
+    return Model(lexicon, denials, fit(inputs(table.drop(columns="toxic").to_numpy(float)), y, weight))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, threshold: float = 0.7) -> DataFrame:
@@ -274,7 +328,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int
         import pyarrow as pa
 
         m = shared.value
-        reader = Reader(m.lexicon)
+        reader = Reader(m.lexicon, m.denials)
         for b in batches:
             if not b.num_rows:
                 continue

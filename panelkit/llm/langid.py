@@ -5,9 +5,13 @@ phrases: each is the longest prefix of the rest that occurs in the sample, at le
 the closer the text; the count is normalised by the logarithm of the sample's length, as each phrase costs a pointer
 into it. The language with the least cost wins.
 
-The automaton becomes a dense table: state and character give the next state and one bit, set where a phrase ends and
-the next one begins. Text is folded to lower-case letters, all between them to one space, and is walked in pieces of
-PIECE characters (each begins a new phrase) so that numpy steps through thousands of pieces of whole texts at once.
+The automaton is kept as a double array: the edge of state s by character c, if there is one, stands at base[s] + c and
+says there that it is of s. So it takes room for its edges only, whatever the number of characters. Text is folded to
+lower-case letters, all between them to one space.
+
+Whole texts are parsed, but numpy steps through many places at once: a text is cut into pieces that are first parsed
+each by itself. Then each piece is parsed anew from the state in which the piece before it really ends, up to where a
+phrase begins at the same place in both; from there on they are the same. So the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -21,15 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-#: Bounds of the labelled sample: documents and folded characters of each language, languages (the most frequent).
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 120, 32_000, 64
+#: Bounds of the labelled sample: documents and folded characters of each language, and characters of all languages
+#: together (with more than 64 of them each gets less).
+SAMPLE_DOCS, SAMPLE_CHARS, ALL_CHARS = 120, 32_000, 64 * 32_000
 #: Characters of a document that the sample takes at most, so that no single one fills it.
 PART = 4_000
-#: Characters of a piece; letters of the alphabet (the most frequent; others count as one foreign letter).
-PIECE, LETTERS = 256, 120
-#: Folded characters that are walked together.
-BATCH_CHARS = 2_000_000
-SPACE, FOREIGN, PAD = 0, 1, 2
+#: Phrases that a text may have besides those that tell its language: short texts are not rejected.
+ALLOWED = 6
+#: Characters of a piece; pieces and folded characters that are walked together.
+PIECE, LANES, BATCH_CHARS = 256, 8192, 2_000_000
+SPACE, FOREIGN = 0, 1
 
 _fold_table = None
 
@@ -77,8 +82,23 @@ def folded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def automaton(s: list[int], letters: int) -> np.ndarray:
-    """The dense table of the suffix automaton of s: entry = next state * 2 + (1 where a phrase ends)."""
+@dataclass
+class Automaton:
+    """A suffix automaton as a double array; state 0 is the root."""
+
+    base: np.ndarray
+    check: np.ndarray
+    to: np.ndarray
+    first: np.ndarray  # the state behind a phrase's first character
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase begins with this character)."""
+        at = self.base[state] + c
+        goes_on = (self.check[at] == state) & (state > 0)
+        return np.where(goes_on, self.to[at], self.first[c]), ~goes_on
+
+
+def automaton(s: list[int], letters: int) -> Automaton:
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in s:
@@ -104,58 +124,93 @@ def automaton(s: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.ones(letters, np.int32)
+    size = sum(map(len, nxt))
+    base, check, to = np.zeros(len(nxt), np.int32), [-1] * (2 * size + 3 * letters), [0] * (2 * size + 3 * letters)
+    free = hint = letters
+    for state in sorted(range(len(nxt)), key=lambda i: -len(nxt[i])):  # the widest first; those of one edge fill the gaps
+        edges = nxt[state]
+        if not edges:
+            continue
+        lead = next(iter(edges))
+        if len(edges) == 1:
+            while check[free] >= 0:
+                free += 1
+            at = free
+        else:
+            at = hint
+            while check[at] >= 0 or any(check[at - lead + c] >= 0 for c in edges):
+                at += 1
+                if at + letters >= len(check):
+                    check += [-1] * len(check)
+                    to += [0] * len(to)
+            hint = max(hint, at - 16)
+        base[state] = at - lead
+        for c, v in edges.items():
+            check[at - lead + c], to[at - lead + c] = state, v
+        if free + letters >= len(check):
+            check += [-1] * len(check)
+            to += [0] * len(to)
+    first = np.zeros(letters, np.int32)
     for c, v in nxt[0].items():
-        root[c] = v * 2 + 1
-    table = np.tile(root, (len(nxt), 1))
-    state = np.repeat(np.arange(len(nxt)), [len(x) for x in nxt])
-    edge = np.fromiter((c for x in nxt for c in x), np.int64, len(state))
-    to = np.fromiter((v for x in nxt for v in x.values()), np.int64, len(state))
-    table[state, edge] = to * 2
-    table[:, PAD] = np.arange(len(nxt)) * 2
-    return table
+        first[c] = v
+    top = int(base.max()) + letters if len(base) else letters
+    return Automaton(base, np.array(check[:top], np.int32), np.array(to[:top], np.int32), first)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: np.ndarray  # code points, ascending
-    codes: np.ndarray  # their codes
-    table: np.ndarray  # (states of all languages, letters), flat
-    letters: int
-    roots: np.ndarray
-    cost: np.ndarray  # per phrase
+    alphabet: np.ndarray  # code points, ascending; codes follow from 2
+    automata: list[Automaton]
+    cost: np.ndarray  # bits per phrase
+    foreign: float  # least bits per character of one language's sample under another's automaton; inf with one language
 
     def encode(self, points: np.ndarray) -> np.ndarray:
         if not len(self.alphabet):
-            return np.where(points == 0, SPACE, FOREIGN).astype(np.uint8)
+            return np.where(points == 0, SPACE, FOREIGN).astype(np.int32)
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
         known = self.alphabet[at] == points
-        return np.where(points == 0, SPACE, np.where(known, self.codes[at], FOREIGN)).astype(np.uint8)
+        return np.where(points == 0, SPACE, np.where(known, at + 2, FOREIGN)).astype(np.int32)
 
     def phrases(self, points: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """(documents, languages): phrases of each document, pieces parsed one by one."""
+        """(documents, languages): phrases of each whole document."""
         code = self.encode(points)
         pieces = (n + PIECE - 1) // PIECE
         owner = np.repeat(np.arange(len(n)), pieces)
         start = np.repeat(np.cumsum(n) - n, pieces) + PIECE * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         size = np.minimum(PIECE, np.repeat(np.cumsum(n), pieces) - start)
+        follows = np.r_[False, owner[1:] == owner[:-1]] if len(owner) else np.zeros(0, bool)
         out = np.zeros((len(n), len(self.languages)), np.int64)
-        order = np.argsort(-size, kind="stable")
-        for at in range(0, len(order), 8192):
-            part = order[at : at + 8192]
-            width = int(size[part].max())
-            grid = np.minimum(start[part][None, :] + np.arange(width)[:, None], len(code) - 1)
-            chars = np.where(np.arange(width)[:, None] < size[part][None, :], code[grid], PAD).astype(np.int32)
-            for k, root in enumerate(self.roots):
-                state = np.full(len(part), root * self.letters, np.int32)
-                # the first step opens a phrase
-                breaks = np.ones(len(part), np.int32)
-                for row in chars:
-                    got = self.table[state + row]
-                    breaks += got & 1
-                    state = (got >> 1) * self.letters
-                out[:, k] += np.bincount(owner[part], breaks, len(n)).astype(np.int64)
+        for k, a in enumerate(self.automata):
+            begins = np.zeros(len(code), bool)
+            end = np.zeros(len(owner), np.int32)
+            order = np.argsort(-size, kind="stable")
+            for at in range(0, len(order), LANES):
+                lanes = order[at : at + LANES]
+                state = np.zeros(len(lanes), np.int32)
+                live = np.searchsorted(-size[lanes], -np.arange(int(size[lanes[0]])), side="left")  # lanes longer than each step
+                for t, m in enumerate(live.tolist()):
+                    where = start[lanes[:m]] + t
+                    state[:m], begins[where] = a.step(state[:m], code[where])
+                end[lanes] = state
+            # pieces that go on a text: again from the true state, until a phrase begins in both parses at one place
+            todo = np.flatnonzero(follows)
+            while len(todo):
+                lanes, state, t, was = todo, end[todo - 1], 0, end[todo].copy()
+                while len(lanes):
+                    where = start[lanes] + t
+                    state, new = a.step(state, code[where])
+                    both = new & begins[where]
+                    begins[where] = new
+                    t += 1
+                    over = ~both & (size[lanes] == t)
+                    end[lanes[over]] = state[over]
+                    on = ~both & ~over
+                    lanes, state = lanes[on], state[on]
+                moved = todo[end[todo] != was] + 1
+                todo = moved[moved < len(owner)]
+                todo = todo[follows[todo]]
+            out[:, k] = np.bincount(np.repeat(np.arange(len(n)), n), begins, len(n)).astype(np.int64)
         return out
 
 
@@ -164,61 +219,66 @@ def build(samples: dict[str, str]) -> Model:
     names = sorted(samples)
     text = {k: folded([samples[k]])[0] for k in names}
     # equal lengths, so that no language gains by a larger sample; the whole of those that are shorter
-    text = {k: v[:SAMPLE_CHARS] for k, v in text.items() if len(v)}
+    most = min(SAMPLE_CHARS, ALL_CHARS // max(1, len(names)))
+    text = {k: v[:most] for k, v in text.items() if len(v)}
     names = [k for k in names if k in text]
-    counts: Counter = Counter()
-    for v in text.values():
-        counts.update(v[v != 0].tolist())
-    alphabet = np.array(sorted(c for c, _ in counts.most_common(LETTERS)), np.uint32)
-    codes = np.arange(3, 3 + len(alphabet)).astype(np.uint8)
-    letters = 3 + len(alphabet)
-    model = Model(names, alphabet, codes, np.empty(0, np.int32), letters, np.empty(0, np.int64), np.array([np.log2(max(2, len(text[k]))) for k in names]))
-    tables, roots, at = [], [], 0
-    for k in names:
-        t = automaton(model.encode(text[k]).tolist(), letters)
-        tables.append(t + 2 * at)
-        roots.append(at)
-        at += len(t)
-    if tables:
-        model.table = np.concatenate(tables).ravel()
-        model.roots = np.array(roots)
+    alphabet = np.unique(np.concatenate([v[v != 0] for v in text.values()])) if names else np.empty(0, np.uint32)
+    model = Model(names, alphabet, [], np.array([np.log2(max(2, len(text[k]))) for k in names]), float("inf"))
+    model.automata = [automaton(model.encode(text[k]).tolist(), len(alphabet) + 2) for k in names]
+    if len(names) > 1:
+        n = np.array([len(text[k]) for k in names])
+        bits = model.phrases(np.concatenate([text[k] for k in names]), n) * model.cost / n[:, None]
+        np.fill_diagonal(bits, np.inf)
+        model.foreign = float(bits.min())
     return model
 
 
-def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
-    """Language and score of each text: `und` and 0.0 without a letter (or without a learned language).
+def costs(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits of each text by language, folded characters of each, letters of each)."""
+    points, n = folded(texts)
+    letters = np.bincount(np.repeat(np.arange(len(n)), n), points != 0, len(n)) if len(points) else np.zeros(len(n))
+    return model.phrases(points, n) * model.cost, n, letters
+
+
+def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+    """Language and score of each text, and whether it is told: `und` and 0.0 without a letter (or a learned language).
 
     The score is the winner's share of exp(-cost) over the languages: near 1 where the others cost many bits more.
+    A text is told if it has a letter and its language costs less, by the character, than one learned language does
+    under the automaton of another (see told()).
     """
-    points, n = folded(texts)
-    letter = np.bincount(np.repeat(np.arange(len(n)), n), points != 0, len(n)) if len(points) else np.zeros(len(n))
     if not model.languages:
-        return ["und"] * len(texts), [0.0] * len(texts)
-    cost = model.phrases(points, n) * model.cost
+        return ["und"] * len(texts), [0.0] * len(texts), [any(map(str.isalpha, t)) for t in texts]
+    cost, n, letters = costs(model, texts)
     best = cost.argmin(axis=1)
-    score = 1 / np.exp2(np.maximum(-60.0, cost.min(axis=1, keepdims=True) - cost)).sum(axis=1)
-    ok = letter > 0
-    return [model.languages[b] if y else "und" for b, y in zip(best, ok, strict=True)], [float(s) if y else 0.0 for s, y in zip(score, ok, strict=True)]
+    least = cost.min(axis=1)
+    score = 1 / np.exp2(np.maximum(-60.0, least[:, None] - cost)).sum(axis=1)
+    ok = letters > 0
+    sure = ok & told(least, n, model)
+    return [model.languages[b] if y else "und" for b, y in zip(best, ok, strict=True)], [float(s) if y else 0.0 for s, y in zip(score, ok, strict=True)], sure.tolist()
+
+
+def told(bits: np.ndarray, n: np.ndarray, model: Model) -> np.ndarray:
+    """Whether a text's bits, but for ALLOWED phrases, are fewer than those of as long a text in a foreign language."""
+    return bits - ALLOWED * model.cost.max(initial=0.0) < model.foreign * n
 
 
 def learn(docs: DataFrame, fold: int = 2, folds: int = 4) -> Model:
     """A model of the rows that have text and lang and are not held out (crc32 of doc_id mod folds is fold).
 
-    Bounded: of each of the LANGUAGES most frequent labels, about SAMPLE_DOCS documents by hash of their ids, then
-    SAMPLE_CHARS folded characters of those.
+    Bounded: of each label about SAMPLE_DOCS documents by hash of their ids, then SAMPLE_CHARS folded characters of
+    those (less with very many labels). Every label is learned.
     """
     held = F.coalesce(crc_mod("doc_id", folds) == fold, F.lit(False))
     rows = docs.select("doc_id", "text", "lang").where(~held & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return build({})
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * SAMPLE_DOCS / n)))]), F.col("lang"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_003))
-    some = rows.where(F.col("lang").isin(list(counts))).withColumn("draw", draw).where(F.col("draw") < share * 1_000_003)
+    share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE_DOCS) / F.col("n"))
+    some = rows.join(F.broadcast(counts), "lang").withColumn("draw", draw).where(F.col("draw") < share * 1_000_003)  # one row a label
     got: dict[str, list[str]] = {}
     size: Counter = Counter()
     # about 2 * SAMPLE_DOCS parts of texts a language reach the driver
-    for r in some.select("lang", "draw", "doc_id", F.substring("text", 1, PART).alias("text")).orderBy("draw", "doc_id").collect():
+    for r in some.select("lang", "draw", "doc_id", F.substring("text", 1, PART).alias("text")).orderBy("draw", "doc_id").toLocalIterator():
         if size[r["lang"]] < 2 * SAMPLE_CHARS and len(got.setdefault(r["lang"], [])) < SAMPLE_DOCS:
             got[r["lang"]].append(r["text"])
             size[r["lang"]] += len(r["text"])
@@ -233,7 +293,7 @@ def identify_languages(docs: DataFrame, model: Model | None = None, fold: int =
     learning; docs needs no lang column if a model is given. Other columns are ignored, whatever their names.
     """
     model = model or learn(docs, fold, folds)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANGUAGES x SAMPLE_CHARS x LETTERS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most about 20 bytes for each of ALL_CHARS
 
     def run(batches):
         import pyarrow as pa
@@ -256,12 +316,14 @@ def identify_languages(docs: DataFrame, model: Model | None = None, fold: int =
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose language can't be told (null text, no letter); all columns are kept.
+    """docs without the documents whose language can't be told; all columns are kept.
 
-    Without any labelled row nothing is learned, and only texts without a letter go.
+    These go: null texts, texts without a letter, and texts in none of the learned languages, that is those whose best
+    language costs as many bits by the character as one learned language's text under another's automaton. Without any
+    labelled row, or with one language, only texts without a letter go. Ties, repeated rows and null ids make no
+    difference, as each row is judged by its text alone; an empty table stays empty.
     """
-    model = learn(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
     def run(batches):
         import pyarrow as pa
@@ -273,8 +335,7 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
             for i, t in enumerate(texts):
                 size += len(t)
                 if size >= BATCH_CHARS or i == len(texts) - 1:
-                    part = texts[at : i + 1]
-                    keep += [x != "und" for x in predict(m, part)[0]] if m.languages else [any(map(str.isalpha, t)) for t in part]
+                    keep += predict(m, texts[at : i + 1])[2]
                     at, size = i + 1, 0
             yield b.filter(pa.array(keep, pa.bool_()))
 

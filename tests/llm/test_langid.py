@@ -2,35 +2,68 @@ import random
 import zlib
 
 import numpy as np
-from panelkit.llm.langid import PIECE, build, drop_unidentified, folded, identify_languages, predict
+import pytest
+from panelkit.llm import langid
+from panelkit.llm.langid import automaton, build, drop_unidentified, folded, identify_languages, predict
 
 
 def naive_phrases(text, sample):
-    """Phrases of the text cut into pieces, each phrase the longest run that occurs in the sample."""
-    n = 0
-    for at in range(0, len(text), PIECE):
-        piece, i = text[at : at + PIECE], 0
-        n += 1
-        length = 0
-        while i < len(piece):
-            if piece[i - length : i + 1] in sample:
-                length += 1
-            else:
-                n += 1
-                length = 1 if piece[i] in sample else 0
-            i += 1
+    """Each phrase is the longest prefix of the rest that occurs in the sample, at least one character."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        i, n = j, n + 1
     return n
 
 
-def test_phrases_as_naive_search():
+@pytest.mark.parametrize("piece", [1, 7, 256])
+def test_phrases_as_naive_search(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "LANES", 16)
     r = random.Random(1)
     words = lambda k: " ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 5))) for _ in range(k))
-    samples = {"x": words(60), "y": words(60).replace("a", "e")}
+    samples = {"x": words(60), "y": words(60).replace("a", "e"), "z": ("ab" * 9 + " ") * 9}
     model = build(samples)
-    texts = [words(r.choice([1, 3, 200])) for _ in range(20)]
+    texts = [words(r.choice([1, 3, 200])) + r.choice(["", "é", " qé é q"]) for _ in range(20)] + [samples["x"] * 3, "", "z", "ab" * 300, words(2000)]
     points, n = folded(texts)
     got = model.phrases(points, n)
-    assert got.tolist() == [[naive_phrases(t, samples[k]) for k in model.languages] for t in texts]
+    assert got.tolist() == [[naive_phrases(t, samples[k].strip()) for k in model.languages] for t in texts]
+
+
+def test_automaton_holds_all_substrings_and_no_others():
+    r = random.Random(4)
+    s = [r.randrange(2, 7) for _ in range(200)]
+    a = automaton(s, 7)
+    inside = {tuple(s[i:j]) for i in range(200) for j in range(i + 1, min(201, i + 9))}
+    for _ in range(3000):
+        w = [r.randrange(2, 7) for _ in range(r.randint(1, 8))]
+        state, held = np.zeros(1, np.int32), True
+        for i, c in enumerate(w):
+            state, new = a.step(state, np.array([c]))
+            held &= bool(new[0]) == (i == 0)
+        assert held == (tuple(w) in inside or len(w) == 1)
+
+
+def test_many_labels_and_many_letters():
+    r = random.Random(6)
+    kinds = {f"l{k:03d}": [chr(0x4E00 + 97 * k + i) for i in range(90)] if k % 2 else ["".join(r.choice("abcdefghijkl") for _ in range(3)) for _ in range(6)] for k in range(90)}
+    text = lambda k, n: " ".join("".join(r.choice(kinds[k]) for _ in range(3)) for _ in range(n))
+    model = build({k: text(k, 200) for k in kinds})
+    assert len(model.languages) == 90 and len(model.alphabet) > 3000
+    assert predict(model, [text(k, 40) for k in kinds])[0] == sorted(kinds)
+
+
+def test_texts_in_no_learned_language_are_rejected():
+    r = random.Random(7)
+    word = lambda parts: "".join(r.choice(parts) for _ in range(r.randint(1, 3)))
+    kinds = {"en": "th er on an re he in ed nd ha".split(), "fr": "é que ou le ai eau la ment tion".split()}
+    model = build({k: " ".join(word(v) for _ in range(3000)) for k, v in kinds.items()})
+    own = [" ".join(word(v) for _ in range(n)) for v in kinds.values() for n in (1, 5, 60, 900)]
+    other = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)), "Это текст на другом языке, и он достаточно длинный."]
+    assert all(predict(model, own)[2]) and not any(predict(model, other)[2])
+    assert predict(model, ["", "12"])[2] == [False, False]
 
 
 def test_folding():
@@ -66,4 +99,4 @@ def test_without_labels_and_empty(spark):
     assert {r["lang_pred"] for r in identify_languages(docs).collect()} == {"und"}
     assert [r["doc_id"] for r in drop_unidentified(docs).collect()] == [1]
     assert identify_languages(docs.limit(0)).collect() == []
-    assert predict(build({}), ["a"]) == (["und"], [0.0]) and np.array_equal(folded([""])[1], [0])
+    assert predict(build({}), ["a"]) == (["und"], [0.0], [True]) and np.array_equal(folded([""])[1], [0])

@@ -1,26 +1,34 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are compared as word sequences (letters and digits, lower case). A document and a benchmark item are a pair if
-they share a run of TILE words (a seed, found by a rolling hash of word numbers). In a pair the longest run of words
-that neither side has marked yet is marked as a tile, again and again until none of TILE words is left; matches of
-each length are found by Karp-Rabin hashing. The pair's coverage is the share of the item's words under tiles, so an
-item whose sentences were put in another order is covered as well as a straight copy.
+Texts are compared as word sequences (letters and digits, lower case). Seeds are the runs of TILE words, by a rolling
+hash. Documents' and items' seeds are joined in Spark; a pair of a document and an item goes on if its shared seeds can
+cover enough of the item at all. In such a pair the longest run of words that neither side has marked yet is marked as
+a tile, again and again until none of TILE words is left; matches of each length are found by running Karp-Rabin
+hashing. The pair's coverage is the share of the item's words under tiles, so an item whose sentences were put in
+another order is covered as well as a straight copy.
+
+An item of fewer than TILE words stands in a document if one of its lines is that item and nothing else.
+
+Documents are read once for their seeds, however large the benchmark is: a Bloom filter of the items' seeds, of at
+most FILTER_BITS bits, is all that is sent to the workers, and only seeds that pass it leave a task.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Least words of a tile; least share of an item's words under tiles that makes a document contaminated.
 TILE, COVERAGE = 5, 0.5
-#: Words of benchmark items that are sent to the workers at once; a larger benchmark takes several passes.
-CHUNK_WORDS = 1_000_000
-#: Words of documents that are hashed together.
-BATCH_WORDS = 500_000
+#: Bits of the filter for each seed, most bits of it (8 MB), and bits of the pieces in which tasks report theirs.
+SEED_BITS, FILTER_BITS, PIECE_BITS = 32, 1 << 26, 1 << 15
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -42,157 +50,208 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
-    """(start in doc, start in item, words) of the greedy tiles; ties by place in doc, then in item.
+    """(start in doc, start in item, words) of the greedy tiles, the longest first; ties by place in doc, then in item.
 
-    doc and item are word numbers; a negative number matches nothing.
+    doc and item are word numbers; a negative number matches nothing. Only hashes of windows are held, never pairs of
+    places, so long texts that repeat themselves take no more room than others.
     """
     open_doc, open_item = doc >= 0, item >= 0
     out: list[tuple[int, int, int]] = []
 
-    def matches(size: int) -> list[tuple[int, int]]:
-        """All pairs of equal unmarked windows of this size, by hash, then checked."""
-        h = rolling(item, size)
+    def windows(ids: np.ndarray, is_open: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the windows without a marked word, their hashes)."""
+        h = rolling(ids, size)
+        closed = np.cumsum(np.r_[0, ~is_open])
+        at = np.flatnonzero(closed[size:] == closed[: len(closed) - size]) if len(h) else np.empty(0, np.int64)
+        return at, h[at]
+
+    def shared(size: int) -> bool:
+        return bool(np.isin(windows(item, open_item, size)[1], windows(doc, open_doc, size)[1]).any())
+
+    most = min(len(doc), len(item))
+    while most >= least and shared(least):
+        lo, hi = least, most  # the longest length at which a window is shared
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if shared(mid) else (lo, mid - 1)
+        size = most = lo
+        at, h = windows(item, open_item, size)
         table: dict[int, list[int]] = {}
-        for j in range(len(h)):
-            if open_item[j : j + size].all():
-                table.setdefault(int(h[j]), []).append(j)
-        if not table:
-            return []
-        g = rolling(doc, size)
-        hit = np.flatnonzero(np.isin(g, np.fromiter(table, np.uint64, len(table))))
-        return [(int(i), j) for i in hit if open_doc[i : i + size].all() for j in table[int(g[i])] if (doc[i : i + size] == item[j : j + size]).all()]
-
-    while True:
-        # the longest run: every longer match holds a match of the least size, so those are grown to the right
-        seeds = matches(least)
-        if not seeds:
-            return out
-        known = set(seeds)
-        best = 0
-        at: list[tuple[int, int]] = []
-        for i, j in seeds:
-            if (i - 1, j - 1) in known:
+        for j, x in zip(at.tolist(), h.tolist(), strict=True):
+            table.setdefault(x, []).append(j)
+        at, h = windows(doc, open_doc, size)
+        hit = np.isin(h, np.fromiter(table, np.uint64, len(table)))
+        marked = False
+        for i, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+            if not open_doc[i : i + size].all():
                 continue
-            n = least
-            while (i + n - least + 1, j + n - least + 1) in known:
-                n += 1
-            if n > best:
-                best, at = n, []
-            if n == best:
-                at.append((i, j))
-        for i, j in sorted(at):
-            if open_doc[i : i + best].all() and open_item[j : j + best].all():
-                open_doc[i : i + best] = open_item[j : j + best] = False
-                out.append((i, j, best))
-
-
-class Index:
-    """The seeds of a chunk of the benchmark."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], least: int = TILE):
-        self.least = least
-        self.vocabulary: dict[str, int] = {}
-        self.ids = [n for n, _ in items]
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for _, ws in items]
-        seeds = [(h, k) for k, ws in enumerate(self.items) for h in rolling(ws, min(least, len(ws))).tolist() if len(ws) >= least]
-        seeds.sort()
-        self.hash = np.array([h for h, _ in seeds], np.uint64)
-        self.owner = np.array([k for _, k in seeds], np.int64)
-
-    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(word numbers of all texts, 0 for words that no item has; where each text ends). A 0 follows each text."""
-        get, out, ends, n = self.vocabulary.get, [], [], 0
-        for t in texts:
-            ws = words(t)
-            out.append(np.fromiter((get(w, 0) for w in ws), np.int64, len(ws)))
-            out.append(np.zeros(1, np.int64))
-            n += len(ws) + 1
-            ends.append(n)
-        return (np.concatenate(out) if out else np.empty(0, np.int64)), np.array(ends, np.int64)
-
-    def find(self, texts: list[str], coverage: float) -> list[tuple[int, int, float, int]]:
-        """(number of the text, item's id, coverage, tiles) of each pair with at least this coverage."""
-        ids, ends = self.number(texts)
-        h = rolling(ids, self.least)
-        if not len(h) or not len(self.hash):
-            return []
-        known = np.flatnonzero(ids == 0)
-        # windows of known words only: the next unknown word is at least a window away
-        nxt = known[np.searchsorted(known, np.arange(len(h)))]
-        at = np.flatnonzero(nxt - np.arange(len(h)) >= self.least)
-        lo, hi = np.searchsorted(self.hash, h[at]), np.searchsorted(self.hash, h[at], side="right")
-        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-        pairs: dict[tuple[int, int], list[int]] = {}
-        for i, a, b, d in zip(at.tolist(), lo.tolist(), hi.tolist(), np.searchsorted(ends, at, side="right").tolist(), strict=True):
-            for k in set(self.owner[a:b].tolist()):
-                pairs.setdefault((d, k), []).append(i)
-        out = []
-        for (d, k), where in sorted(pairs.items()):
-            item = self.items[k]
-            # each seed covers at most its own words of the item
-            if min(len(where) * self.least, len(where) + (self.least - 1) * len(where)) < coverage * len(item):
-                continue
-            # only words near seeds can be under tiles; other places are closed
-            doc = np.full(where[-1] - where[0] + self.least, -1, np.int64)
-            for i in where:
-                doc[i - where[0] : i - where[0] + self.least] = ids[i : i + self.least]
-            got = tiles(doc, item, self.least)
-            share = sum(n for _, _, n in got) / len(item)
-            if share >= coverage:
-                out.append((d, self.ids[k], share, len(got)))
-        return out
-
-
-def _chunks(benchmark: DataFrame, least: int):
-    """Lists of (item_id, words), CHUNK_WORDS at most each (or one item). Items come one at a time, never all at once."""
-    part: list[tuple[int, list[str]]] = []
-    n = 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        ws = words(r["text"])
-        if len(ws) < least:
-            continue
-        if part and n + len(ws) > CHUNK_WORDS:
-            yield part
-            part, n = [], 0
-        part.append((r["item_id"], ws))
-        n += len(ws)
-    if part:
-        yield part
+            for j in table[x]:
+                if open_item[j : j + size].all() and (doc[i : i + size] == item[j : j + size]).all():
+                    open_doc[i : i + size] = open_item[j : j + size] = False
+                    out.append((i, j, size))
+                    marked = True
+                    break
+        if not marked:  # equal hashes of unlike windows
+            most -= 1
+    return out
+
+
+class _WordHash(dict):
+    """64-bit hash of a word; starts anew at a fixed size, so memory stays bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_hash = _WordHash()
+
+
+def seeds(text: str, least: int) -> np.ndarray:
+    """Hashes of all runs of so many words, and of each line of fewer."""
+    lines = [_WORD.findall(x) for x in text.lower().split("\n")]
+    h = np.fromiter((_hash[w] for ws in lines for w in ws), np.uint64)
+    short = [(at, len(ws)) for at, ws in zip(accumulate(map(len, lines), initial=0), lines) if 0 < len(ws) < least]
+    whole = [rolling(h[at : at + n], n)[0] ^ np.uint64(n) for at, n in short]
+    return np.concatenate([rolling(h, least), np.array(whole, np.uint64)])
+
+
+def item_seeds(text: str, least: int) -> np.ndarray:
+    """As seeds(); an item of fewer words is one seed, whatever its lines."""
+    ws = words(text)
+    return seeds(" ".join(ws), least) if ws else np.empty(0, np.uint64)
+
+
+def _key(id_column: str):
+    """What tells a row: its id and a hash of its text."""
+    return F.col(id_column).alias("id"), F.xxhash64("text").alias("t")
+
+
+def _bits(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of size bits (a power of two)."""
+    return (h & np.uint64(size - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def seed_filter(items: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column h: tasks report the pieces that they set, which are put together by piece."""
+    n = items.count()
+    size = max(PIECE_BITS, min(FILTER_BITS, 1 << max(1, SEED_BITS * n - 1).bit_length()))
+
+    def mark(batches):
+        import pyarrow as pa
+
+        own = np.zeros(size, bool)
+        for b in batches:
+            for at in _bits(b.column(0).to_numpy().view(np.uint64), size):
+                own[at] = True
+        pieces = own.reshape(-1, PIECE_BITS)
+        some = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([np.packbits(pieces[i]).tobytes() for i in some], pa.binary())], names=["piece", "bits"])
+
+    def put(pdf):
+        import pandas as pd
+
+        all_bits = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in pdf["bits"]]), axis=0)
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "bits": [all_bits.tobytes()]})
+
+    out = np.zeros((size // PIECE_BITS, PIECE_BITS), bool)
+    for r in items.select("h").mapInArrow(mark, "piece int, bits binary").groupBy("piece").applyInPandas(put, "piece int, bits binary").collect():  # FILTER_BITS at most
+        out[r["piece"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return out.ravel()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = TILE) -> DataFrame:
     """doc_id, item_id, coverage, tiles: every pair of a document and an item with at least this coverage.
 
-    Null or empty texts and items of fewer than `least` words match nothing. Rows with equal ids give rows of their
-    own. An empty table on either side gives no rows. Other columns are ignored, whatever their names.
-    The benchmark is sent to the workers in chunks of bounded size, one pass over the documents for each.
+    Null or empty texts and items without a word match nothing. Rows with equal ids and unlike texts are rows of their
+    own; a repeated row gives its pairs again. Null ids are ids like any other. An empty table on either side gives no
+    rows. Other columns are ignored, whatever their names.
     """
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, coverage double, tiles int"
-    out = spark.createDataFrame([], schema)
-    for part in _chunks(benchmark, least):
-        index = spark.sparkContext.broadcast(Index(part, least))
-
-        def run(batches, index=index):
-            import pyarrow as pa
-
-            for b in batches:
-                texts, at, size = [t or "" for t in b.column(1).to_pylist()], 0, 0
-                rows: list[tuple] = []
-                for i, t in enumerate(texts):
-                    size += len(t) // 6
-                    if size >= BATCH_WORDS or i == len(texts) - 1:
-                        rows += [(at + d, *x) for d, *x in index.value.find(texts[at : i + 1], coverage)]
-                        at, size = i + 1, 0
-                if rows:
-                    d, k, c, n = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(k, pa.int64()), pa.array(c, pa.float64()), pa.array(n, pa.int32())], names=["doc_id", "item_id", "coverage", "tiles"])
-
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return out
+    spark = docs.sparkSession
+    doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    names = ["id", "t", "h", "n", "words"]
+
+    def of_items(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows: list[tuple[int, int, int, int]] = []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                h, n = np.unique(item_seeds(text, least), return_counts=True)
+                size = len(words(text))
+                rows += [(i, *x, size) for x in zip(h.view(np.int64).tolist(), n.tolist(), strict=True)]
+            i, h, n, size = zip(*rows, strict=True) if rows else ((), (), (), ())
+            take = pa.array(i, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(size, pa.int32())], names=names)
+
+    items = benchmark.where("text is not null").select(*_key("item_id"), "text").distinct()
+    items = written(items.mapInArrow(of_items, f"id {item_kind}, t long, h long, n int, words int"), "item-seeds")
+    bloom = seed_filter(items)
+    shared = spark.sparkContext.broadcast(np.packbits(bloom))  # FILTER_BITS at most
+
+    def of_docs(batches):
+        import pyarrow as pa
+
+        bits = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                got = [seeds(t, least) for t in part.column(2).to_pylist()]
+                owner = np.repeat(np.arange(len(got)), [len(x) for x in got])
+                h = np.concatenate(got)
+                one, two = _bits(h, len(bits))
+                near = np.flatnonzero(bits[one] & bits[two])
+                owner, h = owner[near], h[near].view(np.int64)
+                order = np.lexsort((h, owner))  # each seed of a document once
+                owner, h = owner[order], h[order]
+                new = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])][: len(h)]
+                take = pa.array(owner[new])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(h[new])], names=names[:3])
+
+    found = docs.where("text is not null").select(*_key("doc_id"), "text").mapInArrow(of_docs, f"id {doc_kind}, t long, h long")
+    side = items.withColumnsRenamed({"id": "item", "t": "item_t"})
+    pairs = found.join(side, "h").groupBy("id", "t", "item", "item_t").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    # a shared seed covers at most its own words of the item, each time that the item has it
+    pairs = pairs.where((F.col("n") * least >= F.lit(coverage) * F.col("words")) | (F.col("words") < least)).select("id", "t", "item", "item_t")
+    pairs = written(pairs, "seed-pairs")
+
+    def tile(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep, share, count = [], [], []
+            for i, (text, item) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                own = words(item)
+                number: dict[str, int] = {}
+                want = np.array([number.setdefault(w, len(number)) for w in own], np.int64)
+                if len(own) < least:
+                    covered, n = len(own) * any(words(x) == own for x in text.split("\n")), 1
+                else:
+                    ws = words(text)
+                    got = tiles(np.fromiter((number.get(w, -1) for w in ws), np.int64, len(ws)), want, least)
+                    covered, n = sum(x for _, _, x in got), len(got)
+                if covered and covered >= coverage * len(own):
+                    keep.append(i)
+                    share.append(covered / len(own))
+                    count.append(n)
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(share, pa.float64()), pa.array(count, pa.int32())], names=["doc_id", "item_id", "coverage", "tiles"])
+
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    texts = docs.where("text is not null").select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("__t"))
+    item_texts = benchmark.where("text is not null").select("item_id", F.col("text").alias("item_text"), F.xxhash64("text").alias("__it"))
+    both = pairs.join(item_texts, same("item", "item_id") & (F.col("item_t") == F.col("__it")))
+    both = texts.join(both.select("id", "t", "item_id", "item_text"), same("doc_id", "id") & (F.col("__t") == F.col("t")))
+    return both.select("doc_id", "item_id", "text", "item_text").mapInArrow(tile, f"doc_id {doc_kind}, item_id {item_kind}, coverage double, tiles int")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = TILE) -> DataFrame:
-    """docs without those that hold an item at this coverage; all columns are kept. Rows with a null doc_id stay."""
+    """docs without those that hold an item at this coverage; all columns are kept.
+
+    A row goes with all rows of its doc_id; rows with a null doc_id stay. Null and empty texts stay. An empty table on
+    either side drops nothing.
+    """
     gone = contaminated(docs, benchmark, coverage, least).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -54,11 +54,66 @@ def test_straight_and_reordered_copies_and_clean_texts(spark):
     assert sorted(r["doc_id"] or 0 for r in drop_contaminated(docs, bench).collect()) == [0, 3, 4, 5, 6]
 
 
-def test_chunks_of_the_benchmark_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "CHUNK_WORDS", 20)
-    items = [(i, " ".join(f"b{i}x{k}" for k in range(12))) for i in range(6)]
+def words_of(t):
+    import re
+
+    return re.findall(r"[^\W_]+", (t or "").lower())
+
+
+def test_query_as_brute_force(spark):
+    """All pairs of rows by brute tiling, with reordered, partial and repeated passages, short items, ties and copies."""
+    r = random.Random(5)
+    w = lambda n: [f"w{r.randrange(60)}" for _ in range(n)]
+    items = [(i, " ".join(w(r.choice([6, 9, 14, 25])))) for i in range(14)] + [(20, "w1 w2"), (21, "W3!"), (22, None), (23, ""), (None, "q r s t u v"), (5, "other text of item five here")]
+    docs = []
+    for i in range(60):
+        parts = [w(r.randint(0, 20))]
+        for _ in range(r.randint(0, 3)):
+            x = words_of(r.choice(items)[1])
+            k = r.randrange(len(x) + 1)
+            parts += [x[k:], w(r.randint(0, 3)), x[:k]] if r.random() < 0.7 else [x[:k]]
+        docs.append((i, r.choice([" ", "\n"]).join(" ".join(p) for p in parts)))
+    docs += [(3, "w1 w2\nand more w1"), (4, "it is w1 w2"), (None, "w3"), docs[7], (99, None), (98, "w1 " * 3000)]
+    want = []
+    for d, t in docs:
+        for i, x in items:
+            dw, iw = words_of(t), words_of(x)
+            if not iw:
+                continue
+            if len(iw) < 5:
+                if any(words_of(line) == iw for line in (t or "").split("\n")):
+                    want.append((repr(d), repr(i), 1.0, 1))
+                continue
+            number = {x: k for k, x in enumerate(dict.fromkeys(iw))}
+            got = brute([number.get(x, -1) for x in dw if d != 98 or x in number], [number[x] for x in iw], 5)
+            share = sum(n for _, _, n in got) / len(iw)
+            if share >= 0.5:
+                want.append((repr(d), repr(i), share, len(got)))
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'z' as h", "1 as t"))
+    assert sorted((repr(x["doc_id"]), repr(x["item_id"]), x["coverage"], x["tiles"]) for x in found.collect()) == sorted(want) and len(want) > 30
+
+
+def test_long_texts_that_repeat_themselves(spark):
+    import time
+
+    item = " ".join(["la"] * 40 + ["end"])
+    began = time.time()
+    assert tiles(np.zeros(300_000, np.int64), np.zeros(41, np.int64)) == [(0, 0, 41)]
+    docs = spark.createDataFrame([(1, "la " * 300_000), (2, "la end " * 100_000), (3, "la")], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], round(r["coverage"], 3)) for r in got] == [(1, 0.976)] and time.time() - began < 60
+
+
+def test_a_small_filter_changes_nothing(spark, monkeypatch):
+    items = [(i, " ".join(f"b{i}x{k}" for k in range(12))) for i in range(60)]
     docs = spark.createDataFrame([(i, "some text " + t) for i, t in items], "doc_id long, text string")
-    got = contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(i, i) for i in range(6)]
-    assert contaminated(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
-    assert contaminated(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontam.FILTER_BITS, decontam.PIECE_BITS):
+        monkeypatch.setattr(decontam, "FILTER_BITS", most)
+        assert sorted((r["doc_id"], r["item_id"]) for r in contaminated(docs, bench).collect()) == [(i, i) for i in range(60)]
+
+
+def test_empty_tables(spark):
+    docs, bench = spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert contaminated(docs, bench.limit(0)).collect() == [] and contaminated(docs.limit(0), bench).collect() == []
+    assert drop_contaminated(docs, bench.limit(0)).count() == 1 and drop_contaminated(docs.limit(0), bench).count() == 0

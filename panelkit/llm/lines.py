@@ -30,6 +30,8 @@ RUN = 16
 LONG, PIECE = 24, 8  # words of a unit that is split; one word in so many ends a piece
 #: Ends of units; the same patterns hold in SQL.
 UNITS = {"line": "[^\n]+\n*|\n+", "sentence": "[^.!?\n]+[.!?\n]*|[.!?\n]+", "passage": "[^.!?\n。！？｡．؟۔।…]+[.!?\n。！？｡．؟۔।…]*|[.!?\n。！？｡．؟۔।…]+"}
+#: Where a null doc_id ranks.
+LAST_ID = (1 << 63) - 1
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
 #: Characters of scripts without spaces between words (Thai to Khmer, kana, Han); two count as a word of a passage.
 _UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
@@ -48,8 +50,7 @@ def _pieces(unit: str, start: int):
 
 
 def units(text: str, unit: str):
-    """(start, end, number of words, digest as 16 bytes) of each unit that has a word."""
-    h = xxhash.xxh3_128_digest
+    """(start, end, number of words, normalised words) of each unit that has a word."""
     low = text.lower()
     same = len(low) == len(text)
     for m in re.finditer(UNITS[unit], text):
@@ -57,13 +58,13 @@ def units(text: str, unit: str):
         w = t.encode("utf-8", "surrogatepass").split()
         if unit != "passage":
             if w:
-                yield m.start(), m.end(), len(w), h(b" ".join(w))
+                yield m.start(), m.end(), len(w), w
             continue
         for start, end, ws in _pieces(t, m.start()) if len(w) > LONG and len(t) == m.end() - m.start() else [(m.start(), m.end(), w)] * bool(w):
             n = len(ws)
             if not t.isascii():
                 n = max(n, len(_UNSPACED.findall(text, start, end)) // 2)
-            yield start, end, n, h(b" ".join(ws))
+            yield start, end, n, ws
 
 
 _PLACE = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
@@ -71,57 +72,50 @@ _OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("remov
 
 
 @F.pandas_udf(_OUT)
-def _cut_out(text: pd.Series, found: pd.Series, run: pd.Series) -> pd.DataFrame:
-    """Texts without their runs of repeats; found: a flat array of number, first, last, words of each repeat, in order."""
+def _cut_out(text: pd.Series, repeats: pd.Series, unit: pd.Series, run: pd.Series) -> pd.DataFrame:
+    """Texts without their runs of repeats; repeats: the numbers of the units that repeat earlier ones, ascending."""
     texts, places = [], []
-    for t, c, least in zip(text, found, run, strict=True):
+    for t, at, kind, least in zip(text, repeats, unit, run, strict=True):
         cuts = []
-        if t is not None and c is not None and len(c):
-            at, first, last, n = c.reshape(-1, 4).T
+        if t is not None and at is not None and len(at):
+            start, end, n = np.array([u[:3] for u in units(t, kind)], np.int64)[at].T
             of = np.cumsum(np.r_[0, at[1:] != at[:-1] + 1])
             gone = np.bincount(of, n)[of] >= least
-            cuts = list(zip(first[gone].tolist(), last[gone].tolist(), strict=True))
-        kept, end = [], 0
-        for first, last in cuts:
-            kept.append(t[end:first])
-            end = last
-        texts.append(t if t is None else "".join([*kept, t[end:]]))
+            cuts = list(zip(start[gone].tolist(), end[gone].tolist(), strict=True))
+        kept, done = [], 0
+        for start, end in cuts:
+            kept.append(t[done:start])
+            done = end
+        texts.append(t if t is None else "".join([*kept, t[done:]]))
         places.append([{"first": a, "last": b} for a, b in cuts])
     return pd.DataFrame({"text": pd.Series(texts, dtype=object), "removed": pd.Series(places, dtype=object)})
 
 
 def repeated_units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
-    """(id, t, at, first, last, n): all units that repeat an earlier one; id and t tell the document.
+    """(id, t, at): all units that repeat an earlier one; id and t tell the document, at is the unit's number in it.
 
-    at: the unit's number among those of its text that have a word. first, last: its place in code points, 0-based,
-    last excluded. n: its words. Earlier: smaller doc_id (null: after all others), then smaller hash of the text, then
-    smaller place. Repeats of one unit are counted on the map side before they meet, so a unit of very many documents
-    costs each task one row; the original is found by grouping, the rest by a join.
+    Units without a word have no number. Earlier: smaller doc_id (null: after all others), then smaller hash of the
+    text, then smaller number. Repeats of one unit are counted on the map side before they meet, so a unit of very many
+    documents costs each task one row; the original is found by grouping, the rest by a join.
     """
 
     def run(batches):
         import pyarrow as pa
 
+        h = xxhash.xxh3_128_digest
         for b in batches:
-            rows, at, places, digests = [], [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                k = -1
-                for k, (start, end, n, d) in enumerate(units(text or "", unit)):  # noqa: B007
-                    places.append((start, end, n))
-                    digests.append(d)
-                rows.append(k + 1)
-            of = np.repeat(np.arange(len(rows)), rows)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)
-            place = np.array(places, np.int32).reshape(-1, 3)
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at.astype(np.int32)), *(pa.array(place[:, i]) for i in range(3)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["id", "t", "at", "first", "last", "n", "d1", "d2"])
-
-    found = docs.select(*_key(), "text").mapInArrow(run, "id long, t long, at int, first int, last int, n int, d1 long, d2 long")
+            got = [[h(b" ".join(w)) for _, _, _, w in units(text or "", unit)] for text in b.column(2).to_pylist()]
+            rows = np.array([len(x) for x in got], np.int64)
+            of = pa.array(np.repeat(np.arange(len(rows)), rows))
+            at = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+            d = np.frombuffer(b"".join(x for ds in got for x in ds), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(at.astype(np.int32)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["id", "t", "at", "d1", "d2"])
+
+    found = docs.select(*_key(), "text").mapInArrow(run, "id long, t long, at int, d1 long, d2 long")
     found = written(found, "units")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "t", "first")
+    order = F.struct(F.coalesce("id", F.lit(LAST_ID)).alias("id"), "t", "at")
     groups = found.groupBy("d1", "d2").agg(F.min(order).alias("original"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return found.join(groups, ["d1", "d2"]).where(order != F.col("original")).select("id", "t", "at", "first", "last", "n")
+    return found.join(groups, ["d1", "d2"]).where(order != F.col("original")).select("id", "t", "at")
 
 
 def _key():
@@ -137,12 +131,10 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", run: int = RUN, keep_em
     are rows with a null doc_id, which rank last. Null texts stay null, empty ones empty; an empty table gives no rows.
     run=1 cuts every repeat. keep_empty=False drops documents of which nothing but white space is left.
     """
-    places = F.array_sort(F.collect_list(F.struct("at", "first", "last", "n")))
-    found = repeated_units(docs, unit).groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(places.alias("__found"))
+    found = repeated_units(docs, unit).groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.array_sort(F.collect_list("at")).alias("__at"))
     columns = [c for c in docs.columns if c != "removed"]
     i, t = _key()
     both = docs.select(*columns).join(found, i.eqNullSafe(F.col("__id")) & (t == F.col("__t")), "left")
-    flat = F.flatten(F.transform("__found", lambda c: F.array(c["at"], c["first"], c["last"], c["n"])))
-    both = both.withColumn("__out", _cut_out("text", flat, F.lit(run)))
+    both = both.withColumn("__out", _cut_out("text", "__at", F.lit(unit), F.lit(run)))
     out = both.select(*[F.col("__out.text").alias(c) if c == "text" else F.col(c) for c in columns], F.col("__out.removed").alias("removed"))
     return out if keep_empty else out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -66,6 +66,15 @@ def sum_any(*cs: Column) -> Column:
     return F.when(F.coalesce(*cs).isNotNull(), sum((F.coalesce(c, F.lit(0.0)) for c in cs), F.lit(0.0)))
 
 
+#: How many values hashed() has.
+HASHES = 1 << 60
+
+
+def hashed(*parts: Column, seed: int = 42) -> Column:
+    """A whole number from 0 to HASHES - 1: the first 60 bits of the MD5 of the parts and the seed, joined by |."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+
+
 def pair_key(a: Column, b: Column) -> Column:
     """The same struct for (a, b) and (b, a)."""
     return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))

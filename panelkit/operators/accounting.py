@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import isin_or_false, nan_to_null, null_out_negatives
 from ..functions.scalars import clip, excluded_prefix, fiscal_year, industry_code, parse_date, ratio, sum_any
+from .quantiles import exact_quantiles
 from .windows import first_by, rolling_std, row_lag
 
-NON_NEGATIVE = ["at", "sale", "intan", "mkvalt", "ppent", "ppegt", "dltt", "dlc", "csho", "prcc_f", "xrd", "xad", "xsga", "xint", "cogs", "che", "capx"]
-RATIOS = ["roa", "oi_at", "gross_margin", "profit_margin", "sale_growth", "tobinsq", "market_to_book", "leverage", "net_debt_funding_rate", "net_equity_funding_rate", "net_total_funding_rate", "cash", "interest_coverage", "investment", "acquisition", "randd_expenses", "intangible_assets", "tangibility", "fixed_assets", "net_working_capital", "cash_flow", "free_cash_flow", "net_payout_at", "dividend_yield", "repo"]
+#: Statement items of which a negative amount is an error.
+NON_NEGATIVE = ["at", "intan", "sale", "mkvalt", "ppent", "dltt", "dlc", "csho", "prcc_f", "xrd", "xad", "xsga", "xlr", "xint", "cogs", "che", "capx"]
+#: Items whose absence means none.
+ZERO_IF_MISSING = ["dp", "txdb", "re"]
+#: Ratios that are winsorised, and all that may hold an infinity.
+WINSORISED = ["leverage", "roa", "sale_growth", "tobinsq", "market_to_book", "cash", "investment", "intangible_assets", "tangibility_assets", "fixed_assets", "net_working_capital", "gross_margin", "profit_margin", "free_cash_flow", "cash_flow", "interest_coverage", "net_debt_funding_rate", "net_equity_funding_rate", "net_total_funding_rate", "net_payout_at", "dividend_yield", "repo", "oi_at"]
+RATIOS = [*WINSORISED, "acquisition", "randd_expenses"]
 
 
 def c0(name: str) -> Column:
@@ -26,7 +32,8 @@ def clean_fundamentals(raw: DataFrame) -> DataFrame:
         x = x.where(~isin_or_false(F.col(c) < 0))
     x = x.withColumn("data_year", fiscal_year(F.col("datadate"))).where(F.col("pddur").between(9, 15))
     x = first_by(x.where(F.col("gvkey").isNotNull()), ["gvkey", "fyear"], [F.desc("datadate"), F.desc_nulls_last("at")])
-    return null_out_negatives(x, NON_NEGATIVE).withColumn("sic2", industry_code(F.col("sic"), 2)).withColumn("sic3", industry_code(F.col("sic"), 3))
+    x = null_out_negatives(x, NON_NEGATIVE).fillna(0.0, [c for c in ZERO_IF_MISSING if c in x.columns])
+    return x.withColumns({f"sic{n}": industry_code(F.col("sic"), n) for n in (2, 3, 4)})
 
 
 def deflate(x: DataFrame, cpi: DataFrame, base: str = "2004-12-31") -> DataFrame:
@@ -38,11 +45,14 @@ def deflate(x: DataFrame, cpi: DataFrame, base: str = "2004-12-31") -> DataFrame
     return j.withColumn("at_real", F.when(at_real != 0, at_real)).withColumn("randd_real", real("xrd")).drop("__base", "month_end", "cpi")
 
 
-def fundamentals(raw: DataFrame, cpi: DataFrame) -> DataFrame:
-    """Firm-years with ratios, financing-constraint indices and rolling cash-flow volatility; infinities become NULL."""
+def fundamentals(raw: DataFrame, cpi: DataFrame, winsorised: bool = True) -> DataFrame:
+    """Firm-years with ratios, financing-constraint indices and rolling cash-flow volatility; infinities become NULL.
+
+    Lags are those of the statement before, by date. The volatility is of the ratios before they are winsorised.
+    """
     x = deflate(clean_fundamentals(raw), cpi)
     x = x.withColumns({"market_value": F.col("csho") * F.col("prcc_f"), "csho_adj": F.col("csho") * F.coalesce(F.col("ajex"), F.lit(1.0))})
-    x = row_lag(x, "gvkey", "data_year", ["at", "sale", "market_value"])
+    x = row_lag(x, "gvkey", "datadate", ["at", "sale", "ppent", "dltt", "dlc", "market_value"], tie=("fyear",))
     x = x.withColumns(
         {
             "dividends": F.greatest(F.coalesce(F.col("dv"), c0("dvc") + c0("dvp")), F.lit(0.0)),
@@ -54,6 +64,7 @@ def fundamentals(raw: DataFrame, cpi: DataFrame) -> DataFrame:
     debt = c0("dltt") + c0("dlc")
     x = x.withColumns(
         {
+            "payout": F.col("dividends") + F.col("repurchases"), "employment": F.col("emp") if "emp" in x.columns else F.lit(None).cast("double"),
             "net_payout_at": ratio(F.col("dividends") + F.col("net_repurchases"), at),
             "dividend_yield": ratio(c0("dvc") + c0("dvp"), F.col("market_value")),
             "repo": ratio(F.col("repurchases"), F.col("market_value_lag")),
@@ -66,8 +77,8 @@ def fundamentals(raw: DataFrame, cpi: DataFrame) -> DataFrame:
             "net_debt_funding_rate": ratio(c0("dltis") - c0("dltr") + c0("dlcch"), lag), "net_equity_funding_rate": ratio(c0("sstk") - c0("prstkc"), lag),
             "cash": ratio(F.col("che"), at),
             "interest_coverage": F.when((F.col("xint") > 0) & (F.col("oibdp") < 0), 0.0).otherwise(ratio(F.col("oibdp"), F.col("xint"))),
-            "investment": ratio(F.col("capx"), lag), "acquisition": ratio(F.col("aqc"), lag), "randd_expenses": ratio(c0("xrd"), lag),
-            "intangible_assets": ratio(c0("intan"), at), "tangibility": ratio(c0("ppegt"), at), "fixed_assets": ratio(c0("ppent"), at),
+            "investment": ratio(F.col("capx"), lag), "acquisition": ratio(F.col("aqc"), at), "randd_expenses": ratio(c0("xrd"), lag),
+            "intangible_assets": ratio(c0("intan"), at), "tangibility_assets": ratio(c0("ppegt"), at), "fixed_assets": ratio(c0("ppent"), at),
             "net_working_capital": ratio(F.col("wcap") - F.col("che"), at),
             "cash_flow": ratio(c0("ib") + F.col("dp") + c0("xrd"), lag),
             "free_cash_flow": ratio(F.col("oibdp") - F.col("xint") - F.col("txt") - F.col("capx"), lag),
@@ -76,7 +87,8 @@ def fundamentals(raw: DataFrame, cpi: DataFrame) -> DataFrame:
     x = x.withColumn("net_total_funding_rate", sum_any(F.col("net_debt_funding_rate"), F.col("net_equity_funding_rate")))
     x = financing_constraints(x)
     x = rolling_std(x, "gvkey", "data_year", "cash_flow", "cf_volatility_rolling", 5)
-    return x.withColumns({c: nan_to_null(c) for c in [*RATIOS, "ww_index", "sa_index"]})
+    x = x.withColumns({c: nan_to_null(c) for c in [*RATIOS, "ww_index", "sa_index"]})
+    return winsorize(x, WINSORISED) if winsorised else x
 
 
 def financing_constraints(x: DataFrame) -> DataFrame:
@@ -86,16 +98,18 @@ def financing_constraints(x: DataFrame) -> DataFrame:
     x = x.join(growth, ["data_year", "sic3"], "left").join(priced, "gvkey", "left")
     cf = ratio(F.col("ib") + F.col("dp"), F.col("at"))
     pays = (c0("dvc") + c0("dvp") > 0).cast("double")
-    age = clip((F.col("data_year") - F.coalesce(F.year(parse_date(F.col("ipodate"), "yyyy-MM-dd")), F.col("__first"))).cast("double"), None, 37.0)
+    age = clip((F.col("data_year") - F.coalesce(F.year(parse_date(F.col("ipodate"))), F.col("__first"))).cast("double"), None, 37.0)
     size = clip(F.ln("at_real"), None, 8.411832675758411)  # ln 4500
     ww = -0.091 * cf - 0.062 * pays + 0.021 * F.col("leverage") - 0.044 * F.ln("at") + 0.102 * F.col("sale_growth") - 0.035 * F.col("isg")
     return x.withColumns({"ww_index": ww, "firm_age": age, "size_real": size, "sa_index": -0.737 * size + 0.043 * size * size - 0.040 * age}).drop("__first")
 
 
 def winsorize(df: DataFrame, columns: list[str], lo: float = 0.01, hi: float = 0.99, min_n: int = 50) -> DataFrame:
-    """Clips each column at its sample quantiles; columns with fewer than min_n values stay as they are. One pass for all columns."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(c) for c in columns], *[F.count(c).alias(f"n_{c}") for c in columns]).first()
-    return df.withColumns({c: clip(F.col(c), q[c][0], q[c][1]) for c in columns if q[f"n_{c}"] >= min_n})
+    """Clips each column at its sample quantiles; columns with fewer than min_n values stay as they are."""
+    r = df.agg(*[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in columns]).first()
+    some = [c for c in columns if r[c] >= min_n]
+    q = exact_quantiles(df, [(c, f"`{c}`", [lo, hi]) for c in some]) if some else {}
+    return df.withColumns({c: clip(F.col(c), *q[c]) for c in some})
 
 
 def link_table(raw: DataFrame, open_end: str = "2021-10-01") -> DataFrame:

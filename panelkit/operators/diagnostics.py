@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .quantiles import exact_quantiles
 
 
 def smd(df: DataFrame, treated: str, columns: list[str], least: int = 5) -> DataFrame:
@@ -99,10 +100,13 @@ def overview(df: DataFrame, entity: str, time: str, k: str, treated: str) -> Dat
 
 def baseline_table(df: DataFrame, treated: str, columns: list[str]) -> DataFrame:
     """variable, grp (all, treated, control), n, mean, median, sd."""
-    groups = {"all": F.lit(True), "treated": F.col(treated) == 1, "control": F.col(treated) == 0}
-    a = df.agg(*[f(F.when(g, F.col(c).cast("double"))).alias(f"{i}_{n}_{k}") for i, c in enumerate(columns) for n, g in groups.items() for k, f in (("n", F.count), ("mean", F.avg), ("median", F.median), ("sd", F.stddev_samp))])
-    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(n).alias("grp"), *[F.col(f"{i}_{n}_{k}").alias(k) for k in ("n", "mean", "median", "sd")]) for i, c in enumerate(columns) for n in groups])
-    return a.select(F.explode(rows).alias("r")).select("r.*")
+    groups = {"all": "true", "treated": f"`{treated}` = 1", "control": f"`{treated}` = 0"}
+    keys = [(c, n) for c in columns for n in groups]
+    value = {k: f"CASE WHEN {groups[k[1]]} THEN CAST(`{k[0]}` AS DOUBLE) END" for k in keys}
+    a = df.agg(*[f(F.expr(value[k])).alias(f"{i}_{s}") for i, k in enumerate(keys) for s, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp))]).first()
+    q = exact_quantiles(df, [(str(i), value[k], [0.5]) for i, k in enumerate(keys)])
+    rows = [(*k, a[f"{i}_n"], a[f"{i}_mean"], q[str(i)][0], a[f"{i}_sd"]) for i, k in enumerate(keys)]
+    return df.sparkSession.createDataFrame(rows, "variable string, grp string, n long, mean double, median double, sd double")
 
 
 def profile(df: DataFrame, by: str, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .quantiles import exact_quantiles
 from .windows import average_rank_percent, distinct_in_group, first_by
 
 
@@ -19,15 +20,25 @@ def ratio_z(df: DataFrame, num: str, den: str, name: str, den_is_log: bool = Fal
     return df.withColumn(name, ratio(F.col(num), F.exp(den) if den_is_log else F.col(den)))
 
 
+def binned(df: DataFrame, treated: str, bins: list[tuple[str, int, str]]) -> DataFrame:
+    """df with bins 0 to n-1 for each (column, n, name), by cut points of treated rows.
+
+    Right-closed, lowest included, equal cuts merged, outside NULL. The cut points of all are found together.
+    """
+    q = exact_quantiles(df, [(name, f"CASE WHEN `{treated}` = 1 THEN `{c}` END", [i / n for i in range(n + 1)]) for c, n, name in bins])
+    new = {}
+    for column, _, name in bins:
+        edges = sorted({v for v in q[name] if v is not None})
+        c, out = F.col(column), F.lit(None).cast("int")
+        for i in range(len(edges) - 1, 0, -1):
+            lo = (c >= edges[0]) if i == 1 else (c > edges[i - 1])
+            out = F.when(lo & (c <= edges[i]), i - 1).otherwise(out)
+        new[name] = out
+    return df.withColumns(new)
+
+
 def quantile_z(df: DataFrame, column: str, treated: str, n: int, name: str) -> DataFrame:
-    """Bins 0 to n-1 by cut points of treated rows: right-closed, lowest included, equal cuts merged, outside NULL."""
-    q = df.where(F.col(treated) == 1).agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(n + 1)]))).first()[0]
-    edges = sorted(set(q)) if q else []
-    c, out = F.col(column), F.lit(None).cast("int")
-    for i in range(len(edges) - 1, 0, -1):
-        lo = (c >= edges[0]) if i == 1 else (c > edges[i - 1])
-        out = F.when(lo & (c <= edges[i]), i - 1).otherwise(out)
-    return df.withColumn(name, out)
+    return binned(df, treated, [(column, n, name)])
 
 
 def all_z(df: DataFrame, entity: str, k: str, treated: str, size: str, deal: str | None = None, cap: str | None = None, bins: tuple[int, ...] = (2, 3, 5)) -> DataFrame:
@@ -37,10 +48,7 @@ def all_z(df: DataFrame, entity: str, k: str, treated: str, size: str, deal: str
     if deal and cap:
         x = baseline_z(ratio_z(x, deal, cap, "__z"), entity, k, "__z", "z_deal").drop("__z")
         names.append("z_deal")
-    for z in names:
-        for n in bins:
-            x = quantile_z(x, z, treated, n, f"{z}_q{n}")
-    return x
+    return binned(x, treated, [(z, n, f"{z}_q{n}") for z in names for n in bins])
 
 
 def within_firm_upper_half(df: DataFrame, entity: str, firm: str, k: str, value: str, name: str, least: int = 2) -> DataFrame:

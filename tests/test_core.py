@@ -210,3 +210,34 @@ def test_entry_and_names(spark):
     assert e.entry(spark).count() == 1
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(o) > 60
+
+
+def test_exact_quantiles_of_ties_nulls_and_narrow_brackets(spark, monkeypatch):
+    from panelkit.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "INSIDE", 20)
+    monkeypatch.setattr(quantiles, "ACCURACY", 200)
+    r = np.random.default_rng(3)
+    v = np.r_[r.normal(size=3000), np.zeros(2000), r.integers(0, 4, 1000)]
+    rows = [(float(x), i % 2) for i, x in enumerate(v)] + [(None, 0), (float("nan"), 1)]
+    d = spark.createDataFrame(rows, "v double, t int").repartition(5)
+    ps = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.9, 0.99, 1.0]
+    got = quantiles.exact_quantiles(d, [("a", "v", ps), ("b", "CASE WHEN t = 1 THEN v END", ps), ("none", "CASE WHEN t = 7 THEN v END", [0.5])])
+    assert np.allclose(got["a"], np.quantile(v, ps), atol=1e-12) and np.allclose(got["b"], np.quantile(v[1::2], ps), atol=1e-12) and got["none"] == [None]
+
+
+def test_permuted_years_move_and_stay_the_same_set(spark, monkeypatch):
+    monkeypatch.setattr(windows, "RANK_CELL", 50)
+    d = spark.createDataFrame([(i, 2000 + i % 7) for i in range(700)] + [(1000 + i, 0) for i in range(50)], "id long, g long").withColumn("year", F.lit(1990).cast("long"))
+    p = resample.placebo(d, "id", "year", "g", "permute").where("g > 0").toPandas()
+    assert len(p) == 700 and sorted(p.g_placebo) == sorted(p.g) and (p.g == p.g_placebo).mean() < 0.25
+    assert resample.placebo(d, "id", "year", "g", "permute", seed=9).where("g > 0").toPandas().merge(p, on="id").eval("g_placebo_x != g_placebo_y").mean() > 0.5
+    ranks = windows.global_rank(d.select("id"), "id", "r", 5).toPandas().sort_values("r")
+    assert ranks.r.tolist() == list(range(1, 751))
+
+
+def test_lag_of_equal_periods_is_the_same_in_every_run(spark):
+    rows = [(1, 1, 5.0), (1, 1, 3.0), (1, 2, 9.0), (1, 2, None)]
+    for order in (rows, rows[::-1]):
+        got = windows.row_lag(spark.createDataFrame(order, "id long, t long, v double"), "id", "t", ["v"]).collect()
+        assert {(r["t"], r["v"]): r["v_lag"] for r in got} == {(1, 3.0): None, (1, 5.0): 3.0, (2, None): 5.0, (2, 9.0): None}

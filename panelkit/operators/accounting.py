@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import isin_or_false, nan_to_null, null_out_negatives
 from ..functions.scalars import clip, excluded_prefix, fiscal_year, industry_code, parse_date, ratio, sum_any
 from .quantiles import exact_quantiles
+from .stages import stage
 from .windows import first_by, rolling_std, row_lag
 
 #: Statement items of which a negative amount is an error.
@@ -88,7 +89,7 @@ def fundamentals(raw: DataFrame, cpi: DataFrame, winsorised: bool = True) -> Dat
     x = financing_constraints(x)
     x = rolling_std(x, "gvkey", "data_year", "cash_flow", "cf_volatility_rolling", 5)
     x = x.withColumns({c: nan_to_null(c) for c in [*RATIOS, "ww_index", "sa_index"]})
-    return winsorize(x, WINSORISED) if winsorised else x
+    return winsorize(stage(x, "fundamentals"), WINSORISED) if winsorised else x
 
 
 def financing_constraints(x: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import stage
 from .windows import first_by, top_by
 
 
@@ -57,21 +58,18 @@ def match_mahalanobis(pool: DataFrame, entity: str, treated: str, block: str, x1
 def match_cohorts(df: DataFrame, entity: str, time: str, g: str, block: str, x1: str, x2: str, caliper: float | None = None) -> DataFrame:
     """cohort, entity, control, distance: cohort by cohort on the year before, controls (g = 0) used by one cohort are gone for the next.
 
-    The loop runs over cohorts, a few dozen; the used controls are cut by a checkpoint each round.
+    The loop runs over cohorts, a few dozen; each round's pairs are written before the next one reads them.
     """
     from ..functions.nulls import drop_null_keys
 
-    d = drop_null_keys(df, entity, time).withColumn("__g", F.coalesce(F.col(g), F.lit(0)).cast("long"))
-    spark, used, out = df.sparkSession, None, None
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(place)
+    d = stage(drop_null_keys(df, entity, time).withColumn("__g", F.coalesce(F.col(g), F.lit(0)).cast("long")), "cohorts")
+    used, out = None, None
     for c in sorted(r["__g"] for r in d.where("__g > 0").select("__g").distinct().collect()):
         pool = d.where((F.col(time) == c - 1) & F.col("__g").isin(0, c)).withColumn("__t", (F.col("__g") > 0).cast("int"))
         if used is not None:
             pool = pool.join(used, entity, "left_anti")
         m = match_mahalanobis(pool, entity, "__t", block, x1, x2, caliper).withColumn("cohort", F.lit(c))
-        m = m.checkpoint() if place else m.persist()
+        m = stage(m, "pairs")
         out = m if out is None else out.unionByName(m)
         now = m.select(F.col("control").alias(entity)).distinct()
         used = now if used is None else used.union(now)

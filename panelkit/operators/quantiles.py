@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Values inside a bracket that are looked at one by one, and accuracy of the sketches that narrow it.
-INSIDE, ACCURACY = 100_000, 10_000
+INSIDE, ACCURACY = 2_000, 10_000
 
 
 def exact_quantiles(df: DataFrame, wanted: list[tuple[str, str, list[float]]]) -> dict[str, list[float | None]]:

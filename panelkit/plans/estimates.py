@@ -9,7 +9,8 @@ from ..operators import hetero as H
 from ..operators import matching as M
 from ..operators import resample as X
 from ..operators.gram import fe_ols, result_frame
-from .domain import PANEL, panel_cy
+from .domain import FIRST, LAST, PANEL, panel_cy
+from .ols_sql import coefficients, fe_sql
 from .registry import query
 
 # On a balanced panel two-way effects are swept out by subtracting unit and period means and adding the overall mean.
@@ -51,15 +52,26 @@ def _(spark, sf):
     return result_frame(spark, fe_ols(panel_cy(spark, sf), "y", ["d"], "id", "year", "robust").rows()).select("term", F.round("se", 6).alias("se"), F.round("r2_within", 6).alias("r2_within"))
 
 
-@query("did_table")
+#: Rows of both outcomes, told apart by grp.
+_TWO = f"""{PANEL}, two AS (SELECT 'y' AS grp, id, year, y, d FROM panel UNION ALL SELECT 'x', id, year, x, d FROM panel), {fe_sql("two", ["d"])}"""
+
+
+@query("did_table", f"WITH {_TWO} SELECT grp AS outcome, term, coef, se, nobs, 'ok' AS status, significant FROM ({coefficients('f', ['d'])})")
 def _(spark, sf):
     return E.did_table(panel_cy(spark, sf), ["y", "x"], "id", "year", "d").select("outcome", "term", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"), "nobs", "status", "significant")
 
 
-@query("event_study_coefs")
+_KS = [k for k in range(-3, 4) if k != -1]
+
+
+@query(
+    "event_study_coefs",
+    f"""WITH {PANEL}, es AS (SELECT 'a' AS grp, id, year, y, g, k FROM panel WHERE k IS NULL OR k BETWEEN -3 AND 3), {fe_sql("es", [f"coalesce(g > 0 AND k = {k}, false)" for k in _KS])}
+SELECT {_KS}[CAST(b.i AS INT)] AS k, round(beta, 6) AS coef, round(sqrt(v), 6) AS se, round(beta - 1.96 * sqrt(v), 5) AS lo, round(beta + 1.96 * sqrt(v), 5) AS hi, 'ok' AS status FROM f_b b JOIN f_v v ON v.i = b.i AND v.j = b.i UNION ALL SELECT -1, 0, 0, 0, 0, 'reference'""",
+)
 def _(spark, sf):
     p = panel_cy(spark, sf).withColumn("t", (F.col("g") > 0).cast("int")).where("k is null or k between -3 and 3")
-    return E.event_study(p, "y", "id", "year", "k", "t", -3, 3)
+    return E.event_study(p, "y", "id", "year", "k", "t", -3, 3).select("k", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"), F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), "status")
 
 
 @query(
@@ -70,28 +82,70 @@ def _(spark, sf):
     return panel_cy(spark, sf).where("k between -3 and 3").groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("y"), 5).alias("mean_y"), F.round(F.stddev_samp("y"), 5).alias("sd_y"))
 
 
-@query("triple_did")
+_TRIPLE = ["d", "post_x_z", "treat_x_z"]
+
+
+@query(
+    "triple_did",
+    f"""WITH {PANEL}, tr AS (SELECT 'a' AS grp, id, year, y, d, CAST(year >= 1998 AND segment = 'BUILDING' AS INT) AS post_x_z, d * CAST(segment = 'BUILDING' AS INT) AS treat_x_z FROM panel), {fe_sql("tr", _TRIPLE)}
+SELECT term, coef, se, nobs, n_entities FROM ({coefficients("f", _TRIPLE)})""",
+)
 def _(spark, sf):
     p = panel_cy(spark, sf).withColumn("post", (F.col("year") >= 1998).cast("int")).withColumn("z", (F.col("segment") == "BUILDING").cast("int"))
-    return result_frame(spark, E.triple_did(p, "y", "z", "id", "year", "post", "d").rows())
+    return result_frame(spark, E.triple_did(p, "y", "z", "id", "year", "post", "d").rows()).select("term", (F.round("coef", 6) + 0.0).alias("coef"), F.round("se", 6).alias("se"), "nobs", "n_entities")
+
 
+_BINS = (2, 3, 5)
 
-@query("heterogeneity_specs")
+
+def _bin(z: str, n: int) -> str:
+    """Right-closed bins between the distinct cut points; the lowest is in the first."""
+    e = f"e_{z}_{n}"
+    return f"CASE WHEN len(list_distinct({e})) > 1 AND {z} BETWEEN {e}[1] AND {e}[{n + 1}] THEN CAST(greatest(len([c for c in list_distinct({e}) if c < {z}]) - 1, 0) AS INT) END AS {z}_q{n}"
+
+
+_SPLITS = f"""{PANEL}, zs AS (SELECT p.*, b.spend AS z_size, b.n_orders / nullif(b.spend, 0) AS z_deal FROM panel p LEFT JOIN panel b ON b.id = p.id AND b.k = -1),
+cuts AS (SELECT {", ".join(f"quantile_cont({z}, {[i / n for i in range(n + 1)]}) AS e_{z}_{n}" for z in ("z_size", "z_deal") for n in _BINS)} FROM zs WHERE g > 0),
+splits AS (SELECT zs.*, {", ".join(_bin(z, n) for z in ("z_size", "z_deal") for n in _BINS)} FROM zs, cuts)"""
+_SPECS = [f"{z}{q}" for z in ("z_size", "z_deal") for q in ("", "_q2", "_q3", "_q5")]
+
+
+def _splits(spark, sf):
+    p = panel_cy(spark, sf).withColumn("t", (F.col("g") > 0).cast("int"))
+    return H.all_z(p, "id", "k", "t", "spend", "n_orders", "spend", bins=_BINS)
+
+
+@query(
+    "heterogeneity_specs",
+    f"""WITH {_SPLITS}, hs AS ({" UNION ALL ".join(f"SELECT '{z}|{y}' AS grp, id, year, {y} AS y, d, CAST(year >= 1998 AS INT) * coalesce({z}, 0) AS post_x_z, d * coalesce({z}, 0) AS treat_x_z FROM splits" for z in _SPECS for y in ("y", "x"))}), {fe_sql("hs", _TRIPLE)}
+SELECT split_part(grp, '|', 1) AS spec, split_part(grp, '|', 2) AS outcome, term, coef, round(se, 4) AS se, nobs FROM ({coefficients("f", _TRIPLE, 4)})""",
+)
 def _(spark, sf):
-    p = H.baseline_z(panel_cy(spark, sf), "id", "k", "x", "zx").withColumn("post", (F.col("year") >= 1998).cast("int")).withColumn("t", (F.col("g") > 0).cast("int"))
-    p = H.quantile_z(p, "zx", "t", 2, "zx_q2")
-    return E.heterogeneity_specs(p, ["y", "x"], {"size": "zx", "size_q2": "zx_q2"}, "id", "year", post="post", treat="d")
+    p = _splits(spark, sf).withColumn("post", (F.col("year") >= 1998).cast("int"))
+    got = E.heterogeneity_specs(p, ["y", "x"], {z: z for z in _SPECS}, "id", "year", post="post", treat="d")
+    return got.where("coef is not null").select("spec", "outcome", "term", (F.round("coef", 4) + 0.0).alias("coef"), F.round("se", 4).alias("se"), "nobs")
 
 
-@query("all_baseline_splits")
+@query("all_baseline_splits", f"WITH {_SPLITS} SELECT id, year, z_size, round(z_deal, 12) AS z_deal, {', '.join(f'{z}_q{n}' for z in ('z_size', 'z_deal') for n in _BINS)} FROM splits")
 def _(spark, sf):
-    p = panel_cy(spark, sf).withColumn("t", (F.col("g") > 0).cast("int"))
-    return H.all_z(p, "id", "k", "t", "spend", "n_orders", "spend").select("id", "year", "z_size", "z_size_q2", "z_size_q3", "z_size_q5", "z_deal_q2")
+    return _splits(spark, sf).select("id", "year", "z_size", F.round("z_deal", 12).alias("z_deal"), *[f"{z}_q{n}" for z in ("z_size", "z_deal") for n in _BINS])
+
+
+_CELLS = [(g, k) for g in range(FIRST, LAST + 1) for k in _KS if FIRST <= g + k <= LAST]
 
 
-@query("sun_abraham")
+@query(
+    "sun_abraham",
+    f"""WITH {PANEL}, sa AS (SELECT 'a' AS grp, id, year, y, g FROM panel), {fe_sql("sa", [f"(g = {g} AND year = {g + k})" for g, k in _CELLS], twoway=True)},
+sacells AS (SELECT {[g for g, _ in _CELLS]}[CAST(i AS INT)] AS g, {[k for _, k in _CELLS]}[CAST(i AS INT)] AS k, i, beta FROM f_b),
+sizes AS (SELECT g, count(DISTINCT id) AS n FROM panel WHERE g > 0 GROUP BY 1),
+e AS (SELECT ks.k, s.g, s.n, s.n / sum(s.n) OVER (PARTITION BY ks.k) AS w, sum(s.n) OVER (PARTITION BY ks.k) AS total, c.i, coalesce(c.beta, 0) AS b FROM sizes s CROSS JOIN (SELECT unnest({_KS}) AS k) ks LEFT JOIN sacells c ON c.g = s.g AND c.k = ks.k WHERE s.g + ks.k BETWEEN {FIRST} AND {LAST}),
+v1 AS (SELECT a.k, sum(a.w * b.w * v.v) AS v FROM e a JOIN e b ON a.k = b.k JOIN f_v v ON v.i = a.i AND v.j = b.i GROUP BY 1),
+v2 AS (SELECT k, (sum(w * b * b) - sum(w * b) * sum(w * b)) / greatest(1, max(total) - 1) AS v, sum(w * b) AS coef, count(*) AS n_cohorts FROM e GROUP BY 1)
+SELECT k, round(coef, 5) AS coef, round(sqrt(greatest(0, v1.v + v2.v)), 5) AS se, CAST(n_cohorts AS INT) AS n_cohorts FROM v1 JOIN v2 USING (k) UNION ALL SELECT -1, 0, 0, 0""",
+)
 def _(spark, sf):
-    return E.sun_abraham(panel_cy(spark, sf), "y", "id", "year", "g", -3, 3)
+    return E.sun_abraham(panel_cy(spark, sf), "y", "id", "year", "g", -3, 3).select("k", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"), "n_cohorts")
 
 
 _ATT = f"""{PANEL}, c AS (SELECT g, year AS t, sum(y) AS s, count(*) AS n FROM panel GROUP BY 1, 2),
@@ -128,9 +182,14 @@ def _(spark, sf):
     return E.att_gt_dr(panel_cy(spark, sf).where("g in (0, 1998, 1999)"), "y", "id", "year", "g", ["x"], -1, 1)
 
 
-@query("bjs_att_by_k")
+_TAU = f"""{PANEL}, un AS (SELECT 'a' AS grp, id, year, y FROM panel WHERE d = 0), {fe_sql("un", [])},
+al AS (SELECT p.id, avg(p.y - t.effect) AS a FROM panel p JOIN f_t t USING (year) WHERE p.d = 0 GROUP BY 1),
+tau AS (SELECT p.id, p.year, p.k, p.d, p.y - t.effect - coalesce(al.a, 0) AS tau FROM panel p JOIN f_t t USING (year) LEFT JOIN al USING (id))"""
+
+
+@query("bjs_att_by_k", f"WITH {_TAU} SELECT k, CAST(d AS INT) AS treated, round(avg(tau), 6) + 0.0 AS att, count(*) AS n FROM tau WHERE k IS NOT NULL GROUP BY 1, 2")
 def _(spark, sf):
-    return E.bjs_att(E.bjs_effects(panel_cy(spark, sf), "y", "id", "year", "d"), "d")
+    return E.bjs_att(E.bjs_effects(panel_cy(spark, sf), "y", "id", "year", "d"), "d").withColumn("att", F.round("att", 6) + 0.0)
 
 
 @query("bjs_wild_band")
@@ -160,7 +219,7 @@ def _(spark, sf):
     return E.dml_cate(x, "y_post", "t", ["x", "spend"], "id", trees=10)[0]
 
 
-@query("significant_outcomes")
+@query("significant_outcomes", f"WITH {_TWO} SELECT grp AS outcome FROM ({coefficients('f', ['d'])}) WHERE significant")
 def _(spark, sf):
     names = E.significant_outcomes(E.did_table(panel_cy(spark, sf), ["y", "x"], "id", "year", "d"), "d")
     return spark.createDataFrame([(n,) for n in names], "outcome string")
@@ -174,17 +233,31 @@ def _(spark, sf):
     return X.placebo(panel_cy(spark, sf), "id", "year", "g", "lead", 2).select("id", "year", "g_placebo", "k_placebo", "d_placebo")
 
 
-@query("placebo_permute")
+def _hash(parts: str, seed: int = 42) -> str:
+    """hashed() in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {parts}, '{seed}')), 1, 15) AS BIGINT)"
+
+
+_PERMUTED = f"""u AS (SELECT DISTINCT id, g FROM panel WHERE g > 0), o1 AS (SELECT id, row_number() OVER (ORDER BY {_hash("id")}, id) AS r FROM u), o2 AS (SELECT g, row_number() OVER (ORDER BY {_hash("id", 43)}, id) AS r FROM u),
+permuted AS (SELECT p.*, coalesce(o2.g, 0) AS g_placebo FROM panel p LEFT JOIN o1 USING (id) LEFT JOIN o2 USING (r) WHERE p.g = 0 OR p.year < p.g)"""
+
+
+@query("placebo_permute", f"WITH {PANEL}, {_PERMUTED} SELECT id, year, g_placebo, CASE WHEN g_placebo > 0 THEN year - g_placebo END AS k_placebo, CASE WHEN g_placebo > 0 AND year >= g_placebo THEN 1 ELSE 0 END AS d_placebo FROM permuted")
 def _(spark, sf):
     return X.placebo(panel_cy(spark, sf), "id", "year", "g", "permute").select("id", "year", "g_placebo", "k_placebo", "d_placebo")
 
 
-@query("placebo_suite")
+@query(
+    "placebo_suite",
+    f"""WITH {PANEL}, {_PERMUTED}, both_kinds AS (SELECT 'permute' AS kind, id, year, y, x, g_placebo AS gp FROM permuted UNION ALL SELECT 'lead', id, year, y, x, CASE WHEN g > 0 THEN g - 1 ELSE 0 END FROM panel WHERE g = 0 OR year < g),
+pl AS (SELECT kind || '|y' AS grp, id, year, y, CAST(gp > 0 AND year >= gp AS INT) AS d FROM both_kinds UNION ALL SELECT kind || '|x', id, year, x, CAST(gp > 0 AND year >= gp AS INT) FROM both_kinds), {fe_sql("pl", ["d"])}
+SELECT split_part(grp, '|', 1) AS kind, split_part(grp, '|', 2) AS outcome, coef, se, nobs FROM ({coefficients("f", ["d"])})""",
+)
 def _(spark, sf):
-    return X.placebo_suite(panel_cy(spark, sf), ["y"], "id", "year", "g", 1)
+    return X.placebo_suite(panel_cy(spark, sf), ["y", "x"], "id", "year", "g", 1).select("kind", "outcome", (F.round("coef", 6) + 0.0).alias("coef"), F.round("se", 6).alias("se"), "nobs")
 
 
-@query("sample_units")
+@query("sample_units", f"WITH {PANEL}, e AS (SELECT DISTINCT id, CAST(g > 0 AS INT) AS t FROM panel), s AS (SELECT id, t FROM e QUALIFY row_number() OVER (PARTITION BY t ORDER BY {_hash('id')}, id) <= CASE WHEN t = 1 THEN 50 ELSE 100 END) SELECT id, year, t FROM panel JOIN s USING (id)")
 def _(spark, sf):
     p = panel_cy(spark, sf).withColumn("t", (F.col("g") > 0).cast("int"))
     return X.sample_units(p, "id", "t", 50, 100).select("id", "year", "t")
@@ -194,27 +267,44 @@ def _pool(spark, sf, at=1998):
     return panel_cy(spark, sf).where((F.col("year") == at - 1) & F.col("g").isin(0, at)).withColumn("t", (F.col("g") > 0).cast("int"))
 
 
-@query(
-    "match_mahalanobis",
-    f"""WITH {PANEL}, p AS (SELECT *, CASE WHEN g > 0 THEN 1 ELSE 0 END AS t FROM panel WHERE year = 1997 AND g IN (0, 1998)),
-v AS (SELECT segment, var_samp(x) + 1e-8 AS a, covar_samp(x, spend) AS b, var_samp(spend) + 1e-8 AS c FROM p GROUP BY 1),
-j AS (SELECT t.id, u.id AS control, t.segment, sqrt(greatest((c * (t.x - u.x) * (t.x - u.x) - 2 * b * (t.x - u.x) * (t.spend - u.spend) + a * (t.spend - u.spend) * (t.spend - u.spend)) / (a * c - b * b), 0)) AS dist
-  FROM p t JOIN p u ON t.segment = u.segment AND t.t = 1 AND u.t = 0 JOIN v ON v.segment = t.segment)
-SELECT id, segment, round(dist, 4) AS distance FROM j QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, control) = 1""",
-)
+def _nearest(name: str, at: int, used: str = "") -> str:
+    """CTEs with the nearest control of each unit treated in that year, by the block's covariance of the year before."""
+    return f"""{name}p AS (SELECT * FROM panel WHERE year = {at - 1} AND g IN (0, {at}){f" AND id NOT IN (SELECT control FROM {used})" if used else ""}),
+{name}v AS (SELECT segment, var_samp(x) + 1e-8 AS a, covar_samp(x, spend) AS b, var_samp(spend) + 1e-8 AS c FROM {name}p GROUP BY 1),
+{name}j AS (SELECT t.id, u.id AS control, t.segment, sqrt(greatest((c * (t.x - u.x) * (t.x - u.x) - 2 * b * (t.x - u.x) * (t.spend - u.spend) + a * (t.spend - u.spend) * (t.spend - u.spend)) / (a * c - b * b), 0)) AS dist
+  FROM {name}p t JOIN {name}p u ON t.segment = u.segment AND t.g > 0 AND u.g = 0 JOIN {name}v v ON v.segment = t.segment),
+{name} AS MATERIALIZED (SELECT CAST({at} AS BIGINT) AS cohort, id, control, segment, round(dist, 4) AS distance FROM {name}j QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, control) = 1)"""
+
+
+@query("match_mahalanobis", f"WITH {PANEL}, {_nearest('m', 1998)} SELECT id, control, segment, distance FROM m")
 def _(spark, sf):
-    return M.match_mahalanobis(_pool(spark, sf), "id", "t", "segment", "x", "spend").select("id", "segment", F.round("distance", 4).alias("distance"))
+    return M.match_mahalanobis(_pool(spark, sf), "id", "t", "segment", "x", "spend").select("id", "control", "segment", F.round("distance", 4).alias("distance"))
+
+
+def _all_cohorts() -> str:
+    out, used = [], ""
+    for at in range(FIRST, LAST + 1):
+        out.append(_nearest(f"m{at}", at, used))
+        before = f"SELECT * FROM {used} UNION ALL " if used else ""
+        used = f"used{at}"
+        out.append(f"{used} AS MATERIALIZED ({before}SELECT * FROM m{at})")
+    return ",\n".join(out)
 
 
-@query("match_cohorts")
+@query("match_cohorts", f"WITH {PANEL}, {_all_cohorts()} SELECT * FROM used{LAST}")
 def _(spark, sf):
-    return M.match_cohorts(panel_cy(spark, sf), "id", "year", "g", "segment", "x", "spend")
+    return M.match_cohorts(panel_cy(spark, sf), "id", "year", "g", "segment", "x", "spend").select("cohort", "id", "control", "segment", F.round("distance", 4).alias("distance"))
 
 
-@query("match_stack_cohorts")
+@query(
+    "match_stack_cohorts",
+    f"""WITH {PANEL}, {_all_cohorts()}, ids AS (SELECT cohort, id FROM used{LAST} UNION SELECT cohort, control FROM used{LAST}),
+s AS (SELECT p.id, p.year, cohort, p.year - cohort AS event_time, CAST(p.g = cohort AS INT) AS treated FROM panel p JOIN ids USING (id) WHERE p.year - cohort BETWEEN -2 AND 2 QUALIFY row_number() OVER (PARTITION BY p.id, p.year ORDER BY cohort, CAST(p.g = cohort AS INT) DESC) = 1)
+SELECT *, treated * CAST(event_time >= 0 AS INT) AS post_treated FROM s""",
+)
 def _(spark, sf):
     p = panel_cy(spark, sf)
-    pairs = M.match_mahalanobis(_pool(spark, sf), "id", "t", "segment", "x", "spend").withColumn("cohort", F.lit(1998).cast("long"))
+    pairs = M.match_cohorts(p, "id", "year", "g", "segment", "x", "spend")
     return M.stack_cohorts(p, pairs, "id", "year", "g", -2, 2).select("id", "year", "cohort", "event_time", "treated", "post_treated")
 
 

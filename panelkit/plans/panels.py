@@ -72,7 +72,7 @@ def _(spark, sf):
     return W.modal_value(docs(spark, sf), ["person", "year"], "firm", "modal")
 
 
-@query("unit_sample")
+@query("unit_sample", f"WITH {PANEL}, s AS (SELECT DISTINCT id FROM panel ORDER BY CAST('0x' || substr(md5(id || '|42'), 1, 15) AS BIGINT), id LIMIT 100) SELECT id, year, n_orders FROM panel JOIN s USING (id)")
 def _(spark, sf):
     return W.unit_sample(panel_cy(spark, sf), "id", 100).select("id", "year", "n_orders")
 

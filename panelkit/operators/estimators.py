@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-
 from .gram import FeResult, fe_ols, result_frame
+from .stages import stage
 from .windows import first_by
 
 
@@ -81,13 +81,16 @@ def sun_abraham(df: DataFrame, y: str, entity: str, time: str, g: str, lo: int,
     d = df.select(entity, time, F.col(y).cast("double").alias("y"), F.coalesce(F.col(g), F.lit(0)).cast("long").alias("g")).dropna()
     many = d.groupBy(entity).agg(F.countDistinct(time).alias("n")).where("n >= 2").select(entity)
     d = d.join(many, entity, "left_semi")
-    d = d.join(d.groupBy(time).agg(F.countDistinct(entity).alias("n")).where("n >= 2").select(time), time, "left_semi").withColumn("k", F.when(F.col("g") > 0, F.col(time) - F.col("g")))
-    sizes = {r["g"]: r["n"] for r in d.where("g > 0").groupBy("g").agg(F.countDistinct(entity).alias("n")).collect()}
-    cells = sorted((r["g"], r["k"]) for r in d.where(F.col("k").between(lo, hi) & (F.col("k") != ref)).select("g", "k").distinct().collect())
-    first, last = d.agg(F.min(time), F.max(time)).first()
+    d = stage(d.join(d.groupBy(time).agg(F.countDistinct(entity).alias("n")).where("n >= 2").select(time), time, "left_semi"), "cohort-rows")
+    sizes = {r["g"]: r["n"] for r in cohort_sizes(d, entity, "g").withColumnRenamed("w", "n").collect()}
+    seen = [(r["g"], r["t"]) for r in d.select("g", F.col(time).cast("long").alias("t")).distinct().collect()]  # one row a cohort and period
+    first, last = min((t for _, t in seen), default=0), max((t for _, t in seen), default=0)
+    cells = sorted((c, t - c) for c, t in seen if c > 0 and lo <= t - c <= hi and t - c != ref)
     names = {f"g{a}_k{b}".replace("-", "m"): (a, b) for a, b in cells}
-    d = d.withColumns({n: ((F.col("g") == a) & (F.col("k") == b)).cast("double") for n, (a, b) in names.items()})
-    fit = fe_ols(d, "y", list(names), entity, time, cov)
+    number = F.create_map(*[v for i, (a, b) in enumerate(cells) for v in (F.lit(f"{a}|{b}"), F.lit(i))]) if cells else None
+    own = F.concat_ws("|", F.col("g").cast("string"), (F.col(time).cast("long") - F.col("g")).cast("string"))
+    d = d.withColumn("cell", F.element_at(number, own) if cells else F.lit(None).cast("int"))
+    fit = fe_ols(d, "y", [], entity, time, cov, cells=("cell", list(names)))
     at = {names[n]: i for i, n in enumerate(fit.names)}
     rows = [(ref, 0.0, 0.0, 0)]
     for k in range(lo, hi + 1):

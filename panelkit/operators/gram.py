@@ -104,15 +104,18 @@ def entity_chunks(batches: Iterator, columns: list[str]) -> Iterator[tuple[np.nd
         yield np.flatnonzero(np.r_[True, e[1:] != e[:-1]]), held
 
 
-def design(cols: dict[str, np.ndarray], k: int, n_times: int) -> np.ndarray:
-    """[time dummies without the first, x, y]"""
+def design(cols: dict[str, np.ndarray], k: int, n_times: int, cells: int = 0) -> np.ndarray:
+    """[time dummies without the first, x, dummies of the cell in w0, y]"""
     n = len(cols["e"])
-    z = np.zeros((n, n_times - 1 + k + 1))
+    z = np.zeros((n, n_times - 1 + k + cells + 1))
     t = cols["t"]
     on = t > 0
     z[np.flatnonzero(on), t[on] - 1] = 1
     for i in range(k):
         z[:, n_times - 1 + i] = cols[f"v{i + 1}"]
+    if cells:
+        at = np.flatnonzero(~np.isnan(cols["w0"]))
+        z[at, n_times - 1 + k + cols["w0"][at].astype(np.int64)] = 1
     z[:, -1] = cols["v0"]
     return z
 
@@ -151,22 +154,26 @@ def independent(g: np.ndarray, tolerance: float = 1e-9) -> list[int]:
     return keep
 
 
-def fe_ols(df: DataFrame, y: str, x: list[str], entity: str, time: str, cov: str = "entity", dof: float = 1.0) -> FeResult:
+def fe_ols(df: DataFrame, y: str, x: list[str], entity: str, time: str, cov: str = "entity", dof: float = 1.0, cells: tuple[str, list[str]] | None = None) -> FeResult:
     """y on x with entity and time effects; cov: entity, time, twoway or robust; dof: a factor on the covariance.
 
+    cells: a column with the number of each row's cell (NULL: none) and the cells' names; each cell is one more 0/1
+    regressor, made inside the tasks, so that only its number is shuffled.
     Rows with a missing or infinite value go. Regressors that the effects or others absorb are listed, not estimated.
     """
-    d = complete(df, y, x, entity, time)
+    cell, names = cells or (None, [])
+    d = complete(df, y, x, entity, time, [cell] if cell else None)
     times = time_index(d)
-    k, nt = len(x), len(times)
+    k, nt, nc = len(x), len(times), len(names)
+    x = [*x, *names]
     if nt == 0:
         return FeResult([], np.zeros(0), np.zeros((0, 0)), 0, 0, 0.0, 0.0, 0.0, list(x), [], {}, "no rows")
     rows = by_entity(d, times).persist()
-    p = nt - 1 + k + 1
-    cols = ["e", "t", *(f"v{i}" for i in range(k + 1))]
+    p = nt - 1 + k + nc + 1
+    cols = ["e", "t", *(f"v{i}" for i in range(k + 1)), *["w0"] * bool(nc)]
 
     def gram(starts, c):
-        z = demeaned(design(c, k, nt), starts)
+        z = demeaned(design(c, k, nt, nc), starts)
         v = c["v0"]
         return np.concatenate([(z.T @ z).ravel(), [len(v), len(starts), v.sum(), (v * v).sum()]])
 
@@ -184,7 +191,7 @@ def fe_ols(df: DataFrame, y: str, x: list[str], entity: str, time: str, cov: str
         m = len(keep)
 
         def meat(starts, c):
-            z = demeaned(design(c, k, nt), starts)
+            z = demeaned(design(c, k, nt, nc), starts)
             score = z[:, keep] * (z[:, -1] - z[:, keep] @ beta)[:, None]
             per_entity = np.add.reduceat(score, starts, axis=0)
             per_time = np.zeros((nt, m))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import sum0
 from ..functions.scalars import ratio
+from .stages import stage
 from .windows import first_by
 
 
@@ -55,34 +56,46 @@ def peer_benchmark(moves: DataFrame, rows: DataFrame, unit: str, firm: str, year
     unit) are summed first, peers are the firm's total less the mover. Distinct documents of peers are those with a row
     of another unit. Ratios are m / (p + epsilon); zero_peer='null' gives NULL where peers have nothing.
     """
-    cells = rows.groupBy(firm, year, unit).agg(sum0(metric).alias("s"), F.count(metric).alias("n"))
+    cells = stage(rows.groupBy(firm, year, unit).agg(sum0(metric).alias("s"), F.count(metric).alias("n")), "cells")
     firm_years = cells.groupBy(firm, year).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    docs = rows.select(firm, year, doc, unit).distinct()
-    teams = docs.groupBy(firm, year, doc).agg(F.count("*").alias("k"))
+    docs = stage(rows.select(firm, year, doc, unit).distinct(), "docs")
+    teams = stage(docs.groupBy(firm, year, doc).agg(F.count("*").alias("k")), "teams")
     m = moves.select(F.col(unit).alias("__u"), F.col("move_year").alias("__m"), "from_state", "to_state").distinct()
-    keys, out = ["__u", "__m", "from_state", "to_state"], m
-    for name, at, lo, hi in (("origin_pre", "from_state", -window, -1), ("dest_pre", "to_state", -window, -1), ("dest_post", "to_state", 0, window - 1)):
-        # totals depend on the firm and the year of the move only, so they are made once for all its moves
-        pairs = m.select(at, "__m").distinct()
-        near = lambda left, t, at=at, lo=lo, hi=hi: (t[firm] == left[at]) & (t[year] - left["__m"]).between(lo, hi)
-        total = pairs.join(firm_years, near(pairs, firm_years)).groupBy(at, "__m").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-        all_docs = pairs.join(teams, near(pairs, teams)).groupBy(at, "__m").agg(F.countDistinct(doc).alias("all"))
-        own = m.join(cells, near(m, cells) & (cells[unit] == m["__u"])).groupBy(*keys).agg(F.sum("s").alias("ms"), F.sum("n").alias("mn"))
-        mine = m.join(docs, near(m, docs) & (docs[unit] == m["__u"])).groupBy(*keys, docs[doc].alias("__d")).agg(F.count("*").alias("years"))
-        # alone: in no year of the window does another unit have the document at the firm
-        same = (teams[firm] == mine[at]) & (teams[doc] == mine["__d"]) & (teams[year] - mine["__m"]).between(lo, hi)
-        mine = mine.join(teams, same).groupBy(*keys, "__d", "years").agg(F.sum("k").alias("k"))
-        mine = mine.groupBy(*keys).agg(F.count("*").alias("md"), F.sum((F.col("k") == F.col("years")).cast("int")).alias("alone"))
-        part = m.join(total, [at, "__m"], "left").join(all_docs, [at, "__m"], "left").join(own, keys, "left").join(mine, keys, "left")
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        part = part.select(
-            *keys,
-            ratio(F.col("ms"), F.col("mn")).alias(f"mover_{name}"),
-            ratio(F.col("ts") - zero("ms"), F.col("tn") - zero("mn")).alias(f"peers_{name}"),
-            zero("md").alias(f"mover_docs_{name}"),
-            (zero("all") - zero("alone")).alias(f"peers_docs_{name}"),
-        )
-        out = out.join(part, keys)
+    # each move twice, at its origin and at its destination; both windows are summed in one join
+    place = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("at"))
+    m = stage(m.withColumn("p", F.explode(F.array(place("origin", "from_state"), place("dest", "to_state")))).select("__u", "__m", "from_state", "to_state", "p.*"), "moves")
+    keys = ["__u", "__m", "from_state", "to_state"]
+    sides = {"pre": F.col("rel") < 0, "post": F.col("rel") >= 0}
+
+    def near(left: DataFrame, t: DataFrame, *on) -> DataFrame:
+        rel = t[year] - left["__m"]
+        cond = (t[firm] == left["at"]) & rel.between(-window, window - 1)
+        for c in on:
+            cond = cond & c
+        return left.join(t, cond).withColumn("rel", rel)
+
+    by_side = lambda f, **cs: [f(F.when(w, F.col(c))).alias(f"{k}_{n}") for n, w in sides.items() for k, c in cs.items()]
+    # totals depend on the firm and the year of the move only, so they are made once for all its moves
+    pairs = m.select("at", "__m").distinct()
+    total = near(pairs, firm_years).groupBy("at", "__m").agg(*by_side(F.sum, ts="s", tn="n"))
+    seen = near(pairs, teams).groupBy("at", "__m", doc).agg(*by_side(F.count, c="k"))
+    all_docs = seen.groupBy("at", "__m").agg(*[F.count_if(F.col(f"c_{n}") > 0).alias(f"all_{n}") for n in sides])
+    own = near(m, cells, cells[unit] == m["__u"]).groupBy(*keys, "role").agg(*by_side(F.sum, ms="s", mn="n"))
+    mine = near(m, docs, docs[unit] == m["__u"]).groupBy(*keys, "role", "at", docs[doc].alias("__d")).agg(*by_side(F.count, years="role"))
+    # alone: in no year of the window does another unit have the document at the firm
+    mine = near(mine, teams, teams[doc] == mine["__d"]).groupBy(*keys, "role", "__d", *[f"years_{n}" for n in sides]).agg(*by_side(F.sum, k="k"))
+    has = lambda n: F.col(f"years_{n}") > 0
+    mine = mine.groupBy(*keys, "role").agg(*[F.count_if(has(n)).alias(f"md_{n}") for n in sides], *[F.count_if(has(n) & (F.col(f"k_{n}") == F.col(f"years_{n}"))).alias(f"alone_{n}") for n in sides])
+    x = m.join(total, ["at", "__m"], "left").join(all_docs, ["at", "__m"], "left").join(own, [*keys, "role"], "left").join(mine, [*keys, "role"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    parts = []
+    for role, side in (("origin", "pre"), ("dest", "pre"), ("dest", "post")):
+        values = {
+            "mover": ratio(F.col(f"ms_{side}"), F.col(f"mn_{side}")), "peers": ratio(F.col(f"ts_{side}") - zero(f"ms_{side}"), F.col(f"tn_{side}") - zero(f"mn_{side}")),
+            "mover_docs": zero(f"md_{side}"), "peers_docs": zero(f"all_{side}") - zero(f"alone_{side}"),
+        }
+        parts += [F.max(F.when(F.col("role") == role, v)).alias(f"{k}_{role}_{side}") for k, v in values.items()]
+    out = x.groupBy(*keys).agg(*parts)
 
     def against(a: str, b: str):
         den = F.col(b) if zero_peer == "null" else F.col(b) + epsilon

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .stages import stage
 
 
 def class_counts(rows: DataFrame, entity: str, year: str, cls: str, doc: str | None = None) -> DataFrame:
@@ -17,17 +18,19 @@ def class_counts(rows: DataFrame, entity: str, year: str, cls: str, doc: str | N
     return x.groupBy(F.col(entity).alias("e"), F.col(year).alias("y"), F.col(cls).alias("c")).agg(n.alias("n"))
 
 
-def vectors_in_window(keys: DataFrame, counts: DataFrame, entity: str, at: str, lo: int, hi: int, name: str) -> DataFrame:
-    """keys' columns, c, `name`: the summed vector of keys[entity] over the years at+lo to at+hi."""
-    cols = keys.columns
-    near = (counts["e"] == keys[entity]) & (counts["y"] >= keys[at] + lo) & (counts["y"] <= keys[at] + hi)
-    return keys.join(counts, near).groupBy(*[keys[c] for c in cols], "c").agg(F.sum("n").cast("double").alias(name))
+def vectors_in_windows(keys: DataFrame, counts: DataFrame, entity: str, at: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
+    """keys' columns, c and one column per window: the summed vector of keys[entity] over the years at+lo to at+hi. One join for all windows."""
+    rel = F.col("__y") - F.col(at)
+    wide = rel.between(min(lo for lo, _ in windows.values()), max(hi for _, hi in windows.values()))
+    x = keys.join(counts.toDF("__e", "__y", "c", "n"), (F.col("__e") == F.col(entity)) & wide).withColumn("__rel", rel)
+    return x.groupBy(*keys.columns, "c").agg(*[F.sum(F.when(F.col("__rel").between(lo, hi), F.col("n"))).cast("double").alias(k) for k, (lo, hi) in windows.items()])
 
 
-def cosines(vectors: dict[str, DataFrame], keys: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """keys and one cosine per pair of vectors; NULL where either is empty."""
-    long = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), vectors.values())
-    wide = long.groupBy(*keys, "c").agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in vectors])
+def cosines(tables: list[DataFrame], keys: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """keys and one cosine per pair of vectors, the columns of the tables; NULL where either is empty."""
+    vectors = sorted({v for p in pairs.values() for v in p})
+    wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    wide = wide.groupBy(*keys, "c").agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in vectors])
     sums = wide.groupBy(*keys).agg(
         *[F.sum(F.col(v) * F.col(v)).alias(f"__{v}") for v in vectors], *[F.sum(F.col(a) * F.col(b)).alias(f"__dot_{k}") for k, (a, b) in pairs.items()]
     )
@@ -39,10 +42,8 @@ def event_proximity(moves: DataFrame, rows: DataFrame, unit: str, firm: str, yea
     m = moves.select(F.col(unit).alias("u"), F.col("move_year").alias("m"), F.col("from_state").alias("f"), F.col("to_state").alias("t")).distinct()
     own, firms = class_counts(rows, unit, year, cls, doc), class_counts(rows, firm, year, cls, doc)
     keys = ["u", "m", "f", "t"]
-    v = {}
-    for who, col, counts in (("inv", "u", own), ("from", "f", firms), ("to", "t", firms)):
-        v[f"{who}_pre"] = vectors_in_window(m, counts, col, "m", 1 - window, 0, f"{who}_pre")
-        v[f"{who}_post"] = vectors_in_window(m, counts, col, "m", 1, window, f"{who}_post")
+    m, own, firms = stage(m, "moves"), stage(own, "own"), stage(firms, "firms")
+    v = [vectors_in_windows(m, counts, col, "m", {f"{who}_pre": (1 - window, 0), f"{who}_post": (1, window)}) for who, col, counts in (("inv", "u", own), ("from", "f", firms), ("to", "t", firms))]
     pairs = {"inv_pre_post": ("inv_pre", "inv_post"), "from_pre_post": ("from_pre", "from_post"), "to_pre_post": ("to_pre", "to_post"), "inv_from_pre": ("inv_pre", "from_pre"), "inv_to_pre": ("inv_pre", "to_pre"), "inv_to_post": ("inv_post", "to_post"), "from_to_pre": ("from_pre", "to_pre")}
     return m.join(cosines(v, keys, pairs), keys, "left").withColumnsRenamed({"u": unit, "m": "move_year", "f": "from_state", "t": "to_state"})
 
@@ -53,17 +54,18 @@ def rolling_similarity(moves: DataFrame, rows: DataFrame, unit: str, firm: str,
     history='active': firms' histories hold only years in which the unit was active; 'all': every year.
     """
     m = moves.select(F.col(unit).alias("u"), F.col("from_state").alias("f"), F.col("to_state").alias("t")).distinct()
-    own, firms = class_counts(rows, unit, year, cls), class_counts(rows, firm, year, cls)
+    own, firms = stage(class_counts(rows, unit, year, cls), "own"), stage(class_counts(rows, firm, year, cls), "firms")
     active = own.select(F.col("e").alias("u"), F.col("y").alias("y0")).distinct()
-    keys = m.join(active, "u").withColumnRenamed("y0", "at")
+    keys = stage(m.join(active, "u").withColumnRenamed("y0", "at"), "keys")
     names = ["u", "f", "t", "at"]
-    v = {"inv_hist": vectors_in_window(keys, own, "u", "at", -window, -1, "inv_hist"), "inv_now": vectors_in_window(keys, own, "u", "at", 0, 0, "inv_now")}
-    for who, col in (("from", "f"), ("to", "t")):
-        if history == "active":
-            seen = keys.join(active.toDF("u", "y"), "u").where(F.col("y").between(F.col("at") - window, F.col("at") - 1))
-            v[f"{who}_hist"] = seen.join(firms.withColumnRenamed("y", "fy"), (F.col("e") == F.col(col)) & (F.col("fy") == F.col("y"))).groupBy(*names, "c").agg(F.sum("n").cast("double").alias(f"{who}_hist"))
-        else:
-            v[f"{who}_hist"] = vectors_in_window(keys, firms, col, "at", -window, -1, f"{who}_hist")
+    v = [vectors_in_windows(keys, own, "u", "at", {"inv_hist": (-window, -1), "inv_now": (0, 0)})]
+    if history == "active":
+        seen = keys.join(active.toDF("u", "y"), "u").where(F.col("y").between(F.col("at") - window, F.col("at") - 1))
+        seen = seen.withColumn("p", F.explode(F.array(*[F.struct(F.lit(w).alias("who"), F.col(c).alias("e")) for w, c in (("from", "f"), ("to", "t"))]))).select(*names, "y", "p.*")
+        x = seen.join(firms, ["e", "y"]).groupBy(*names, "c").agg(*[F.sum(F.when(F.col("who") == w, F.col("n"))).cast("double").alias(f"{w}_hist") for w in ("from", "to")])
+        v.append(x)
+    else:
+        v += [vectors_in_windows(keys, firms, col, "at", {f"{who}_hist": (-window, -1)}) for who, col in (("from", "f"), ("to", "t"))]
     pairs = {"inv_self": ("inv_now", "inv_hist"), "inv_from": ("inv_now", "from_hist"), "inv_to": ("inv_now", "to_hist"), "hist_from": ("inv_hist", "from_hist"), "hist_to": ("inv_hist", "to_hist")}
     return keys.join(cosines(v, names, pairs), names, "left").withColumnsRenamed({"u": unit, "f": "from_state", "t": "to_state", "at": year})
 
@@ -72,16 +74,15 @@ def rolling_self_similarity(rows: DataFrame, entity: str, year: str, cls: str, w
     """entity, year, similarity: cosine of the year's classes with those of the window before; years without a history are left out."""
     counts = class_counts(rows, entity, year, cls)
     keys = counts.select("e", F.col("y").alias("at")).distinct()
-    v = {"now": vectors_in_window(keys, counts, "e", "at", 0, 0, "now"), "hist": vectors_in_window(keys, counts, "e", "at", -window, -1, "hist")}
-    return cosines(v, ["e", "at"], {"similarity": ("now", "hist")}).where("similarity is not null").toDF(entity, year, "similarity")
+    v = vectors_in_windows(keys, counts, "e", "at", {"now": (0, 0), "hist": (-window, -1)})
+    return cosines([v], ["e", "at"], {"similarity": ("now", "hist")}).where("similarity is not null").toDF(entity, year, "similarity")
 
 
 def pairwise_similarity(events: DataFrame, rows: DataFrame, a: str, b: str, at: str, entity: str, year: str, cls: str, doc: str, window: int = 5) -> DataFrame:
     """events' (a, b, at) with similarity of both parties over [at-window+1, at], distinct documents."""
     k = events.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(at).alias("at")).distinct()
     counts = class_counts(rows, entity, year, cls, doc)
-    v = {n: vectors_in_window(k, counts, n, "at", 1 - window, 0, f"v{n}") for n in ("a", "b")}
-    v = {f"v{n}": x for n, x in v.items()}
+    v = [vectors_in_windows(k, counts, n, "at", {f"v{n}": (1 - window, 0)}) for n in ("a", "b")]
     return k.join(cosines(v, ["a", "b", "at"], {"similarity": ("va", "vb")}), ["a", "b", "at"], "left").toDF(a, b, at, "similarity")
 
 

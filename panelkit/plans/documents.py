@@ -8,7 +8,7 @@ from ..functions.nulls import sum0
 from ..operators import docs as D
 from ..operators import moves as M
 from ..operators import similarity as S
-from .domain import DOCS, MOVES, SEGMENTS, docs, moves, segment_rows, table
+from .domain import DOCS, MOVES, SEGMENTS, docs, moves, moves_and_rows, segment_rows, table
 from .registry import query
 
 R = lambda c: F.round(c, 5).alias(c) if isinstance(c, str) else F.round(c, 5)
@@ -137,7 +137,7 @@ p AS (SELECT *, CASE WHEN rel < 0 THEN 'pre' ELSE 'post' END AS period FROM x)""
 
 
 def _around(spark, sf):
-    return M.performance_around(moves(spark, sf), segment_rows(spark, sf), "person", "move_year", "ship_year", {"n_docs": "doc_id"}, ["value"], ["qty"], 2)
+    return M.performance_around(*moves_and_rows(spark, sf), "person", "move_year", "ship_year", {"n_docs": "doc_id"}, ["value"], ["qty"], 2)
 
 
 @query("performance_around_long", f"WITH {_AROUND} SELECT person, move_year, period, count(DISTINCT doc_id) AS n_docs, round(coalesce(sum(value), 0), 2) AS sum_value, round(avg(qty), 5) AS mean_qty FROM p GROUP BY 1, 2, 3")
@@ -180,14 +180,16 @@ _PEER_PARTS = "".join(
 @query(
     "peer_benchmark",
     f"""WITH {MOVES}, m AS (SELECT DISTINCT person, move_year, from_state, to_state FROM moves){_PEER_PARTS}
-SELECT op.person, op.move_year, op.from_state, op.to_state, round(op.mm, 3) AS mover_origin_pre, round(op.pm, 3) AS peers_origin_pre, round(dp.pm, 3) AS peers_dest_pre,
-  round(dq.mm, 3) AS mover_dest_post, round(dq.pm, 3) AS peers_dest_post, op.md AS mover_docs_origin_pre, op.pd AS peers_docs_origin_pre, dq.pd AS peers_docs_dest_post,
+SELECT op.person, op.move_year, op.from_state, op.to_state, round(op.mm + 1e-6, 3) AS mover_origin_pre, round(op.pm + 1e-6, 3) AS peers_origin_pre, round(dp.pm + 1e-6, 3) AS peers_dest_pre,
+  round(dq.mm + 1e-6, 3) AS mover_dest_post, round(dq.pm + 1e-6, 3) AS peers_dest_post, op.md AS mover_docs_origin_pre, op.pd AS peers_docs_origin_pre, dq.pd AS peers_docs_dest_post,
   round(op.mm / (op.pm + 1e-9), 5) AS ratio_origin, round(dq.mm / (dq.pm + 1e-9), 5) AS ratio_dest
 FROM op JOIN dp USING (person, move_year, from_state, to_state) JOIN dq USING (person, move_year, from_state, to_state)""",
 )
 def _(spark, sf):
-    got = M.peer_benchmark(moves(spark, sf), segment_rows(spark, sf).withColumnRenamed("state", "place"), "person", "place", "ship_year", "doc_id", "value", 2)
-    three = [F.round(c, 3).alias(c) for c in ("mover_origin_pre", "peers_origin_pre", "peers_dest_pre", "mover_dest_post", "peers_dest_post")]
+    m, rows = moves_and_rows(spark, sf)
+    got = M.peer_benchmark(m, rows.withColumnRenamed("state", "place"), "person", "place", "ship_year", "doc_id", "value", 2)
+    # a mean of cents often ends in an exact 5, which sums in another order would round the other way
+    three = [F.round(F.col(c) + 1e-6, 3).alias(c) for c in ("mover_origin_pre", "peers_origin_pre", "peers_dest_pre", "mover_dest_post", "peers_dest_post")]
     return got.select("person", "move_year", "from_state", "to_state", *three, "mover_docs_origin_pre", "peers_docs_origin_pre", "peers_docs_dest_post", R("ratio_origin"), R("ratio_dest"))
 
 
@@ -208,14 +210,13 @@ _PROX = {"inv_pre_post": ("ip", "iq"), "from_pre_post": ("fp", "fq"), "to_pre_po
 _PROX_VECTORS = ", ".join(
     f"{n} AS (SELECT k.person, k.move_year, k.from_state, k.to_state, class AS c, count(DISTINCT doc_id, ship_year)::DOUBLE AS n FROM k JOIN seg ON seg.{col} = k.{key} AND ship_year - k.move_year BETWEEN {lo} AND {hi} GROUP BY 1, 2, 3, 4, 5)".replace("count(DISTINCT doc_id, ship_year)", "count(DISTINCT (doc_id, ship_year))")
     for who, col, key in (("i", "person", "person"), ("f", "state", "from_state"), ("t", "state", "to_state"))
-    for n, lo, hi in ((who + "p", -1, 0), (who + "q", 1, 2))
+    for n, lo, hi in ((who + "p", -4, 0), (who + "q", 1, 5))
 )
 
 
 @query("event_proximity", f"WITH {MOVES}, k AS (SELECT DISTINCT person, move_year, from_state, to_state FROM moves), {_PROX_VECTORS}, " + _cos(["person", "move_year", "from_state", "to_state"], None, _PROX))
 def _(spark, sf):
-    rows = segment_rows(spark, sf)
-    got = S.event_proximity(moves(spark, sf), rows, "person", "state", "ship_year", "class", "doc_id", 2)
+    got = S.event_proximity(*moves_and_rows(spark, sf), "person", "state", "ship_year", "class", "doc_id", 5)
     return got.select("person", "move_year", "from_state", "to_state", *[R(c) for c in _PROX])
 
 
@@ -235,7 +236,7 @@ thist AS (SELECT k.person, k.from_state, k.to_state, k.ship_year, class AS c, co
     + _cos(["person", "from_state", "to_state", "ship_year"], None, _ROLL),
 )
 def _(spark, sf):
-    got = S.rolling_similarity(moves(spark, sf), segment_rows(spark, sf), "person", "state", "ship_year", "class", 2)
+    got = S.rolling_similarity(*moves_and_rows(spark, sf), "person", "state", "ship_year", "class", 2)
     return got.select("person", "from_state", "to_state", "ship_year", *[R(c) for c in _ROLL])
 
 
@@ -259,22 +260,22 @@ vb AS (SELECT k.*, class AS c, count(DISTINCT (doc_id, ship_year))::DOUBLE AS n
     + _cos(["from_state", "to_state", "move_year"], None, {"similarity": ("va", "vb")}),
 )
 def _(spark, sf):
-    got = S.pairwise_similarity(moves(spark, sf), segment_rows(spark, sf), "from_state", "to_state", "move_year", "state", "ship_year", "class", "doc_id", 2)
+    got = S.pairwise_similarity(*moves_and_rows(spark, sf), "from_state", "to_state", "move_year", "state", "ship_year", "class", "doc_id", 2)
     return got.withColumn("similarity", F.round("similarity", 5))
 
 
 @query(
     "map_cosine",
-    f"""WITH {DOCS}, n AS (SELECT firm, year, class, count(*)::DOUBLE AS n FROM docs WHERE year IN (1996, 1997) GROUP BY 1, 2, 3),
-d AS (SELECT a.firm, sum(a.n * b.n) AS dot FROM n a JOIN n b ON a.firm = b.firm AND a.class = b.class AND a.year = 1996 AND b.year = 1997 GROUP BY 1),
-s AS (SELECT firm, sum(n * n) FILTER (year = 1996) AS x, sum(n * n) FILTER (year = 1997) AS z FROM n GROUP BY 1)
-SELECT s.firm, round(coalesce(dot, 0) / sqrt(x * z), 5) AS similarity FROM s LEFT JOIN d USING (firm) WHERE x IS NOT NULL AND z IS NOT NULL""",
+    f"""WITH {DOCS}, n AS (SELECT firm, year, class, count(*)::DOUBLE AS n FROM docs GROUP BY 1, 2, 3), s AS (SELECT firm, year, sum(n * n) AS s FROM n GROUP BY 1, 2),
+d AS (SELECT a.firm, a.year, sum(a.n * b.n) AS dot FROM n a JOIN n b ON a.firm = b.firm AND a.class = b.class AND b.year = a.year + 1 GROUP BY 1, 2)
+SELECT s.firm, s.year, round(coalesce(dot, 0) / sqrt(s.s * z.s), 5) AS similarity FROM s JOIN s z ON z.firm = s.firm AND z.year = s.year + 1 LEFT JOIN d ON d.firm = s.firm AND d.year = s.year""",
 )
 def _(spark, sf):
-    n = docs(spark, sf).where(F.col("year").isin(1996, 1997)).groupBy("firm", "year", "class").agg(F.count("*").cast("double").alias("n"))
-    maps = n.groupBy("firm").pivot("year", [1996, 1997]).agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))))
-    got = maps.dropna().select("firm", S.map_cosine(F.col("1996"), F.col("1997")).alias("similarity"))
-    return got.where("similarity is not null").withColumn("similarity", F.round("similarity", 5))
+    n = docs(spark, sf).groupBy("firm", "year", "class").agg(F.count("*").cast("double").alias("n"))
+    maps = n.groupBy("firm", "year").agg(F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("m"))
+    after = maps.select("firm", (F.col("year") - 1).alias("year"), F.col("m").alias("z"))
+    got = maps.join(after, ["firm", "year"]).select("firm", "year", S.map_cosine(F.col("m"), F.col("z")).alias("similarity"))
+    return got.withColumn("similarity", F.round("similarity", 5))
 
 
 @query("class_shares", f"WITH {SEGMENTS} SELECT state, class, count(*) AS n, round(coalesce(sum(value), 0), 2) AS value FROM seg GROUP BY 1, 2")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import fill_counts
 from ..operators.moves import stable_moves
+from ..operators.stages import stage
 
 FIRST, LAST, BIG = 1995, 2001, 480000
 MOVE_ORDER = ["ship_date", "doc_id", "line", "part_id"]
@@ -62,6 +63,13 @@ def moves(spark: SparkSession, sf: str) -> DataFrame:
     return got.withColumn("move_year", F.year("ship_date").cast("long"))
 
 
+def moves_and_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Moves and segment rows, each written once: what uses both reads the base tables a single time."""
+    rows = stage(segment_rows(spark, sf), "segment-rows")
+    got = stable_moves(rows, "person", "state", MOVE_ORDER).withColumn("move_year", F.year("ship_date").cast("long"))
+    return stage(got, "moves"), rows
+
+
 MOVES = SEGMENTS + """, lagged AS (
   SELECT *, lag(state, 1) OVER w AS p1, lag(state, 2) OVER w AS p2, lead(state, 1) OVER w AS n1, lead(state, 2) OVER w AS n2,
          count(*) OVER (PARTITION BY person) AS n

@@ -13,7 +13,7 @@ from ..operators import windows as W
 from ..operators.accounting import winsorize
 from ..operators.deals import deal_roles
 from ..operators.joins import asof_override, interval_join, nearest_event, two_sided_link
-from .domain import BIG, DOCS, MOVES, PANEL, docs, moves, panel_cy, segment_rows, table
+from .domain import BIG, DOCS, MOVES, PANEL, docs, moves_and_rows, panel_cy, table
 from .registry import query
 
 
@@ -134,8 +134,9 @@ def _(spark, sf):
 SELECT p.person, p.ship_year, coalesce((SELECT max((m.move_year, epoch_us(CAST(ship_date AS TIMESTAMP)), m.doc_id, m.line, m.part_id, m.to_state)) FROM moves m WHERE m.person = p.person AND m.move_year <= p.ship_year)[6], cur) AS state FROM p""",
 )
 def _(spark, sf):
-    p = segment_rows(spark, sf).select("person", "ship_year").distinct().withColumn("cur", F.lit("none"))
-    m = moves(spark, sf).withColumn("__seq", F.struct("ship_date", "doc_id", "line", "part_id"))
+    m, rows = moves_and_rows(spark, sf)
+    p = rows.select("person", "ship_year").distinct().withColumn("cur", F.lit("none"))
+    m = m.withColumn("__seq", F.struct("ship_date", "doc_id", "line", "part_id"))
     return asof_override(p, m, "person", "ship_year", "move_year", "to_state", "cur", "state").select("person", "ship_year", "state")
 
 
@@ -172,9 +173,10 @@ SELECT firm, data_year, n_docs, n_people, round(v, 2) AS sum_value, round(q, 5)
 FROM sp JOIN m USING (firm, data_year) LEFT JOIN a USING (firm, data_year) LEFT JOIN b USING (firm, data_year)""",
 )
 def _(spark, sf):
-    s = segment_rows(spark, sf).drop("firm").withColumnsRenamed({"state": "firm", "ship_year": "data_year"})
+    moved, rows = moves_and_rows(spark, sf)
+    s = rows.drop("firm").withColumnsRenamed({"state": "firm", "ship_year": "data_year"})
     m = P.metrics(s, ["firm", "data_year"], {"n_docs": "doc_id", "n_people": "person"}, ["value"], ["qty"])
-    got = P.firm_year_panel(s.select("firm", "data_year").distinct(), [m, P.departures_arrivals(moves(spark, sf), "person")], ["n_docs", "n_people", "n_departures", "n_arrivals"])
+    got = P.firm_year_panel(s.select("firm", "data_year").distinct(), [m, P.departures_arrivals(moved, "person")], ["n_docs", "n_people", "n_departures", "n_arrivals"])
     return got.select("firm", "data_year", "n_docs", "n_people", r("sum_value", 2), r("mean_qty"), "n_departures", "n_arrivals")
 
 

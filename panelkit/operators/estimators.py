@@ -6,11 +6,11 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from .gram import FeResult, fe_ols, result_frame
+from .gram import FeResult, fe_ols, result_frame, time_index
 from .stages import stage
 from .windows import first_by
 
@@ -225,53 +225,159 @@ def bjs_att(effects: DataFrame, treated: str, k: str = "k") -> DataFrame:
     return effects.where(F.col(k).isNotNull()).groupBy(k, F.col(treated).cast("int").alias("treated")).agg(F.avg("tau").alias("att"), F.count("tau").alias("n"))
 
 
-def synthetic_control(df: DataFrame, y: str, entity: str, time: str, g: str, block: str, min_pre: int = 5, min_post: int = 3, pre_fit: int = 10, lo: int = -5, hi: int = 5, ridge: float = 1e-3, max_donors: int = 400) -> DataFrame:
-    """entity, k, gap, n_donors: each eligible treated unit against a non-negative mix of never-treated units of its block.
+#: Donors of one block of rows, and treated units of one batch, that a task holds together.
+DONORS, UNITS = 2048, 128
 
-    Donors have values in all of the unit's years and vary before treatment. Weights solve a ridge least-squares problem
-    with weights falling with the distance to treatment, without negative ones; the mean gap before treatment is taken
-    out. The donors of a block are the nearest in mean level before treatment, max_donors at most (a parameter of the
-    method: the fit is per unit, in memory).
+
+def synthetic_control(df: DataFrame, y: str, entity: str, time: str, g: str, block: str | None = None, min_pre: int = 5, min_post: int = 3, pre_fit: int = 10, lo: int = -5, hi: int = 5, ridge: float = 1e-3, rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+    """entity, k, gap, n_donors: each eligible treated unit against a non-negative mix of all never-treated units.
+
+    Donors have values in all of the unit's periods and vary before treatment; with a block only those of the unit's
+    block take part. Weights solve a ridge least-squares problem over the pre_fit periods before treatment, with
+    weights falling with the distance to it, without negative ones; the mean gap of those periods is taken out. Units
+    with fewer than two donors are left out.
+
+    The problem is solved in its dual: with r the weighted residuals of the few fitted periods, donor i's weight is
+    max(0, a_i'r) / ridge, and r solves r = b - sum_i a_i max(0, a_i'r) / ridge. A Newton step needs only sums over
+    donors, so every step is one pass of the units' small vectors over all donors in blocks; nobody holds all donors,
+    and none is left out.
     """
-    c = df.select(F.col(entity).alias("e"), F.col(time).cast("long").alias("t"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(g), F.lit(0)).cast("long").alias("g"), F.col(block).alias("b")).dropna()
-    c = c.groupBy("e", "b", "g", "t").agg(F.avg("y").alias("y"))
-    tr = c.where("g > 0")
-    spans = tr.groupBy("e", "b", "g").agg(F.sum((F.col("t") < F.col("g")).cast("int")).alias("pre"), F.sum((F.col("t") >= F.col("g")).cast("int")).alias("post"), F.count("*").alias("years"), F.avg(F.when(F.col("t") < F.col("g"), F.col("y"))).alias("level"))
-    ok = spans.where((F.col("pre") >= min_pre) & (F.col("post") >= min_post)).select(F.col("e").alias("u"), "b", F.col("g").alias("ug"), "years", "level")
-    dn = c.where("g = 0").select(F.col("e").alias("d"), "b", "t", F.col("y").alias("dy"))
-    uy = tr.select(F.col("e").alias("u"), "t", "y").join(ok, "u")
-    pair = uy.join(dn, ["b", "t"])
-    q = pair.groupBy("u", "d", "years", "level").agg(F.count("*").alias("n"), F.stddev_samp(F.when(F.col("t") < F.col("ug"), F.col("dy"))).alias("sd"), F.avg(F.when(F.col("t") < F.col("ug"), F.col("dy"))).alias("dlevel"))
-    q = q.where((F.col("n") == F.col("years")) & (F.col("sd") > 0))
-    near = Window.partitionBy("u").orderBy(F.abs(F.col("dlevel") - F.col("level")), "d")
-    q = q.withColumn("r", F.row_number().over(near)).where(F.col("r") <= max_donors).select("u", "d")
-    long = pair.join(q, ["u", "d"]).select("u", "ug", "t", "y", "d", "dy")
-
-    def fit(pdf):
+    b_col = F.col(block).cast("string") if block else F.lit("all")
+    c = df.select(F.col(entity).alias("e"), F.col(time).cast("long").alias("t"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(g), F.lit(0)).cast("long").alias("g"), b_col.alias("b")).dropna()
+    c = stage(c.groupBy("e", "b", "g", "t").agg(F.avg("y").alias("y")), "scm")
+    times = time_index(c)
+    at = F.create_map(*[v for i, t in enumerate(times) for v in (F.lit(t), F.lit(i))]) if times else None
+    nt = len(times)
+    empty = df.sparkSession.createDataFrame([], f"{entity} {dict(df.dtypes)[entity]}, k long, gap double, n_donors long")
+    if not nt:
+        return empty
+    c = c.withColumn("i", F.element_at(at, F.col("t")))
+    path = F.array_sort(F.collect_list(F.struct("i", "y")))  # at most one pair a period
+    donors = c.where("g = 0").groupBy("b", "e").agg(path.alias("p"))
+    sizes = {r["b"]: r["n"] for r in donors.groupBy("b").agg(F.count("*").alias("n")).collect()}  # one row a block
+    spans = c.where("g > 0").groupBy("b", "e", "g").agg(path.alias("p"), F.count_if(F.col("t") < F.col("g")).alias("pre"), F.count_if(F.col("t") >= F.col("g")).alias("post"))
+    units = spans.where((F.col("pre") >= min_pre) & (F.col("post") >= min_post)).select("b", F.col("e").alias("u"), "g", "p")
+    kind = dict(df.dtypes)[entity]
+    parts = F.create_map(*[v for k, n in sizes.items() for v in (F.lit(k), F.lit(-(-n // DONORS)))]) if sizes else None
+    if parts is None:
+        return empty
+    donors = donors.withColumn("part", F.pmod(F.xxhash64("e"), F.element_at(parts, F.col("b"))).cast("int"))
+
+    def matrix(paths) -> np.ndarray:
+        out = np.full((len(paths), nt), np.nan)
+        for row, p in zip(out, paths, strict=True):
+            for x in p:
+                row[x["i"]] = x["y"]
+        return out
+
+    def pack(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"b": pdf["b"].iloc[:1], "part": pdf["part"].iloc[:1], "rows": [matrix(pdf["p"]).tobytes()]})
+
+    blocks = stage(donors.groupBy("b", "part").applyInPandas(pack, "b string, part int, rows binary"), "donors")
+
+    def setting(own: np.ndarray, when: int):
+        """(the unit's periods, those before treatment, fitted ones, roots of their weights)."""
+        t = np.array(times)
+        has = ~np.isnan(own)
+        before = has & (t < when)
+        fit = np.flatnonzero(before & (t >= when - pre_fit))
+        dist = (when - t[fit]).astype(float)
+        return has, before, fit, np.sqrt((1 - dist / dist.max()) ** 2 + 1e-6) if len(fit) else dist
+
+    def usable(d: np.ndarray, has: np.ndarray, before: np.ndarray) -> np.ndarray:
+        ok = ~np.isnan(d[:, has]).any(axis=1)
+        sd = np.zeros(len(d))
+        if before.sum() > 1:
+            sd[ok] = d[np.ix_(ok, before)].std(axis=1)
+        return d[ok & (sd > 0)]
+
+    def passed(state: DataFrame, final: bool) -> DataFrame:
+        """Sums over all donors for each unit: at the state's r, of the gradient and Hessian, or of the synthetic path."""
+
+        def work(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                rows = []
+                for d, us in zip(batch.column(0), batch.column(1), strict=True):
+                    d = np.frombuffer(d.as_py(), float).reshape(-1, nt)
+                    for x in us.as_py():
+                        own = np.frombuffer(x["own"], float)
+                        has, before, fit, w = setting(own, x["g"])
+                        mine = usable(d, has, before)
+                        a, r = mine[:, fit] * w, np.array(x["r"])
+                        s = np.maximum(a @ r, 0)
+                        on = a[s > 0]
+                        out = (s / ridge) @ mine[:, has] if final else np.r_[(s / ridge) @ a, (on.T @ on).ravel() / ridge, (s @ s) / ridge]
+                        rows.append((x["u"], len(mine), out.tolist()))
+                us, ns, vs = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(ns, pa.int64()), pa.array(vs, pa.list_(pa.float64()))], names=["u", "n", "v"])
+
+        batch = state.withColumn("unit", F.pmod(F.xxhash64("u"), F.lit(max(1, -(-n_units // UNITS)))).cast("int")).groupBy("b", "unit").agg(F.collect_list(F.struct("u", "g", "own", "r")).alias("units"))  # about UNITS each
+        sums = blocks.join(batch, "b").select("rows", "units").mapInArrow(work, "u string, n long, v array<double>")
+        width = F.size("v")
+        each = sums.select("u", "n", F.posexplode("v").alias("pos", "x"), width.alias("w"))
+        return each.groupBy("u", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).groupBy("u").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("v"))
+
+    def start(pdfs):
+        for pdf in pdfs:
+            own = matrix(pdf["p"])
+            first = [(own[i][setting(own[i], g)[2]] * setting(own[i], g)[3]).tolist() for i, g in enumerate(pdf["g"])]
+            yield pdf.assign(own=[x.tobytes() for x in own], r=first, last=first, step=[0.0] * len(pdf), value=[float("inf")] * len(pdf), still=True).drop(columns="p")[["b", "u", "g", "own", "r", "last", "step", "value", "still"]]
+
+    schema = "b string, u string, g long, own binary, r array<double>, last array<double>, step double, value double, still boolean"
+    state = stage(units.withColumn("u", F.col("u").cast("string")).mapInPandas(start, schema), "dual")
+    n_units = state.count()
+
+    def newton(pdfs):
+        for pdf in pdfs:
+            new = []
+            for x in pdf.itertuples(index=False):
+                own = np.frombuffer(x.own, float)
+                _, _, fit, w = setting(own, x.g)
+                goal, r, p = own[fit] * w, np.array(x.r), len(fit)
+                v = np.zeros(p + p * p + 1) if x.v is None else np.array(x.v)
+                value = 0.5 * r @ r - goal @ r + 0.5 * v[-1]
+                last = np.array(x.last)
+                if x.step and value > x.value + 1e-12 * abs(x.value):  # too far: halfway back
+                    new.append(((0.5 * (r + last)).tolist(), last.tolist(), x.step / 2, x.value, bool(x.step > 1e-9)))
+                    continue
+                grad = r - goal + v[:p]
+                move = -np.linalg.solve(np.eye(p) + v[p:-1].reshape(p, p), grad) if p else grad
+                going = bool(np.abs(grad).max(initial=0) > tolerance * max(1.0, np.abs(goal).max(initial=0)))
+                new.append(((r + move).tolist() if going else r.tolist(), r.tolist(), 1.0, float(value), going))
+            r, last, step, value, still = (list(c) for c in zip(*new, strict=True)) if new else ([], [], [], [], [])
+            yield pdf[["b", "u", "g", "own"]].assign(r=r, last=last, step=step, value=value, still=still)
+
+    for _ in range(rounds):
+        open_ = state.where("still")
+        if open_.isEmpty():
+            break
+        moved = open_.drop("still").join(passed(open_, False), "u", "left").drop("n").mapInPandas(newton, schema)
+        state = stage(moved.unionByName(state.where("not still")), "dual")
+
+    def gaps(pdfs):
         import pandas as pd
 
-        wide = pdf.pivot_table(index="t", columns="d", values="dy").sort_index()
-        own = pdf.drop_duplicates("t").set_index("t")["y"].sort_index()
-        at = int(pdf["ug"].iloc[0])
-        pre = [t for t in own.index if t < at][-pre_fit:]
-        empty = pd.DataFrame({"u": pd.Series(dtype="int64"), "k": pd.Series(dtype="int64"), "gap": pd.Series(dtype="float64"), "n_donors": pd.Series(dtype="int64")})
-        if wide.shape[1] < 2:
-            return empty
-        dist = np.array([at - t for t in pre], float)
-        w = (1 - dist / dist.max()) ** 2 + 1e-6
-        a, b = wide.loc[pre].to_numpy() * np.sqrt(w)[:, None], own.loc[pre].to_numpy() * np.sqrt(w)
-        weights = nonnegative(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b)
-        gap = own.to_numpy() - wide.to_numpy() @ weights
-        gap = gap - gap[[i for i, t in enumerate(own.index) if t in set(pre)]].mean()
-        k = own.index.to_numpy() - at
-        keep = (k >= lo) & (k <= hi)
-        return pd.DataFrame({"u": int(pdf["u"].iloc[0]), "k": k[keep].astype("int64"), "gap": gap[keep], "n_donors": int(wide.shape[1])})
-
-    return long.groupBy("u").applyInPandas(fit, "u long, k long, gap double, n_donors long").withColumnRenamed("u", entity)
+        for pdf in pdfs:
+            rows = []
+            for x in pdf.itertuples(index=False):
+                own = np.frombuffer(x.own, float)
+                has, _, fit, _ = setting(own, x.g)
+                t = np.array(times)[has]
+                gap = own[has] - np.array(x.v)
+                gap = gap - gap[np.isin(t, np.array(times)[fit])].mean()
+                rows += [(x.u, int(k), float(v), int(x.n)) for k, v in zip(t - x.g, gap, strict=True) if lo <= k <= hi]
+            yield pd.DataFrame(rows, columns=["u", "k", "gap", "n_donors"])
+
+    out = state.join(passed(state, True).where("n >= 2"), "u").mapInPandas(gaps, "u string, k long, gap double, n_donors long")
+    return out.select(F.col("u").cast(kind).alias(entity), "k", "gap", "n_donors")
 
 
 def nonnegative(q: np.ndarray, c: np.ndarray, rounds: int = 2000, tolerance: float = 1e-10) -> np.ndarray:
-    """argmin w'qw/2 - c'w over w >= 0 by coordinate descent (q positive definite)."""
+    """argmin w'qw/2 - c'w over w >= 0 by coordinate descent (q positive definite): the primal, for checks."""
     w, d = np.zeros(len(c)), np.diag(q)
     grad = -c.copy()
     for _ in range(rounds):

@@ -204,12 +204,12 @@ def _(spark, sf):
 
 @query("synthetic_control")
 def _(spark, sf):
-    return E.scm_att(E.synthetic_control(panel_cy(spark, sf), "y", "id", "year", "g", "segment", 3, 2, lo=-3, hi=3, max_donors=60), "id", 3)
+    return E.scm_att(E.synthetic_control(panel_cy(spark, sf), "y", "id", "year", "g", None, 3, 2, lo=-3, hi=3), "id", 3)
 
 
 @query("synthetic_control_band")
 def _(spark, sf):
-    return X.scm_band(E.synthetic_control(panel_cy(spark, sf), "y", "id", "year", "g", "segment", 3, 2, lo=-3, hi=3, max_donors=60), "id", 50, hi=3)
+    return X.scm_band(E.synthetic_control(panel_cy(spark, sf), "y", "id", "year", "g", None, 3, 2, lo=-3, hi=3), "id", 50, hi=3)
 
 
 @query("dml_ate")

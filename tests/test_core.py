@@ -94,7 +94,7 @@ def test_imputation_with_controls_and_event_study(spark):
     assert abs(es[1]["coef"] - 1) < 0.05 and es[-1]["status"] == "reference"
 
 
-def test_synthetic_control_of_a_convex_mix(spark):
+def test_synthetic_control_of_a_convex_mix(spark, monkeypatch):
     r = np.random.default_rng(1)
     rows, donors = [], r.normal(size=(6, 12)).cumsum(axis=1)
     for i in range(6):
@@ -104,6 +104,30 @@ def test_synthetic_control_of_a_convex_mix(spark):
     gaps = estimators.synthetic_control(spark.createDataFrame(rows, SCHEMA), "y", "id", "year", "g", "block")
     by = {x["k"]: x["gap"] for x in gaps.collect()}
     assert all(abs(by[k]) < 0.15 for k in range(-5, 0)) and all(abs(by[k] - 2) < 0.2 for k in range(0, 5))
+    # all donors, gaps in some, one that does not vary, years left out: against the primal solved whole
+    rows = [(i, t, float(r.normal() + t * 0.1), 0.0, 0, 0, None, "b") for i in range(200, 260) for t in range(14) if not (i == 210 and t == 5)]
+    rows += [(300, t, 1.0, 0.0, 0, 0, None, "b") for t in range(14)] + [(u, t, float(r.normal() + t * 0.1), 0.0, 11, 0, None, "c") for u in (7, 8) for t in range(14) if not (u == 8 and t in (2, 3))]
+    import pandas as pd
+
+    p = pd.DataFrame(rows, columns=["id", "year", "y", "x", "g", "d", "k", "block"])
+    monkeypatch.setattr(estimators, "DONORS", 16)
+    monkeypatch.setattr(estimators, "UNITS", 1)
+    got = {(x["id"], x["k"]): (x["gap"], x["n_donors"]) for x in estimators.synthetic_control(spark.createDataFrame(rows, SCHEMA), "y", "id", "year", "g", min_post=2).collect()}
+    wide = p.pivot(index="year", columns="id", values="y")
+    for u in (7, 8):
+        own = wide[u].dropna()
+        pool = wide.loc[own.index, [c for c in wide if c >= 200]].dropna(axis=1)
+        pool = pool.loc[:, pool.loc[pool.index < 11].std() > 0]
+        fit = [t for t in own.index if 1 <= t < 11]
+        dist = 11.0 - np.array(fit)
+        w = np.sqrt((1 - dist / dist.max()) ** 2 + 1e-6)
+        a, b = pool.loc[fit].to_numpy() * w[:, None], own.loc[fit].to_numpy() * w
+        weights = estimators.nonnegative(a.T @ a + 1e-3 * np.eye(a.shape[1]), a.T @ b, 20000, 1e-13)
+        gap = own - pool @ weights
+        gap -= gap.loc[fit].mean()
+        for t in own.index:
+            if -5 <= t - 11 <= 5:
+                assert abs(got[u, t - 11][0] - gap.loc[t]) < 1e-4 and got[u, t - 11][1] == pool.shape[1]
     w = estimators.nonnegative(np.array([[2.0, 0.5], [0.5, 1.0]]), np.array([1.0, -1.0]))
     assert (w >= 0).all() and abs(w[0] - 0.5) < 1e-8 and w[1] == 0
     assert resample.scm_band(gaps, "id", 20).count() == 11

@@ -67,9 +67,11 @@ def best_fit(items: list[tuple[int, int | None, int | None]], capacity: int) ->
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, size: Column | None = None) -> DataFrame:
-    """doc_id, piece, pack_group, bin, first (place of the piece's first word in its document), size, bin_used.
+    """doc_id, text_hash, piece, pack_group, bin, first, size, offset, bin_used.
 
-    One row per piece; every document has at least one, an empty or null text one of size 0. Pieces of one document
+    first: place of the piece's first word in its document; offset: place of its first word in its bin, whose pieces
+    follow each other in order of (doc_id, piece), so offsets and sizes are the boundaries to train with (see
+    packed_texts()). One row per piece; every document has at least one, an empty or null text one of size 0. Pieces of one document
     may share a bin with none of its source, so with none of each other. A null source conflicts with nothing; copies
     are rows with equal text (nulls are no copies of each other). Rows with equal doc_id are packed as rows of their
     own. An empty table gives no rows. size: another measure of a row than words. Other columns are ignored.
@@ -84,13 +86,13 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
         F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cluster"),
     )
     groups = max(1, -(-docs.count() // group))
-    # the hash of null is a constant, so rows without an id are dealt by their text
-    key = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("cluster"))), F.lit(groups)).cast("int")
+    # by id and text, so that unlike rows of one id, or without one, are dealt out too
+    key = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)).cast("int")
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "piece", "pack_group", "bin", "first", "size", "bin_used"]
+        names = ["doc_id", "text_hash", "piece", "pack_group", "bin", "first", "size", "offset", "bin_used"]
 
         def done(of, rows):
             rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "", r[3] or 0))
@@ -102,8 +104,12 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
             total = [0] * (max(bins) + 1)
             for p, b in zip(pieces, bins, strict=True):
                 total[b] += p[3]
-            out = [(p[0], p[1], of, b, p[2], p[3], total[b]) for p, b in zip(pieces, bins, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+            filled, out = [0] * len(total), []
+            for p, b in zip(pieces, bins, strict=True):  # in order of (doc_id, piece)
+                out.append((p[0], p[5], p[1], of, b, p[2], p[3], filled[b], total[b]))
+                filled[b] += p[3]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         of, held = None, []
         for b in batches:
@@ -117,4 +123,18 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP
             yield done(of, held)
 
     dealt = rows.select(key.alias("g"), "doc_id", "n", "source", "cluster").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "doc_id long, piece int, pack_group int, bin int, first long, size long, bin_used long")
+    return dealt.mapInArrow(run, "doc_id long, text_hash long, piece int, pack_group int, bin int, first long, size long, offset long, bin_used long")
+
+
+def packed_texts(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """pack_group, bin, doc_ids, offsets, text: the words of each bin, one space between them, and where each piece begins.
+
+    packed: what pack_documents(docs) gave, in words. Rows that agree in doc_id and text stand for each other.
+    """
+    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))) & F.xxhash64("text").eqNullSafe(F.col("__t"))
+    texts = docs.select("doc_id", "text").distinct()
+    pieces = packed.where("size > 0").withColumnsRenamed({"doc_id": "__id", "text_hash": "__t"})
+    words = F.slice(F.split(F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+"), (F.col("first") + 1).cast("int"), F.col("size").cast("int"))
+    x = texts.join(pieces, same).select("pack_group", "bin", F.struct("offset", F.col("__id").alias("doc_id"), F.array_join(words, " ").alias("words")).alias("p"))
+    x = x.groupBy("pack_group", "bin").agg(F.array_sort(F.collect_list("p")).alias("p"))  # a bin's words at most
+    return x.select("pack_group", "bin", F.col("p.doc_id").alias("doc_ids"), F.col("p.offset").alias("offsets"), F.array_join("p.words", " ").alias("text"))

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows of one (shard, bucket) cell, about: the unit in which slots are counted.
 CELL_ROWS = 20_000
 
@@ -96,17 +98,19 @@ def shard_documents(docs: DataFrame, tree: tuple[Shard, ...] | None = None, key:
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     shard = place(F.col("doc_id"), tree)
     cells = max(8, docs.count() // CELL_ROWS // len(tree) + 1)
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(cells)).cast("int")
+    # by id, size and text, so that unlike rows of one id stand in many cells
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit("slot")), F.lit(cells)).cast("int")
     w = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.select(
+    placed = rows.select(
         "doc_id",
         (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(1)).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
         shard.cast("int").alias("shard"),
-        bucket.alias("bucket"),
         place(F.col("doc_id"), grown(tree)).cast("int").alias("grown_shard"),
-    ).withColumn("r", F.row_number().over(w))
-    counts = rows.select(shard.cast("int").alias("shard"), bucket.alias("bucket")).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    )
+    placed = written(placed.withColumn("bucket", bucket), "placed")  # a few numbers a row, read for the ranks and for the counts
+    ranked = placed.withColumn("r", F.row_number().over(w))
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return ranked.join(starts, ["shard", "bucket"]).select(

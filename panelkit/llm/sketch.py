@@ -99,17 +99,58 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return min(1.0, r * union / distinct(a, k))
 
 
+def merged_fingerprints(prints: DataFrame, by: str, fingerprint: str = "fingerprint") -> DataFrame:
+    """by, fingerprint, distinct_shingles: the sketch of all texts of each group, from their own sketches.
+
+    A task first merges what it holds of each group, so a group of any size comes together as one sketch a task. Null
+    fingerprints count as empty; a null group is a group.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def out():
+            keys, values = list(held), [encode(x) for x in held.values()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(values, pa.string())], names=[by, "part"])
+
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = decode(s or "")
+                held[k] = merge(held[k], x) if k in held else x
+                if len(held) >= 20_000:
+                    yield out()
+        if held:
+            yield out()
+
+    def join(pdf):
+        import pandas as pd
+
+        whole = decode("")
+        for s in pdf["part"]:
+            whole = merge(whole, decode(s))
+        return pd.DataFrame({by: pdf[by].iloc[:1], "fingerprint": [encode(whole)], "distinct_shingles": [distinct(whole)]})
+
+    kind = dict(prints.dtypes)[by]
+    parts = prints.select(by, F.col(fingerprint).alias("f")).mapInArrow(run, f"{by} {kind}, part string")
+    return parts.groupBy(by).applyInPandas(join, f"{by} {kind}, fingerprint string, distinct_shingles double")
+
+
 def _fingerprints(batches):
     """Streams rows in order of (part, copy, doc_id); the text of the next row in the part is the next document's."""
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("distinct_shingles", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("contained_in_next", pa.float64()), ("distinct_shingles", pa.float64())])
 
     def row(doc_id, text, own, after, after_sketch):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         es = own if edited == text else sketch(edited)
-        return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encode(own), encode(es), resemblance(own, es), resemblance(own, after_sketch), distinct(own))
+        return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encode(own), encode(es), resemblance(own, es), resemblance(own, after_sketch), containment(own, after_sketch), distinct(own))
 
     held = None  # (part, copy, doc_id, text, sketch)
     for b in batches:
@@ -152,5 +193,5 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "copy", "doc_id", "text")
     return ordered.mapInArrow(
         _fingerprints,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double",
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_in_next double, distinct_shingles double",
     )

@@ -1,6 +1,6 @@
 import random
 
-from panelkit.llm.packing import best_fit, pack_documents, word_count
+from panelkit.llm.packing import best_fit, pack_documents, packed_texts, word_count
 
 
 def naive(items, capacity):
@@ -62,3 +62,34 @@ def test_empty_and_without_source(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
     assert pack_documents(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).count() == 1
     assert [r[0] for r in spark.createDataFrame([(" a  b\n",), ("",), (None,), ("x",)], "text string").select(word_count()).collect()] == [2, 0, 0, 1]
+
+
+def test_bins_hold_the_words_of_their_pieces(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(r.choice([0, 1, 7, 40, 130]))), r.choice(["a", "b", "c"])) for i in range(80)]
+    rows += [(5, "other text of five", "a"), (None, "no id", "b"), (900, None, "c"), rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    packed = pack_documents(docs, capacity=50, group=40)
+    pieces = {}
+    for x in packed.collect():
+        pieces.setdefault((x["pack_group"], x["bin"]), []).append(x)
+    got = {(x["pack_group"], x["bin"]): x for x in packed_texts(docs, packed).collect()}
+    text = {(d, w[0]): w for d, t, _ in rows if (w := (t or "").split())}
+    for key, ps in pieces.items():
+        ps = sorted((p for p in ps if p["size"]), key=lambda p: p["offset"])
+        at = 0
+        for p in ps:
+            assert p["offset"] == at
+            at += p["size"]
+        if ps:
+            words = got[key]["text"].split(" ")
+            assert len(words) == at <= 50 and got[key]["offsets"] == [p["offset"] for p in ps] and got[key]["doc_ids"] == [p["doc_id"] for p in ps]
+            for p in ps:
+                own = words[p["offset"] : p["offset"] + p["size"]]
+                assert any(w[p["first"] : p["first"] + p["size"]] == own for (d, _), w in text.items() if d == p["doc_id"])
+
+
+def test_unlike_rows_of_one_id_are_dealt_to_many_groups(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", None) for i in range(400)] + [(None, f"null {i}", None) for i in range(400)], "doc_id long, text string, source string")
+    got = pack_documents(docs, capacity=50, group=100)
+    assert max(x["count"] for x in got.groupBy("pack_group").count().collect()) < 200

@@ -67,3 +67,15 @@ def test_rows_of_every_kind(spark):
 
 def test_empty_table(spark):
     assert shard_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_unlike_rows_of_one_id_get_gapless_slots(spark, monkeypatch):
+    from panelkit.llm import sharding
+
+    monkeypatch.setattr(sharding, "CELL_ROWS", 4)
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(300)] + [(None, f"n{i}") for i in range(300)] + [(2, "same")] * 50, "doc_id long, text string")
+    got = shard_documents(docs).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 650 and len(by) <= 3 and all(sorted(v) == list(range(len(v))) for v in by.values())

@@ -126,3 +126,11 @@ def test_only_exact_near_copies_are_linked(spark):
                 least[a] = least[b] = min(least[a], least[b])
     got = near_components(spark.createDataFrame(rows, "doc_id long, text string"), wide(), 64)
     assert {x["doc_id"]: x["component_id"] for x in got.collect()} == least
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(11)
+    long = " ".join(f"w{r.randrange(9000)}" for _ in range(150_000))
+    rows = [(1, long), (2, long + " w1"), (3, "a b c d")]
+    got = {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in simhash_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (f"{brute_print(long):016x}", 1) and got[2][1] == 1 and got[3][1] == 3

@@ -111,16 +111,18 @@ def repeated_units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
             d = np.frombuffer(b"".join(x for ds in got for x in ds), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(at.astype(np.int32)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["id", "t", "at", "d1", "d2"])
 
-    found = docs.select(*_key(), "text").mapInArrow(run, "id long, t long, at int, d1 long, d2 long")
+    found = docs.select(*_key(docs), "text").mapInArrow(run, "id long, t long, at int, d1 long, d2 long")
     found = written(found, "units")
     order = F.struct(F.coalesce("id", F.lit(LAST_ID)).alias("id"), "t", "at")
     groups = found.groupBy("d1", "d2").agg(F.min(order).alias("original"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     return found.join(groups, ["d1", "d2"]).where(order != F.col("original")).select("id", "t", "at")
 
 
-def _key():
-    """What tells a document: its id and a hash of its text."""
-    return F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t")
+def _key(docs: DataFrame):
+    """What tells a document: its id and, where any id occurs twice, a hash of its text (else 0, which takes no room)."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    twice = not ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return F.col("doc_id").cast("long").alias("id"), (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("t")
 
 
 def dedup_units(docs: DataFrame, unit: str = "sentence", run: int = RUN, keep_empty: bool = True) -> DataFrame:
@@ -133,7 +135,7 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", run: int = RUN, keep_em
     """
     found = repeated_units(docs, unit).groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.array_sort(F.collect_list("at")).alias("__at"))
     columns = [c for c in docs.columns if c != "removed"]
-    i, t = _key()
+    i, t = _key(docs)
     both = docs.select(*columns).join(found, i.eqNullSafe(F.col("__id")) & (t == F.col("__t")), "left")
     both = both.withColumn("__out", _cut_out("text", "__at", F.lit(unit), F.lit(run)))
     out = both.select(*[F.col("__out.text").alias(c) if c == "text" else F.col(c) for c in columns], F.col("__out.removed").alias("removed"))

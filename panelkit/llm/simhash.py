@@ -9,7 +9,9 @@ error each, and segments one bit apart share an index, so every linked pair shar
 
 Wide plan (256 bits): for similarity joins at larger radius, where no key of code segments finds every pair. Keys are
 32 bands of four min-hashes of the text's shingles, so a pair of resemblance r shares one with probability
-1 - (1 - r^4)^32; the bits only sift the pairs under a key, and exact resemblance decides on those that are left.
+1 - (1 - r^4)^32. The bits sift the pairs under a key; what passes is estimated by the least hash in each of BINS bins
+of the hash range, and pairs whose estimate leaves hardly a chance of the wanted resemblance go no further. Exact
+resemblance decides on those that are left.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .sketch import mixed, shingle_hashes
 
 #: Rows of a cell that are compared with each other. A key with more rows is split into cells of two chunks each.
 CELL = 512
+#: Bins of a shingle set's signature, and standard deviations of its estimate that a pair may lie below the limit.
+BINS, SLACK = 512, 4.0
 
 
 @dataclass(frozen=True)
@@ -72,6 +76,29 @@ def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    """One byte per bin of the hash range, from the least hash in it; 0: no hash there. h: distinct hashes in order."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]]) if len(h) else bins
+    out[bins[first]] = mixed(h[first]) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated resemblance of each pair of signatures, whether the sets may reach this similarity).
+
+    na, nb: sizes of the sets. Of the u hashes in either set m stand least in their bin and are compared; the estimate's
+    variance is that of m draws from u without replacement.
+    """
+    filled = (a | b) != 0
+    m = filled.sum(axis=1)
+    r = ((a == b) & filled).sum(axis=1) / np.maximum(m, 1)
+    u = np.maximum((na + nb) / (1 + similarity), m)
+    sd = np.sqrt(similarity * (1 - similarity) / np.maximum(m, 1) * np.maximum(1 - m / np.maximum(u, 1), 0.02))
+    return np.where(m > 0, r, 1.0), (m == 0) | (r >= similarity - SLACK * sd)
+
+
 def _string_hashes(text: str, size: int) -> np.ndarray:
     """XXH64 (seed 42) of each space-joined shingle's UTF-8; A-Z lower-cased; repeats included."""
     w = lower_words(text)
@@ -128,12 +155,15 @@ def keys(lanes: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
+_BAND_COLUMNS = ["digest", "bands", "signature", "size"]
+
+
 def _lane_names(plan: Plan) -> list[str]:
     return [f"f{i}" for i in range(plan.lanes)]
 
 
 def fingerprints(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
-    """doc_id, f0.. (lanes as signed 64-bit) and, for a wide plan, digest (of the shingle set) and bands (its keys)."""
+    """doc_id, f0.. (lanes as signed 64-bit) and, for a wide plan, digest and size of the shingle set, bands (its keys), signature."""
 
     def run(batches):
         import pyarrow as pa
@@ -147,9 +177,11 @@ def fingerprints(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
             if plan.bands:
                 cols.append(pa.array(np.array([xxhash.xxh3_64_intdigest(g[1].tobytes()) for g in got], np.uint64).view(np.int64)))
                 cols.append(pa.array([band_keys(g[1], plan.bands).tobytes() for g in got], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *_lane_names(plan), *["digest", "bands"][: 2 * bool(plan.bands)]])
+                cols.append(pa.array([signature(g[1]).tobytes() for g in got], pa.binary()))
+                cols.append(pa.array([len(g[1]) for g in got], pa.int32()))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *_lane_names(plan), *_BAND_COLUMNS[: 4 * bool(plan.bands)]])
 
-    schema = ", ".join(["doc_id long", *(f"{f} long" for f in _lane_names(plan)), *["digest long", "bands binary"][: 2 * bool(plan.bands)]])
+    schema = ", ".join(["doc_id long", *(f"{f} long" for f in _lane_names(plan)), *["digest long", "bands binary", "signature binary", "size int"][: 4 * bool(plan.bands)]])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -171,53 +203,76 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[away], nodes[root[away]]
 
 
-def linked(cell: np.ndarray, node: np.ndarray, lanes: np.ndarray, radius: int, group: np.ndarray | None = None, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def linked(cell: np.ndarray, node: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs of rows that share a cell and differ in radius bits or fewer, a spanning forest of each cell.
 
-    Rows of a cell stand next to each other. nearest adds for each row the pair with its least differing bits. With
-    group, all pairs between different groups are given, and no others.
+    Rows of a cell stand next to each other.
     """
+    a, b = _near_pairs(cell, lanes, radius)
+    return _forest(node[a], node[b]) if len(a) else (node[:0], node[:0])
+
+
+def _near_pairs(cell: np.ndarray, lanes: np.ndarray, radius: int, keep=None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs within a cell and the radius for which keep(a, b) holds; looked at one distance of rows at a time."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
     end = np.repeat(starts + sizes, sizes)
     at = np.flatnonzero(end > np.arange(len(cell)) + 1)
-    least, best = np.full(len(cell), radius + 1), np.zeros(len(cell), np.int64)
-    a, b, d = [], [], 1
+    a, b, d = [at[:0]], [at[:0]], 1
     while len(at):
         far = np.zeros(len(at), np.int64)
         for i in range(lanes.shape[1]):
             far += np.bitwise_count(lanes[at, i] ^ lanes[at + d, i])
-        near = far <= radius
-        if group is not None:
-            near &= group[at] != group[at + d]
-        hit = at[near]
-        a.append(node[hit])
-        b.append(node[hit + d])
-        if nearest:
-            for one, other in ((hit, hit + d), (hit + d, hit)):
-                less = far[near] < least[one]
-                least[one[less]], best[one[less]] = far[near][less], other[less]
+        hit = at[far <= radius]
+        if keep is not None and len(hit):
+            hit = hit[keep(hit, hit + d)]
+        a.append(hit)
+        b.append(hit + d)
         d += 1
         at = at[end[at] > at + d]
-    if not a:
-        return node[:0], node[:0]
-    a, b = np.concatenate(a), np.concatenate(b)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def likely_pairs(cell: np.ndarray, band: np.ndarray, node: np.ndarray, lanes: np.ndarray, bands: np.ndarray, marks: np.ndarray, size: np.ndarray, plan: Plan, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of a cell that may resemble as the plan asks.
+
+    Without group: a spanning forest of those whose estimate reaches the similarity, and each row's most alike. With
+    group: all between different groups, each in the first band that the two share only.
+    """
+    estimate: list[np.ndarray] = []
+
+    def keep(a, b):
+        ok = np.ones(len(a), bool) if group is None else group[a] != group[b]
+        if group is not None:
+            ok[ok] = np.argmax(bands[a[ok]] == bands[b[ok]], axis=1) == band[a[ok]]
+        r, may = likely(marks[a[ok]], marks[b[ok]], size[a[ok]], size[b[ok]], plan.similarity)
+        estimate.append(r[may])
+        ok[ok] = may
+        return ok
+
+    a, b = _near_pairs(cell, lanes, plan.radius, keep)
     if group is not None or not len(a):
-        return a, b
-    a, b = _forest(a, b)
-    one = np.flatnonzero(least <= radius) if nearest else best[:0]
-    return np.concatenate([a, node[one]]), np.concatenate([b, node[best[one]]])
+        return node[a], node[b]
+    r = np.concatenate(estimate)
+    sure = r >= plan.similarity
+    one, other = _forest(node[a[sure]], node[b[sure]]) if sure.any() else (node[:0], node[:0])
+    ends, mates, like = np.r_[a, b], np.r_[b, a], np.r_[r, r]
+    order = np.lexsort((node[mates], -like, ends))
+    best = order[np.r_[True, ends[order][1:] != ends[order][:-1]]]
+    return np.concatenate([one, node[ends[best]]]), np.concatenate([other, node[mates[best]]])
 
 
 def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL, group: str | None = None) -> DataFrame:
     """(a, b): edges that connect the same nodes as all pairs of fingerprints within the radius that share a key.
 
-    nodes: node long, f0.., bands with a wide plan; one row per distinct fingerprint. All rows of a cell are compared,
-    but of each cell only a spanning forest leaves the task (with bands, also each row's nearest pair). A key with more
-    than cell_rows rows is split into chunks, and each two chunks meet in a cell of their own, so no task gets a whole
-    hot key and no pair is left out. With group (a column of nodes), every pair between different groups leaves, a < b.
+    nodes: node long, f0..; with a wide plan bands, signature, size too; one row per distinct fingerprint. All rows of
+    a cell are compared, but of each cell only a spanning forest leaves the task. With a wide plan only pairs that may
+    resemble enough leave it (see likely_pairs). A key with more than cell_rows rows is split into chunks, and each two
+    chunks meet in a cell of their own, so no task gets a whole hot key and no pair is left out. With group (a column
+    of nodes), every likely pair between different groups leaves, a < b.
     """
-    spark, names = nodes.sparkSession, [*_lane_names(plan), *([group] if group else [])]
+    spark, names = nodes.sparkSession, _lane_names(plan)
+    wide_plan = bool(plan.bands)
 
     def make(batches):
         import pyarrow as pa
@@ -226,28 +281,37 @@ def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL, group: st
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 cols = [part.column(i).to_numpy() for i in range(1 + len(names))]
-                if plan.bands:
+                if wide_plan:
                     k = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in part.column(1 + len(names))])
                     r = np.repeat(np.arange(part.num_rows), plan.bands)
+                    n = np.tile(np.arange(plan.bands, dtype=np.int32), part.num_rows)
                 else:
-                    r, k = keys(np.stack([c.view(np.uint64) for c in cols[1 : 1 + plan.lanes]], axis=1), plan)
-                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(c[r]) for c in cols)], names=["key", "node", *names])
+                    r, k = keys(np.stack([c.view(np.uint64) for c in cols[1:]], axis=1), plan)
+                    n = np.zeros(len(k), np.int32)
+                # with a wide plan the rest is joined to the few rows that share a key
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), *(pa.array(c[r]) for c in cols[: 1 if wide_plan else None])], names=["key", "band", "node", *([] if wide_plan else names)])
 
     def compare(batches):
         import pyarrow as pa
 
         def found(cols):
-            lanes = np.stack([c.view(np.uint64) for c in cols[4 : 4 + plan.lanes]], axis=1)
             cell = np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)])
-            a, b = linked(cell, cols[3], lanes, plan.radius, cols[-1] if group else None, bool(plan.bands))
-            a, b = (np.minimum(a, b), np.maximum(a, b)) if plan.bands else (a, b)
+            lanes = np.stack([c.view(np.uint64) for c in cols[5 : 5 + plan.lanes]], axis=1)
+            if wide_plan:
+                bands, marks, size = cols[5 + plan.lanes : 8 + plan.lanes]
+                bands = np.frombuffer(b"".join(bands), np.uint64).reshape(len(cell), plan.bands).astype(np.uint32)
+                marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(cell), BINS)
+                a, b = likely_pairs(cell, cols[3], cols[4], lanes, bands, marks, size, plan, cols[-1] if group else None)
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            else:
+                a, b = linked(cell, cols[4], lanes, plan.radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        held = None
+        held, most = None, 20_000 if wide_plan else 200_000
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4 + len(names))]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if len(held[0]) >= 200_000:
+            if len(held[0]) >= most:
                 same = np.all([c == c[-1] for c in held[:3]], axis=0)
                 last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
                 if last:
@@ -256,21 +320,20 @@ def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL, group: st
         if held is not None and len(held[0]):
             yield found(held)
 
-    lane_types = ", ".join(f"{f} long" for f in names)
-    keyed = nodes.select("node", *names, *["bands"] * bool(plan.bands)).mapInArrow(make, f"key long, node long, {lane_types}")
-    hot = written(
-        keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("key", F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks")),
-        "hot-keys",
-    )
+    lane_types = "".join(f", {f} long" for f in ([] if wide_plan else names))
+    keyed = nodes.select("node", *names, *["bands"] * wide_plan).mapInArrow(make, f"key long, band int, node long{lane_types}")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    chunks = F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks")
+    # of a wide plan's keys most are one text's alone; only shared ones go on
+    hot = written(counts.where(F.col("n") > (1 if wide_plan else cell_rows)).select("key", F.when(F.col("n") > cell_rows, chunks).otherwise(F.lit(1)).alias("chunks")), "shared-keys")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(F.col("c"), j).alias("lo"), F.greatest(F.col("c"), j).alias("hi")))
     one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
-    dealt = (
-        keyed.join(hot, "key", "left")
-        .withColumn("c", chunk)
-        .select("key", F.explode(F.when(F.col("chunks").isNull(), one).otherwise(meet)).alias("cell"), "node", *names)
-        .select("key", "cell.lo", "cell.hi", "node", *names)
-    )
+    extra = [*names, *([*_BAND_COLUMNS[1:], *([group] if group else [])] if wide_plan else [])]
+    dealt = keyed.join(hot, "key", "inner" if wide_plan else "left").withColumn("c", chunk)
+    if wide_plan:
+        dealt = dealt.join(nodes.select("node", *extra), "node")
+    dealt = dealt.select("key", F.explode(F.when(F.coalesce("chunks", F.lit(1)) == 1, one).otherwise(meet)).alias("cell"), "band", "node", *extra).select("key", "cell.lo", "cell.hi", "band", "node", *extra)
     ordered = dealt.repartition(shuffle_partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
@@ -306,8 +369,9 @@ def resembling(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
 def verified_links(nodes: DataFrame, docs: DataFrame, plan: Plan, cell_rows: int = CELL) -> DataFrame:
     """(a, b): edges that connect the same nodes as all pairs that share a key, are within the radius and resemble exactly.
 
-    First the few pairs of links() are looked at. Then every pair whose ends these did not yet connect is, so a large
-    group of copies costs about as many pairs as it has rows, and yet no pair that matters is left out.
+    First the few pairs of links() are looked at: those that most likely resemble. Then every likely pair whose ends
+    these did not yet connect is, so a large group of copies costs about as many pairs as it has rows, and yet no pair
+    that matters is left out.
     """
     first = cut(links(nodes, plan, cell_rows))
     good = resembling(first, docs, plan)
@@ -328,7 +392,7 @@ def near_components(docs: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL)
     lanes = _lane_names(plan)
     names = [*lanes, *["digest"] * bool(plan.bands)]
     prints = written(fingerprints(docs, plan), "fingerprints")
-    extra = [F.first("bands").alias("bands")] if plan.bands else []
+    extra = [F.first(c).alias(c) for c in _BAND_COLUMNS[1:]] if plan.bands else []
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("node"), *extra), "nodes")
     some = nodes.where("node is not null")
     found = components(verified_links(some, docs, plan, cell_rows) if plan.bands else links(some, plan, cell_rows))

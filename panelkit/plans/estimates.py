@@ -179,7 +179,7 @@ def _(spark, sf):
 
 @query("att_gt_doubly_robust")
 def _(spark, sf):
-    return E.att_gt_dr(panel_cy(spark, sf).where("g in (0, 1998, 1999)"), "y", "id", "year", "g", ["x"], -1, 1)
+    return E.att_gt_dr(panel_cy(spark, sf), "y", "id", "year", "g", ["x"])
 
 
 _TAU = f"""{PANEL}, un AS (SELECT 'a' AS grp, id, year, y FROM panel WHERE d = 0), {fe_sql("un", [])},
@@ -194,12 +194,12 @@ def _(spark, sf):
 
 @query("bjs_wild_band")
 def _(spark, sf):
-    return X.wild_band(E.bjs_effects(panel_cy(spark, sf), "y", "id", "year", "d"), "id", "d", draws=50)
+    return X.wild_band(E.bjs_effects(panel_cy(spark, sf), "y", "id", "year", "d"), "id", "d", draws=500)
 
 
 @query("bjs_refit_band")
 def _(spark, sf):
-    return X.refit_band(panel_cy(spark, sf), "y", "id", "year", "d", draws=50)
+    return X.refit_band(panel_cy(spark, sf), "y", "id", "year", "d", draws=500)
 
 
 @query("synthetic_control")
@@ -209,14 +209,14 @@ def _(spark, sf):
 
 @query("synthetic_control_band")
 def _(spark, sf):
-    return X.scm_band(E.synthetic_control(panel_cy(spark, sf), "y", "id", "year", "g", None, 3, 2, lo=-3, hi=3), "id", 50, hi=3)
+    return X.scm_band(E.synthetic_control(panel_cy(spark, sf), "y", "id", "year", "g", None, 3, 2, lo=-3, hi=3), "id", 500, hi=3)
 
 
 @query("dml_ate")
 def _(spark, sf):
     p = panel_cy(spark, sf).withColumn("e", F.when(F.col("g") > 0, F.col("g")).otherwise(1998)).withColumn("t", (F.col("g") > 0).cast("int"))
     x = E.event_cross_section(p.withColumn("kk", F.col("year") - F.col("e")), "y", ["x", "spend"], "id", "kk", "t", (1, 3))
-    return E.dml_cate(x, "y_post", "t", ["x", "spend"], "id", trees=10)[0]
+    return E.dml_cate(x, "y_post", "t", ["x", "spend"], "id", trees=100)[0]
 
 
 @query("significant_outcomes", f"WITH {_TWO} SELECT grp AS outcome FROM ({coefficients('f', ['d'])}) WHERE significant")

@@ -265,3 +265,36 @@ def test_lag_of_equal_periods_is_the_same_in_every_run(spark):
     for order in (rows, rows[::-1]):
         got = windows.row_lag(spark.createDataFrame(order, "id long, t long, v double"), "id", "t", ["v"]).collect()
         assert {(r["t"], r["v"]): r["v_lag"] for r in got} == {(1, 3.0): None, (1, 5.0): 3.0, (2, None): 5.0, (2, 9.0): None}
+
+
+def test_draws_are_multinomial(spark, monkeypatch):
+    monkeypatch.setattr(resample, "DRAW_CELL", 30)
+    w = resample.drawn_units(spark.range(200).withColumnRenamed("id", "u"), 40, 3).toPandas()
+    assert (w.groupby("b").w.sum() == 200).all() and w.b.nunique() == 40  # each draw picks as many as there are
+    counts = w.groupby("u").w.sum().reindex(range(200), fill_value=0)
+    assert abs(counts.mean() - 40) < 1e-9 and 20 < counts.var() < 70
+    assert resample.drawn_units(spark.range(200).withColumnRenamed("id", "u"), 40, 3).toPandas().sort_values(["b", "u"]).reset_index(drop=True).equals(w.sort_values(["b", "u"]).reset_index(drop=True))
+
+
+def test_doubly_robust_cells_as_a_plain_fit(spark):
+    d = frame(spark, simulated(240, seed=4, effect=lambda g, k: 1.0 + 0.2 * k))
+    got = {(r["g"], r["t"]): r for r in estimators.att_gt_dr(d, "y", "id", "year", "g", ["x"]).collect()}
+    p = d.toPandas()
+    for (g, t), r in got.items():
+        b = g - 1 if t >= g else t - 1
+        part = p[(p.g == g) | (p.g == 0) | (p.g > max(t, b))]
+        z = part[part.year == b][["id", "g", "y", "x"]].merge(part[part.year == t][["id", "y"]], on="id", suffixes=("", "1"))
+        q, w, dy = np.column_stack([np.ones(len(z)), z.x]), (z.g == g).to_numpy(float), (z.y1 - z.y).to_numpy()
+        beta = np.linalg.lstsq(q[w == 0], dy[w == 0], rcond=None)[0]
+        th = np.zeros(2)
+        for _ in range(60):
+            ps = 1 / (1 + np.exp(-q @ th))
+            th += np.linalg.solve((q * (ps * (1 - ps))[:, None]).T @ q, q.T @ (w - ps))
+        ps = np.minimum(1 / (1 + np.exp(-q @ th)), 0.995)
+        res, odds = dy - q @ beta, (1 - w) * ps / (1 - ps)
+        assert abs(r["att"] - ((w * res).sum() / w.sum() - (odds * res).sum() / odds.sum())) < 1e-7 and r["method"] == "doubly robust"
+        assert (r["n_treated"], r["n_control"]) == (int(w.sum()), int((1 - w).sum()))
+    assert len(got) > 8
+    flat = estimators.att_gt_dr(d.withColumn("x", F.lit(1.0)), "y", "id", "year", "g", ["x"]).collect()
+    plain = {(r["g"], r["t"]): r["att"] for r in estimators.att_gt(d, "y", "id", "year", "g").collect()}
+    assert all(r["method"] == "difference of means" and abs(r["att"] - plain[r["g"], r["t"]]) < 1e-6 for r in flat)

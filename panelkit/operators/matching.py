@@ -1,4 +1,4 @@
-"""Matching of treated and control units: within blocks, on candidate lists, never on all pairs."""
+"""Matching of treated and control units within blocks, on lists of candidates."""
 
 from __future__ import annotations
 
@@ -77,10 +77,21 @@ def match_cohorts(df: DataFrame, entity: str, time: str, g: str, block: str, x1:
 
 
 def candidates(treated: DataFrame, controls: DataFrame, exact: list[str], score: str, caliper: float | None, spans: list[tuple[str, int]]) -> DataFrame:
-    """tid, cid, exact columns, dist: pairs of the same exact columns within caliper and tolerances."""
-    t, c = treated.alias("t"), controls.alias("c")
+    """tid, cid, exact columns, dist: pairs of the same exact columns within caliper and tolerances.
+
+    With a caliper, scores are cut into steps of its width, and a unit meets controls of its own and both neighbouring
+    steps only; so a large exact cell is never joined as a whole.
+    """
+    t, c = treated, controls
+    keys = list(exact)
+    if caliper:
+        step = F.floor(F.col(score) / F.lit(caliper)).cast("long")
+        t = t.withColumn("__step", F.explode(F.array(step - 1, step, step + 1)))
+        c = c.withColumn("__step", step)
+        keys.append("__step")
+    t, c = t.alias("t"), c.alias("c")
     on = F.lit(True)
-    for x in exact:
+    for x in keys:
         on = on & (F.col(f"t.{x}") == F.col(f"c.{x}"))
     for x, tolerance in spans:
         on = on & (F.abs(F.col(f"t.{x}") - F.col(f"c.{x}")) <= tolerance)
@@ -93,30 +104,28 @@ def candidates(treated: DataFrame, controls: DataFrame, exact: list[str], score:
 def match_greedy(pairs: DataFrame, exact: list[str], n: int = 3, max_reuse: int | None = 10) -> DataFrame:
     """tid, cid, exact columns, control_rank, dist: n nearest controls per treated unit, in order of treated ids.
 
-    A control is used at most max_reuse times within its exact cell; the choice is sequential only there, so cells run
-    in parallel. Without a cap it is a ranking.
+    A control is used at most max_reuse times within its exact cell, by the treated units with the least ids that want
+    it. That is what a walk in order of treated ids gives, and is found by rounds of proposals instead: each treated
+    unit asks its n nearest controls that have not turned it down, and each control keeps the max_reuse least ids, for
+    good or until a smaller id asks. Rounds end when nobody is turned down; units and controls are spread over tasks in
+    all of them. Without a cap it is a ranking.
     """
-    if max_reuse is None:
-        w = Window.partitionBy("tid", *exact).orderBy("dist", "cid")
-        return pairs.withColumn("control_rank", F.row_number().over(w)).where(F.col("control_rank") <= n).select("tid", "cid", *exact, "control_rank", "dist")
-
-    def greedy(pdf):
-        used: dict = {}
-        keep, rank, last, k = [], [], object(), 0
-        pdf = pdf.sort_values(["tid", "dist", "cid"], kind="stable").reset_index(drop=True)
-        for i, (t, c) in enumerate(zip(pdf["tid"], pdf["cid"], strict=True)):
-            if t != last:
-                last, k = t, 0
-            if k < n and used.get(c, 0) < max_reuse:
-                k += 1
-                used[c] = used.get(c, 0) + 1
-                keep.append(i)
-                rank.append(k)
-        return pdf.iloc[keep].assign(control_rank=rank)[["tid", "cid", *exact, "control_rank", "dist"]]
-
-    kinds = dict(pairs.dtypes)
-    schema = ", ".join([f"tid {kinds['tid']}", f"cid {kinds['cid']}", *(f"{x} {kinds[x]}" for x in exact), "control_rank int", "dist double"])
-    return pairs.groupBy(*exact).applyInPandas(greedy, schema)
+    mine, theirs = Window.partitionBy("tid", *exact).orderBy("dist", "cid"), Window.partitionBy("cid", *exact).orderBy("tid")
+    left = pairs.select("tid", "cid", *exact, "dist").distinct()
+    while True:
+        asked = left.withColumn("control_rank", F.row_number().over(mine))
+        if max_reuse is None:
+            return asked.where(F.col("control_rank") <= n).select("tid", "cid", *exact, "control_rank", "dist")
+        keep = F.row_number().over(theirs) <= max_reuse
+        asks = asked.where(F.col("control_rank") <= n).withColumn("__kept", keep)
+        asks = stage(asks, "proposals")
+        if asks.where("not __kept").isEmpty():
+            return asks.select("tid", "cid", *exact, "control_rank", "dist")
+        refused = asks.where("not __kept").select("tid", "cid", *exact)
+        # a control that is full turns down, now or later, all ids above those it keeps
+        full = asks.where("__kept").groupBy("cid", *exact).agg(F.count("*").alias("__n"), F.max("tid").alias("__last")).where(F.col("__n") >= max_reuse).drop("__n")
+        left = left.join(refused, ["tid", "cid", *exact], "left_anti").join(full, ["cid", *exact], "left").where(F.col("__last").isNull() | (F.col("tid") <= F.col("__last"))).select("tid", "cid", *exact, "dist")
+        left = stage(left, "candidates")
 
 
 def match_euclid(treated: DataFrame, controls: DataFrame, block: list[str], x: list[str], category: str | None = None, n: int = 3) -> DataFrame:

@@ -298,3 +298,23 @@ def test_doubly_robust_cells_as_a_plain_fit(spark):
     flat = estimators.att_gt_dr(d.withColumn("x", F.lit(1.0)), "y", "id", "year", "g", ["x"]).collect()
     plain = {(r["g"], r["t"]): r["att"] for r in estimators.att_gt(d, "y", "id", "year", "g").collect()}
     assert all(r["method"] == "difference of means" and abs(r["att"] - plain[r["g"], r["t"]]) < 1e-6 for r in flat)
+
+
+def test_greedy_matching_as_a_walk(spark):
+    r = random.Random(2)
+    units = [("t", i, r.choice("ab"), r.random()) for i in range(60)] + [("c", 100 + i, r.choice("ab"), round(r.random(), 1)) for i in range(25)]
+    side = lambda k: spark.createDataFrame([(i, e, s) for kind, i, e, s in units if kind == k], "id long, e string, score double")
+    cand = matching.candidates(side("t"), side("c"), ["e"], "score", 0.15, [])
+    want = [(t, c, e, abs(s - z)) for k, t, e, s in units if k == "t" for k2, c, e2, z in units if k2 == "c" and e == e2 and abs(s - z) <= 0.15]
+    assert sorted((x["tid"], x["cid"], x["e"], x["dist"]) for x in cand.collect()) == sorted(want)
+    for n, reuse in ((3, 2), (1, 1), (2, 5)):
+        used, walk = {}, []
+        for t in range(60):
+            k = 0
+            for d, c in sorted((d, c) for x, c, _, d in want if x == t):
+                if k < n and used.get(c, 0) < reuse:
+                    k += 1
+                    used[c] = used.get(c, 0) + 1
+                    walk.append((t, c, k))
+        got = matching.match_greedy(cand, ["e"], n, reuse)
+        assert sorted((x["tid"], x["cid"], x["control_rank"]) for x in got.collect()) == sorted(walk)

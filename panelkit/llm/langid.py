@@ -260,7 +260,7 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], lis
 
 def told(bits: np.ndarray, n: np.ndarray, model: Model) -> np.ndarray:
     """Whether a text's bits, but for ALLOWED phrases, are fewer than those of as long a text in a foreign language."""
-    return bits - ALLOWED * model.cost.max(initial=0.0) < model.foreign * n
+    return (n > 0) & (bits - ALLOWED * model.cost.max(initial=0.0) < model.foreign * np.maximum(n, 1))
 
 
 def learn(docs: DataFrame, fold: int = 2, folds: int = 4) -> Model:

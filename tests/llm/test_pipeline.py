@@ -4,6 +4,10 @@ import corpus_pipeline
 import pytest
 from panelkit.llm import queries as Q
 
+from .test_decontam import brute as brute_tiles
+from .test_decontam import words_of
+from .test_lines import brute as brute_units
+
 
 def corpus():
     r = random.Random(9)
@@ -46,6 +50,72 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in got} == set(seen["leaks"]) and all(r["bin_used"] <= 2048 for r in got)
 
 
+def brute(rows, items):
+    """The texts that reach the last stage, stage by stage in plain Python."""
+    kept = {d: t for d, t, _, _ in rows if t and any(map(str.isalpha, t))}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in kept.items() for w in [t.lower().split()]}
+    least = {d: d for d in kept}
+    for _ in range(5):
+        for a in kept:
+            for b in kept:
+                if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    kept = {d: t for d, t in kept.items() if least[d] == d}
+    cut = brute_units([(d, t) for d, t in kept.items()])
+    kept = {d: cut[d][0] for d in kept}
+
+    def leaks(t):
+        dw = words_of(t)
+        for x in items:
+            iw = words_of(x)
+            number = {w: k for k, w in enumerate(dict.fromkeys(iw))}
+            if sum(n for _, _, n in brute_tiles([number.get(w, -1) for w in dw], [number[w] for w in iw], 5)) >= 0.5 * len(iw):
+                return True
+        return False
+
+    return {d: t for d, t in kept.items() if not leaks(t)}
+
+
+def test_run_as_brute_force(spark, tmp_path):
+    rows, item, _ = corpus()
+    w = item.split()
+    rows.append((110, rows[11][1] + " " + " ".join(w[18:] + w[:18]), "en", "s2"))  # the item, its halves exchanged
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    want = brute(rows, [item])
+    got = {}
+    for x in corpus_pipeline.run(spark, sf).collect():
+        got[x["doc_id"]] = got.get(x["doc_id"], 0) + x["size"]
+    assert got == {d: len(t.split()) for d, t in want.items()}
+
+
+def test_rows_of_every_kind_go_through_all_stages(spark, tmp_path):
+    rows, item, _ = corpus()
+    r = random.Random(3)
+    long = ". ".join(" ".join(r.choice(["the", "and", "one", "red", "sea"]) + str(r.randrange(9999)) for _ in range(9)) for _ in range(4000))
+    rows += [rows[4], rows[4], (None, rows[1][1], "en", None), (None, "an own text of a row without an id, and some more words", None, "s1"), (200, "", "en", "s1"), (201, long, "en", "s2"), (6, "quite another text for the id of six, with words of its own", "en", "s1"), (202, item, None, None)]
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string"
+    extra = ["'a' as removed", "1 as size", "'b' as t", "2 as id", "3 as h", "4 as bin", "5 as node", "'c' as component_id", "cast(length(text) as long) as n_chars"]
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, schema).selectExpr("*", *extra)
+        docs.write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+        d = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, sf)
+            assert d.columns == docs.columns and d.count() <= len(some), name
+        got = corpus_pipeline.run(spark, sf).collect()
+        ids = [x["doc_id"] for x in got]
+        if some:
+            assert 200 not in ids and 7 not in ids and 201 in ids and None in ids and ids.count(4) == 3
+            assert [x["size"] for x in got if x["doc_id"] == 202] == [0]  # its text stood earlier, in 7
+            assert sum(x["size"] for x in got if x["doc_id"] == 201) == len(long.split())
+        else:
+            assert got == []
+
+
 @pytest.mark.parametrize("name", sorted(Q.queries()))
 def test_queries_on_given_tables(spark, name):
     sf = "/root/testdata/sf0.001"

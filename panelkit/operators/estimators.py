@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from .gram import FeResult, fe_ols, result_frame, time_index
+from .gram import FeResult, fe_ols, independent, result_frame, time_index
 from .stages import stage
 from .windows import first_by
 
@@ -469,15 +469,22 @@ def scm_att(gaps: DataFrame, entity: str, hi: int = 5) -> DataFrame:
     return by_k.crossJoin(F.broadcast(post))  # one row
 
 
-def dml_cate(df: DataFrame, y: str, w: str, x: list[str], entity: str, folds: int = 2, trees: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(ate, se, lo, hi, n) and per unit (entity, score): cross-fitted forests for outcome and treatment, then the augmented mean."""
+def dml_cate(df: DataFrame, y: str, w: str, x: list[str], entity: str, folds: int = 2, trees: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ate, se, lo, hi, n); per unit (entity, score, cate); per covariate (name, slope, weight, place).
+
+    Forests for outcome and treatment are cross-fitted; the effect is the mean of the augmented scores. Unit effects
+    are linear in x: the outcome's residuals regressed on the treatment's residuals times (1, x), by one cross product.
+    A covariate's weight in the ranking is its slope times its deviation.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import RandomForestRegressor
 
-    d = df.select(F.col(entity).alias("e"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)]).dropna()
-    d = VectorAssembler(inputCols=[f"x{i}" for i in range(len(x))], outputCol="features").transform(d).withColumn("fold", F.pmod(F.xxhash64("e", F.lit(seed)), F.lit(folds))).persist()
+    xs = [f"x{i}" for i in range(len(x))]
+    d = df.select(F.col(entity).alias("e"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"), *[F.col(c).cast("double").alias(n) for c, n in zip(x, xs, strict=True)]).dropna()
+    d = stage(d.withColumn("fold", F.pmod(F.xxhash64("e", F.lit(seed)), F.lit(folds))), "cross-section")
+    d = VectorAssembler(inputCols=xs, outputCol="features").transform(d)
     parts = []
     for k in range(folds):
         train, test = d.where(F.col("fold") != k), d.where(F.col("fold") == k)
@@ -485,12 +492,24 @@ def dml_cate(df: DataFrame, y: str, w: str, x: list[str], entity: str, folds: in
         for arm in (0, 1):
             out = RandomForestRegressor(labelCol="y", predictionCol=f"m{arm}", numTrees=trees, minInstancesPerNode=10, seed=seed).fit(train.where(F.col("w") == arm)).transform(out)
         p = RandomForestClassifier(labelCol="w", predictionCol="pc", rawPredictionCol="pr", probabilityCol="pp", numTrees=trees, minInstancesPerNode=10, seed=seed).fit(train)
-        parts.append(p.transform(out).withColumn("ps", F.least(F.greatest(vector_to_array("pp")[1], F.lit(0.02)), F.lit(0.98))).select("e", "y", "w", "m0", "m1", "ps"))
-    s = reduce(lambda a, b: a.unionByName(b), parts)
+        parts.append(p.transform(out).withColumn("ps", F.least(F.greatest(vector_to_array("pp")[1], F.lit(0.02)), F.lit(0.98))).select("e", "y", "w", *xs, "m0", "m1", "ps"))
+    s = stage(reduce(lambda a, b: a.unionByName(b), parts), "cross-fitted")
     score = F.col("m1") - F.col("m0") + F.col("w") * (F.col("y") - F.col("m1")) / F.col("ps") - (1 - F.col("w")) * (F.col("y") - F.col("m0")) / (1 - F.col("ps"))
-    unit = s.select(F.col("e").alias(entity), score.alias("score"), (F.col("m1") - F.col("m0")).alias("cate"))
+    rw = F.col("w") - F.col("ps")
+    r = s.withColumns({"ry": F.col("y") - F.col("ps") * F.col("m1") - (1 - F.col("ps")) * F.col("m0"), "z": rw} | {f"z{i}": rw * F.col(c) for i, c in enumerate(xs)})
+    z = ["z", *(f"z{i}" for i in range(len(xs)))]
+    g = gram_of(r, [*z, "ry"])[1:, 1:]
+    keep = [i for i in independent(g[:-1, :-1])]
+    slope = np.zeros(len(z))
+    if keep:
+        slope[keep] = np.linalg.solve(g[np.ix_(keep, keep)], g[keep, -1])
+    cate = sum((F.lit(float(b)) * F.col(c) for b, c in zip(slope[1:], xs, strict=True)), F.lit(float(slope[0])))
+    sd = s.agg(*[F.stddev_samp(c).alias(c) for c in xs]).first()
+    weights = sorted(((n, float(b), abs(float(b)) * float(sd[c] or 0)) for n, b, c in zip(x, slope[1:], xs, strict=True)), key=lambda v: (-v[2], v[0]))
+    ranking = df.sparkSession.createDataFrame([(*v, i + 1) for i, v in enumerate(weights)], "name string, slope double, weight double, place int")
+    unit = s.select(F.col("e").alias(entity), score.alias("score"), cate.alias("cate"))
     m = unit.agg(F.avg("score").alias("ate"), (F.stddev_samp("score") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
-    return m.select("ate", "se", (F.col("ate") - 1.96 * F.col("se")).alias("lo"), (F.col("ate") + 1.96 * F.col("se")).alias("hi"), "n"), unit
+    return m.select("ate", "se", (F.col("ate") - 1.96 * F.col("se")).alias("lo"), (F.col("ate") + 1.96 * F.col("se")).alias("hi"), "n"), unit, ranking
 
 
 def event_cross_section(df: DataFrame, y: str, x: list[str], entity: str, k: str, treated: str, post: tuple[int, int] = (1, 3)) -> DataFrame:

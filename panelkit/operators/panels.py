@@ -26,6 +26,15 @@ def departures_arrivals(moves: DataFrame, unit: str, quality: list[str] | None =
     return fill_counts(side("from_state", "departures").join(side("to_state", "arrivals"), ["firm", "data_year"], "full"), ["n_departures", "n_arrivals"])
 
 
+def relative_talent(benchmark: DataFrame, origin: dict[str, str], dest: dict[str, str]) -> DataFrame:
+    """firm, data_year and the mean standing of those who left among the peers they left, and of those who came among the peers they joined.
+
+    benchmark: move_year, from_state, to_state and ratios (see peer_benchmark). origin, dest: ratio to output name.
+    """
+    side = lambda at, names: benchmark.groupBy(F.col(at).alias("firm"), F.col("move_year").alias("data_year")).agg(*[F.avg(c).alias(n) for c, n in names.items()])
+    return side("from_state", origin).join(side("to_state", dest), ["firm", "data_year"], "full")
+
+
 def left_chain(spine: DataFrame, parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """The spine with every part, all of them one row per key: one partitioning serves the whole chain."""
     return reduce(lambda a, b: a.join(b, keys, "left"), parts, spine)
@@ -41,13 +50,14 @@ def event_study_panel(panel: DataFrame, roles: DataFrame, entity: str, time: str
     return out.withColumn(label, F.coalesce(F.col(label), F.lit(none)))
 
 
-def entity_year_panel(rows: DataFrame, unit: str, year: str, firm: str, distinct: dict[str, str], sums: list[str], means: list[str], moves: DataFrame | None = None, exposure: DataFrame | None = None) -> DataFrame:
+def entity_year_panel(rows: DataFrame, unit: str, year: str, firm: str, distinct: dict[str, str], sums: list[str], means: list[str], moves: DataFrame | None = None, exposure: DataFrame | None = None, roles: dict[str, DataFrame] | None = None) -> DataFrame:
     """A gap-free panel of units from their first to their last year.
 
     Counts and sums are 0 in empty years, means stay NULL; cum_* are running sums. firm_mode is the modal firm of a
     year (least of equals), firm_assigned carries it forward and the latest move (moves: unit, move_year, to_state)
     overrides it; is_move_year marks moves. exposure (firm, first_year): treated from the first year in which the
-    assigned firm is exposed: exposed, cohort (NULL: never).
+    assigned firm is exposed: exposed, cohort (NULL: never). roles gives one such table per role of the firm: they add
+    exposed_<role> and cohort_<role>.
     """
     m = metrics(rows, [unit, year], distinct, sums, means)
     mode = modal_value(rows.where(F.col(year).isNotNull() & F.col(unit).isNotNull()), [unit, year], firm, "firm_mode")
@@ -64,11 +74,12 @@ def entity_year_panel(rows: DataFrame, unit: str, year: str, firm: str, distinct
         p = fill_counts(p.join(at, [unit, year], "left"), ["is_move_year"])
     else:
         p = p.withColumn("firm_assigned", F.col("firm_ffill")).withColumn("is_move_year", F.lit(0))
-    if exposure is not None:
-        e = exposure.select(F.col("firm").alias("firm_assigned"), F.col("first_year").alias("__from"))
-        p = p.join(e, "firm_assigned", "left").withColumn("exposed", F.coalesce(F.col(year) >= F.col("__from"), F.lit(False)).cast("int")).drop("__from")
-        p = p.withColumn("cohort", F.min(F.when(F.col("exposed") == 1, F.col(year))).over(Window.partitionBy(unit)))
-    return p
+    tables = ({"": exposure} if exposure is not None else {}) | {f"_{k}": v for k, v in (roles or {}).items()}
+    for name, table in tables.items():
+        e = table.select(F.col("firm").alias("firm_assigned"), F.col("first_year").alias("__from"))
+        p = p.join(e, "firm_assigned", "left").withColumn(f"exposed{name}", F.coalesce(F.col(year) >= F.col("__from"), F.lit(False)).cast("int")).drop("__from")
+    first = Window.partitionBy(unit)
+    return p.withColumns({f"cohort{n}": F.min(F.when(F.col(f"exposed{n}") == 1, F.col(year))).over(first) for n in tables})
 
 
 def feasible_events(panel: DataFrame, events: DataFrame, unit: str, year: str, at: str, lo: int, hi: int) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.nulls import sum0
 from ..operators import docs as D
 from ..operators import moves as M
 from ..operators import similarity as S
+from ..operators.panels import relative_talent
 from .domain import DOCS, MOVES, SEGMENTS, docs, moves, moves_and_rows, segment_rows, table
 from .registry import query
 
@@ -193,6 +194,19 @@ def _(spark, sf):
     return got.select("person", "move_year", "from_state", "to_state", *three, "mover_docs_origin_pre", "peers_docs_origin_pre", "peers_docs_dest_post", R("ratio_origin"), R("ratio_dest"))
 
 
+@query(
+    "relative_talent",
+    f"""WITH {MOVES}, m AS (SELECT DISTINCT person, move_year, from_state, to_state FROM moves){_PEER_PARTS}, z AS (SELECT op.person, move_year, from_state, to_state, op.mm / (op.pm + 1e-9) AS a, op.md / (op.pd + 1e-9) AS b, dq.mm / (dq.pm + 1e-9) AS c FROM op JOIN dq USING (person, move_year, from_state, to_state)),
+o AS (SELECT from_state AS firm, move_year AS data_year, avg(a) AS v, avg(b) AS n FROM z GROUP BY 1, 2), d AS (SELECT to_state AS firm, move_year AS data_year, avg(c) AS v FROM z GROUP BY 1, 2)
+SELECT firm, data_year, round(o.v, 5) AS value_departures, round(o.n, 5) AS docs_departures, round(d.v, 5) AS value_arrivals FROM o FULL JOIN d USING (firm, data_year)""",
+)
+def _(spark, sf):
+    m, rows = moves_and_rows(spark, sf)
+    b = M.peer_benchmark(m, rows.withColumnRenamed("state", "place"), "person", "place", "ship_year", "doc_id", "value", 2)
+    got = relative_talent(b, {"ratio_origin": "value_departures", "docs_ratio_origin": "docs_departures"}, {"ratio_dest": "value_arrivals"})
+    return got.select("firm", "data_year", R("value_departures"), R("docs_departures"), R("value_arrivals"))
+
+
 def _cos(keys, vectors, pairs):
     """SQL of cosines: vectors are CTE names with (keys, c, n)."""
     on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)

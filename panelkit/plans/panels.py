@@ -185,18 +185,18 @@ def _(spark, sf):
     f"""WITH {DOCS}, m AS (SELECT person, year, count(DISTINCT doc_id) AS n_docs, sum(value) AS v FROM docs GROUP BY 1, 2),
 c AS (SELECT person, year, firm, count(*) AS n FROM docs GROUP BY 1, 2, 3), f AS (SELECT person, year, firm FROM c QUALIFY row_number() OVER (PARTITION BY person, year ORDER BY n DESC, firm) = 1),
 g AS (SELECT person, CAST(unnest(range(lo, hi + 1)) AS BIGINT) AS year FROM (SELECT person, min(year) AS lo, max(year) AS hi FROM m GROUP BY 1)),
-x AS (SELECT firm AS fa, min(year) AS fy FROM docs WHERE value > 80000 GROUP BY 1),
+x AS (SELECT firm AS fa, min(year) AS fy FROM docs WHERE value > 80000 GROUP BY 1), xt AS (SELECT firm AS fa, min(year) AS ft FROM docs WHERE qty >= 49 GROUP BY 1), xa AS (SELECT firm AS fa, min(year) AS fq FROM docs WHERE qty <= 2 GROUP BY 1),
 p AS (SELECT g.person, g.year, coalesce(n_docs, 0) AS n_docs, coalesce(v, 0) AS v, last_value(firm IGNORE NULLS) OVER (PARTITION BY g.person ORDER BY g.year ROWS UNBOUNDED PRECEDING) AS fa
   FROM g LEFT JOIN m USING (person, year) LEFT JOIN f USING (person, year)),
-q AS (SELECT p.*, CASE WHEN fy IS NOT NULL AND year >= fy THEN 1 ELSE 0 END AS exposed FROM p LEFT JOIN x USING (fa))
+q AS (SELECT p.*, CASE WHEN fy IS NOT NULL AND year >= fy THEN 1 ELSE 0 END AS exposed, CASE WHEN ft IS NOT NULL AND year >= ft THEN 1 ELSE 0 END AS exposed_target, CASE WHEN fq IS NOT NULL AND year >= fq THEN 1 ELSE 0 END AS exposed_acquiror FROM p LEFT JOIN x USING (fa) LEFT JOIN xt USING (fa) LEFT JOIN xa USING (fa))
 SELECT person, year, n_docs, round(v, 2) AS sum_value, CAST(sum(n_docs) OVER (PARTITION BY person ORDER BY year) AS BIGINT) AS cum_n_docs, fa AS firm_assigned, exposed,
-  min(CASE WHEN exposed = 1 THEN year END) OVER (PARTITION BY person) AS cohort FROM q""",
+  min(CASE WHEN exposed = 1 THEN year END) OVER (PARTITION BY person) AS cohort, exposed_target, exposed_acquiror, min(CASE WHEN exposed_target = 1 THEN year END) OVER (PARTITION BY person) AS cohort_target, min(CASE WHEN exposed_acquiror = 1 THEN year END) OVER (PARTITION BY person) AS cohort_acquiror FROM q""",
 )
 def _(spark, sf):
     d = docs(spark, sf)
-    x = d.where("value > 80000").groupBy("firm").agg(F.min("year").alias("first_year"))
-    got = P.entity_year_panel(d, "person", "year", "firm", {"n_docs": "doc_id"}, ["value"], [], None, x)
-    return got.select("person", "year", "n_docs", r("sum_value", 2), "cum_n_docs", "firm_assigned", "exposed", "cohort")
+    since = lambda c: d.where(c).groupBy("firm").agg(F.min("year").alias("first_year"))
+    got = P.entity_year_panel(d, "person", "year", "firm", {"n_docs": "doc_id"}, ["value"], [], None, since("value > 80000"), {"target": since("qty >= 49"), "acquiror": since("qty <= 2")})
+    return got.select("person", "year", "n_docs", r("sum_value", 2), "cum_n_docs", "firm_assigned", *[f"{k}{n}" for n in ("", "_target", "_acquiror") for k in ("exposed", "cohort")])
 
 
 @query("feasible_events", f"WITH {PANEL} SELECT DISTINCT id, g FROM panel WHERE g > 0 AND g - 2 >= 1995 AND g + 2 <= 2001")

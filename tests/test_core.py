@@ -318,3 +318,17 @@ def test_greedy_matching_as_a_walk(spark):
                     walk.append((t, c, k))
         got = matching.match_greedy(cand, ["e"], n, reuse)
         assert sorted((x["tid"], x["cid"], x["control_rank"]) for x in got.collect()) == sorted(walk)
+
+
+def test_unit_effects_and_ranking_of_covariates(spark):
+    r = np.random.default_rng(5)
+    n = 3000
+    x, z, w = r.normal(size=n), r.normal(size=n), r.integers(0, 2, n)
+    y = x + z + w * (1.0 + 2.0 * x) + r.normal(size=n) * 0.1
+    d = spark.createDataFrame([(i, float(a), float(b), int(c), float(e)) for i, (a, b, c, e) in enumerate(zip(x, z, w, y, strict=True))], "id long, x double, z double, w int, y double")
+    ate, unit, ranking = estimators.dml_cate(d, "y", "w", ["z", "x"], "id", trees=20)
+    a = ate.first()
+    assert a["lo"] < 1.0 + 2 * x.mean() < a["hi"] and a["n"] == n
+    u = unit.toPandas().sort_values("id")
+    assert np.corrcoef(u.cate, 1 + 2 * x)[0, 1] > 0.95
+    assert [(v["name"], v["place"]) for v in ranking.orderBy("place").collect()] == [("x", 1), ("z", 2)]

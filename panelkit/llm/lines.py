@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import discard, written
 
 #: Least words of a run of repeats that is cut.
 RUN = 16
@@ -115,7 +115,9 @@ def repeated_units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
     found = written(found, "units")
     order = F.struct(F.coalesce("id", F.lit(LAST_ID)).alias("id"), "t", "at")
     groups = found.groupBy("d1", "d2").agg(F.min(order).alias("original"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return found.join(groups, ["d1", "d2"]).where(order != F.col("original")).select("id", "t", "at")
+    out = written(found.join(groups, ["d1", "d2"]).where(order != F.col("original")).select("id", "t", "at"), "repeats")
+    discard(found)
+    return out
 
 
 def _key(docs: DataFrame):

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import cut, lower_words, shuffle_partitions, written
+from .common import cut, discard, lower_words, shuffle_partitions, written
 from .components import components
 from .sketch import mixed, shingle_hashes
 
 #: Rows of a cell that are compared with each other. A key with more rows is split into cells of two chunks each.
-CELL = 512
+CELL, WIDE_CELL = 512, 4096  # with the exact and a wide plan
 #: Bins of a shingle set's signature, and standard deviations of its estimate that a pair may lie below the limit.
 BINS, SLACK = 512, 4.0
 
@@ -155,7 +155,7 @@ def keys(lanes: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-_BAND_COLUMNS = ["digest", "bands", "signature", "size"]
+_BAND_COLUMNS = ["digest", "bands", "marks", "size"]
 
 
 def _lane_names(plan: Plan) -> list[str]:
@@ -163,7 +163,7 @@ def _lane_names(plan: Plan) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
-    """doc_id, f0.. (lanes as signed 64-bit) and, for a wide plan, digest and size of the shingle set, bands (its keys), signature."""
+    """doc_id, f0.. (lanes as signed 64-bit) and, for a wide plan, digest and size of the shingle set, bands (its keys), marks (signature and keys' lower halves)."""
 
     def run(batches):
         import pyarrow as pa
@@ -176,12 +176,14 @@ def fingerprints(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
             cols = [b.column(0), *(pa.array(lanes[:, i]) for i in range(plan.lanes))]
             if plan.bands:
                 cols.append(pa.array(np.array([xxhash.xxh3_64_intdigest(g[1].tobytes()) for g in got], np.uint64).view(np.int64)))
-                cols.append(pa.array([band_keys(g[1], plan.bands).tobytes() for g in got], pa.binary()))
-                cols.append(pa.array([signature(g[1]).tobytes() for g in got], pa.binary()))
+                found = [band_keys(g[1], plan.bands) for g in got]
+                cols.append(pa.array([k.tobytes() for k in found], pa.binary()))
+                # the signature, and half of each key: enough to see which keys two texts share
+                cols.append(pa.array([signature(g[1]).tobytes() + k.astype(np.uint32).tobytes() for g, k in zip(got, found, strict=True)], pa.binary()))
                 cols.append(pa.array([len(g[1]) for g in got], pa.int32()))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *_lane_names(plan), *_BAND_COLUMNS[: 4 * bool(plan.bands)]])
 
-    schema = ", ".join(["doc_id long", *(f"{f} long" for f in _lane_names(plan)), *["digest long", "bands binary", "signature binary", "size int"][: 4 * bool(plan.bands)]])
+    schema = ", ".join(["doc_id long", *(f"{f} long" for f in _lane_names(plan)), *["digest long", "bands binary", "marks binary", "size int"][: 4 * bool(plan.bands)]])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -236,15 +238,14 @@ def _near_pairs(cell: np.ndarray, lanes: np.ndarray, radius: int, keep=None) ->
 def likely_pairs(cell: np.ndarray, band: np.ndarray, node: np.ndarray, lanes: np.ndarray, bands: np.ndarray, marks: np.ndarray, size: np.ndarray, plan: Plan, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of nodes of a cell that may resemble as the plan asks.
 
-    Without group: a spanning forest of those whose estimate reaches the similarity, and each row's most alike. With
-    group: all between different groups, each in the first band that the two share only.
+    Each pair is looked at in the first band that the two share only. Without group: a spanning forest of those whose
+    estimate reaches the similarity, and each row's most alike. With group: all between different groups.
     """
     estimate: list[np.ndarray] = []
 
     def keep(a, b):
         ok = np.ones(len(a), bool) if group is None else group[a] != group[b]
-        if group is not None:
-            ok[ok] = np.argmax(bands[a[ok]] == bands[b[ok]], axis=1) == band[a[ok]]
+        ok[ok] = np.argmax(bands[a[ok]] == bands[b[ok]], axis=1) == band[a[ok]]
         r, may = likely(marks[a[ok]], marks[b[ok]], size[a[ok]], size[b[ok]], plan.similarity)
         estimate.append(r[may])
         ok[ok] = may
@@ -262,14 +263,14 @@ def likely_pairs(cell: np.ndarray, band: np.ndarray, node: np.ndarray, lanes: np
     return np.concatenate([one, node[ends[best]]]), np.concatenate([other, node[mates[best]]])
 
 
-def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL, group: str | None = None) -> DataFrame:
+def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL, group: str | None = None, used: list | None = None) -> DataFrame:
     """(a, b): edges that connect the same nodes as all pairs of fingerprints within the radius that share a key.
 
-    nodes: node long, f0..; with a wide plan bands, signature, size too; one row per distinct fingerprint. All rows of
+    nodes: node long, f0..; with a wide plan bands, marks, size too; one row per distinct fingerprint. All rows of
     a cell are compared, but of each cell only a spanning forest leaves the task. With a wide plan only pairs that may
     resemble enough leave it (see likely_pairs). A key with more than cell_rows rows is split into chunks, and each two
     chunks meet in a cell of their own, so no task gets a whole hot key and no pair is left out. With group (a column
-    of nodes), every likely pair between different groups leaves, a < b.
+    of nodes), every likely pair between different groups leaves, a < b. used: gets the tables that the plan reads.
     """
     spark, names = nodes.sparkSession, _lane_names(plan)
     wide_plan = bool(plan.bands)
@@ -298,9 +299,9 @@ def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL, group: st
             cell = np.cumsum(np.r_[0, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)])
             lanes = np.stack([c.view(np.uint64) for c in cols[5 : 5 + plan.lanes]], axis=1)
             if wide_plan:
-                bands, marks, size = cols[5 + plan.lanes : 8 + plan.lanes]
-                bands = np.frombuffer(b"".join(bands), np.uint64).reshape(len(cell), plan.bands).astype(np.uint32)
-                marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(cell), BINS)
+                marks, size = cols[5 + plan.lanes : 7 + plan.lanes]
+                marks = np.frombuffer(b"".join(marks), np.uint8).reshape(len(cell), BINS + 4 * plan.bands)
+                bands, marks = np.ascontiguousarray(marks[:, BINS:]).view(np.uint32), marks[:, :BINS]
                 a, b = likely_pairs(cell, cols[3], cols[4], lanes, bands, marks, size, plan, cols[-1] if group else None)
                 a, b = np.minimum(a, b), np.maximum(a, b)
             else:
@@ -326,10 +327,12 @@ def links(nodes: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL, group: st
     chunks = F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks")
     # of a wide plan's keys most are one text's alone; only shared ones go on
     hot = written(counts.where(F.col("n") > (1 if wide_plan else cell_rows)).select("key", F.when(F.col("n") > cell_rows, chunks).otherwise(F.lit(1)).alias("chunks")), "shared-keys")
+    if used is not None:
+        used.append(hot)
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(F.col("c"), j).alias("lo"), F.greatest(F.col("c"), j).alias("hi")))
     one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
-    extra = [*names, *([*_BAND_COLUMNS[1:], *([group] if group else [])] if wide_plan else [])]
+    extra = [*names, *([*_BAND_COLUMNS[2:], *([group] if group else [])] if wide_plan else [])]
     dealt = keyed.join(hot, "key", "inner" if wide_plan else "left").withColumn("c", chunk)
     if wide_plan:
         dealt = dealt.join(nodes.select("node", *extra), "node")
@@ -363,7 +366,9 @@ def resembling(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, "doc_id", "left_semi")
     hashes = written(texts.mapInArrow(sets, "node long, hashes binary").distinct(), "shingles")
     left, right = hashes.toDF("a", "x"), hashes.toDF("b", "y")
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
+    out = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct())
+    discard(hashes)
+    return out
 
 
 def verified_links(nodes: DataFrame, docs: DataFrame, plan: Plan, cell_rows: int = CELL) -> DataFrame:
@@ -373,27 +378,33 @@ def verified_links(nodes: DataFrame, docs: DataFrame, plan: Plan, cell_rows: int
     these did not yet connect is, so a large group of copies costs about as many pairs as it has rows, and yet no pair
     that matters is left out.
     """
-    first = cut(links(nodes, plan, cell_rows))
+    used: list[DataFrame] = []
+    first = cut(links(nodes, plan, cell_rows, None, used))
     good = resembling(first, docs, plan)
     group = components(good).withColumnRenamed("component", "group")
     named = nodes.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    rest = cut(links(named, plan, cell_rows, "group").join(first, ["a", "b"], "left_anti"))
+    rest = cut(links(named, plan, cell_rows, "group", used).join(first, ["a", "b"], "left_anti"))
+    discard(*used)
     return good.union(resembling(rest, docs, plan))
 
 
-def near_components(docs: DataFrame, plan: Plan = EXACT, cell_rows: int = CELL) -> DataFrame:
+def near_components(docs: DataFrame, plan: Plan = EXACT, cell_rows: int | None = None, used: list | None = None) -> DataFrame:
     """doc_id, f0.., component_id: the smallest doc_id reachable over links, itself included.
 
     Texts that are null, empty or without a word have fingerprint zero, linked like any other. Rows with equal doc_id
     are kept, each with its own text's fingerprint. A null doc_id makes no component of its own: such a row takes that
     of equal fingerprints, else null. Other columns are ignored, whatever their names. With a wide plan equal means
-    equal shingle sets, and every link has the exact resemblance that the plan asks for.
+    equal shingle sets, and every link has the exact resemblance that the plan asks for. used: gets the tables that the
+    result's plan reads.
     """
+    cell_rows = cell_rows or (WIDE_CELL if plan.bands else CELL)
     lanes = _lane_names(plan)
     names = [*lanes, *["digest"] * bool(plan.bands)]
     prints = written(fingerprints(docs, plan), "fingerprints")
     extra = [F.first(c).alias(c) for c in _BAND_COLUMNS[1:]] if plan.bands else []
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("node"), *extra), "nodes")
+    if used is not None:
+        used += [prints, nodes]
     some = nodes.where("node is not null")
     found = components(verified_links(some, docs, plan, cell_rows) if plan.bands else links(some, plan, cell_rows))
     groups = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
@@ -411,6 +422,8 @@ def drop_near_copies(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
 
     Rows with a null doc_id are kept. Of rows with equal doc_id that is its group's smallest, all are kept.
     """
-    got = near_components(docs, plan or wide())
-    gone = got.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    used: list[DataFrame] = []
+    got = near_components(docs, plan or wide(), used=used)
+    gone = written(got.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    discard(*used)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

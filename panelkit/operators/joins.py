@@ -1,8 +1,8 @@
-"""Interval, as-of and blocked joins."""
+"""Interval and as-of joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,11 +52,3 @@ def asof_override(panel: DataFrame, moves: DataFrame, entity: str, time: str, mo
     w = Window.partitionBy("__k").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
     found = p.unionByName(e, allowMissingColumns=True).select("__row", F.max("__e").over(w).alias("m")).where("__row is not null")
     return found.select("__row.*", F.coalesce(F.col("m.v"), F.col(f"__row.{current}")).alias(name))
-
-
-def blocked_join(left: DataFrame, right: DataFrame, on: list[str], within: Column) -> DataFrame:
-    """Candidates of a similarity join: equal block columns and a residual on l.* and r.*."""
-    same = F.lit(True)
-    for c in on:
-        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
-    return left.alias("l").join(right.alias("r"), same & within)

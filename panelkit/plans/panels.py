@@ -386,15 +386,25 @@ def _(spark, sf):
     return Q.baseline_table(_t(spark, sf).where("year < 1998"), "t", ["x"]).select("variable", "grp", "n", r("mean"), "median", r("sd"))
 
 
-@query("outcome_profile", f"WITH {PANEL} SELECT segment, count(spend) AS n, round(avg(spend), 3) AS mean, round(quantile_cont(spend, 0.5), 3) AS p50, round(quantile_cont(spend, 0.99), 3) AS p99, round(max(spend), 3) AS max, round(avg(CAST(spend = 0 AS INT)), 5) AS zero_share FROM panel GROUP BY 1")
+@query(
+    "outcome_profile",
+    f"""WITH {PANEL}, a AS (SELECT segment, count(spend) AS n, avg(spend) AS mean, stddev_samp(spend) AS sd, min(spend) AS min, max(spend) AS max, quantile_cont(spend, [0.01, 0.05, 0.5, 0.95, 0.99]) AS q, avg(CAST(spend = 0 AS INT)) AS zero_share, avg(CAST(spend < 0 AS INT)) AS negative_share FROM panel GROUP BY 1)
+SELECT segment, n, round(mean, 3) AS mean, round(sd, 3) AS sd, round(min, 3) AS min, round(max, 3) AS max, round(q[1], 3) AS p01, round(q[2], 3) AS p05, round(q[3], 3) AS p50, round(q[4], 3) AS p95, round(q[5], 3) AS p99, round(zero_share, 5) AS zero_share, round(negative_share, 5) AS negative_share,
+  concat_ws('; ', CASE WHEN n < 500 THEN 'fewer than 500 rows' END, CASE WHEN coalesce(sd, 0) = 0 THEN 'no variation' END, CASE WHEN q[3] <> 0 AND q[5] / q[3] > 50 THEN 'p99 over 50 times the median' END, CASE WHEN q[5] <> 0 AND max / q[5] > 5 THEN 'maximum over 5 times p99' END) AS flags FROM a""",
+)
 def _(spark, sf):
-    return Q.rule_flags(Q.profile(panel_cy(spark, sf), "segment", "spend")).select("segment", "n", r("mean", 3), r("p50", 3), r("p99", 3), r("max", 3), r("zero_share"))
+    places = {"mean": 3, "sd": 3, "min": 3, "max": 3, "p01": 3, "p05": 3, "p50": 3, "p95": 3, "p99": 3, "zero_share": 5, "negative_share": 5}
+    return Q.rule_flags(Q.profile(panel_cy(spark, sf), "segment", "spend")).select("segment", "n", *[r(c, n) for c, n in places.items()], "flags")
 
 
-@query("collinearity", f"WITH {PANEL}, p AS (SELECT *, x * 2 AS x2 FROM panel) SELECT count(*) AS n, 2 AS rank, 1 AS deficiency, CAST(corr(x, x2) > 0.999999 AS INT) AS near_pairs, count(DISTINCT CASE WHEN mx > mn OR my > mn2 THEN id END) AS entities_varying FROM (SELECT *, max(x) OVER (PARTITION BY id) AS mx, min(x) OVER (PARTITION BY id) AS mn, max(spend) OVER (PARTITION BY id) AS my, min(spend) OVER (PARTITION BY id) AS mn2 FROM p)")
+@query(
+    "collinearity",
+    f"""WITH {PANEL}, p AS (SELECT *, x * 2 AS x2 FROM panel), e AS (SELECT id FROM p GROUP BY 1 HAVING max(x) > min(x) OR max(spend) > min(spend)), t AS (SELECT year FROM p GROUP BY 1 HAVING max(x) > min(x) OR max(spend) > min(spend))
+SELECT count(*) AS n, 2 AS rank, 1 AS deficiency, CAST(bool_and(x = x2) AS INT) + CAST(bool_and(x = spend) AS INT) + CAST(bool_and(x2 = spend) AS INT) AS equal_pairs, CAST(corr(x, x2) > 0.999999 AS INT) + 2 * CAST(abs(corr(x, spend)) > 0.999999 AS INT) AS near_pairs, (SELECT count(*) FROM e) AS entities_varying, (SELECT count(*) FROM t) AS periods_varying FROM p""",
+)
 def _(spark, sf):
     p = panel_cy(spark, sf).withColumn("x2", F.col("x") * 2)
-    return Q.collinearity(p, ["x", "x2", "spend"], "id", "year").select("n", "rank", "deficiency", "near_pairs", "entities_varying")
+    return Q.collinearity(p, ["x", "x2", "spend"], "id", "year").select("n", "rank", "deficiency", "equal_pairs", "near_pairs", "entities_varying", "periods_varying")
 
 
 @query("balance_check", f"WITH {_BALANCED} SELECT count(DISTINCT (id, g, is_control_event)) AS n_events, 0 AS n_unbalanced FROM b")

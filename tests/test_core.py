@@ -332,3 +332,33 @@ def test_unit_effects_and_ranking_of_covariates(spark):
     u = unit.toPandas().sort_values("id")
     assert np.corrcoef(u.cate, 1 + 2 * x)[0, 1] > 0.95
     assert [(v["name"], v["place"]) for v in ranking.orderBy("place").collect()] == [("x", 1), ("z", 2)]
+
+
+def test_small_helpers(spark):
+    d = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "id long, t long, v string")
+    got = windows.shifts(d, "id", ["t"], "v", [1, -1]).orderBy("t").collect()
+    assert [(r["v_prev1"], r["v_next1"]) for r in got] == [(None, "b"), ("a", "c"), ("b", None)]
+    assert nulls.keep_columns(d, ["v", "none", "id"]).columns == ["v", "id"] and nulls.first_existing(d, "x", "t", "v") == "t" and nulls.first_existing(d, "x") is None
+    assert [tuple(r) for r in d.select(*[c.alias(n) for n, c in scalars.dummies("v", ["a", "b", "c"]).items()]).collect()] == [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]
+    fit = fe_ols(frame(spark, simulated()).withColumns({"treat_x_z": F.col("d") * F.col("x")}), "y", ["d", "treat_x_z"], "id", "year")
+    fit.names = ["treat", "treat_x_z"]
+    effect, se = estimators.group_effect(fit)
+    assert abs(effect - fit.beta.sum()) < 1e-12 and abs(se**2 - fit.cov.sum()) < 1e-12
+
+
+def test_base_tables_are_read_once(spark):
+    from panelkit.plans import catalog
+
+    for name, most in (("peer_benchmark", 12), ("event_proximity", 8), ("rolling_similarity", 8), ("pairwise_similarity", 6), ("relative_talent", 24)):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= most and "lineitem.parquet" not in plan, (name, plan.count("FileScan parquet"))
+
+
+def test_cells_are_regressors_of_their_own(spark):
+    p = simulated(drop=0.1)
+    d = frame(spark, p).withColumn("cell", F.when(F.col("k").between(0, 2), F.col("k").cast("int")))
+    fit = fe_ols(d, "y", ["x"], "id", "year", cells=("cell", ["k0", "k1", "k2"]))
+    for k in range(3):
+        p[f"k{k}"] = (p.k == k).astype(float)
+    b, se = dense(p, ["x", "k0", "k1", "k2"], "entity")
+    assert fit.names == ["x", "k0", "k1", "k2"] and np.allclose(fit.beta, b, atol=1e-8) and np.allclose(fit.se(), se, atol=1e-8)

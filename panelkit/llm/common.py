@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word rules: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch whose texts are worked on together.
+SLICE = 512
 #: Runs of ids for each task, so that tasks are even though runs are dealt to them by hash; narrow runs that are
 #: counted for each run; bytes that a row has besides its text.
 RUNS, FINE, ROW_BYTES = 8, 2, 64

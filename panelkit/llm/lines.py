@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, written
+from .common import SLICE, discard, written
 
 #: Least words of a run of repeats that is cut.
 RUN = 16
@@ -103,7 +103,7 @@ def repeated_units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
         import pyarrow as pa
 
         h = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             got = [[h(b" ".join(w)) for _, _, _, w in units(text or "", unit)] for text in b.column(2).to_pylist()]
             rows = np.array([len(x) for x in got], np.int64)
             of = pa.array(np.repeat(np.arange(len(rows)), rows))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import cut, discard, lower_words, shuffle_partitions, written
+from .common import SLICE, cut, discard, lower_words, shuffle_partitions, written
 from .components import components
 from .sketch import mixed, shingle_hashes
 
@@ -168,9 +168,7 @@ def fingerprints(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             got = [fingerprint(t.as_py() or "", plan) for t in b.column(1)]
             lanes = np.stack([g[0] for g in got]).view(np.int64)
             cols = [b.column(0), *(pa.array(lanes[:, i]) for i in range(plan.lanes))]
@@ -347,7 +345,7 @@ def resembling(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     def sets(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE)):
             got = [np.unique(shingle_hashes(t.as_py() or "", plan.words)).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "hashes"])
 

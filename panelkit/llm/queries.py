@@ -142,6 +142,12 @@ FROM r QUALIFY part = 'pair' OR rank <= 50
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups
+
+    return spelling_groups(_documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_hash_tree_shards": op1_hash_tree_shards,
@@ -155,6 +161,7 @@ def queries() -> dict:
         "op9_cross_parsing_language": op9_cross_parsing_language,
         "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
         "op12_source_divergence": op12_source_divergence,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 

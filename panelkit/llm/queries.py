@@ -106,6 +106,12 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_documents(spark, sf_dir))
 
 
+def op11_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import source_divergence
 
@@ -160,6 +166,7 @@ def queries() -> dict:
         "op8_huffman_tokens": op8_huffman_tokens,
         "op9_cross_parsing_language": op9_cross_parsing_language,
         "op10_bottom_k_fingerprints": op10_bottom_k_fingerprints,
+        "op11_boosted_quality": op11_boosted_quality,
         "op12_source_divergence": op12_source_divergence,
         "op13_spelling_variants": op13_spelling_variants,
     }

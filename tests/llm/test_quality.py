@@ -53,7 +53,8 @@ def test_whole_texts_in_pieces(monkeypatch):
             assert parts[name] == pytest.approx(whole[name], rel=2e-2, abs=1e-4), name
 
 
-def test_flat_trees_as_a_walk():
+def test_flat_trees_as_a_walk(monkeypatch):
+    monkeypatch.setattr(quality, "USED", 1.0)
     r = np.random.default_rng(0)
     x = np.round(r.normal(size=(400, 5)), 1)
     y = ((x[:, 0] > 0.2) & (x[:, 1] > -0.5) | (x[:, 2] > 1)).astype(float)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from .gram import FeResult, fe_ols, independent, result_frame, time_index
+from .group_time import changes, fit_cells, role_rows
 from .stages import stage
 from .windows import first_by
 
@@ -165,114 +166,18 @@ def composition_ci(cells: DataFrame, sizes: DataFrame, lo: int, hi: int, draws:
 
 
 def att_gt_dr(df: DataFrame, y: str, entity: str, time: str, g: str, x: list[str], lo: int | None = None, hi: int | None = None, rounds: int = 25, trim: float = 0.995) -> DataFrame:
-    """g, t, k, att, n_treated, n_control, method: doubly robust cells with covariates of the base period.
-
-    Each cell compares the change of its cohort from the base period (g - 1, or t - 1 before g) with that of units not
-    yet or never treated. All cells are fitted together, by sums grouped by cell: the outcome regression of controls'
-    changes on x from one pass of cross products, the logistic propensity by Newton steps of one pass each. The effect
-    is the mean of the cohort's residuals less that of controls' weighted by p / (1 - p), p at most trim. Where the
-    propensity does not settle or is one-sided the regression alone stands; where the regression is singular too, the
-    plain difference of means; method says which. Cells without both groups are left out.
+    """g, t, k, att, n_treated, n_control, method: doubly robust cells with covariates of the base period (see fit_cells).
+
+    All cohorts and periods take part; group_time has the sample of roles with its trimming.
     """
-    d = df.select(F.col(entity).alias("e"), F.col(time).cast("long").alias("t"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(g), F.lit(0)).cast("long").alias("g"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)]).dropna()
-    d = stage(first_by(d, ["e", "t"], ["g", "y", *(f"x{i}" for i in range(len(x)))]), "cells")
-    spark, p = df.sparkSession, len(x) + 1
-    seen = [(r["g"], r["t"]) for r in d.where("g > 0").select("g", "t").distinct().collect()]  # one row a cohort and period
-    cells = [(c, t, c - 1 if t >= c else t - 1) for c, t in sorted(seen) if (lo is None or t - c >= lo) and (hi is None or t - c <= hi)]
+    d = stage(role_rows(df, y, entity, time, {"all": g}, None, x, strict=False), "cells")
+    z, cells = changes(d, x)
+    cells = {n: (c, t) for n, (_, c, t) in cells.items() if (lo is None or t - c >= lo) and (hi is None or t - c <= hi)}
     schema = "g long, t long, k long, att double, n_treated long, n_control long, method string"
     if not cells:
-        return spark.createDataFrame([], schema)
-    table = F.broadcast(spark.createDataFrame(cells, "cg long, ct long, cb long"))  # one row a cell
-    base = d.select("e", F.col("t").alias("cb"), F.col("y").alias("y0"), *(f"x{i}" for i in range(len(x))))
-    now = d.select("e", "g", F.col("t").alias("ct"), F.col("y").alias("y1")).join(table, "ct")
-    now = now.where((F.col("g") == F.col("cg")) | (F.col("g") == 0) | (F.col("g") > F.greatest("ct", "cb")))
-    z = now.join(base, ["e", "cb"]).select(F.concat_ws("|", "cg", "ct").alias("cell"), (F.col("g") == F.col("cg")).cast("double").alias("w"), (F.col("y1") - F.col("y0")).alias("dy"), *(f"x{i}" for i in range(len(x))))
-    z = stage(z, "changes")
-    names = [f"{c}|{t}" for c, t, _ in cells]
-    columns = ["w", "dy", *(f"x{i}" for i in range(len(x)))]
-
-    def sums(work, shared, width: int) -> dict[str, np.ndarray]:
-        """Per cell the sum of work(rows, the cell's shared value) over all tasks: a few numbers a cell."""
-        given = spark.sparkContext.broadcast(shared)
-
-        def run(batches):
-            import pyarrow as pa
-
-            held: dict[str, np.ndarray] = {}
-            for b in batches:
-                cell = np.array(b.column(0).to_pylist())
-                m = np.column_stack([b.column(i + 1).to_numpy() for i in range(len(columns))]) if b.num_rows else np.zeros((0, len(columns)))
-                for c in np.unique(cell):
-                    held[c] = held.get(c, np.zeros(width)) + work(m[cell == c], given.value.get(c))
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))], names=["cell", "v"])
-
-        each = z.select("cell", *columns).mapInArrow(run, "cell string, v array<double>").select("cell", F.posexplode("v").alias("i", "v")).groupBy("cell", "i").agg(F.sum("v").alias("v"))
-        out: dict[str, np.ndarray] = {}
-        for r in each.collect():
-            out.setdefault(r["cell"], np.zeros(width))[r["i"]] = r["v"]
-        return out
-
-    ones = lambda m: np.column_stack([np.ones(len(m)), m[:, 2:]])
-
-    def moments(m, _):
-        q = ones(m)
-        c = q[m[:, 0] == 0]
-        return np.r_[m[:, 0].sum(), (1 - m[:, 0]).sum(), (c.T @ c).ravel(), c.T @ m[m[:, 0] == 0, 1], q.sum(axis=0), (q * q).sum(axis=0)]
-
-    got = {c: v for c, v in sums(moments, {}, 2 + p * p + 3 * p).items() if v[0] and v[1]}
-    beta, method = {}, {}
-    for c, v in got.items():
-        gram_c = v[2 : 2 + p * p].reshape(p, p)
-        sound = np.linalg.matrix_rank(gram_c) == p
-        # the mean of the controls stands where their covariates do not vary enough
-        beta[c] = np.linalg.solve(gram_c, v[2 + p * p : 2 + p * p + p]) if sound else np.r_[v[2 + p * p] / v[1], np.zeros(p - 1)]
-        method[c] = "doubly robust" if sound else "difference of means"
-    centre = {c: (v[-2 * p : -p] / (v[0] + v[1]), np.sqrt(np.maximum(v[-p:] / (v[0] + v[1]) - (v[-2 * p : -p] / (v[0] + v[1])) ** 2, 1e-12))) for c, v in got.items()}
-    theta = {c: np.r_[np.log(v[0] / v[1]), np.zeros(p - 1)] for c, v in got.items() if method[c] == "doubly robust"}
-
-    def standard(m, mean, sd):
-        q = ones(m)
-        q[:, 1:] = (q[:, 1:] - mean[1:]) / sd[1:]
-        return q
-
-    def step(m, given):
-        if given is None:
-            return np.zeros(p + p * p)
-        th, mean, sd = given
-        q = standard(m, mean, sd)
-        ps = 1 / (1 + np.exp(-np.clip(q @ th, -35, 35)))
-        return np.r_[q.T @ (m[:, 0] - ps), ((q * (ps * (1 - ps))[:, None]).T @ q).ravel()]
-
-    open_ = set(theta)
-    for _ in range(rounds):
-        if not open_:
-            break
-        for c, v in sums(step, {c: (theta[c], *centre[c]) for c in open_}, p + p * p).items():
-            if c not in open_:
-                continue
-            h = v[p:].reshape(p, p)
-            if np.linalg.matrix_rank(h) < p or not np.isfinite(theta[c]).all() or np.abs(theta[c]).max() > 30:
-                method[c] = "outcome regression"
-                open_.discard(c)
-                continue
-            move = np.linalg.solve(h, v[:p])
-            theta[c] = theta[c] + np.clip(move, -4, 4)
-            if np.abs(move).max() < 1e-9:
-                open_.discard(c)
-    for c in open_:
-        method[c] = "outcome regression"
-
-    def effect(m, given):
-        if given is None:
-            return np.zeros(4)
-        b, th, mean, sd = given
-        res, w = m[:, 1] - ones(m) @ b, m[:, 0]
-        odds = (1 - w) if th is None else (1 - w) * (lambda ps: ps / (1 - ps))(np.minimum(1 / (1 + np.exp(-np.clip(standard(m, mean, sd) @ th, -35, 35))), trim))
-        return np.array([(w * res).sum(), w.sum(), (odds * res).sum(), odds.sum()])
-
-    last = sums(effect, {c: (beta[c], theta[c] if method[c] == "doubly robust" else None, *centre[c]) for c in got}, 4)
-    rows = [(c, t, t - c, float(v[0] / v[1] - v[2] / v[3]), int(got[n][0]), int(got[n][1]), method[n]) for (c, t, _), n in zip(cells, names, strict=True) if n in got for v in (last[n],)]
-    return spark.createDataFrame(rows, schema)
+        return df.sparkSession.createDataFrame([], schema)
+    fits = fit_cells(stage(z, "changes"), len(x), rounds, trim)
+    return df.sparkSession.createDataFrame([(c, t, t - c, *fits[n]) for n, (c, t) in cells.items() if n in fits], schema)
 
 
 def bjs_effects(df: DataFrame, y: str, entity: str, time: str, treated: str, controls: list[str] | None = None, k: str = "k") -> DataFrame:

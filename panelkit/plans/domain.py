@@ -104,3 +104,18 @@ panel AS (
          CASE WHEN g > 0 THEN t.year - g END AS k, CASE WHEN g > 0 AND t.year >= g THEN 1 ELSE 0 END AS d
   FROM customer CROSS JOIN (SELECT CAST(unnest(range({FIRST}, {LAST + 1})) AS BIGINT) AS year) t
   LEFT JOIN cells ON cells.id = c_custkey AND cells.year = t.year LEFT JOIN firsts ON firsts.id = c_custkey)"""
+
+
+#: Roles of a big order: by its priority. The overall cohort is panel's g.
+ROLES = {"urgent": "o_orderpriority < '3'", "routine": "o_orderpriority >= '3'"}
+
+
+def panel_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """panel_cy with g_urgent and g_routine, the first years with a big order of that kind (0: none), and s, a 0/1 trait."""
+    o = table(spark, sf, "orders").where(F.col("o_totalprice") > BIG).select(F.col("o_custkey").alias("id"), F.year("o_orderdate").cast("long").alias("y0"), "o_orderpriority")
+    first = o.groupBy("id").agg(*[F.min(F.when(F.expr(c), F.col("y0"))).alias(f"g_{r}") for r, c in ROLES.items()])
+    return panel_cy(spark, sf).join(first, "id", "left").fillna(0, [f"g_{r}" for r in ROLES]).withColumn("s", (F.col("segment") < "F").cast("double"))
+
+
+PANEL_ROLES = PANEL + f""", role_first AS (SELECT o_custkey AS id, {", ".join(f"CAST(min(year(o_orderdate)) FILTER ({c}) AS BIGINT) AS g_{r}" for r, c in ROLES.items())} FROM orders WHERE o_totalprice > {BIG} GROUP BY 1),
+panel_roles AS (SELECT panel.*, {", ".join(f"coalesce(g_{r}, 0) AS g_{r}" for r in ROLES)}, CAST(segment < 'F' AS DOUBLE) AS s FROM panel LEFT JOIN role_first USING (id))"""

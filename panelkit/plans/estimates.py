@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import estimators as E
+from ..operators import group_time as G
 from ..operators import hetero as H
 from ..operators import matching as M
 from ..operators import resample as X
 from ..operators.gram import fe_ols, result_frame
-from .domain import FIRST, LAST, PANEL, panel_cy
+from .domain import FIRST, LAST, PANEL, PANEL_ROLES, ROLES, panel_cy, panel_roles
 from .ols_sql import coefficients, fe_sql
 from .registry import query
 
@@ -182,6 +183,49 @@ def _(spark, sf):
     return E.att_gt_dr(panel_cy(spark, sf), "y", "id", "year", "g", ["x"])
 
 
+_MIN_COHORT, _BEFORE, _AFTER = 30, 2, 3
+# Strict roles, cohorts of enough units, windows, periods with a control, identified cells. With a 0/1 trait the logistic
+# fit and the regression of a cell are saturated, so the doubly robust effect is a mean over the trait's values.
+_ROLES = f"""{PANEL_ROLES}, rr AS (
+  SELECT * FROM ({" UNION ALL ".join(f"SELECT '{r}' AS role, id AS e, year AS t, y, s, g_{r} AS g FROM panel_roles WHERE g = 0 OR g_{r} = g" for r in ROLES)})),
+rbig AS (SELECT role, g FROM rr WHERE g > 0 GROUP BY ALL HAVING count(DISTINCT e) >= {_MIN_COHORT}),
+rspan AS (SELECT role, min(g) - {_BEFORE} AS first, max(g) + {_AFTER} AS last FROM rbig GROUP BY 1),
+rwin AS (SELECT rr.* FROM rr JOIN rspan USING (role) LEFT JOIN rbig b ON b.role = rr.role AND b.g = rr.g
+  WHERE t BETWEEN first AND last AND (rr.g = 0 OR (b.g IS NOT NULL AND t - rr.g BETWEEN -{_BEFORE} AND {_AFTER}))),
+rs AS (SELECT * FROM rwin WHERE (role, t) IN (SELECT role, t FROM rwin WHERE g = 0 OR g > t)),
+rc AS (SELECT role, g, t, CASE WHEN t >= g THEN g - 1 ELSE t - 1 END AS b FROM rs WHERE g > 0 GROUP BY ALL),
+rz AS (
+  SELECT c.role, c.g, c.t, CAST(n.g = c.g AS INT) AS w, n.y - o.y AS dy, o.s
+  FROM rc c JOIN rs n ON n.role = c.role AND n.t = c.t AND (n.g = c.g OR n.g = 0 OR n.g > greatest(c.t, c.b)) JOIN rs o ON o.role = n.role AND o.e = n.e AND o.t = c.b),
+rv AS (SELECT role, g, t, s, count(*) FILTER (w = 1) AS n1, count(*) FILTER (w = 0) AS n0, avg(dy) FILTER (w = 1) AS m1, avg(dy) FILTER (w = 0) AS m0 FROM rz GROUP BY ALL),
+ratt AS (
+  SELECT role, g, t, t - g AS k, CAST(sum(n1) AS BIGINT) AS n_treated, CAST(sum(n0) AS BIGINT) AS n_control, count(*) = 2 AND min(n1) > 0 AND min(n0) > 0 AS saturated,
+         sum(n1 * (m1 - m0)) / sum(n1) AS robust, sum(n1 * m1) / sum(n1) - sum(n0 * m0) / sum(n0) AS plain FROM rv GROUP BY ALL HAVING sum(n1) > 0 AND sum(n0) > 0)"""
+
+
+def _by_role(spark, sf, x):
+    return G.role_sample(panel_roles(spark, sf), "y", "id", "year", {r: f"g_{r}" for r in ROLES}, "g", x, True, _MIN_COHORT, _BEFORE, _AFTER)
+
+
+@query("att_gt_by_role", f"WITH {_ROLES} SELECT role, g, t, k, round(CASE WHEN saturated THEN robust ELSE plain END, 5) + 0.0 AS att, n_treated, n_control, CASE WHEN saturated THEN 'doubly robust' ELSE 'difference of means' END AS method FROM ratt")
+def _(spark, sf):
+    return G.att_gt_by_role(_by_role(spark, sf, ["s"]), ["s"]).withColumn("att", F.round("att", 5) + 0.0)
+
+
+@query("att_overall_by_role", f"WITH {_ROLES} SELECT role, round(coalesce(avg(plain) FILTER (t >= g), avg(plain)), 5) + 0.0 AS att, count(*) AS n_cells FROM ratt GROUP BY 1")
+def _(spark, sf):
+    return G.att_overall(G.att_gt_by_role(_by_role(spark, sf, []))).withColumn("att", F.round("att", 5) + 0.0)
+
+
+@query(
+    "att_dynamic_by_role",
+    f"WITH {_ROLES}, ru AS (SELECT role, g, count(DISTINCT e) AS u FROM rs WHERE g > 0 GROUP BY ALL) SELECT role, k, round(sum(u * plain) / sum(u), 5) + 0.0 AS att, count(*) AS n_cohorts FROM ratt JOIN ru USING (role, g) WHERE k BETWEEN -2 AND 3 GROUP BY 1, 2",
+)
+def _(spark, sf):
+    sample = _by_role(spark, sf, [])
+    return G.att_dynamic_by_role(G.att_gt_by_role(sample), sample, -2, 3).withColumn("att", F.round("att", 5) + 0.0)
+
+
 _TAU = f"""{PANEL}, un AS (SELECT 'a' AS grp, id, year, y FROM panel WHERE d = 0), {fe_sql("un", [])},
 al AS (SELECT p.id, avg(p.y - t.effect) AS a FROM panel p JOIN f_t t USING (year) WHERE p.d = 0 GROUP BY 1),
 tau AS (SELECT p.id, p.year, p.k, p.d, p.y - t.effect - coalesce(al.a, 0) AS tau FROM panel p JOIN f_t t USING (year) LEFT JOIN al USING (id))"""

@@ -10,20 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from .gram import FeResult, fe_ols, independent, result_frame, time_index
+from .gram import FeResult, Fit, fe_many, fe_ols, independent, result_frame, time_index
 from .group_time import changes, fit_cells, role_rows
 from .stages import stage
 from .windows import first_by
 
 
 def did_table(df: DataFrame, outcomes: list[str], entity: str, time: str, treat: str = "post_treated", controls: list[str] | None = None, cov: str = "entity", alpha: float = 0.05) -> DataFrame:
-    """One row per outcome and term; a fit that fails leaves a row with its status instead of vanishing."""
+    """One row per outcome and term, all outcomes in the same passes; a fit that fails leaves a row with its status instead of vanishing."""
     rows = []
-    for y in outcomes:
-        try:
-            rows += [{"outcome": y, "significant": r["p"] is not None and r["p"] < alpha} | r for r in fe_ols(df, y, [treat, *(controls or [])], entity, time, cov).rows()]
-        except np.linalg.LinAlgError as e:
-            rows.append({"outcome": y, "term": treat, "status": f"failed: {e}"})
+    for y, fit in fe_many(df, [Fit(y, y, [treat, *(controls or [])], cov=cov) for y in outcomes], entity, time).items():
+        if fit.status != "ok":
+            rows.append({"outcome": y, "term": treat, "status": fit.status})
+        else:
+            rows += [{"outcome": y, "significant": r["p"] is not None and r["p"] < alpha} | r for r in fit.rows()]
     return result_frame(df.sparkSession, rows, "outcome string, significant boolean, ")
 
 
@@ -50,11 +50,15 @@ def event_study(df: DataFrame, y: str, entity: str, time: str, k: str, treated:
     return df.sparkSession.createDataFrame(sorted(rows), "k int, coef double, se double, lo double, hi double, status string")
 
 
+def _triple(df: DataFrame, specs: dict[str, str], post: str, treat: str) -> DataFrame:
+    """df with post x z and treatment x z of each spec; a missing z is 0."""
+    v = {s: F.coalesce(F.col(z).cast("double"), F.lit(0.0)) for s, z in specs.items()}
+    return df.withColumns({f"post_x_z{s}": F.col(post) * x for s, x in v.items()} | {f"treat_x_z{s}": F.col(treat) * x for s, x in v.items()})
+
+
 def triple_did(df: DataFrame, y: str, z: str, entity: str, time: str, post: str = "post", treat: str = "post_treated", controls: list[str] | None = None, cov: str = "entity") -> FeResult:
     """Adds post x z and treatment x z (the level of z is absorbed by the entity); a missing z is 0."""
-    v = F.coalesce(F.col(z).cast("double"), F.lit(0.0))
-    d = df.withColumns({"post_x_z": F.col(post) * v, "treat_x_z": F.col(treat) * v})
-    return fe_ols(d, y, [treat, "post_x_z", "treat_x_z", *(controls or [])], entity, time, cov)
+    return fe_ols(_triple(df, {"": z}, post, treat), y, [treat, "post_x_z", "treat_x_z", *(controls or [])], entity, time, cov)
 
 
 def group_effect(fit: FeResult, base: str = "treat", step: str = "treat_x_z") -> tuple[float, float]:
@@ -63,16 +67,34 @@ def group_effect(fit: FeResult, base: str = "treat", step: str = "treat_x_z") ->
     return float(fit.beta[i] + fit.beta[j]), math.sqrt(max(0.0, fit.cov[i, i] + fit.cov[j, j] + 2 * fit.cov[i, j]))
 
 
-def heterogeneity_specs(df: DataFrame, outcomes: list[str], specs: dict[str, str], entity: str, time: str, **names) -> DataFrame:
-    """Triple differences for each (spec, outcome), one table."""
-    d = df.persist()
-    try:
-        rows = [{"spec": s, "outcome": y} | r for s, z in specs.items() for y in outcomes for r in triple_did(d, y, z, entity, time, **names).rows()]
-    finally:
-        d.unpersist()
+def heterogeneity_specs(df: DataFrame, outcomes: list[str], specs: dict[str, str], entity: str, time: str, post: str = "post", treat: str = "post_treated", controls: list[str] | None = None, cov: str = "entity") -> DataFrame:
+    """Triple differences for each (spec, outcome), all in the same passes, one table."""
+    fits = {(s, y): Fit(f"{s}|{y}", y, [treat, f"post_x_z_{s}", f"treat_x_z_{s}", *(controls or [])], cov=cov) for s in specs for y in outcomes}
+    got = fe_many(_triple(df, {f"_{s}": z for s, z in specs.items()}, post, treat), list(fits.values()), entity, time)
+    plain = lambda s, term: term.removesuffix(f"_{s}") if term.startswith(("post_x_z_", "treat_x_z_")) else term
+    rows = [{"spec": s, "outcome": y} | r | {"term": plain(s, r["term"])} for (s, y), f in fits.items() for r in got[f.key].rows()]
     return result_frame(df.sparkSession, rows, "spec string, outcome string, ")
 
 
+def cohort_average(fit: FeResult, cells: dict[str, tuple[int, int]], sizes: dict[int, int], first: int, last: int, lo: int, hi: int, ref: int = -1, renormalise: bool = False) -> list[tuple[int, float, float, int]]:
+    """(k, coef, se, n_cohorts): a fit's (cohort, k) cells weighted by cohort size; see sun_abraham."""
+    at, rows = {cells[n]: i for i, n in enumerate(fit.names)}, []
+    for k in range(lo, hi + 1):
+        ok = [c for c in sizes if k != ref and first <= c + k <= last and (not renormalise or (c, k) in at)]
+        total = sum(sizes[c] for c in ok)
+        if not total or not any((c, k) in at for c in ok):
+            continue
+        w = np.array([sizes[c] / total for c in ok])
+        b = np.array([fit.beta[at[c, k]] if (c, k) in at else 0.0 for c in ok])
+        a = np.zeros(len(fit.names))
+        for c, x in zip(ok, w, strict=True):
+            if (c, k) in at:
+                a[at[c, k]] = x
+        spread = (np.diag(w) - np.outer(w, w)) / max(1, total - 1)
+        rows.append((k, float(w @ b), float(math.sqrt(max(0.0, a @ fit.cov @ a + b @ spread @ b))), len(ok)))
+    return rows
+
+
 def sun_abraham(df: DataFrame, y: str, entity: str, time: str, g: str, lo: int, hi: int, ref: int = -1, cov: str = "twoway", renormalise: bool = False) -> DataFrame:
     """k, coef, se, n_cohorts: cohort-by-event-time effects, weighted by cohort size.
 
@@ -92,21 +114,7 @@ def sun_abraham(df: DataFrame, y: str, entity: str, time: str, g: str, lo: int,
     own = F.concat_ws("|", F.col("g").cast("string"), (F.col(time).cast("long") - F.col("g")).cast("string"))
     d = d.withColumn("cell", F.element_at(number, own) if cells else F.lit(None).cast("int"))
     fit = fe_ols(d, "y", [], entity, time, cov, cells=("cell", list(names)))
-    at = {names[n]: i for i, n in enumerate(fit.names)}
-    rows = [(ref, 0.0, 0.0, 0)]
-    for k in range(lo, hi + 1):
-        ok = [c for c in sizes if k != ref and first <= c + k <= last and (not renormalise or (c, k) in at)]
-        total = sum(sizes[c] for c in ok)
-        if not total or not any((c, k) in at for c in ok):
-            continue
-        w = np.array([sizes[c] / total for c in ok])
-        b = np.array([fit.beta[at[c, k]] if (c, k) in at else 0.0 for c in ok])
-        a = np.zeros(len(fit.names))
-        for c, x in zip(ok, w, strict=True):
-            if (c, k) in at:
-                a[at[c, k]] = x
-        spread = (np.diag(w) - np.outer(w, w)) / max(1, total - 1)
-        rows.append((k, float(w @ b), float(math.sqrt(max(0.0, a @ fit.cov @ a + b @ spread @ b))), len(ok)))
+    rows = [(ref, 0.0, 0.0, 0), *cohort_average(fit, names, sizes, first, last, lo, hi, ref, renormalise)]
     return df.sparkSession.createDataFrame(sorted(rows), "k int, coef double, se double, n_cohorts int")
 
 

@@ -8,6 +8,7 @@ from ..operators import estimators as E
 from ..operators import group_time as G
 from ..operators import hetero as H
 from ..operators import matching as M
+from ..operators import placebos as P
 from ..operators import resample as X
 from ..operators.gram import fe_ols, result_frame
 from .domain import FIRST, LAST, PANEL, PANEL_ROLES, ROLES, panel_cy, panel_roles
@@ -301,6 +302,57 @@ def _(spark, sf):
     return X.placebo_suite(panel_cy(spark, sf), ["y", "x"], "id", "year", "g", 1).select("kind", "outcome", (F.round("coef", 6) + 0.0).alias("coef"), F.round("se", 6).alias("se"), "nobs")
 
 
+_PL_LEAD, _PL_LO, _PL_HI = 2, -3, 2
+_PL_KS = [k for k in range(_PL_LO, _PL_HI + 1) if k != -1]
+_PL_GS = range(FIRST - _PL_LEAD, LAST + 1)
+_PL_CELLS = [(g, k) for g in _PL_GS for k in _PL_KS if FIRST <= g + k <= LAST]
+
+
+def _placebo_rows(role: str) -> str:
+    """Rows of a role before its real treatment, with both kinds of false years."""
+    units = f"(SELECT DISTINCT id, g_{role} AS gr FROM panel_roles WHERE g_{role} > 0)"
+    first, second = (f"(SELECT *, row_number() OVER (ORDER BY {_hash('id', s)}, id) AS r FROM {units})" for s in (42, 43))
+    rows = f"panel_roles p WHERE (p.g_{role} > 0 OR p.g = 0) AND (p.g_{role} = 0 OR p.year < p.g_{role})"
+    swap = f"(SELECT a.id, b.gr FROM {first} a JOIN {second} b USING (r))"
+    return (
+        f"SELECT '{role}|lead' AS tag, p.id, p.year, p.y, p.x, CASE WHEN p.g_{role} > 0 THEN p.g_{role} - {_PL_LEAD} ELSE 0 END AS gp FROM {rows} "
+        f"UNION ALL SELECT '{role}|permute', q.id, q.year, q.y, q.x, coalesce(s.gr, 0) FROM (SELECT p.* FROM {rows}) q LEFT JOIN {swap} s ON s.id = q.id"
+    )
+
+
+_STUDIES = f"""{PANEL_ROLES},
+real AS ({" UNION ALL ".join(f"SELECT '{r}|{y}' AS grp, id, year, {y} AS y, CAST(g_{r} > 0 AND year >= g_{r} AS INT) AS d FROM panel_roles WHERE g_{r} > 0 OR g = 0" for r in ROLES for y in ("y", "x"))}), {fe_sql("real", ["d"], "r")},
+gate AS (SELECT grp FROM ({coefficients("r", ["d"])}) WHERE significant),
+pw AS (SELECT *, CASE WHEN gp > 0 THEN year - gp END AS k FROM ({" UNION ALL ".join(_placebo_rows(r) for r in ROLES)})),
+po AS (SELECT tag || '|y' AS grp, id, year, y, gp, k FROM pw UNION ALL SELECT tag || '|x', id, year, x, gp, k FROM pw),
+pp AS (SELECT *, CAST(coalesce(k >= 0, false) AS INT) AS d, k IS NULL OR k BETWEEN {_PL_LO} AND CASE WHEN grp LIKE '%lead%' THEN {_PL_LEAD - 1} ELSE {_PL_HI} END AS near FROM po
+  WHERE split_part(grp, '|', 1) || '|' || split_part(grp, '|', 3) IN (SELECT grp FROM gate)),
+pn AS (SELECT * FROM pp WHERE near), p2 AS (SELECT * FROM pn QUALIFY count(*) OVER (PARTITION BY grp, id) >= 2), pu AS (SELECT * FROM pn WHERE d = 0),
+{fe_sql("pp", ["d"], "fd")}, {fe_sql("pn", [f"coalesce(k = {k}, false)" for k in _PL_KS], "fe")},
+{fe_sql("p2", [f"(gp = {g} AND year = {g + k})" for g, k in _PL_CELLS], "fs", twoway=True)}, {fe_sql("pu", [], "fi")},
+pz AS (SELECT grp, gp AS g, count(DISTINCT id) AS n FROM p2 WHERE gp > 0 GROUP BY ALL), pspan AS (SELECT grp, min(year) AS first, max(year) AS last FROM p2 GROUP BY 1),
+pc AS (SELECT grp, {[g for g, _ in _PL_CELLS]}[CAST(i AS INT)] AS g, {[k for _, k in _PL_CELLS]}[CAST(i AS INT)] AS k, i, beta FROM fs_b),
+pe AS (SELECT z.grp, ks.k, z.g, z.n / sum(z.n) OVER w AS w, sum(z.n) OVER w AS total, c.i, coalesce(c.beta, 0) AS b FROM pz z CROSS JOIN (SELECT unnest({_PL_KS}) AS k) ks JOIN pspan USING (grp)
+  LEFT JOIN pc c ON c.grp = z.grp AND c.g = z.g AND c.k = ks.k WHERE z.g + ks.k BETWEEN first AND last WINDOW w AS (PARTITION BY z.grp, ks.k)),
+pv AS (SELECT a.grp, a.k, sum(a.w * b.w * v.v) AS v FROM pe a JOIN pe b ON a.grp = b.grp AND a.k = b.k JOIN fs_v v ON v.grp = a.grp AND v.i = a.i AND v.j = b.i GROUP BY ALL),
+pq AS (SELECT grp, k, (sum(w * b * b) - sum(w * b) * sum(w * b)) / greatest(1, max(total) - 1) AS v, sum(w * b) AS coef, count(*) AS n FROM pe GROUP BY ALL),
+pal AS (SELECT u.grp, u.id, avg(u.y - t.effect) AS a FROM pu u JOIN fi_t t USING (grp, year) GROUP BY ALL),
+studies AS (
+  SELECT b.grp, 'did' AS method, CAST(NULL AS INT) AS k, beta AS coef, sqrt(v) AS se, nobs AS n FROM fd_b b JOIN fd_v v ON v.grp = b.grp AND v.i = b.i AND v.j = b.i JOIN fd_n n ON n.grp = b.grp
+  UNION ALL SELECT b.grp, 'event_study', {_PL_KS}[CAST(b.i AS INT)], beta, sqrt(v), nobs FROM fe_b b JOIN fe_v v ON v.grp = b.grp AND v.i = b.i AND v.j = b.i JOIN fe_n n ON n.grp = b.grp
+  UNION ALL SELECT grp, 'sun_abraham', k, coef, sqrt(greatest(0, pv.v + pq.v)), n FROM pq JOIN pv USING (grp, k)
+  UNION ALL SELECT p.grp, 'imputation', p.k, avg(p.y - t.effect - coalesce(a.a, 0)), NULL, count(*) FROM pn p JOIN fi_t t USING (grp, year) LEFT JOIN pal a USING (grp, id) WHERE p.d = 1 GROUP BY ALL)"""
+
+
+@query(
+    "placebo_studies",
+    f"WITH {_STUDIES} SELECT split_part(grp, '|', 1) AS role, split_part(grp, '|', 2) AS kind, split_part(grp, '|', 3) AS outcome, method, k, round(coef, 5) + 0.0 AS coef, round(se, 5) AS se, n FROM studies",
+)
+def _(spark, sf):
+    got = P.placebo_studies(panel_roles(spark, sf), ["y", "x"], "id", "year", {r: f"g_{r}" for r in ROLES}, "g", _PL_LEAD, _PL_LO, _PL_HI)
+    return got.withColumns({"coef": F.round("coef", 5) + 0.0, "se": F.round("se", 5)})
+
+
 @query("sample_units", f"WITH {PANEL}, e AS (SELECT DISTINCT id, CAST(g > 0 AS INT) AS t FROM panel), s AS (SELECT id, t FROM e QUALIFY row_number() OVER (PARTITION BY t ORDER BY {_hash('id')}, id) <= CASE WHEN t = 1 THEN 50 ELSE 100 END) SELECT id, year, t FROM panel JOIN s USING (id)")
 def _(spark, sf):
     p = panel_cy(spark, sf).withColumn("t", (F.col("g") > 0).cast("int"))

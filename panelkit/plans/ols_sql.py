@@ -33,7 +33,8 @@ def fe_sql(rows: str, x: list[str], prefix: str = "f", twoway: bool = False) ->
         )
     m = f"{p}_{n - 1}"
     out += [
-        f"{p}_k AS MATERIALIZED (SELECT a.grp, a.i, b.v AS beta FROM {m} a JOIN {m} b ON b.grp = a.grp AND b.i = a.i AND b.j = {n} WHERE a.i = a.j AND a.i < {n} AND a.v < 0)",
+        # a swept column holds at most -1 / its own square; the pivot of one that was left out is 0 but for rounding, of either sign
+        f"{p}_k AS MATERIALIZED (SELECT a.grp, a.i, b.v AS beta FROM {m} a JOIN {m} b ON b.grp = a.grp AND b.i = a.i AND b.j = {n} JOIN {p}_0 o ON o.grp = a.grp AND o.i = a.i AND o.j = a.i WHERE a.i = a.j AND a.i < {n} AND a.v * o.v < -0.5)",
         f"{p}_e AS MATERIALIZED (SELECT z.grp, z.id, z.year, sum(CASE WHEN z.i = {n} THEN z.v ELSE -z.v * coalesce(beta, 0) END) AS e FROM {p}_z z LEFT JOIN {p}_k USING (grp, i) GROUP BY ALL)",
         f"{p}_s AS MATERIALIZED (SELECT z.grp, z.id, {'z.year' if twoway else '0 AS year'}, z.i, sum(z.v * e) AS s FROM {p}_z z JOIN {p}_k USING (grp, i) JOIN {p}_e USING (grp, id, year) GROUP BY ALL)",
         f"{p}_u AS MATERIALIZED (SELECT s.grp, s.id, s.year, m.i - {t} AS i, sum(-m.v * s.s) AS u FROM {p}_s s JOIN {m} m ON m.grp = s.grp AND m.j = s.i JOIN {p}_k k ON k.grp = m.grp AND k.i = m.i WHERE m.i > {t} GROUP BY ALL)",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import nearest
 from .stages import stage
 from .windows import first_by, top_by
 
@@ -37,22 +40,24 @@ def propensity(pool: DataFrame, label: str, numeric: list[str], categorical: lis
     return out.select(*pool.columns, name).unionByName(pool.where(" or ".join(f"{c} is null" for c in numeric)).withColumn(name, F.lit(None).cast("double")))
 
 
-def match_mahalanobis(pool: DataFrame, entity: str, treated: str, block: str, x1: str, x2: str, caliper: float | None = None, score: str | None = None) -> DataFrame:
+def match_mahalanobis(pool: DataFrame, entity: str, treated: str, block: str, x1: str, x2: str, caliper: float | None = None, score: str | None = None, pairs: list | None = None) -> DataFrame:
     """entity, control, block, distance: each treated unit's nearest control of its block, ties to the least id.
 
     The distance uses the block's pooled 2 x 2 covariance, its inverse in closed form. With a caliper the scores may
-    differ by so much at most; missing scores pass.
+    differ by so much at most; missing scores pass. Blocks without a positive determinant have no distances. Neighbours
+    are searched in coordinates that the covariance has whitened (see nearest).
     """
-    p = pool.dropna(subset=[entity, block, x1, x2])
-    cov = p.groupBy(block).agg((F.var_samp(x1) + 1e-8).alias("a"), F.covar_samp(x1, x2).alias("b"), (F.var_samp(x2) + 1e-8).alias("c"))
-    side = lambda v, pre: p.where(F.col(treated) == v).select(F.col(block), F.col(entity).alias(f"{pre}id"), F.col(x1).alias(f"{pre}1"), F.col(x2).alias(f"{pre}2"), *([F.col(score).alias(f"{pre}s")] if score else []))
-    j = side(1, "t").join(side(0, "c"), block).join(cov, block)
-    if caliper is not None and score:
-        j = j.where(F.coalesce(F.abs(F.col("ts") - F.col("cs")) <= caliper, F.lit(True)))
-    d1, d2, det = F.col("t1") - F.col("c1"), F.col("t2") - F.col("c2"), F.col("a") * F.col("c") - F.col("b") * F.col("b")
-    dist = F.sqrt(F.greatest(F.try_divide(F.col("c") * d1 * d1 - 2 * F.col("b") * d1 * d2 + F.col("a") * d2 * d2, det), F.lit(0.0)))
-    best = j.withColumn("dist", dist).where("dist is not null").groupBy("tid", block).agg(F.min(F.struct("dist", "cid")).alias("m"))
-    return best.select(F.col("tid").alias(entity), F.col("m.cid").alias("control"), block, F.col("m.dist").alias("distance"))
+    p = pool.dropna(subset=[entity, block, x1, x2]).select(F.col(entity).alias("id"), F.col(block).alias("__b"), F.col(treated).alias("__t"), F.col(x1).cast("double").alias("__x1"), F.col(x2).cast("double").alias("__x2"), *([F.col(score).alias("__s")] if score else []))
+    cov = p.groupBy("__b").agg((F.var_samp("__x1") + 1e-8).alias("__va"), F.covar_samp("__x1", "__x2").alias("__vb"), (F.var_samp("__x2") + 1e-8).alias("__vc"))
+    cov = cov.withColumn("__det", F.col("__va") * F.col("__vc") - F.col("__vb") * F.col("__vb")).where("__det > 0")
+    q = p.join(cov, "__b").withColumns({"__u1": F.col("__x1") / F.sqrt("__va"), "__u2": (F.col("__x2") - F.col("__vb") / F.col("__va") * F.col("__x1")) / F.sqrt(F.col("__det") / F.col("__va"))})
+    d1, d2 = F.col("t.__x1") - F.col("c.__x1"), F.col("t.__x2") - F.col("c.__x2")
+    va, vb, vc = (F.col(f"t.__v{x}") for x in "abc")
+    dist = F.sqrt(F.greatest((vc * d1 * d1 - 2 * vb * d1 * d2 + va * d2 * d2) / F.col("t.__det"), F.lit(0.0)))
+    near = F.coalesce(F.abs(F.col("t.__s") - F.col("c.__s")) <= caliper, F.lit(True)) if caliper is not None and score else None
+    data = ["__x1", "__x2", "__va", "__vb", "__vc", "__det", *(["__s"] if score else [])]
+    got = nearest(q.where("__t = 1"), q.where("__t = 0"), ["__b"], ["__u1", "__u2"], dist, 1, data, near, pairs=pairs)
+    return got.select(F.col("id").alias(entity), "control", F.col("__b").alias(block), "distance")
 
 
 def match_cohorts(df: DataFrame, entity: str, time: str, g: str, block: str, x1: str, x2: str, caliper: float | None = None) -> DataFrame:
@@ -128,16 +133,30 @@ def match_greedy(pairs: DataFrame, exact: list[str], n: int = 3, max_reuse: int
         left = stage(left, "candidates")
 
 
-def match_euclid(treated: DataFrame, controls: DataFrame, block: list[str], x: list[str], category: str | None = None, n: int = 3) -> DataFrame:
-    """tid, cid, dist, control_rank: the n nearest by standardised squared distance, 2 more where the category differs."""
-    s = treated.select("id", *x).unionByName(controls.select("id", *x)).agg(*[F.stddev_pop(c).alias(c) for c in x])
-    j = treated.alias("t").join(controls.alias("c"), [F.col(f"t.{b}") == F.col(f"c.{b}") for b in block]).crossJoin(F.broadcast(s).alias("s"))  # one row
-    d = sum((F.coalesce(F.try_divide(F.pow(F.col(f"t.{c}") - F.col(f"c.{c}"), F.lit(2)), F.pow(F.col(f"s.{c}"), F.lit(2))), F.lit(0.0)) for c in x), F.lit(0.0))
+def match_euclid(treated: DataFrame, controls: DataFrame, block: list[str], x: list[str], category: str | None = None, n: int = 3, pairs: list | None = None) -> DataFrame:
+    """tid, cid, dist, control_rank: the n nearest by standardised squared distance, 2 more where the category differs.
+
+    A column without spread tells nothing, nor does one that is missing on either side. Units with all columns are
+    searched by nearest; those that lack one are compared with all controls of their block, and controls that lack one
+    with all treated.
+    """
+    s = treated.select("id", *x).unionByName(controls.select("id", *x)).agg(*[F.stddev_pop(c).alias(f"__s{i}") for i, c in enumerate(x)])
+    spreads = [s.first()[i] for i in range(len(x))]  # one row
+    kept = [(c, v) for c, v in zip(x, spreads, strict=True) if v]
+    d = sum((F.coalesce(F.pow((F.col(f"t.{c}") - F.col(f"c.{c}")) / F.lit(v), F.lit(2)), F.lit(0.0)) for c, v in kept), F.lit(0.0))
     if category:
         d = d + F.when(F.col(f"t.{category}") != F.col(f"c.{category}"), 2.0).otherwise(0.0)
-    q = j.where(F.col("t.id") != F.col("c.id")).select(F.col("t.id").alias("tid"), F.col("c.id").alias("cid"), F.sqrt(d).alias("dist"))
+    scaled = lambda df: df.withColumns({f"__u{i}": F.col(c) / F.lit(v) for i, (c, v) in enumerate(kept)} | ({} if kept else {"__u0": F.lit(0.0)}))
+    u = [f"__u{i}" for i in range(max(1, len(kept)))]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in u])
+    t, c = scaled(treated), scaled(controls)
+    data = [*(name for name, _ in kept), *([category] if category else [])]
+    got = nearest(t.where(whole), c.where(whole), block, u, F.sqrt(d), n, data, penalty=2.0 if category else 0.0, pairs=pairs).select(F.col("id").alias("tid"), F.col("control").alias("cid"), F.col("distance").alias("dist"))
+    for a, b in ((t.where(~whole), c), (t.where(whole), c.where(~whole))):
+        j = a.alias("t").join(b.alias("c"), [F.col(f"t.{k}") == F.col(f"c.{k}") for k in block]).where(F.col("t.id") != F.col("c.id"))
+        got = got.unionByName(j.select(F.col("t.id").alias("tid"), F.col("c.id").alias("cid"), F.sqrt(d).alias("dist")))
     w = Window.partitionBy("tid").orderBy("dist", "cid")
-    return top_by(q, ["tid"], ["dist", "cid"], n).withColumn("control_rank", F.row_number().over(w))
+    return top_by(got, ["tid"], ["dist", "cid"], n).withColumn("control_rank", F.row_number().over(w))
 
 
 def stack_cohorts(df: DataFrame, pairs: DataFrame, entity: str, time: str, g: str, lo: int, hi: int, dedupe: bool = True) -> DataFrame:

@@ -47,8 +47,8 @@ def nearest(treated: DataFrame, controls: DataFrame, block: list[str], u: list[s
 
     Both tables: id, block, u (coordinates) and data (what distance and eligible read, as t.<name> and c.<name>).
     distance squared is at least the squared distance of coordinates, and at most that plus the penalty. A unit is no
-    control of itself. Rows with a missing block or coordinate have no neighbours. pairs: a list that gets an
-    observation of the pairs compared (attribute get, after the result is computed) for each step.
+    control of itself. Rows with a missing block or coordinate have no neighbours. pairs: a list that
+    gets the number of pairs compared in each step (by a job of its own).
     """
     own = [*block, *dict.fromkeys([*u, *(data or [])])]
     t, c = (x.select("id", *own).dropna(subset=["id", *block, *u]) for x in (treated, controls))
@@ -66,10 +66,7 @@ def nearest(treated: DataFrame, controls: DataFrame, block: list[str], u: list[s
             met = met.where(eligible)
         met = met.select(F.col("t.__p").alias("__p"), F.col("c.id").alias("__c"), distance.alias("__d"))
         if pairs is not None:
-            from pyspark.sql import Observation
-
-            pairs.append(Observation())
-            met = met.observe(pairs[-1], F.count("*").alias("n"))
+            pairs.append(met.count())
         return met.where("__d is not null").withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= want).drop("__r")
 
     on = lambda keys: [F.col(f"t.{k}") == F.col(f"c.{k}") for k in keys]

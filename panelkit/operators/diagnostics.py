@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quantiles_by
 
 
 def smd(df: DataFrame, treated: str, columns: list[str], least: int = 5) -> DataFrame:
@@ -112,7 +112,9 @@ def baseline_table(df: DataFrame, treated: str, columns: list[str]) -> DataFrame
 def profile(df: DataFrame, by: str, column: str) -> DataFrame:
     """Moments, quantiles and shares of zeros and negatives of a column by group."""
     q = [0.01, 0.05, 0.5, 0.95, 0.99]
-    a = df.groupBy(by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).alias("min"), F.max(column).alias("max"), F.percentile(column, F.array(*map(F.lit, q))).alias("q"), F.avg((F.col(column) == 0).cast("double")).alias("zero_share"), F.avg((F.col(column) < 0).cast("double")).alias("negative_share"))
+    a = df.groupBy(by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg((F.col(column) == 0).cast("double")).alias("zero_share"), F.avg((F.col(column) < 0).cast("double")).alias("negative_share"))
+    b = quantiles_by(df, [by], column, q).withColumnRenamed(by, "__by")
+    a = a.join(b, F.col(by).eqNullSafe(F.col("__by")), "left")
     return a.select(by, "n", "mean", "sd", "min", "max", *[F.col("q")[i].alias(f"p{round(x * 100):02d}") for i, x in enumerate(q)], "zero_share", "negative_share")
 
 

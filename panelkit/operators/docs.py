@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from .quantiles import quantiles_by
 
 
 def forward_citations(edges: DataFrame, citing: str, cited: str) -> DataFrame:
@@ -19,7 +20,8 @@ def quality_bins(docs: DataFrame, count: str, by: list[str], levels: tuple[float
     A missing count is 0. With external=True it stays missing (all four NULL) and the middle bin needs no positive count.
     """
     c = F.col(count) if external else F.coalesce(F.col(count), F.lit(0))
-    q = docs.withColumn("__c", c).where(" and ".join(f"{b} is not null" for b in by)).groupBy(*by).agg(F.percentile("__c", F.array(*map(F.lit, levels))).alias("__q"))
+    q = docs.withColumn("__c", c).where(" and ".join(f"{b} is not null" for b in by))
+    q = quantiles_by(q, by, "__c", list(levels)).withColumnRenamed("q", "__q")
     d = docs.join(q, by, "left").withColumn("__c", c)
     lo, hi, x = F.col("__q")[0], F.col("__q")[1], F.col("__c")
     flag = lambda cond: F.when(x.isNotNull() if external else F.lit(True), F.coalesce(cond, F.lit(False)).cast("int"))

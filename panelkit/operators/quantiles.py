@@ -1,14 +1,20 @@
-"""Exact quantiles of whole columns by narrowing brackets; no task and no driver ever holds a column's values."""
+"""Exact quantiles of whole columns, and of columns by group, by narrowing brackets; no task and no driver ever holds all values of a column or group."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stages import stage
+
 #: Values inside a bracket that are looked at one by one, and accuracy of the sketches that narrow it.
 INSIDE, ACCURACY = 2_000, 10_000
+#: Steps of the sketch that narrows the brackets of a group (its accuracy is 10 times as fine).
+STEPS = 256
 
 
 def exact_quantiles(df: DataFrame, wanted: list[tuple[str, str, list[float]]]) -> dict[str, list[float | None]]:
@@ -69,3 +75,46 @@ def _ranked(values: list[tuple[float, int]], rank: int) -> float:
         if rank < 0:
             return v
     return values[-1][0]
+
+
+def quantiles_by(df: DataFrame, by: list[str], value: str, wanted: list[float]) -> DataFrame:
+    """by and q, an array: linearly interpolated quantiles of value in each group that has any; missing group keys are a group.
+
+    The same narrowing as exact_quantiles, with one bracket for each (group, probability) in a table, as there may be
+    any number of groups. Groups of at most INSIDE values are counted by value at once. In larger ones a mergeable
+    sketch of STEPS steps inside each bracket leaves about 3 / STEPS of it a round, and a pass counts what lies below.
+    """
+    keys = [f"__b{i}" for i in range(len(by))]
+    v = F.col(value).cast("double")
+    x = stage(df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], v.alias("__v")).where(v.isNotNull() & ~F.isnan(v)), "values")
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(float(p)).alias("__p")) for i, p in enumerate(wanted)]))
+    state = x.groupBy(*keys).agg(F.count("*").alias("__total")).select(*keys, "__total", each)
+    state = state.withColumns({"__lo": F.lit(-math.inf), "__hi": F.lit(math.inf), "__below": F.lit(0).cast("long"), "__n": F.col("__total"), "__open": F.col("__total") > INSIDE})
+    own, columns = [*keys, "__i"], [*keys, "__i", "__p", "__total", "__lo", "__hi", "__below", "__n", "__open"]
+
+    def within(brackets: DataFrame) -> DataFrame:
+        """Values with each bracket of their group."""
+        b = brackets.select(*[F.col(k).alias(f"{k}r") for k in keys], *columns[len(keys) :])
+        return x.join(b, reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in keys])).drop(*(f"{k}r" for k in keys))
+
+    inside = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
+    state = stage(state.select(columns), "brackets")
+    while not state.where("__open").isEmpty():
+        held = [*own, "__p", "__total", "__lo", "__hi", "__below", "__n"]
+        cuts = within(state.where("__open")).where(inside).groupBy(*held).agg(F.percentile_approx("__v", [i / STEPS for i in range(STEPS + 1)], 10 * STEPS).alias("__g"))
+        h = F.col("__p") * (F.col("__total") - 1)
+        share = lambda rank: (rank - F.col("__below")) / F.col("__n") * STEPS
+        low = F.greatest(F.lit(0), F.floor(share(F.floor(h))) - 1).cast("int")
+        high = F.least(F.lit(STEPS), F.ceil(share(F.ceil(h) + 1)) + 1).cast("int")
+        narrow = cuts.withColumns({"__l": F.col("__g")[low], "__h": F.col("__g")[high]})
+        narrow = stage(narrow.select(*own, "__p", "__total", F.col("__l").alias("__lo"), F.col("__h").alias("__hi"), F.lit(0).cast("long").alias("__below"), F.col("__n"), ((F.col("__l") > F.col("__lo")) | (F.col("__h") < F.col("__hi"))).alias("__open")), "narrow")
+        moved = within(narrow).groupBy(*own, "__p", "__total", "__lo", "__hi", "__open").agg(F.count_if(F.col("__v") < F.col("__lo")).alias("__below"), F.count_if(inside).alias("__n"))
+        moved = moved.withColumn("__open", F.col("__open") & (F.col("__n") > INSIDE) & (F.col("__lo") < F.col("__hi")))
+        state = stage(state.where("not __open").unionByName(moved.select(columns)), "brackets")
+    counts = within(state).where(inside).groupBy(*own, "__p", "__total", "__below", "__v").agg(F.count("*").alias("__m"))
+    upto = F.col("__below") + F.sum("__m").over(Window.partitionBy(*own).orderBy("__v"))  # few values a bracket
+    h = F.col("__p") * (F.col("__total") - 1)
+    at = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__v")))
+    ends = counts.withColumn("__upto", upto).groupBy(*own, "__p", "__total").agg(at(F.floor(h)).alias("__a"), at(F.ceil(h)).alias("__z"))
+    q = F.struct("__i", (F.col("__a") + (F.col("__z") - F.col("__a")) * (h - F.floor(h))).alias("q"))
+    return ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(q)), lambda s: s["q"]).alias("q")).select(*[F.col(k).alias(b) for b, k in zip(by, keys, strict=True)], "q")

@@ -250,6 +250,20 @@ def test_exact_quantiles_of_ties_nulls_and_narrow_brackets(spark, monkeypatch):
     assert np.allclose(got["a"], np.quantile(v, ps), atol=1e-12) and np.allclose(got["b"], np.quantile(v[1::2], ps), atol=1e-12) and got["none"] == [None]
 
 
+@pytest.mark.parametrize(("inside", "steps"), [(2_000, 256), (20, 16)])
+def test_quantiles_by_group_with_one_very_large_group(spark, monkeypatch, inside, steps):
+    from panelkit.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "INSIDE", inside)
+    monkeypatch.setattr(quantiles, "STEPS", steps)
+    r = np.random.default_rng(4)
+    rows = [("big", float(x)) for x in r.normal(size=3000)] + [("ties", float(x)) for x in r.integers(0, 3, 500)] + [("one", 7.0)] * 90 + [(None, float(x)) for x in range(31)] + [("none", None), ("nan", float("nan"))] + [(f"g{i % 40}", float(i)) for i in range(300)]
+    got = {x["g"]: x["q"] for x in quantiles.quantiles_by(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0, 0.01, 0.5, 0.9, 0.99, 1]).collect()}
+    p = pd.DataFrame(rows, columns=["g", "v"]).dropna(subset=["v"])
+    want = {k if isinstance(k, str) else None: d.v.quantile([0, 0.01, 0.5, 0.9, 0.99, 1]).tolist() for k, d in p.groupby("g", dropna=False)}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12, atol=1e-12) for k in want)
+
+
 def test_permuted_years_move_and_stay_the_same_set(spark, monkeypatch):
     monkeypatch.setattr(windows, "RANK_CELL", 50)
     d = spark.createDataFrame([(i, 2000 + i % 7) for i in range(700)] + [(1000 + i, 0) for i in range(50)], "id long, g long").withColumn("year", F.lit(1990).cast("long"))

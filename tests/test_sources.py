@@ -30,6 +30,45 @@ def test_stages_are_built_once(spark, tmp_path):
         assert files.cached(spark, path, build, rebuild).count() == 3 and len(built) == times
 
 
+def test_a_build_that_died_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    bad = spark.range(4, numPartitions=2).withColumn("x", F.when(F.col("id") == 3, F.raise_error(F.lit("lost"))).otherwise(F.lit("ok")))
+    with pytest.raises(Exception, match="lost"):
+        files.cached(spark, path, lambda: bad)
+    assert [r["id"] for r in files.cached(spark, path, lambda: spark.range(2)).collect()] == [0, 1]
+    with pytest.raises(Exception, match="lost"):
+        files.cached(spark, path, lambda: bad, rebuild=True)
+    assert files.cached(spark, path, lambda: bad).count() == 2  # the build before still stands
+    files.cached(spark, path, lambda: spark.range(5), rebuild=True)
+    assert len(list((tmp_path / "stage").glob("build-*"))) == 1
+    files.drop_cached(spark, path)
+    assert not (tmp_path / "stage").exists()
+
+
+def test_changed_inputs_are_noticed(spark, tmp_path):
+    source, path, built = str(tmp_path / "in"), str(tmp_path / "stage"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source).withColumn("a b", F.col("id") * 2)
+
+    spark.range(3).write.parquet(source)
+    for n, times in ((3, 1), (3, 1)):
+        assert files.cached(spark, path, build, inputs=[source]).count() == n and len(built) == times
+    spark.range(7).write.mode("append").parquet(source)
+    got = files.cached(spark, path, build, inputs=[source, str(tmp_path / "absent")])
+    assert got.count() == 10 and got.columns == ["id", "a b"] and len(built) == 2
+
+
+def test_law_panel_has_one_row_per_state_and_year(spark, tmp_path):
+    (tmp_path / "law.csv").write_text("state_fips,year,std_score\n1,1999,0.5\n6.0,1999,\n06,2000,-1\nPR,1999,2\nPR,1999,3\n")
+    got = {(r["state_fips"], r["filing_year"], r["std_score"]) for r in files.read_law_panel(spark, str(tmp_path / "law.csv")).collect()}
+    assert got == {("01", 1999, 0.5), ("06", 1999, None), ("06", 2000, -1.0), (None, 1999, 2.0), (None, 1999, 3.0)}
+    (tmp_path / "twice.csv").write_text("state_fips,year,std_score\n1,1999,0.5\n01,1999,0.7\n")
+    with pytest.raises(Exception, match="not unique"):
+        files.read_law_panel(spark, str(tmp_path / "twice.csv")).collect()
+
+
 def test_panels_and_results_are_written(spark, tmp_path):
     d = spark.createDataFrame([(1, 1999, 2.0), (2, 2000, None)], "id long, data_year int, v double")
     files.write_panel(d, str(tmp_path / "panel"))

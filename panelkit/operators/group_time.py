@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import nan_to_null
 from ..functions.scalars import ratio
+from ..sources.files import Parameters
 from .stages import stage
 from .windows import first_by
 
@@ -57,8 +58,10 @@ def identified(counts: list[tuple[str, int, int, int]], sizes: dict[tuple[str, i
     return sorted(out)
 
 
-def role_sample(df: DataFrame, y: str, entity: str, time: str, roles: dict[str, str], overall: str | None = None, x: list[str] | None = None, strict: bool = True, min_cohort: int = 200, before: int = 2, after: int = 3, min_treated: int = 1) -> DataFrame:
-    """role_rows, written once, without the rows of cells that identify nothing (see identified)."""
+def role_sample(df: DataFrame, y: str, entity: str, time: str, roles: dict[str, str], overall: str | None = None, x: list[str] | None = None, strict: bool = True, min_cohort: int = 200, before: int = 2, after: int = 3, min_treated: int = 1, parameters: Parameters | None = None) -> DataFrame:
+    """role_rows, written once, without the rows of cells that identify nothing (see identified). Parameters stand for min_cohort, before and after."""
+    if parameters:
+        min_cohort, before, after = parameters.min_cohort, parameters.before, parameters.after
     d = stage(role_rows(df, y, entity, time, roles, overall, x or [], strict), "role-rows")
     counts = [(r["role"], r["g"], r["t"], r["n"]) for r in d.groupBy("role", "g", "t").agg(F.count("*").alias("n")).collect()]  # one row a cell
     sizes = {(r["role"], r["g"]): r["n"] for r in d.where("g > 0").groupBy("role", "g").agg(F.countDistinct("e").alias("n")).collect()}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import Parameters
 from .estimators import cohort_average
 from .gram import Fit, fe_many
 from .resample import placebo_columns
@@ -57,14 +58,17 @@ def cohort_cells(d: DataFrame, entity: str, time: str, tags: list[str], lo: int,
     return out
 
 
-def placebo_studies(df: DataFrame, outcomes: list[str], entity: str, time: str, roles: dict[str, str], overall: str, lead: int = 3, lo: int = -5, hi: int = 5, ref: int = -1, alpha: float | None = 0.05, seed: int = 42) -> DataFrame:
+def placebo_studies(df: DataFrame, outcomes: list[str], entity: str, time: str, roles: dict[str, str], overall: str, lead: int = 3, lo: int = -5, hi: int = 5, ref: int = -1, alpha: float | None = 0.05, seed: int = 42, parameters: Parameters | None = None) -> DataFrame:
     """role, kind, outcome, method, k, coef, se, n: false treatments of each role on the outcomes that pass its gate.
 
     The gate takes outcomes on which the role's real two-way effect has p below alpha (None: all). did: the two-way
     effect over all rows before the real treatment, k NULL; the others take the rows within the window. event_study and
     sun_abraham: coefficients by event time, ref left out; imputation: mean effects of rows from the false treatment
     on, no se. n: rows of the fit, cohorts, or rows that are averaged. A fit that has nothing to tell gives no row.
+    Parameters stand for lead, window, reference, alpha and seed.
     """
+    if parameters:
+        lead, (lo, hi), ref, alpha, seed = parameters.lead, parameters.window, parameters.reference, parameters.alpha, parameters.seed
     schema = "role string, kind string, outcome string, method string, k int, coef double, se double, n long"
     d = stage(wide_placebos(df, outcomes, entity, time, roles, overall, lead, lo, hi, ref, seed), "placebos")
     real = fe_many(d, [Fit(f"{r}|{y}", y, [f"d_{r}"], f"in_{r}") for r in roles for y in outcomes], entity, time) if alpha is not None else {}

@@ -11,6 +11,7 @@ from ..operators import matching as M
 from ..operators import placebos as P
 from ..operators import resample as X
 from ..operators.gram import fe_ols, result_frame
+from ..sources.files import Parameters
 from .domain import FIRST, LAST, PANEL, PANEL_ROLES, ROLES, panel_cy, panel_roles
 from .ols_sql import coefficients, fe_sql
 from .registry import query
@@ -184,7 +185,9 @@ def _(spark, sf):
     return E.att_gt_dr(panel_cy(spark, sf), "y", "id", "year", "g", ["x"])
 
 
-_MIN_COHORT, _BEFORE, _AFTER = 30, 2, 3
+#: What these queries are run with, in Spark and in SQL.
+SETTINGS = Parameters(window=(-3, 2), min_cohort=30, before=2, after=3, lead=2)
+_MIN_COHORT, _BEFORE, _AFTER = SETTINGS.min_cohort, SETTINGS.before, SETTINGS.after
 # Strict roles, cohorts of enough units, windows, periods with a control, identified cells. With a 0/1 trait the logistic
 # fit and the regression of a cell are saturated, so the doubly robust effect is a mean over the trait's values.
 _ROLES = f"""{PANEL_ROLES}, rr AS (
@@ -205,7 +208,7 @@ ratt AS (
 
 
 def _by_role(spark, sf, x):
-    return G.role_sample(panel_roles(spark, sf), "y", "id", "year", {r: f"g_{r}" for r in ROLES}, "g", x, True, _MIN_COHORT, _BEFORE, _AFTER)
+    return G.role_sample(panel_roles(spark, sf), "y", "id", "year", {r: f"g_{r}" for r in ROLES}, "g", x, True, parameters=SETTINGS)
 
 
 @query("att_gt_by_role", f"WITH {_ROLES} SELECT role, g, t, k, round(CASE WHEN saturated THEN robust ELSE plain END, 5) + 0.0 AS att, n_treated, n_control, CASE WHEN saturated THEN 'doubly robust' ELSE 'difference of means' END AS method FROM ratt")
@@ -302,7 +305,7 @@ def _(spark, sf):
     return X.placebo_suite(panel_cy(spark, sf), ["y", "x"], "id", "year", "g", 1).select("kind", "outcome", (F.round("coef", 6) + 0.0).alias("coef"), F.round("se", 6).alias("se"), "nobs")
 
 
-_PL_LEAD, _PL_LO, _PL_HI = 2, -3, 2
+_PL_LEAD, (_PL_LO, _PL_HI) = SETTINGS.lead, SETTINGS.window
 _PL_KS = [k for k in range(_PL_LO, _PL_HI + 1) if k != -1]
 _PL_GS = range(FIRST - _PL_LEAD, LAST + 1)
 _PL_CELLS = [(g, k) for g in _PL_GS for k in _PL_KS if FIRST <= g + k <= LAST]
@@ -349,7 +352,7 @@ studies AS (
     f"WITH {_STUDIES} SELECT split_part(grp, '|', 1) AS role, split_part(grp, '|', 2) AS kind, split_part(grp, '|', 3) AS outcome, method, k, round(coef, 5) + 0.0 AS coef, round(se, 5) AS se, n FROM studies",
 )
 def _(spark, sf):
-    got = P.placebo_studies(panel_roles(spark, sf), ["y", "x"], "id", "year", {r: f"g_{r}" for r in ROLES}, "g", _PL_LEAD, _PL_LO, _PL_HI)
+    got = P.placebo_studies(panel_roles(spark, sf), ["y", "x"], "id", "year", {r: f"g_{r}" for r in ROLES}, "g", parameters=SETTINGS)
     return got.withColumns({"coef": F.round("coef", 5) + 0.0, "se": F.round("se", 5)})
 
 

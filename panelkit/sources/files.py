@@ -16,7 +16,7 @@ from ..functions.nulls import assert_unique
 
 @dataclass(frozen=True)
 class Parameters:
-    """Windows and levels of an analysis."""
+    """Windows and levels of an analysis: event window and its reference, level of the gate, draws, least cohort, periods of a cohort before and after its treatment, lead of a false treatment, seed."""
 
     window: tuple[int, int] = (-5, 5)
     reference: int = -1
@@ -24,6 +24,9 @@ class Parameters:
     draws: int = 500
     composition_draws: int = 30
     min_cohort: int = 200
+    before: int = 2
+    after: int = 3
+    lead: int = 3
     seed: int = 42
 
 

@@ -13,7 +13,7 @@ from ..operators import resample as X
 from ..operators.gram import fe_ols, result_frame
 from ..sources.files import Parameters
 from .domain import FIRST, LAST, PANEL, PANEL_ROLES, ROLES, panel_cy, panel_roles
-from .ols_sql import coefficients, fe_sql
+from .ols_sql import coefficients, fe_sql, logit_sql
 from .registry import query
 
 # On a balanced panel two-way effects are swept out by subtracting unit and period means and adding the overall mean.
@@ -407,16 +407,36 @@ def _(spark, sf):
     return M.stack_cohorts(p, pairs, "id", "year", "g", -2, 2).select("id", "year", "cohort", "event_time", "treated", "post_treated")
 
 
-@query("propensity_scores")
+_POOL = f"""{PANEL}, pool0 AS (SELECT *, CAST(g > 0 AS INT) AS t FROM panel WHERE year = 1997 AND g IN (0, 1998)),
+pool AS (SELECT *, (x - avg(x) OVER ()) / stddev_samp(x) OVER () AS sx, (spend - avg(spend) OVER ()) / stddev_samp(spend) OVER () AS ss FROM pool0)"""
+_SEGMENTS = [f"segment = '{s}'" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]
+
+
+@query("propensity_scores", f"WITH {_POOL}, {logit_sql('pool', ['sx', 'ss', *_SEGMENTS])} SELECT id, t, round(pscore, 4) AS pscore FROM q_score JOIN pool USING (id)")
 def _(spark, sf):
     return M.propensity(_pool(spark, sf), "t", ["x", "spend"], ["segment"], standardise=True).select("id", "t", F.round("pscore", 4).alias("pscore"))
 
 
-@query("match_ps_greedy")
+# The walk as it is told: treated units in order of ids, each takes the nearest controls that fewer than 2 before it took.
+@query(
+    "match_ps_greedy",
+    f"""WITH RECURSIVE {_POOL}, {logit_sql('pool', ['sx', 'ss'])},
+sp AS (SELECT id, t, segment, x, pscore FROM pool JOIN q_score USING (id)),
+cand AS MATERIALIZED (
+  SELECT a.id AS tid, b.id AS cid, a.segment, abs(a.pscore - b.pscore) AS dist, dense_rank() OVER (ORDER BY a.id) AS nth
+  FROM sp a JOIN sp b ON a.segment = b.segment AND a.t = 1 AND b.t = 0 AND abs(a.pscore - b.pscore) <= 0.05 AND abs(a.x - b.x) <= 2),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS picks
+  UNION ALL
+  SELECT i + 1, list_concat(any_value(used), coalesce(list(cid ORDER BY dist, cid)[1:3], [])), coalesce(list(cid ORDER BY dist, cid)[1:3], [])
+  FROM (SELECT w.i, w.used, c.cid, c.dist FROM walk w JOIN cand c ON c.nth = w.i + 1) s WHERE len(list_filter(used, lambda u: u = cid)) < 2 GROUP BY i),
+picked AS (SELECT i AS nth, unnest(picks) AS cid, generate_subscripts(picks, 1) AS control_rank FROM walk)
+SELECT tid, cid, segment, CAST(control_rank AS INT) AS control_rank, round(dist, 4) AS dist FROM picked JOIN cand USING (nth, cid)""",
+)
 def _(spark, sf):
     s = M.propensity(_pool(spark, sf), "t", ["x", "spend"], standardise=True).where("pscore is not null")
     side = lambda v: s.where(F.col("t") == v).select("id", "segment", "pscore", "x")
-    return M.match_greedy(M.candidates(side(1), side(0), ["segment"], "pscore", 0.05, [("x", 2)]), ["segment"], 3, 2)
+    return M.match_greedy(M.candidates(side(1), side(0), ["segment"], "pscore", 0.05, [("x", 2)]), ["segment"], 3, 2).withColumn("dist", F.round("dist", 4))
 
 
 @query(

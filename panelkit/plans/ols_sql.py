@@ -50,3 +50,31 @@ def coefficients(prefix: str, names: list[str], places: int = 6) -> str:
     """A SELECT of grp, term, coef and se (rounded), nobs, n_entities and whether p is below 0.05."""
     names_sql = "[" + ", ".join(f"'{n}'" for n in names) + "]"
     return f"SELECT b.grp, {names_sql}[CAST(b.i AS INT)] AS term, round(beta, {places}) + 0.0 AS coef, round(sqrt(v), {places}) AS se, nobs, n_entities, abs(beta) > 1.9599639845400536 * sqrt(v) AS significant FROM {prefix}_b b JOIN {prefix}_v v ON v.grp = b.grp AND v.i = b.i AND v.j = b.i JOIN {prefix}_n n ON n.grp = b.grp"
+
+
+def logit_sql(rows: str, x: list[str], prefix: str = "q", steps: int = 9) -> str:
+    """CTEs that fit the balanced logistic regression of t on x with a unit ridge (none on the constant), from the CTE rows (id, t, x...).
+
+    Newton steps from zero, unrolled: cross products in long form, solved by a sweep, one CTE a column. They end with
+    <prefix>_score (id, pscore). x: SQL of each regressor as a row has it.
+    """
+    n, p = len(x), prefix
+    out = [
+        f"{p}_w AS (SELECT count(*) / (2.0 * sum(t)) AS w1, count(*) / (2.0 * sum(1 - t)) AS w0 FROM {rows})",
+        f"{p}_z AS MATERIALIZED (SELECT id, t, CASE WHEN t = 1 THEN w1 ELSE w0 END AS w, unnest(range(0, {n + 1})) AS i, unnest([{', '.join(['1.0', *(f'CAST({c} AS DOUBLE)' for c in x)])}]) AS v FROM {rows}, {p}_w)",
+        f"{p}_b0 AS (SELECT unnest(range(0, {n + 1})) AS i, 0.0::DOUBLE AS b)",
+    ]
+    for s in range(steps):
+        m = f"{p}_m{s}"
+        out += [
+            f"{p}_p{s} AS MATERIALIZED (SELECT id, 1 / (1 + exp(-sum(v * b))) AS p FROM {p}_z JOIN {p}_b{s} USING (i) GROUP BY 1)",
+            f"{m}_0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.w * p * (1 - p) * a.v * b.v) + CAST(a.i = b.i AND a.i > 0 AS INT) AS v FROM {p}_z a JOIN {p}_z b USING (id) JOIN {p}_p{s} USING (id) GROUP BY 1, 2 "
+            f"UNION ALL SELECT z.i, {n + 1}, sum(w * (t - p) * v) - CASE WHEN z.i > 0 THEN any_value(b) ELSE 0 END FROM {p}_z z JOIN {p}_p{s} USING (id) JOIN {p}_b{s} k ON k.i = z.i GROUP BY 1)",
+        ]
+        out += [
+            f"{m}_{k + 1} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {k} THEN a.v / d.v ELSE a.v - r.v * c.v / d.v END AS v FROM {m}_{k} a JOIN {m}_{k} r ON r.i = a.i AND r.j = {k} JOIN {m}_{k} c ON c.i = {k} AND c.j = a.j JOIN {m}_{k} d ON d.i = {k} AND d.j = {k})"
+            for k in range(n + 1)
+        ]
+        out.append(f"{p}_b{s + 1} AS MATERIALIZED (SELECT i, b + v AS b FROM {p}_b{s} JOIN (SELECT i, v FROM {m}_{n + 1} WHERE j = {n + 1}) USING (i))")
+    out.append(f"{p}_score AS MATERIALIZED (SELECT id, 1 / (1 + exp(-sum(v * b))) AS pscore FROM {p}_z JOIN {p}_b{steps} USING (i) GROUP BY 1)")
+    return ",\n".join(out)

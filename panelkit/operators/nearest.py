@@ -22,7 +22,7 @@ from .stages import stage
 #: Controls of a cell that the first width aims at on average, and may have at most; widths tried below it (powers of 2).
 AIM, MOST, FINER = 8, 256, (0, 2, 4, 6, 8, 10, 12)
 #: Points times controls up to which a block is compared as a whole.
-DIRECT = 200_000
+DIRECT = 4_000_000
 #: Rounds of growing cells; distances are compared with this much to spare for rounding.
 ROUNDS, SPARE = 6, 1e-9
 

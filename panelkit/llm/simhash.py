@@ -390,8 +390,9 @@ def near_components(docs: DataFrame, plan: Plan = EXACT, cell_rows: int | None =
     """doc_id, f0.., component_id: the smallest doc_id reachable over links, itself included.
 
     Texts that are null, empty or without a word have fingerprint zero, linked like any other. Rows with equal doc_id
-    are kept, each with its own text's fingerprint. A null doc_id makes no component of its own: such a row takes that
-    of equal fingerprints, else null. Other columns are ignored, whatever their names. With a wide plan equal means
+    are kept, each with its own text's fingerprint. A row with a null doc_id links other rows as any row does and takes
+    the smallest doc_id of its component, null where no row of it has one; with a wide plan it takes only that of equal
+    shingle sets. Other columns are ignored, whatever their names. With a wide plan equal means
     equal shingle sets, and every link has the exact resemblance that the plan asks for. used: gets the tables that the
     result's plan reads.
     """
@@ -403,12 +404,33 @@ def near_components(docs: DataFrame, plan: Plan = EXACT, cell_rows: int | None =
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("node"), *extra), "nodes")
     if used is not None:
         used += [prints, nodes]
+    if not plan.bands:
+        return prints.select("doc_id", *names).join(_least_ids(nodes, lambda named: components(links(named, plan, cell_rows))), names).select("doc_id", *lanes, "component_id")
     some = nodes.where("node is not null")
-    found = components(verified_links(some, docs, plan, cell_rows) if plan.bands else links(some, plan, cell_rows))
+    found = components(verified_links(some, docs, plan, cell_rows))
     groups = nodes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.select("doc_id", *names).join(groups, names).select("doc_id", *lanes, "component_id")
 
 
+def _least_ids(nodes: DataFrame, linked) -> DataFrame:
+    """Fingerprints (nodes without node) with component_id: the least node reached; nodes without an id link others all the same.
+
+    linked: components of named nodes. Nodes without an id get numbers above all ids, or below them where ids reach
+    the upper end of their type.
+    """
+    names = [c for c in nodes.columns if c != "node"]
+    seen = nodes.agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count_if(F.col("node").isNull()).alias("without")).first()
+    if seen["without"]:
+        room = 1 << 60
+        base = 0 if seen["high"] is None else seen["high"] + 1 if seen["high"] < (1 << 63) - room else seen["low"] - room
+        nodes = written(nodes.withColumns({"real": F.col("node"), "node": F.coalesce("node", F.monotonically_increasing_id() + F.lit(base))}), "named-nodes")
+    of = nodes.join(linked(nodes.select(*names, "node")), "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    if not seen["without"]:
+        return of.select(*names, "component_id")
+    least = of.groupBy("component_id").agg(F.min("real").alias("least"))
+    return of.select(*names, "component_id").join(least, "component_id").select(*names, F.col("least").alias("component_id"))
+
+
 def simhash_documents(docs: DataFrame, cell_rows: int = CELL) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id with the exact plan; cases as in near_components."""
     got = near_components(docs, EXACT, cell_rows)

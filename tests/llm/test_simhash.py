@@ -134,3 +134,16 @@ def test_a_very_long_text(spark):
     rows = [(1, long), (2, long + " w1"), (3, "a b c d")]
     got = {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in simhash_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == (f"{brute_print(long):016x}", 1) and got[2][1] == 1 and got[3][1] == 3
+
+
+def test_a_row_without_an_id_links_others(spark):
+    r = random.Random(8)
+    words = [f"w{r.randrange(50)}" for _ in range(120)]
+    tried = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(120)]
+    prints = [brute_print(t) for t in tried]
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3
+    a, b, c = next((a, b, c) for b in range(120) for a in range(120) if near(a, b) for c in range(120) if near(b, c) and not near(a, c))
+    rows = [(1, tried[a]), (None, tried[b]), (9, tried[c]), (None, "alone without an id or a link here")]
+    for ids in ([1, None, 9, None], [1, None, (1 << 63) - 1, None], [None] * 4):
+        got = simhash_documents(spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, rows, strict=True)], "doc_id long, text string")).collect()
+        assert len(got) == 4 and {x["fingerprint"]: x["component_id"] for x in got} == {f"{brute_print(t):016x}": ids[0] if i < 3 else None for i, (_, t) in enumerate(rows)}

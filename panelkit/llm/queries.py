@@ -32,41 +32,59 @@ def op4_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .lines import dedup_units
 
-    got = dedup_units(_documents(spark, sf_dir))
+    got = dedup_units(_documents(spark, sf_dir), "both")
     places = F.transform("removed", lambda c: F.concat_ws("-", c["first"].cast("string"), c["last"].cast("string")))
     return got.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", places).alias("removed"))
 
 
 OP4_SQL = r"""
-WITH u AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?
-]+[.!?
-]*|[.!?
-]+')) AS unit,
-         generate_subscripts(regexp_extract_all(text, '[^.!?
-]+[.!?
-]*|[.!?
-]+'), 1) AS k
+WITH l AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^
+]+
+*|
++')) AS line,
+         generate_subscripts(regexp_extract_all(text, '[^
+]+
+*|
++'), 1) AS lk
   FROM documents),
+m AS (
+  SELECT *, CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY lk) AS BIGINT) AS line_last,
+         trim(regexp_replace(lower(line), '[\x20\x09-\x0d]+', ' ', 'g')) AS line_norm
+  FROM l),
+a AS (SELECT *, line_norm <> '' AND row_number() OVER (PARTITION BY line_norm ORDER BY doc_id, lk) > 1 AS line_again FROM m),
+u AS (
+  SELECT *, unnest(regexp_extract_all(line, '[^.!?
+]+[.!?]*
+*|[.!?]+
+*|
++')) AS unit,
+         generate_subscripts(regexp_extract_all(line, '[^.!?
+]+[.!?]*
+*|[.!?]+
+*|
++'), 1) AS k
+  FROM a),
 p AS (
-  SELECT *, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS last,
+  SELECT * EXCLUDE (line, line_norm), length(line) AS line_length,
+         CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY lk, k) AS BIGINT) AS last,
          trim(regexp_replace(lower(unit), '[\x20\x09-\x0d]+', ' ', 'g')) AS norm
   FROM u),
 w AS (
-  SELECT *, len(string_split(norm, ' ')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS nth,
-         row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again
+  SELECT doc_id, lk, k, len(string_split(norm, ' ')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY lk, k) AS nth,
+         row_number() OVER (PARTITION BY norm ORDER BY doc_id, lk, k) > 1 AS again
   FROM p WHERE norm <> ''),
 i AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id, again ORDER BY nth) AS run FROM w),
-c AS (SELECT doc_id, k, again AND sum(n) OVER (PARTITION BY doc_id, again, run) >= 16 AS gone FROM i),
-r AS (SELECT p.*, coalesce(c.gone, false) AS gone FROM p LEFT JOIN c USING (doc_id, k)),
-g AS (
-  SELECT doc_id, string_agg(CASE WHEN gone THEN '' ELSE unit END, '' ORDER BY k) AS text,
-         count(*) FILTER (WHERE gone) AS n_removed,
-         coalesce(string_agg((last - length(unit)) || '-' || last, ',' ORDER BY k) FILTER (WHERE gone), '') AS removed
-  FROM r GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text,
+c AS (SELECT doc_id, lk, k, again AND sum(n) OVER (PARTITION BY doc_id, again, run) >= 16 AS gone FROM i),
+r AS (SELECT p.*, coalesce(c.gone, false) AS gone FROM p LEFT JOIN c USING (doc_id, lk, k)),
+t AS (SELECT doc_id, string_agg(CASE WHEN gone OR line_again THEN '' ELSE unit END, '' ORDER BY lk, k) AS text FROM r GROUP BY doc_id),
+cuts AS (
+  SELECT doc_id, line_last - line_length AS first, line_last AS last FROM r WHERE line_again AND k = 1
+  UNION ALL SELECT doc_id, last - length(unit), last FROM r WHERE gone AND NOT line_again),
+g AS (SELECT doc_id, count(*) AS n_removed, string_agg(first || '-' || last, ',' ORDER BY first) AS removed FROM cuts GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
        coalesce(g.n_removed, 0) AS n_removed, coalesce(g.removed, '') AS removed
-FROM documents d LEFT JOIN g USING (doc_id)
+FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN g USING (doc_id)
 """
 
 

@@ -99,3 +99,62 @@ def test_passages_without_marks_go(spark):
     rows = [(1, words(30) + " " + passage + " " + words(30)), (2, words(30) + " " + passage + " " + words(30))]
     got = {x["doc_id"]: x["text"] for x in dedup_units(spark.createDataFrame(rows, "doc_id long, text string"), "passage").collect()}
     assert got[1] == rows[0][1] and len(set(got[2].split()) & set(passage.split())) < 50
+
+
+def brute_both(rows, least=RUN):
+    """Lines that an earlier line equals go; then runs of repeated sentences in the others."""
+    import re
+
+    lines_seen, seen, out = set(), set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        cuts, sentences = [], []
+        for m in re.finditer("[^\n]+\n*|\n+", text or ""):
+            key = " ".join(m.group().lower().split())
+            if key and key in lines_seen:
+                cuts.append(m.span())
+            lines_seen |= {key} - {""}
+            for s in re.finditer("[^.!?\n]+[.!?]*\n*|[.!?]+\n*|\n+", m.group()):
+                w = " ".join(s.group().lower().split())
+                if w:
+                    sentences.append((m.start() + s.start(), m.start() + s.end(), len(w.split()), w in seen))
+                    seen.add(w)
+        i = 0
+        while i < len(sentences):
+            j = i
+            while j < len(sentences) and sentences[j][3]:
+                j += 1
+            if sum(s[2] for s in sentences[i:j]) >= least:
+                cuts += [s[:2] for s in sentences[i:j] if not any(a <= s[0] < b for a, b in cuts)]
+            i = max(j, i + 1)
+        cuts.sort()
+        kept = text and "".join(ch for i, ch in enumerate(text) if not any(a <= i < b for a, b in cuts))
+        out[doc_id] = (kept, cuts)
+    return out
+
+
+def test_lines_and_runs_as_brute_force(spark):
+    r = random.Random(2)
+    pool = [" ".join(r.choice(["a", "bé", "c", "Dd", "e.e"]) for _ in range(r.randint(1, 9))) for _ in range(30)]
+    rows = [(i, "".join((r.choice(pool) if r.random() < 0.8 else f"own {i} {r.random()}") + r.choice([". ", "! ", "\n", "?? ", "\n\n", ". \n . ", ".\n!"]) for _ in range(r.randint(0, 14)))) for i in range(80)]
+    rows += [(1000, None), (1001, ""), (1002, "...\n\n"), (1003, "\n\n \n"), (None, rows[3][1] + rows[4][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'keep' as at")
+    for least in (1, 8, RUN):
+        want = brute_both(rows, least)
+        for x in dedup_units(docs, "both", run=least).collect():
+            text, cuts = want[x["doc_id"]]
+            assert x["text"] == text and [(c["first"], c["last"]) for c in x["removed"]] == cuts and x["at"] == "keep"
+
+
+def test_short_lines_go_from_all_but_the_first(spark):
+    line = "The committee met on Tuesday to review ten papers."
+    docs = spark.createDataFrame([(4, f"{line}\nfour"), (2, f"Second.\n{line}"), (3, f"{line} But this line goes on.\nthree"), (5, f"five\n\n  {line.upper()}\nend")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], [tuple(c) for c in r["removed"]]) for r in dedup_units(docs, "both").collect()}
+    assert got[2] == (f"Second.\n{line}", []) and got[3][1] == []
+    assert got[4] == ("four", [(0, len(line) + 1)]) and got[5] == ("five\n\nend", [(6, 6 + len(line) + 3)])
+
+
+def test_a_passage_inside_lines_goes_beside_lines(spark):
+    passage = " ".join(f"This is sentence number {i} of the shared passage." for i in range(12))
+    docs = spark.createDataFrame([(1, "Own words first. " + passage + " And an end.\nThe same line."), (2, "Quite other words. " + passage + " Then more.\nThe same line.")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in dedup_units(docs, "both").collect()}
+    assert got[1]["removed"] == [] and got[2]["text"] == "Quite other words. Then more.\n" and len(got[2]["removed"]) == 13

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import isin_or_false, nan_to_null, null_out_negatives
 from ..functions.scalars import clip, excluded_prefix, fiscal_year, industry_code, parse_date, ratio, sum_any
-from .quantiles import exact_quantiles
+from .quantiles import counted_quantiles
 from .stages import stage
 from .windows import first_by, rolling_std, row_lag
 
@@ -107,10 +107,8 @@ def financing_constraints(x: DataFrame) -> DataFrame:
 
 def winsorize(df: DataFrame, columns: list[str], lo: float = 0.01, hi: float = 0.99, min_n: int = 50) -> DataFrame:
     """Clips each column at its sample quantiles; columns with fewer than min_n values stay as they are."""
-    r = df.agg(*[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in columns]).first()
-    some = [c for c in columns if r[c] >= min_n]
-    q = exact_quantiles(df, [(c, f"`{c}`", [lo, hi]) for c in some]) if some else {}
-    return df.withColumns({c: clip(F.col(c), *q[c]) for c in some})
+    q, n = counted_quantiles(df, [(c, f"`{c}`", [lo, hi]) for c in columns])
+    return df.withColumns({c: clip(F.col(c), *q[c]) for c in columns if n[c] >= max(min_n, 1)})
 
 
 def link_table(raw: DataFrame, open_end: str = "2021-10-01") -> DataFrame:

@@ -18,48 +18,85 @@ STEPS = 256
 
 
 def exact_quantiles(df: DataFrame, wanted: list[tuple[str, str, list[float]]]) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each (name, SQL condition or column, probabilities): the expression's values that are not NULL.
+    """Linearly interpolated quantiles of each (name, SQL condition or column, probabilities): the expression's values that are not NULL. Without values: None."""
+    return counted_quantiles(df, wanted)[0]
 
-    Each probability's two neighbouring ranks are bracketed by values: a pass sketches the inside of all brackets at
-    once, another counts the values below and inside the narrower ones, until at most INSIDE values, or a single one,
-    are left in each (about ACCURACY / 6 times fewer each time). These are counted by value. Without values: None.
+
+def counted_quantiles(df: DataFrame, wanted: list[tuple[str, str, list[float]]]) -> tuple[dict[str, list[float | None]], dict[str, int]]:
+    """Quantiles as exact_quantiles gives them, and the number of values of each name.
+
+    One pass counts and sketches all columns, one sketch each; it brackets each probability's two neighbouring ranks by
+    two values. A last pass counts the values inside the brackets by value, and those on the shorter side outside.
+    Columns whose first brackets may hold more than INSIDE values have passes between: one sketches the inside of their brackets, another counts
+    the values below and inside the narrower ones, until at most INSIDE values, or a single one, are left in each.
     """
-    cols = {name: F.expr(e).cast("double") for name, e, _ in wanted}
-    open_ = {(n, i): (-math.inf, math.inf) for n, _, ps in wanted for i in range(len(ps))}
+    given = {name: F.expr(e).cast("double") for name, e, _ in wanted}
+    cols = {name: F.when(~F.isnan(c), c) for name, c in given.items()}
     prob = {(n, i): p for n, _, ps in wanted for i, p in enumerate(ps)}
-    inside = lambda k, lo, hi: F.when((cols[k[0]] >= lo) & (cols[k[0]] <= hi) & ~F.isnan(cols[k[0]]), cols[k[0]])
-    counts = df.agg(*[F.count(inside((n, 0), -math.inf, math.inf)).alias(n) for n, _, _ in wanted]).first()
-    total = {n: counts[n] for n, _, _ in wanted}
-    seen = {k: (0, total[k[0]]) for k in open_}  # values below and inside
-    done: dict[tuple, tuple] = {}
-    while True:
-        for k in [k for k, (lo, hi) in open_.items() if seen[k][1] <= INSIDE or lo == hi]:
-            done[k] = (*open_.pop(k), seen[k][0])
-        if not open_:
-            break
-        keys = list(open_)
-        r = df.agg(*[F.percentile_approx(inside(k, *open_[k]), _around(prob[k], total[k[0]], *seen[k]), ACCURACY).alias(f"q{j}") for j, k in enumerate(keys)]).first()
-        narrow = {k: tuple(r[f"q{j}"]) for j, k in enumerate(keys)}
-        r = df.agg(*[c for j, k in enumerate(keys) for c in (F.count_if(cols[k[0]] < narrow[k][0]).alias(f"b{j}"), F.count(inside(k, *narrow[k])).alias(f"n{j}"))]).first()
-        for j, k in enumerate(keys):
-            if narrow[k] == open_[k]:  # nothing left to narrow: few values, each very often
-                done[k] = (*open_.pop(k), seen[k][0])
-            else:
-                open_[k], seen[k] = narrow[k], (r[f"b{j}"], r[f"n{j}"])
+    if not prob:
+        return {n: [] for n, _, _ in wanted}, {}
+    slack = 3 / ACCURACY + 1 / INSIDE  # the sketch's error, and a rank where there are more than INSIDE values
+    ends = lambda p: [max(0.0, p - slack), min(1.0, p + slack)]
+    each = [(F.count(cols[n]).alias(f"n{j}"), F.percentile_approx(cols[n], [x for p in ps for x in ends(p)] or [0.5], ACCURACY).alias(f"q{j}")) for j, (n, _, ps) in enumerate(wanted)]
+    r = df.agg(*[c for pair in each for c in pair]).first()
+    total = {n: r[f"n{j}"] for j, (n, _, _) in enumerate(wanted)}
+    bracket = {}
+    for j, (n, _, ps) in enumerate(wanted):
+        for i, p in enumerate(ps):
+            few = total[n] <= INSIDE
+            bracket[n, i] = (-math.inf if few or p <= slack else r[f"q{j}"][2 * i], math.inf if few or p >= 1 - slack else r[f"q{j}"][2 * i + 1])
+    bracket |= _narrowed(df, cols, prob, total, {k: v for k, v in bracket.items() if 2 * slack * total[k[0]] > INSIDE})
+    some = [k for k in bracket if total[k[0]]]
     out: dict[str, list[float | None]] = {n: [None] * len(ps) for n, _, ps in wanted}
-    some = [k for k in done if total[k[0]]]
     if not some:
-        return out
-    entries = F.array(*[F.when((cols[k[0]] >= done[k][0]) & (cols[k[0]] <= done[k][1]) & ~F.isnan(cols[k[0]]), F.struct(F.lit(j).alias("j"), cols[k[0]].alias("v"))) for j, k in enumerate(some)])
-    rows = df.select(F.explode(F.array_compact(entries)).alias("e")).groupBy("e.j", "e.v").agg(F.count("*").alias("n")).collect()
-    values: dict[int, list[tuple[float, int]]] = {}
+        return out, total
+
+    def entry(j: int, k: tuple):
+        v, (lo, hi) = cols[k[0]], bracket[k]
+        outside = v < lo if prob[k] < 0.5 else v > hi
+        return F.when(outside, F.struct(F.lit(j).alias("j"), F.lit(None).cast("double").alias("v"))).when((v >= lo) & (v <= hi), F.struct(F.lit(j).alias("j"), v.alias("v")))
+
+    rows = df.select(F.explode(F.array_compact(F.array(*[entry(j, k) for j, k in enumerate(some)]))).alias("e")).groupBy("e.j", "e.v").agg(F.count("*").alias("n")).collect()
+    values: list[list[tuple[float, int]]] = [[] for _ in some]
+    beyond = [0] * len(some)
     for r in rows:
-        values.setdefault(r["j"], []).append((r["v"], r["n"]))
+        if r["v"] is None:
+            beyond[r["j"]] = r["n"]
+        else:
+            values[r["j"]].append((r["v"], r["n"]))
     for j, k in enumerate(some):
+        held = sorted(values[j])
+        below = beyond[j] if prob[k] < 0.5 else total[k[0]] - beyond[j] - sum(n for _, n in held)
         h = prob[k] * (total[k[0]] - 1)
-        at = [_ranked(sorted(values[j]), math.floor(h) - done[k][2]), _ranked(sorted(values[j]), math.ceil(h) - done[k][2])]
+        at = [_ranked(held, math.floor(h) - below), _ranked(held, math.ceil(h) - below)]
         out[k[0]][k[1]] = at[0] + (at[1] - at[0]) * (h - math.floor(h))
-    return out
+    return out, total
+
+
+def _narrowed(df: DataFrame, cols: dict, prob: dict, total: dict, open_: dict) -> dict:
+    """Brackets narrowed until at most INSIDE values, or a single one, are in each."""
+    inside = lambda k, lo, hi: F.when((cols[k[0]] >= lo) & (cols[k[0]] <= hi), cols[k[0]])
+
+    def tallied(brackets: dict) -> dict:
+        """Values below and inside each bracket."""
+        r = df.agg(*[c for j, (k, b) in enumerate(brackets.items()) for c in (F.count_if(cols[k[0]] < b[0]).alias(f"b{j}"), F.count(inside(k, *b)).alias(f"n{j}"))]).first()
+        return {k: (r[f"b{j}"], r[f"n{j}"]) for j, k in enumerate(brackets)}
+
+    open_, done = dict(open_), {}
+    seen = tallied(open_) if open_ else {}
+    while True:
+        for k in [k for k, (lo, hi) in open_.items() if seen[k][1] <= INSIDE or lo == hi]:
+            done[k] = open_.pop(k)
+        if not open_:
+            return done
+        r = df.agg(*[F.percentile_approx(inside(k, *b), _around(prob[k], total[k[0]], *seen[k]), ACCURACY).alias(f"q{j}") for j, (k, b) in enumerate(open_.items())]).first()
+        narrow = {k: tuple(r[f"q{j}"]) for j, k in enumerate(open_)}
+        for k in [k for k in open_ if narrow[k] == open_[k]]:  # nothing left to narrow: few values, each very often
+            done[k] = open_.pop(k)
+            del narrow[k]
+        if narrow:
+            seen |= tallied(narrow)
+            open_ |= narrow
 
 
 def _around(p: float, total: int, below: int, n: int) -> list[float]:

@@ -371,9 +371,19 @@ def _(spark, sf):
     return Q.smd(_t(spark, sf).where("year = 1997"), "t", ["n_orders", "spend"]).select("variable", r("smd"), r("m1", 3), "n1")
 
 
-@query("welch_ttest", f"WITH {PANEL}, p AS (SELECT *, {_T} AS t FROM panel WHERE year = 1997), a AS (SELECT avg(x) FILTER (t = 1) AS m1, avg(x) FILTER (t = 0) AS m0, var_samp(x) FILTER (t = 1) / count(*) FILTER (t = 1) AS v1, var_samp(x) FILTER (t = 0) / count(*) FILTER (t = 0) AS v0, count(*) FILTER (t = 1) AS n1, count(*) FILTER (t = 0) AS n0 FROM p) SELECT 'x' AS variable, round(m1 - m0, 5) AS diff, round((m1 - m0) / sqrt(v1 + v0), 4) AS t, round((v1 + v0) * (v1 + v0) / (v1 * v1 / (n1 - 1) + v0 * v0 / (n0 - 1)), 3) AS df FROM a")
+@query(
+    "welch_ttest",
+    f"""WITH {PANEL}, p AS (SELECT *, {_T} AS t FROM panel WHERE year = 1997),
+a AS (SELECT avg(x) FILTER (t = 1) AS m1, avg(x) FILTER (t = 0) AS m0, var_samp(x) FILTER (t = 1) / count(*) FILTER (t = 1) AS v1, var_samp(x) FILTER (t = 0) / count(*) FILTER (t = 0) AS v0, count(*) FILTER (t = 1) AS n1, count(*) FILTER (t = 0) AS n0 FROM p),
+b AS (SELECT m1 - m0 AS diff, (m1 - m0) / sqrt(v1 + v0) AS t, (v1 + v0) * (v1 + v0) / (v1 * v1 / (n1 - 1) + v0 * v0 / (n0 - 1)) AS df FROM a),
+-- both tails: with t = sqrt(df) tan(h) the density is that of cos(h) ^ (df - 1); Simpson's rule over 4,000 steps
+h AS (SELECT *, atan(abs(t) / sqrt(df)) AS h0 FROM b),
+g AS (SELECT i / 4000.0 AS u, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(4001) s(i)),
+i AS (SELECT any_value(diff) AS diff, any_value(t) AS t, any_value(df) AS df, (1 - any_value(h0) / (pi() / 2)) * sum(w * pow(greatest(cos(h0 + u * (pi() / 2 - h0)), 0), df - 1)) / sum(w * pow(greatest(cos(u * pi() / 2), 0), df - 1)) AS p FROM h, g)
+SELECT 'x' AS variable, round(diff, 5) AS diff, round(t, 4) AS t, round(df, 3) AS df, round(p, 6) AS p FROM i""",
+)
 def _(spark, sf):
-    return Q.welch(_t(spark, sf).where("year = 1997"), "t", ["x"]).select("variable", r("diff"), r("t", 4), r("df", 3))
+    return Q.welch(_t(spark, sf).where("year = 1997"), "t", ["x"]).select("variable", r("diff"), r("t", 4), r("df", 3), r("p", 6))
 
 
 @query("panel_overview", f"WITH {PANEL}, p AS (SELECT *, {_T} AS t FROM panel), a AS (SELECT CAST(count(*) AS DOUBLE) AS rows, CAST(count(DISTINCT id) AS DOUBLE) AS entities, CAST(count(DISTINCT year) AS DOUBLE) AS periods, CAST(min(k) AS DOUBLE) AS k_min, CAST(max(k) AS DOUBLE) AS k_max, CAST(count(*) FILTER (k < 0) AS DOUBLE) AS rows_pre, CAST(count(*) FILTER (k >= 0) AS DOUBLE) AS rows_post, CAST(sum(t) AS DOUBLE) AS rows_treated, CAST(count(DISTINCT CASE WHEN t = 1 THEN id END) AS DOUBLE) AS entities_treated, avg(t) AS share_treated FROM p) SELECT metric, round(value, 5) AS value FROM a UNPIVOT (value FOR metric IN (rows, entities, periods, k_min, k_max, rows_pre, rows_post, rows_treated, entities_treated, share_treated))")

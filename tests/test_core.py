@@ -248,6 +248,11 @@ def test_exact_quantiles_of_ties_nulls_and_narrow_brackets(spark, monkeypatch):
     ps = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.9, 0.99, 1.0]
     got = quantiles.exact_quantiles(d, [("a", "v", ps), ("b", "CASE WHEN t = 1 THEN v END", ps), ("none", "CASE WHEN t = 7 THEN v END", [0.5])])
     assert np.allclose(got["a"], np.quantile(v, ps), atol=1e-12) and np.allclose(got["b"], np.quantile(v[1::2], ps), atol=1e-12) and got["none"] == [None]
+    for inside, accuracy in ((2_000, 10_000), (300, 2_000)):  # no passes between, and some
+        monkeypatch.setattr(quantiles, "INSIDE", inside)
+        monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+        got, n = quantiles.counted_quantiles(d, [("a", "v", ps), ("none", "CASE WHEN t = 7 THEN v END", [0.5])])
+        assert np.allclose(got["a"], np.quantile(v, ps), atol=1e-12) and n == {"a": len(v), "none": 0}
 
 
 @pytest.mark.parametrize(("inside", "steps"), [(2_000, 256), (20, 16)])

@@ -45,10 +45,12 @@ KINDS = {
     "advert": "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner-ad adsense commercial",
     "notice": "cookie cookies consent notice alert popup modal overlay gdpr subscribe newsletter signup paywall toast dialog message warning",
     "form": "form search login register contact input captcha",
-    "comment": "comment comments reply replies disqus discussion respond feedback reactions",
+    "comment": "comment comments commentlist reply replies disqus discussion respond feedback reactions",
     "share": "share sharing social follow author byline meta info date",
     "body": "article content post entry story body main text page-content articlebody main-content post-body prose",
 }
+#: Tags that say the same.
+_TAG_KIND = {"nav": "menu", "menu": "menu", "aside": "side", "footer": "edge", "form": "form", "dialog": "notice"}
 _KIND_OF: dict[str, set[str]] = {}
 for _k, _ws in KINDS.items():
     for _w in _ws.split():
@@ -60,6 +62,7 @@ FEATURES = (
     + [f"own {t}" for t in _TAGS]
     + [f"{k} above" for k in KINDS]
     + [f"{k} above, in article" for k in ("menu", "side", "advert", "notice", "form", "comment", "share", "edge")]
+    + ["header above, in article", "outside the article", "no article"]
     + ["1-2 words", "3-9 words", "10-24 words", "25+ words", "links mostly", "some links", "ends a sentence", "commas", "copyright sign", "first tenth", "last tenth"]
 )
 _AT = {f: i for i, f in enumerate(FEATURES)}
@@ -68,7 +71,7 @@ _AT = {f: i for i, f in enumerate(FEATURES)}
 @lru_cache(maxsize=4096)
 def _element(tag: str, attributes: str) -> tuple[str, tuple[int, ...], frozenset]:
     """(tag, feature numbers of the element as an ancestor, kinds)."""
-    kinds: set[str] = set()
+    kinds: set[str] = {_TAG_KIND[tag]} if tag in _TAG_KIND else set()
     hidden = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name = name.lower()
@@ -191,6 +194,8 @@ def blocks(html: str) -> tuple[list[str], list[tuple[int, ...]]]:
                 f = set(opened.features)
                 if _AT["in article"] in f or _AT["in main"] in f:
                     f |= {_AT[k] for x in opened.kinds if (k := f"{x} above, in article") in _AT}
+                    if _AT["in header"] in f:
+                        f.add(_AT["header above, in article"])
                 feats.append((f, opened.blocks[-1][0] if opened.blocks else "body", "©" in text, linked, len(text)))
                 texts.append(text)
         linked = 0
@@ -226,8 +231,14 @@ def blocks(html: str) -> tuple[list[str], list[tuple[int, ...]]]:
 
     out = []
     total = len(texts)
+    marked = {_AT["in article"], _AT["in main"]}
+    none = all(marked.isdisjoint(f) for f, *_ in feats)
     for i, (f, own, sign, links, n) in enumerate(feats):
         f.add(0)
+        if none:
+            f.add(_AT["no article"])
+        elif marked.isdisjoint(f):
+            f.add(_AT["outside the article"])
         if f"own {own}" in _AT:
             f.add(_AT[f"own {own}"])
         words = texts[i].count(" ") + 1

@@ -2,7 +2,7 @@
 
 Pages are made from layouts by a seeded generator: every piece of text is written together with its label, so the
 labels are exact. Layouts differ in whether the article is marked by a tag, by a class or not at all, in what stands
-around and inside it, and in how well the markup is closed.
+around and inside it, in their length, and in how well the markup is closed. Some pages are nothing but an article.
 """
 
 from __future__ import annotations
@@ -69,6 +69,8 @@ def _before(p: _Page) -> None:
         p.add(f"<header>{'<p>' * r.randint(0, 1)}{p.words(1, 8)}</header>")
     if r.random() < 0.5:
         _advert(p)
+    if r.random() < 0.25:
+        p.add(f"<header><h1>{p.words(1, 5)}</h1>{r.choice(['', f'<p>{p.words(2, 10)}</p>'])}</header>")
     if r.random() < 0.4:
         _notice(p)
     if r.random() < 0.25:
@@ -122,20 +124,54 @@ def _after(p: _Page) -> None:
         p.add(r.choice(["<footer>", "<footer>", '<div class="footer">', '<div id="footer"><p>']) + sign + p.words(1, 20, r.choice([".", ""])) + "</footer></div>")
 
 
+def _inside(p: _Page) -> None:
+    """What is no text of the article though it stands in it."""
+    r = p.r
+    kind = r.randrange(5)
+    if kind == 0:
+        p.add(f"<form><p>{p.words(3, 25, r.choice(['.', '']))}</p><input></form>")
+    elif kind == 1:
+        p.add(f"<aside><p>{p.words(3, 30, r.choice(['.', '']))}</p></aside>")
+    elif kind == 2:
+        p.add(r.choice(["<footer>", "<footer><p>"]) + p.words(3, 25, r.choice([".", ""])) + "</footer>")
+    elif kind == 3:
+        p.add("<nav>" + r.choice([f"<ul>{_links(p, r.randint(1, 4))}</ul>", f'<a href="/x">{p.words(1, 7)}</a>']) + "</nav>")
+    else:
+        _comments(p)
+
+
+def _bare(p: _Page) -> None:
+    """A page that is nothing but an article, with or without elements around its blocks."""
+    r = p.r
+    n = r.choice([0, 1, 1, 2])
+    p.add("<div>" * n)
+    if r.random() < 0.4:
+        p.good("<h1>", p.words(1, 8), "</h1>")
+    _paragraphs(p, r.randint(1, 5), True)
+    p.add("</div>" * n + "</body></html>")
+
+
 def _page(r: random.Random) -> tuple[str, set[str]]:
     p = _Page(r)
+    if r.random() < 0.12:
+        p.add(r.choice(["<html><body>", "<body>", ""]))
+        _bare(p)
+        return "".join(p.html), p.wanted
     closed = r.random() < 0.6
     p.add(f'<!DOCTYPE html><html lang="en"><head><title>{p.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
-    _before(p)
-    if r.random() < 0.25:
-        _side(p)
+    alone = r.random() < 0.15  # nothing around the article
+    if not alone:
+        _before(p)
+        if r.random() < 0.25:
+            _side(p)
     opened = r.choice(
         ["<article>"] * 5
         + ["<main>", "<main><article>", '<div class="content">', '<div class="post"><div class="post-content">', '<div id="main-content">', '<div class="article-body">', '<section class="story">', '<article class="post">', "<div>", ""]
     )
     p.add(opened)
     if r.random() < 0.8:
-        p.good("<h1>", p.words(1, 10, r.choice(["", "", "."])), "</h1>")
+        headed = "article" in opened and r.random() < 0.25
+        p.good("<header><h1>" if headed else "<h1>", p.words(1, 10, r.choice(["", "", "."])), "</h1></header>" if headed else "</h1>")
     if r.random() < 0.2:
         p.add(f'<div class="{r.choice(["share", "social", "meta", "byline"])}"><a href="/z">{p.words(1, 3)}</a></div>')
     n = r.choice([1, 2, 4, 8, 14])
@@ -143,17 +179,22 @@ def _page(r: random.Random) -> tuple[str, set[str]]:
     if r.random() < 0.3:
         r.choice([_advert, _notice, _form, _side, _comments])(p)
         _paragraphs(p, r.randint(1, 4), closed)
+    if r.random() < 0.35 and ("article" in opened or "main" in opened):
+        _inside(p)
+        if r.random() < 0.5:
+            _paragraphs(p, r.randint(1, 2), True)
     if r.random() < 0.2:
         _comments(p)
     p.add({"<article>": "</article>", "<main>": "</main>", "<main><article>": "</article></main>"}.get(opened, "</article>" if "article " in opened else "</section>" if "section" in opened else "</div>" * opened.count("<div")))
-    _after(p)
+    if not alone:
+        _after(p)
     if r.random() < 0.9:
         p.add("</body></html>")
     return "".join(p.html), p.wanted
 
 
 @lru_cache(maxsize=1)
-def labelled_pages(n: int = 300, seed: int = 20) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = 600, seed: int = 20) -> list[tuple[str, set[str]]]:
     """(html, texts of the article's blocks)."""
     r = random.Random(seed)
     return [_page(r) for _ in range(n)]

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from panelkit.llm.html_extract import FEATURES, blocks, extract_pages, main_text, model
 from panelkit.llm.html_train import _page
 
@@ -54,6 +55,42 @@ def test_rows_of_every_kind(spark):
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text string")).collect() == []
 
 
+P1 = "<p>The harbour was closed for three days while the storm went over the coast.</p>"
+P2 = "<p>Ships waited outside, and the crews were brought food by boat each morning.</p>"
+T1, T2 = P1[3:-4], P2[3:-4]
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        "<form><p>Leave your address and we will write to you each week.</p><input></form>",
+        "<aside>You may also like the tale of the lighthouse keeper.</aside>",
+        "<aside><p>You may also like the tale of the lighthouse keeper.</p></aside>",
+        "<footer>Copyright 2020, all rights reserved by the paper.</footer>",
+        "<footer><p>Copyright 2020, all rights reserved by the paper.</p></footer>",
+        "<ol class=commentlist><li>What a fine article this is, thank you all.</li></ol>",
+        '<nav><a href="/a">Back to the list</a></nav>',
+    ],
+)
+@pytest.mark.parametrize("paragraphs", [P1, P1 + P2])
+def test_what_stands_in_short_articles_without_being_text(extra, paragraphs):
+    want = "\n\n".join([T1, T2][: paragraphs.count("<p>")])
+    for outer in ("article", "main"):
+        assert main_text(f"<body><{outer}>{paragraphs}{extra}</{outer}></body>", model()) == want
+        assert main_text(f"<body><{outer}>{paragraphs}{extra}{P2 if P2 not in paragraphs else ''}</{outer}></body>", model()) == f"{T1}\n\n{T2}"
+
+
+def test_site_headers_and_article_headers():
+    assert main_text(f"<body><header><h1>Site</h1></header><main>{P1}{P2}</main></body>", model()) == f"{T1}\n\n{T2}"
+    assert main_text(f"<body><header><h1>Site</h1></header><article><header><h1>Storm at sea</h1></header>{P1}{P2}</article></body>", model()) == f"Storm at sea\n\n{T1}\n\n{T2}"
+
+
+@pytest.mark.parametrize("page", ["<body><div>{}</div></body>", "<body>{}</body>", "{}", "<html><body><div><div>{}</div></div></body></html>", "<body><article>{}</article></body>"])
+def test_plain_pages(page):
+    assert main_text(page.format(P1), model()) == T1
+    assert main_text(page.format(P1 + P2), model()) == f"{T1}\n\n{T2}"
+
+
 def test_scripts_that_look_like_markup():
     first = '<article><h1>A title</h1><p>First para of the article, with words enough to be read as its text.</p>'
     last = '<p>Second para of the article, which also goes on for some more words.</p></article>'

@@ -127,5 +127,13 @@ def test_queries_on_given_tables(spark, name):
         assert all(r["coverage"] >= 0.5 for r in rows)
     elif name.startswith("op6_"):
         assert len({r["doc_id"] for r in rows}) == n
+    elif name.startswith("op12_"):  # rows of groups and items, not of documents
+        groups = {}
+        for r in rows:
+            groups.setdefault((r["lang"], r["source"], r["part"]), []).append((r["rank"], r["item"], r["value"]))
+        assert all([x[0] for x in sorted(g)] == list(range(1, len(g) + 1)) and len({x[1] for x in g}) == len(g) for g in groups.values())
+        assert all([x[2] for x in sorted(g)] == sorted((x[2] for x in g), reverse=True) for g in groups.values())
+    elif name.startswith("op13_"):  # rows of words
+        assert len({r["word"] for r in rows}) == len(rows) and all(len(r["word"]) >= 6 and r["n"] >= 5 for r in rows)
     else:
         assert len(rows) == n and len({r[key] for r in rows}) == n

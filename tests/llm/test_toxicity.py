@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from panelkit.llm.toxicity import COMMA, END, EVENTS, INSULT, NEGATION, OTHER, REACH, REPORT, TARGET, THREAT, Reader, learn, score_toxicity
+from panelkit.llm.toxicity import COMMA, END, EVENTS, INSULT, NEGATION, OTHER, REACH, REPORT, TARGET, THREAT, Reader, fit, inputs, learn, score_toxicity
 
 
 def events(text):
@@ -154,3 +154,18 @@ def test_without_labels(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert score_toxicity(d, spark.createDataFrame([], "doc_id long, toxic int")).first()["predicted"] == 0
     assert score_toxicity(d.limit(0), spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (5, 1), (6, 0)], "doc_id long, toxic int")).collect() == []
+
+
+def test_fit_converges_where_classes_part():
+    """Many toxic rows, clean ones all zero and heavy, two columns nearly the same: as a large labelled sample gives."""
+    r = np.random.default_rng(1)
+    rows = np.zeros((6000, len(EVENTS)))
+    rows[:3000, 0] = np.exp(r.normal(4, 0.8, 3000))
+    rows[:3000, 1] = np.where(r.random(3000) < 0.27, r.uniform(6, 20, 3000), 0)
+    rows[:3000, 4] = np.where(r.random(3000) < 0.035, 7.4, 0)
+    x, y, weight = inputs(rows), np.repeat([1.0, 0.0], 3000), np.repeat([1.0, 8.78], 3000)
+    b = fit(x, y, weight)
+    z = np.column_stack([x, np.ones(len(x))])
+    p = 1 / (1 + np.exp(-z @ b))
+    assert np.abs(z.T @ (weight * (p - y)) + np.r_[np.ones(x.shape[1]), 1e-3] * b).max() < 1e-6
+    assert (p[y == 1] >= 0.7).mean() > 0.99 and p[y == 0].max() < 0.1

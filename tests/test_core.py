@@ -133,6 +133,22 @@ def test_synthetic_control_of_a_convex_mix(spark, monkeypatch):
     assert resample.scm_band(gaps, "id", 20).count() == 11
 
 
+def test_synthetic_control_of_copies(spark, monkeypatch):
+    """Donors and units with equal values are one row each in every pass, and all units get their gaps."""
+    r = np.random.default_rng(2)
+    paths = {i: r.normal(size=8).cumsum() for i in range(12)}
+    donors = [(100 * i + j, t, float(paths[i][t]), 0.0, 0, 0, None, "b") for i in range(1, 11) for j in range(3) for t in range(8)]
+    units = [(j, t, float(paths[u][t]), 0.0, 6, 0, None, "b") for u in (0, 11) for j in range(5 * (u > 0), 5 + 5 * (u > 0)) for t in range(8)]
+    staged, stage = {}, estimators.stage
+    monkeypatch.setattr(estimators, "stage", lambda df, name="stage": staged.setdefault(name, stage(df, name)) if name not in staged else stage(df, name))
+    got = estimators.synthetic_control(spark.createDataFrame(donors + units, SCHEMA), "y", "id", "year", "g", min_post=2, rounds=2).toPandas()
+    assert staged["dual"].count() == 2
+    assert sum(len(x["rows"]) for x in staged["donors"].collect()) == 10 * 9 * 8
+    assert sorted(got["id"].unique()) == list(range(10)) and set(got["n_donors"]) == {30}
+    assert (got.assign(kind=got["id"] >= 5).groupby(["kind", "k"])["gap"].nunique() == 1).all()
+
+
+
 def test_matching_rules(spark):
     d = frame(spark, simulated(150))
     pairs = matching.match_cohorts(d, "id", "year", "g", "block", "x", "y").toPandas()

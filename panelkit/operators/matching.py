@@ -106,31 +106,54 @@ def candidates(treated: DataFrame, controls: DataFrame, exact: list[str], score:
     return t.join(c, on).where(F.col("t.id") != F.col("c.id")).select(F.col("t.id").alias("tid"), F.col("c.id").alias("cid"), *[F.col(f"t.{x}") for x in exact], dist.alias("dist"))
 
 
+#: Treated units of an exact cell that are walked together.
+WALK = 256
+
+
 def match_greedy(pairs: DataFrame, exact: list[str], n: int = 3, max_reuse: int | None = 10) -> DataFrame:
     """tid, cid, exact columns, control_rank, dist: n nearest controls per treated unit, in order of treated ids.
 
     A control is used at most max_reuse times within its exact cell, by the treated units with the least ids that want
-    it. That is what a walk in order of treated ids gives, and is found by rounds of proposals instead: each treated
-    unit asks its n nearest controls that have not turned it down, and each control keeps the max_reuse least ids, for
-    good or until a smaller id asks. Rounds end when nobody is turned down; units and controls are spread over tasks in
-    all of them. Without a cap it is a ranking.
+    it: a walk in order of treated ids. It is walked in batches of WALK units of each cell. Those before a unit in its
+    batch fill at most n * (WALK - 1) controls, so its picks are among its first n * WALK candidates that were not full
+    when the batch began; a task holds these lists of one cell's batch and no more. Without a cap it is a ranking.
     """
-    mine, theirs = Window.partitionBy("tid", *exact).orderBy("dist", "cid"), Window.partitionBy("cid", *exact).orderBy("tid")
+    mine = Window.partitionBy("tid", *exact).orderBy("dist", "cid")
     left = pairs.select("tid", "cid", *exact, "dist").distinct()
-    while True:
-        asked = left.withColumn("control_rank", F.row_number().over(mine))
-        if max_reuse is None:
-            return asked.where(F.col("control_rank") <= n).select("tid", "cid", *exact, "control_rank", "dist")
-        keep = F.row_number().over(theirs) <= max_reuse
-        asks = asked.where(F.col("control_rank") <= n).withColumn("__kept", keep)
-        asks = stage(asks, "proposals")
-        if asks.where("not __kept").isEmpty():
-            return asks.select("tid", "cid", *exact, "control_rank", "dist")
-        refused = asks.where("not __kept").select("tid", "cid", *exact)
-        # a control that is full turns down, now or later, all ids above those it keeps
-        full = asks.where("__kept").groupBy("cid", *exact).agg(F.count("*").alias("__n"), F.max("tid").alias("__last")).where(F.col("__n") >= max_reuse).drop("__n")
-        left = left.join(refused, ["tid", "cid", *exact], "left_anti").join(full, ["cid", *exact], "left").where(F.col("__last").isNull() | (F.col("tid") <= F.col("__last"))).select("tid", "cid", *exact, "dist")
-        left = stage(left, "candidates")
+    if max_reuse is None:
+        return left.withColumn("control_rank", F.row_number().over(mine)).where(F.col("control_rank") <= n).select("tid", "cid", *exact, "control_rank", "dist")
+    left = stage(left, "candidates")
+    place = F.row_number().over(Window.partitionBy(*exact).orderBy("tid")) - 1
+    units = left.select("tid", *exact).distinct().withColumn("__batch", F.floor(place / WALK).cast("int"))
+    left = stage(left.join(stage(units, "units"), ["tid", *exact]).repartitionByRange("__batch", "tid"), "batches")
+    last = left.agg(F.max("__batch")).first()[0]
+    columns = ["tid", "cid", *exact, "control_rank", "dist"]
+    kinds = dict(left.dtypes) | {"control_rank": "int"}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+    def walk(pdf):
+        pdf = pdf.sort_values(["tid", "dist", "cid"], kind="stable")
+        used, kept, ranks, now = dict(zip(pdf["cid"], pdf["__used"], strict=True)), [], [], None
+        for i, (tid, cid) in enumerate(zip(pdf["tid"], pdf["cid"], strict=True)):
+            if tid != now:
+                now, taken = tid, 0
+            if taken < n and used[cid] < max_reuse:
+                used[cid] += 1
+                taken += 1
+                kept.append(i)
+                ranks.append(taken)
+        return pdf.iloc[kept].assign(control_rank=ranks)[columns]
+
+    out = None
+    for batch in range(0 if last is None else last + 1):
+        asked = left.where(F.col("__batch") == batch).withColumn("__used", F.lit(0).cast("long"))
+        if out is not None:
+            uses = out.groupBy("cid", *exact).agg(F.count("*").alias("__n"))
+            asked = asked.drop("__used").join(uses, ["cid", *exact], "left").withColumn("__used", F.coalesce("__n", F.lit(0).cast("long"))).drop("__n")
+        first = asked.where(F.col("__used") < max_reuse).withColumn("__r", F.row_number().over(mine)).where(F.col("__r") <= n * WALK)
+        picks = stage(first.drop("__r", "__batch").groupBy(*exact).applyInPandas(walk, schema), "picks")
+        out = picks if out is None else out.unionByName(picks)
+    return left.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def match_euclid(treated: DataFrame, controls: DataFrame, block: list[str], x: list[str], category: str | None = None, n: int = 3, pairs: list | None = None) -> DataFrame:

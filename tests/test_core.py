@@ -397,3 +397,22 @@ def test_cells_are_regressors_of_their_own(spark):
         p[f"k{k}"] = (p.k == k).astype(float)
     b, se = dense(p, ["x", "k0", "k1", "k2"], "entity")
     assert fit.names == ["x", "k0", "k1", "k2"] and np.allclose(fit.beta, b, atol=1e-8) and np.allclose(fit.se(), se, atol=1e-8)
+
+
+def test_greedy_matching_of_copies(spark, monkeypatch):
+    """Units that all want the same controls in the same order: a few steps, not one for every two units; also across batches."""
+    rows = [(t, 1000 + c, "a", abs(c % 2 - 0.5)) for t in range(40) for c in range(70)]
+    want, used = [], {}
+    for t in range(40):
+        free = [c for c in range(70) if used.get(c, 0) < 2][:3]
+        for i, c in enumerate(free):
+            used[c] = used.get(c, 0) + 1
+            want.append((t, 1000 + c, i + 1))
+    steps, stage = [], matching.stage
+    monkeypatch.setattr(matching, "stage", lambda df, name="stage": steps.append(name) or stage(df, name))
+    pairs = spark.createDataFrame(rows, "tid long, cid long, e string, dist double")
+    for size, most in ((256, 4), (16, 6)):
+        monkeypatch.setattr(matching, "WALK", size)
+        steps.clear()
+        assert sorted((r["tid"], r["cid"], r["control_rank"]) for r in matching.match_greedy(pairs, ["e"], 3, 2).collect()) == want
+        assert len(steps) <= most

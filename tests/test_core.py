@@ -416,3 +416,18 @@ def test_greedy_matching_of_copies(spark, monkeypatch):
         steps.clear()
         assert sorted((r["tid"], r["cid"], r["control_rank"]) for r in matching.match_greedy(pairs, ["e"], 3, 2).collect()) == want
         assert len(steps) <= most
+
+
+def test_quantiles_read_the_table_once(spark):
+    from panelkit.operators import quantiles
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    d = spark.range(6000).select((F.col("id") * 1.0).alias("v")).mapInArrow(counted, "v double")
+    assert quantiles.exact_quantiles(d, [("a", "v", [0.5]), ("b", "v", [0.0, 1.0])]) == {"a": [2999.5], "b": [0.0, 5999.0]}
+    assert seen.value == 6000

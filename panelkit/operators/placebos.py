@@ -26,7 +26,7 @@ def wide_placebos(df: DataFrame, outcomes: list[str], entity: str, time: str, ro
     and in the window of event time (lo to lead - 1 for lead, lo to hi for permute) or never treated. pair: within,
     where the entity has two such rows or more. es: the number of the event time among lo to hi without ref.
     """
-    d = df.select(entity, time, *dict.fromkeys([*outcomes, *roles.values(), overall]))
+    d = stage(df.select(entity, time, *dict.fromkeys([*outcomes, *roles.values(), overall])), "panel")
     numbers = [k for k in range(lo, hi + 1) if k != ref]
     for role, g in roles.items():
         cohort, every = F.coalesce(F.col(g), F.lit(0)), F.coalesce(F.col(overall), F.lit(0))

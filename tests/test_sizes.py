@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from panelkit.operators import resample
 from panelkit.operators.placebos import wide_placebos
 from panelkit.plans import domain
 
@@ -23,3 +26,13 @@ def test_panel_of_customers_is_not_broadcast(spark):
     rows = p.groupBy("id").agg(F.count("*").alias("n"), F.sum("n_orders").alias("orders"))
     orders = spark.read.parquet(f"{SF}/orders.parquet").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("want"))
     assert rows.join(orders, "id", "left").where("n <> 7 OR orders <> coalesce(want, 0)").count() == 0
+
+
+def test_wild_band_makes_one_row_a_draw_and_entity(spark):
+    effects = spark.createDataFrame([(e, k, 1, float(e * k % 7)) for e in range(20) for k in range(5)], "id long, k long, d int, tau double")
+    got = resample.wild_band(effects, "id", "d", draws=30)
+    assert not re.search(r"keys=\[k#\d+L?, b#\d+", plan(got))
+    rows = {r["k"]: r for r in got.collect()}
+    assert sorted(rows) == list(range(5)) and rows[0]["lo"] == rows[0]["hi"] == 0.0
+    assert all(r["lo"] < r["att"] < r["hi"] for k, r in rows.items() if k)
+    assert resample.wild_band(effects.where("id < 0"), "id", "d", draws=30).collect() == []

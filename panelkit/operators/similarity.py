@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
-from .stages import stage
+from .stages import dealt, stage
 
 
 def class_counts(rows: DataFrame, entity: str, year: str, cls: str, doc: str | None = None) -> DataFrame:
@@ -72,10 +72,14 @@ def rolling_similarity(moves: DataFrame, rows: DataFrame, unit: str, firm: str,
 
 def rolling_self_similarity(rows: DataFrame, entity: str, year: str, cls: str, window: int = 5) -> DataFrame:
     """entity, year, similarity: cosine of the year's classes with those of the window before; years without a history are left out."""
-    counts = class_counts(rows, entity, year, cls)
-    keys = counts.select("e", F.col("y").alias("at")).distinct()
-    v = vectors_in_windows(keys, counts, "e", "at", {"now": (0, 0), "hist": (-window, -1)})
-    return cosines([v], ["e", "at"], {"similarity": ("now", "hist")}).where("similarity is not null").toDF(entity, year, "similarity")
+    x = dealt(rows.select(entity, year, cls).where(F.col(entity).isNotNull() & F.col(year).isNotNull() & F.col(cls).isNotNull()), entity)
+    # a count is part of its own year and of the histories of the years after; a year without rows of its own has no cosine
+    seen = class_counts(x, entity, year, cls).withColumn("rel", F.explode(F.sequence(F.lit(0), F.lit(window))))
+    n = F.col("n").cast("double")
+    both = seen.groupBy("e", (F.col("y") + F.col("rel")).alias("at"), "c").agg(F.sum(F.when(F.col("rel") == 0, n)).alias("now"), F.sum(F.when(F.col("rel") > 0, n)).alias("hist"))
+    sums = both.groupBy("e", "at").agg(F.sum(F.col("now") * F.col("hist")).alias("dot"), F.sum(F.col("now") * F.col("now")).alias("a"), F.sum(F.col("hist") * F.col("hist")).alias("b"))
+    cosine = F.coalesce("dot", F.lit(0.0)) / F.sqrt(F.col("a") * F.col("b"))
+    return sums.where("a > 0 AND b > 0").select(F.col("e").alias(entity), F.col("at").cast(dict(rows.dtypes)[year]).alias(year), cosine.alias("similarity"))
 
 
 def pairwise_similarity(events: DataFrame, rows: DataFrame, a: str, b: str, at: str, entity: str, year: str, cls: str, doc: str, window: int = 5) -> DataFrame:

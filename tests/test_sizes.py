@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from panelkit.operators import resample
+from panelkit.operators import resample, similarity
 from panelkit.operators.placebos import wide_placebos
 from panelkit.plans import domain
 
@@ -36,3 +36,10 @@ def test_wild_band_makes_one_row_a_draw_and_entity(spark):
     assert sorted(rows) == list(range(5)) and rows[0]["lo"] == rows[0]["hi"] == 0.0
     assert all(r["lo"] < r["att"] < r["hi"] for k, r in rows.items() if k)
     assert resample.wild_band(effects.where("id < 0"), "id", "d", draws=30).collect() == []
+
+
+def test_rolling_self_similarity_joins_nothing_and_deals_by_entity(spark):
+    rows = spark.createDataFrame([(1, 2000, "a"), (1, 2000, "b"), (1, 2001, "a"), (1, 2004, "a"), (2, 2000, "a"), (2, 2002, "b"), (None, 2000, "a")], "e long, y long, c string")
+    got = similarity.rolling_self_similarity(rows, "e", "y", "c", 2)
+    assert "Join" not in plan(got) and plan(got).count("Exchange") == plan(got).count("REPARTITION_BY_NUM") == 1
+    assert sorted((r["e"], r["y"], round(r["similarity"], 6)) for r in got.collect()) == [(1, 2001, 0.707107), (2, 2002, 0.0)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import fill_counts, sum0
 from ..functions.scalars import composite_key
 from .joins import asof_override, nearest_event
+from .stages import dealt
 from .windows import cumulative, first_by, forward_fill, modal_value, row_lag
 
 
@@ -85,7 +86,8 @@ def entity_year_panel(rows: DataFrame, unit: str, year: str, firm: str, distinct
 def feasible_events(panel: DataFrame, events: DataFrame, unit: str, year: str, at: str, lo: int, hi: int) -> DataFrame:
     """Events whose whole window lies inside the unit's span of years."""
     span = panel.groupBy(unit).agg(F.min(year).alias("__a"), F.max(year).alias("__b"))
-    return events.join(span, unit).where((F.col("__a") <= F.col(at) + lo) & (F.col("__b") >= F.col(at) + hi)).drop("__a", "__b")
+    # by sorting, as both sides are as long as the units
+    return events.join(span.hint("merge"), unit).where((F.col("__a") <= F.col(at) + lo) & (F.col("__b") >= F.col(at) + hi)).drop("__a", "__b")
 
 
 def balanced_event_panel(panel: DataFrame, events: DataFrame, unit: str, year: str, at: str, lo: int, hi: int, outcomes: list[str], zero: list[str], controls: DataFrame | None = None) -> DataFrame:
@@ -95,7 +97,8 @@ def balanced_event_panel(panel: DataFrame, events: DataFrame, unit: str, year: s
         e = e.unionByName(controls.withColumn("is_control_event", F.lit(1)), allowMissingColumns=True)
     e = feasible_events(panel, e, unit, year, at, lo, hi)
     grid = e.withColumn("k", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).withColumn(year, (F.col(at) + F.col("k")).cast("long"))
-    return fill_counts(grid.join(panel.select(unit, year, *outcomes), [unit, year], "left"), zero)
+    rows = dealt(panel.select(unit, year, *outcomes), unit, year)
+    return fill_counts(dealt(grid, unit, year).join(rows, [unit, year], "left"), zero)
 
 
 def lag_controls(panel: DataFrame, entity: str, time: str, columns: list[str]) -> DataFrame:

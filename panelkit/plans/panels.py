@@ -13,7 +13,7 @@ from ..operators import windows as W
 from ..operators.accounting import winsorize
 from ..operators.deals import deal_roles
 from ..operators.joins import asof_override, interval_join, nearest_event, two_sided_link
-from .domain import BIG, DOCS, MOVES, PANEL, docs, moves_and_rows, panel_cy, table
+from .domain import BIG, DOCS, FIRST, MOVES, PANEL, docs, moves_and_rows, panel_cy, table
 from .registry import query
 
 
@@ -211,7 +211,7 @@ b AS (SELECT e.*, CAST(unnest(range(-2, 3)) AS INT) AS k FROM e WHERE g - 2 >= 1
 
 def _balanced(spark, sf):
     p = panel_cy(spark, sf)
-    ids = p.select("id", "g").distinct()
+    ids = p.where(F.col("year") == FIRST).select("id", "g").distinct()  # the panel has every year of a customer
     return P.balanced_event_panel(p.drop("g", "k"), ids.where("g > 0"), "id", "year", "g", -2, 2, ["n_orders", "spend", "x"], ["n_orders", "spend"], ids.where("g = 0").select("id", F.lit(1998).cast("long").alias("g")))
 
 

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from panelkit.operators import resample, similarity
+from panelkit.operators import panels, resample, similarity
 from panelkit.operators.placebos import wide_placebos
 from panelkit.plans import domain
 
@@ -43,3 +43,11 @@ def test_rolling_self_similarity_joins_nothing_and_deals_by_entity(spark):
     got = similarity.rolling_self_similarity(rows, "e", "y", "c", 2)
     assert "Join" not in plan(got) and plan(got).count("Exchange") == plan(got).count("REPARTITION_BY_NUM") == 1
     assert sorted((r["e"], r["y"], round(r["similarity"], 6)) for r in got.collect()) == [(1, 2001, 0.707107), (2, 2002, 0.0)]
+
+
+def test_balanced_events_are_dealt_by_key_and_not_broadcast(spark):
+    panel = spark.createDataFrame([(i, y, float(y)) for i in range(6) for y in range(1995, 2002)], "id long, year long, v double")
+    events = spark.createDataFrame([(0, 1998), (1, 2000), (2, 1997)], "id long, g long")
+    got = panels.balanced_event_panel(panel, events, "id", "year", "g", -2, 2, ["v"], [])
+    assert "Broadcast" not in plan(got) and "REPARTITION_BY_NUM" in plan(got)
+    assert got.count() == 10 and got.where("v <> g + k").count() == 0

@@ -60,6 +60,7 @@ def entity_year_panel(rows: DataFrame, unit: str, year: str, firm: str, distinct
     assigned firm is exposed: exposed, cohort (NULL: never). roles gives one such table per role of the firm: they add
     exposed_<role> and cohort_<role>.
     """
+    rows = dealt(rows.select(*dict.fromkeys([unit, year, firm, *distinct.values(), *sums, *means])).where(F.col(unit).isNotNull() & F.col(year).isNotNull()), unit)
     m = metrics(rows, [unit, year], distinct, sums, means)
     mode = modal_value(rows.where(F.col(year).isNotNull() & F.col(unit).isNotNull()), [unit, year], firm, "firm_mode")
     spans = m.groupBy(unit).agg(F.min(year).alias("__lo"), F.max(year).alias("__hi"))

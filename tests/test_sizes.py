@@ -51,3 +51,10 @@ def test_balanced_events_are_dealt_by_key_and_not_broadcast(spark):
     got = panels.balanced_event_panel(panel, events, "id", "year", "g", -2, 2, ["v"], [])
     assert "Broadcast" not in plan(got) and "REPARTITION_BY_NUM" in plan(got)
     assert got.count() == 10 and got.where("v <> g + k").count() == 0
+
+
+def test_entity_years_are_dealt_by_unit(spark):
+    rows = spark.createDataFrame([(1, 2000, 7, 10, 1.0), (1, 2002, 8, 11, 2.0), (None, 2000, 7, 12, 3.0), (2, None, 7, 13, 4.0)], "u long, y long, f long, d long, v double")
+    got = panels.entity_year_panel(rows, "u", "y", "f", {"n": "d"}, ["v"], [])
+    assert "REPARTITION_BY_NUM" in plan(got)
+    assert sorted((r["u"], r["y"], r["n"], r["sum_v"], r["firm_assigned"]) for r in got.collect()) == [(1, 2000, 1, 1.0, 7), (1, 2001, 0, 0.0, 7), (1, 2002, 1, 2.0, 8)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from .quantiles import quantiles_by
+from .stages import dealt
 
 
 def forward_citations(edges: DataFrame, citing: str, cited: str) -> DataFrame:
@@ -69,10 +70,11 @@ def exploration(docs: DataFrame, doc: str, year: str, cls: str, actor: str, wind
     an actor know nothing: exploration 1.
     """
     rows = docs.where(F.col(doc).isNotNull() & F.col(year).isNotNull() & F.col(cls).isNotNull())
-    by_actor = rows.where(F.col(actor).isNotNull()).select(actor, doc, year, cls).distinct()
+    by_actor = dealt(rows.where(F.col(actor).isNotNull()).select(actor, doc, year, cls), actor, cls).distinct()
     before = F.lag(year).over(Window.partitionBy(actor, cls).orderBy(year, doc))
-    known = by_actor.select(doc, cls, F.coalesce(before >= F.col(year) - window, F.lit(False)).alias("k")).groupBy(doc, cls).agg(F.max("k").alias("k"))
-    share = rows.select(doc, cls).distinct().join(known, [doc, cls], "left").groupBy(doc).agg(F.avg(F.coalesce(F.col("k"), F.lit(False)).cast("double")).alias("exploitation"))
+    known = by_actor.select(doc, cls, F.coalesce(before >= F.col(year) - window, F.lit(False)).alias("k"))
+    every = dealt(known.unionByName(rows.where(F.col(actor).isNull()).select(doc, cls, F.lit(False).alias("k"))), doc)
+    share = every.groupBy(doc, cls).agg(F.max("k").alias("k")).groupBy(doc).agg(F.avg(F.col("k").cast("double")).alias("exploitation"))
     return share.select(doc, (1 - F.col("exploitation")).alias("exploration"), "exploitation")
 
 

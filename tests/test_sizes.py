@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from panelkit.operators import panels, resample, similarity
+from panelkit.operators import docs, panels, resample, similarity
 from panelkit.operators.placebos import wide_placebos
 from panelkit.plans import domain
 
@@ -58,3 +58,10 @@ def test_entity_years_are_dealt_by_unit(spark):
     got = panels.entity_year_panel(rows, "u", "y", "f", {"n": "d"}, ["v"], [])
     assert "REPARTITION_BY_NUM" in plan(got)
     assert sorted((r["u"], r["y"], r["n"], r["sum_v"], r["firm_assigned"]) for r in got.collect()) == [(1, 2000, 1, 1.0, 7), (1, 2001, 0, 0.0, 7), (1, 2002, 1, 2.0, 8)]
+
+
+def test_exploration_joins_nothing(spark):
+    rows = spark.createDataFrame([(1, 2000, "a", 5), (2, 2001, "a", 5), (2, 2001, "b", 5), (3, 2001, "a", None), (4, 2009, "a", 5)], "d long, y long, c string, p long")
+    got = docs.exploration(rows, "d", "y", "c", "p", 2)
+    assert "Join" not in plan(got) and "REPARTITION_BY_NUM" in plan(got)
+    assert {r["d"]: r["exploration"] for r in got.collect()} == {1: 1.0, 2: 0.5, 3: 1.0, 4: 1.0}

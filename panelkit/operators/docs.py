@@ -80,9 +80,10 @@ def exploration(docs: DataFrame, doc: str, year: str, cls: str, actor: str, wind
 
 def career(rows: DataFrame, person: str, doc: str, year: str, cls: str, order: list[str]) -> DataFrame:
     """rows with team_size, first_year, first_class, age and same_first_class (false where either class is missing)."""
+    rows = dealt(rows, doc)
     team = rows.groupBy(doc).agg(F.countDistinct(person).alias("team_size"))
     key = F.struct(*order)
-    first = rows.groupBy(person).agg(F.min_by(F.when(F.col(cls).isNotNull(), F.col(cls)), F.when(F.col(cls).isNotNull(), key)).alias("first_class"), F.min(year).alias("first_year"))
-    out = rows.join(team, doc, "left").join(first, person, "left")
+    first = dealt(rows.select(*dict.fromkeys([person, year, cls, *order])), person).groupBy(person).agg(F.min_by(F.when(F.col(cls).isNotNull(), F.col(cls)), F.when(F.col(cls).isNotNull(), key)).alias("first_class"), F.min(year).alias("first_year"))
+    out = dealt(rows.join(team, doc, "left"), person).join(first, person, "left")
     age = F.col(year) - F.col("first_year")
     return out.withColumn("age", F.when(age >= 0, age)).withColumn("same_first_class", F.coalesce(F.col(cls) == F.col("first_class"), F.lit(False)).cast("int"))

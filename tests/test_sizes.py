@@ -65,3 +65,10 @@ def test_exploration_joins_nothing(spark):
     got = docs.exploration(rows, "d", "y", "c", "p", 2)
     assert "Join" not in plan(got) and "REPARTITION_BY_NUM" in plan(got)
     assert {r["d"]: r["exploration"] for r in got.collect()} == {1: 1.0, 2: 0.5, 3: 1.0, 4: 1.0}
+
+
+def test_careers_are_dealt_by_document_and_person(spark):
+    rows = spark.createDataFrame([(1, 2000, "a", 5), (1, 2000, "a", 6), (2, 2002, "b", 5), (3, 2001, "a", None)], "d long, y long, c string, p long")
+    got = docs.career(rows, "p", "d", "y", "c", ["y", "d"])
+    assert plan(got).count("REPARTITION_BY_NUM") >= 3
+    assert sorted((r["d"], r["p"] or 0, r["team_size"], r["first_class"], r["age"], r["same_first_class"]) for r in got.collect()) == [(1, 5, 2, "a", 0, 1), (1, 6, 2, "a", 0, 1), (2, 5, 1, "a", 2, 0), (3, 0, 0, None, None, 0)]

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from panelkit.operators import docs, panels, resample, similarity
+from panelkit.operators import docs, moves, panels, resample, similarity
 from panelkit.operators.placebos import wide_placebos
 from panelkit.plans import domain
 
@@ -72,3 +72,10 @@ def test_careers_are_dealt_by_document_and_person(spark):
     got = docs.career(rows, "p", "d", "y", "c", ["y", "d"])
     assert plan(got).count("REPARTITION_BY_NUM") >= 3
     assert sorted((r["d"], r["p"] or 0, r["team_size"], r["first_class"], r["age"], r["same_first_class"]) for r in got.collect()) == [(1, 5, 2, "a", 0, 1), (1, 6, 2, "a", 0, 1), (2, 5, 1, "a", 2, 0), (3, 0, 0, None, None, 0)]
+
+
+def test_stable_moves_are_dealt_by_unit(spark):
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate("aabbb")] + [(None, i, s) for i, s in enumerate("aabbb")], "u long, t int, s string")
+    got = moves.stable_moves(rows, "u", "s", ["t"])
+    assert "REPARTITION_BY_NUM" in plan(got)
+    assert [tuple(r) for r in got.collect()] == [(1, 2, "a", "b")]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from panelkit.operators import docs, moves, panels, resample, similarity
+from panelkit.operators import docs, estimators, moves, panels, resample, similarity
 from panelkit.operators.placebos import wide_placebos
 from panelkit.plans import domain
 
@@ -79,3 +80,24 @@ def test_stable_moves_are_dealt_by_unit(spark):
     got = moves.stable_moves(rows, "u", "s", ["t"])
     assert "REPARTITION_BY_NUM" in plan(got)
     assert [tuple(r) for r in got.collect()] == [(1, 2, "a", "b")]
+
+
+def test_band_of_synthetic_controls_makes_no_row_a_draw_and_unit(spark):
+    gaps = spark.createDataFrame([(u, k, float(u * (k + 2) % 5)) for u in range(9) for k in range(-1, 3) if u or k < 2], "id long, k long, gap double")
+    got = resample.scm_band(gaps, "id", 40, hi=1)
+    assert "Join" not in plan(got)
+    w = resample.drawn_units(gaps.select(F.col("id").alias("u")).distinct(), 40, 42).join(gaps, F.col("u") == F.col("id"))
+    for k, on in {0: "k = 0", 2: "k = 2", None: "k BETWEEN 0 AND 1"}.items():
+        want = w.where(on).groupBy("b").agg((F.sum(F.col("gap") * F.col("w")) / F.sum("w")).alias("a")).agg(F.percentile("a", F.lit(0.025)), F.percentile("a", F.lit(0.975))).first()
+        row = got.where(F.col("k").eqNullSafe(F.lit(k))).first()
+        assert abs(row["lo"] - want[0]) < 1e-9 and abs(row["hi"] - want[1]) < 1e-9
+
+
+def test_synthetic_controls_start_settled_on_a_block_of_donors(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(i, t, float(v), 6 * (i < 5)) for i in range(60) for t, v in enumerate(r.normal(size=9).cumsum())]
+    names, stage = [], estimators.stage
+    monkeypatch.setattr(estimators, "stage", lambda df, name="stage": names.append(name) or stage(df, name))
+    got = estimators.synthetic_control(spark.createDataFrame(rows, "id long, year long, y double, g long"), "y", "id", "year", "g", min_post=2)
+    assert got.select("id").distinct().count() == 5
+    assert names.count("dual") == 2  # the start, and one pass that finds all of them settled

@@ -63,21 +63,27 @@ def match_mahalanobis(pool: DataFrame, entity: str, treated: str, block: str, x1
 def match_cohorts(df: DataFrame, entity: str, time: str, g: str, block: str, x1: str, x2: str, caliper: float | None = None) -> DataFrame:
     """cohort, entity, control, distance: cohort by cohort on the year before, controls (g = 0) used by one cohort are gone for the next.
 
-    The loop runs over cohorts, a few dozen; each round's pairs are written before the next one reads them.
+    The loop runs over cohorts, a few dozen; each round's pool and pairs are written before the next step reads them. A
+    cohort without rows in the year before has no pairs.
     """
     from ..functions.nulls import drop_null_keys
 
-    d = stage(drop_null_keys(df, entity, time).withColumn("__g", F.coalesce(F.col(g), F.lit(0)).cast("long")), "cohorts")
+    d = drop_null_keys(df, entity, time).withColumn("__g", F.coalesce(F.col(g), F.lit(0)).cast("long"))
+    # all that any cohort reads: controls, and treated units in the year before
+    d = stage(d.where((F.col("__g") == 0) | (F.col(time) == F.col("__g") - 1)).select(*dict.fromkeys([entity, time, "__g", block, x1, x2])), "cohorts")
     used, out = None, None
     for c in sorted(r["__g"] for r in d.where("__g > 0").select("__g").distinct().collect()):
         pool = d.where((F.col(time) == c - 1) & F.col("__g").isin(0, c)).withColumn("__t", (F.col("__g") > 0).cast("int"))
         if used is not None:
             pool = pool.join(used, entity, "left_anti")
-        m = match_mahalanobis(pool, entity, "__t", block, x1, x2, caliper).withColumn("cohort", F.lit(c))
+        m = match_mahalanobis(stage(pool, "pool"), entity, "__t", block, x1, x2, caliper).withColumn("cohort", F.lit(c))
         m = stage(m, "pairs")
         out = m if out is None else out.unionByName(m)
         now = m.select(F.col("control").alias(entity)).distinct()
         used = now if used is None else used.union(now)
+    if out is None:
+        kind = dict(df.dtypes)
+        return df.sparkSession.createDataFrame([], f"`{entity}` {kind[entity]}, control {kind[entity]}, `{block}` {kind[block]}, distance double, cohort int")
     return out
 
 

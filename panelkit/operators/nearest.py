@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stages import stage
+from .stages import dealt, stage
 
 #: Controls of a cell that the first width aims at on average, and may have at most; widths tried below it (powers of 2).
 AIM, MOST, FINER = 8, 256, (0, 2, 4, 6, 8, 10, 12)
@@ -103,6 +103,7 @@ def _opened(left: DataFrame, c: DataFrame, block: list[str], u: list[str], want:
     A cell's box says how near and how far its controls are at most; so many nearest boxes as hold enough controls bound
     the last neighbour. With a condition on pairs (partial) the boxes' numbers tell nothing, and all cells are opened.
     """
+    left = dealt(left, "__p")  # few rows, each of which meets all boxes of its block
     held = c.select("*", *_cells(u, F.col("__w")))
     boxes = held.groupBy(*keys).agg(F.count("*").alias("__n"), *[f(x).alias(f"__{f.__name__}{k}") for k, x in enumerate(u) for f in (F.min, F.max)])
     j = left.alias("t").join(boxes.alias("c"), on(block))

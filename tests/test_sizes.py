@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelkit.operators import docs, estimators, moves, panels, resample, similarity
+from panelkit.operators import docs, estimators, matching, moves, panels, resample, similarity
 from panelkit.operators.placebos import wide_placebos
 from panelkit.plans import domain
 
@@ -101,3 +101,14 @@ def test_synthetic_controls_start_settled_on_a_block_of_donors(spark, monkeypatc
     got = estimators.synthetic_control(spark.createDataFrame(rows, "id long, year long, y double, g long"), "y", "id", "year", "g", min_post=2)
     assert got.select("id").distinct().count() == 5
     assert names.count("dual") == 2  # the start, and one pass that finds all of them settled
+
+
+def test_cohorts_are_matched_on_the_rows_of_the_year_before(spark, monkeypatch):
+    rows = [(i, y, (0, 0, 1995, 1998)[i % 4], "b", float(i % 7), float(i * i % 11)) for i in range(40) for y in range(1995, 2002)]
+    staged, stage = [], matching.stage
+    monkeypatch.setattr(matching, "stage", lambda df, name="stage": staged.append((name, stage(df, name))) or staged[-1][1])
+    got = matching.match_cohorts(spark.createDataFrame(rows, "id long, year long, g long, b string, x double, z double"), "id", "year", "g", "b", "x", "z")
+    assert got.count() == 10 and {r["cohort"] for r in got.collect()} == {1998}
+    assert [(n, df.count()) for n, df in staged] == [("cohorts", 20 * 7 + 10), ("pool", 30), ("pairs", 10)]  # none for 1995, whose year before is not there
+    none = matching.match_cohorts(spark.createDataFrame(rows[:14], "id long, year long, g long, b string, x double, z double"), "id", "year", "g", "b", "x", "z")
+    assert none.schema == got.schema and none.count() == 0

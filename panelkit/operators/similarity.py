@@ -52,22 +52,35 @@ def rolling_similarity(moves: DataFrame, rows: DataFrame, unit: str, firm: str,
     """Five cosines per move and year in which the unit is active: histories over [y-window, y-1], rows counted.
 
     history='active': firms' histories hold only years in which the unit was active; 'all': every year.
+
+    A unit's own vectors depend on the year alone and those of a place on the unit and the year, so each is made once
+    for all moves; moves meet sums only. Rows are dealt by unit.
     """
     m = moves.select(F.col(unit).alias("u"), F.col("from_state").alias("f"), F.col("to_state").alias("t")).distinct()
     own, firms = stage(class_counts(rows, unit, year, cls), "own"), stage(class_counts(rows, firm, year, cls), "firms")
-    active = own.select(F.col("e").alias("u"), F.col("y").alias("y0")).distinct()
-    keys = stage(m.join(active, "u").withColumnRenamed("y0", "at"), "keys")
-    names = ["u", "f", "t", "at"]
-    v = [vectors_in_windows(keys, own, "u", "at", {"inv_hist": (-window, -1), "inv_now": (0, 0)})]
+    m = stage(m, "moves")
+    mine = dealt(own.join(m.select(F.col("u").alias("e")).distinct(), "e", "left_semi").withColumnRenamed("e", "u"), "u")
+    active = mine.select("u", "y").distinct()
+    n, at = F.col("n").cast("double"), (F.col("y") + F.col("rel")).cast(dict(own.dtypes)["y"]).alias("at")
+    seen = mine.withColumn("rel", F.explode(F.sequence(F.lit(0), F.lit(window))))
+    vectors = seen.groupBy("u", at, "c").agg(F.coalesce(F.sum(F.when(F.col("rel") == 0, n)), F.lit(0.0)).alias("now"), F.coalesce(F.sum(F.when(F.col("rel") > 0, n)), F.lit(0.0)).alias("hist"))
+    square = lambda a, b, name: F.sum(F.col(a) * F.col(b)).alias(name)
+    alone = vectors.groupBy("u", "at").agg(square("now", "now", "nn"), square("hist", "hist", "hh"), square("now", "hist", "nh")).where("nn > 0")
+    places = dealt(m.select("u", F.explode(F.array("f", "t")).alias("p")).distinct(), "u")
     if history == "active":
-        seen = keys.join(active.toDF("u", "y"), "u").where(F.col("y").between(F.col("at") - window, F.col("at") - 1))
-        seen = seen.withColumn("p", F.explode(F.array(*[F.struct(F.lit(w).alias("who"), F.col(c).alias("e")) for w, c in (("from", "f"), ("to", "t"))]))).select(*names, "y", "p.*")
-        x = seen.join(firms, ["e", "y"]).groupBy(*names, "c").agg(*[F.sum(F.when(F.col("who") == w, F.col("n"))).cast("double").alias(f"{w}_hist") for w in ("from", "to")])
-        v.append(x)
+        # a year of the unit is in the histories of the years after it
+        held = places.join(active, "u").join(firms.toDF("p", "y", "c", "n"), ["p", "y"])
+        held = held.withColumn("rel", F.explode(F.sequence(F.lit(1), F.lit(window)))).groupBy("u", "p", at, "c").agg(F.sum(n).alias("place"))
     else:
-        v += [vectors_in_windows(keys, firms, col, "at", {f"{who}_hist": (-window, -1)}) for who, col in (("from", "f"), ("to", "t"))]
-    pairs = {"inv_self": ("inv_now", "inv_hist"), "inv_from": ("inv_now", "from_hist"), "inv_to": ("inv_now", "to_hist"), "hist_from": ("inv_hist", "from_hist"), "hist_to": ("inv_hist", "to_hist")}
-    return keys.join(cosines(v, names, pairs), names, "left").withColumnsRenamed({"u": unit, "f": "from_state", "t": "to_state", "at": year})
+        held = vectors_in_windows(places.join(active.withColumnRenamed("y", "at"), "u"), firms, "p", "at", {"place": (-window, -1)})
+    with_place = held.join(vectors, ["u", "at", "c"], "left").groupBy("u", "p", "at").agg(square("place", "place", "pp"), square("now", "place", "np"), square("hist", "place", "hp"))
+    sums = stage(with_place, "places")
+    x = m.join(stage(alone, "alone"), "u")
+    for c in ("f", "t"):
+        x = x.join(sums.select("u", F.col("p").alias(c), "at", *[F.col(v).alias(f"{v}_{c}") for v in ("pp", "np", "hp")]), ["u", c, "at"], "left")
+    cosine = lambda dot, a, b, name: F.try_divide(F.coalesce(dot, F.lit(0.0)), F.sqrt(F.col(a) * F.col(b))).alias(name)
+    pairs = [("inv_self", "nh", "nn", "hh"), ("inv_from", "np_f", "nn", "pp_f"), ("inv_to", "np_t", "nn", "pp_t"), ("hist_from", "hp_f", "hh", "pp_f"), ("hist_to", "hp_t", "hh", "pp_t")]
+    return x.select(F.col("u").alias(unit), F.col("f").alias("from_state"), F.col("t").alias("to_state"), F.col("at").alias(year), *[cosine(F.col(dot), a, b, name) for name, dot, a, b in pairs])
 
 
 def rolling_self_similarity(rows: DataFrame, entity: str, year: str, cls: str, window: int = 5) -> DataFrame:

@@ -187,7 +187,7 @@ SELECT op.person, op.move_year, op.from_state, op.to_state, round(op.mm + 1e-6,
 FROM op JOIN dp USING (person, move_year, from_state, to_state) JOIN dq USING (person, move_year, from_state, to_state)""",
 )
 def _(spark, sf):
-    m, rows = moves_and_rows(spark, sf)
+    m, rows = moves_and_rows(spark, sf, "value")
     got = M.peer_benchmark(m, rows.withColumnRenamed("state", "place"), "person", "place", "ship_year", "doc_id", "value", 2)
     # a mean of cents often ends in an exact 5, which sums in another order would round the other way
     three = [F.round(F.col(c) + 1e-6, 3).alias(c) for c in ("mover_origin_pre", "peers_origin_pre", "peers_dest_pre", "mover_dest_post", "peers_dest_post")]
@@ -201,7 +201,7 @@ o AS (SELECT from_state AS firm, move_year AS data_year, avg(a) AS v, avg(b) AS
 SELECT firm, data_year, round(o.v, 5) AS value_departures, round(o.n, 5) AS docs_departures, round(d.v, 5) AS value_arrivals FROM o FULL JOIN d USING (firm, data_year)""",
 )
 def _(spark, sf):
-    m, rows = moves_and_rows(spark, sf)
+    m, rows = moves_and_rows(spark, sf, "value")
     b = M.peer_benchmark(m, rows.withColumnRenamed("state", "place"), "person", "place", "ship_year", "doc_id", "value", 2)
     got = relative_talent(b, {"ratio_origin": "value_departures", "docs_ratio_origin": "docs_departures"}, {"ratio_dest": "value_arrivals"})
     return got.select("firm", "data_year", R("value_departures"), R("docs_departures"), R("value_arrivals"))
@@ -250,7 +250,7 @@ thist AS (SELECT k.person, k.from_state, k.to_state, k.ship_year, class AS c, co
     + _cos(["person", "from_state", "to_state", "ship_year"], None, _ROLL),
 )
 def _(spark, sf):
-    got = S.rolling_similarity(*moves_and_rows(spark, sf), "person", "state", "ship_year", "class", 2)
+    got = S.rolling_similarity(*moves_and_rows(spark, sf, "class"), "person", "state", "ship_year", "class", 2)
     return got.select("person", "from_state", "to_state", "ship_year", *[R(c) for c in _ROLL])
 
 

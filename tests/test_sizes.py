@@ -112,3 +112,24 @@ def test_cohorts_are_matched_on_the_rows_of_the_year_before(spark, monkeypatch):
     assert [(n, df.count()) for n, df in staged] == [("cohorts", 20 * 7 + 10), ("pool", 30), ("pairs", 10)]  # none for 1995, whose year before is not there
     none = matching.match_cohorts(spark.createDataFrame(rows[:14], "id long, year long, g long, b string, x double, z double"), "id", "year", "g", "b", "x", "z")
     assert none.schema == got.schema and none.count() == 0
+
+
+def test_rolling_similarity_makes_vectors_once_for_all_moves(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    data = [(int(u), "abc"[s], int(y), "xyz"[c]) for u, s, y, c in zip(r.integers(0, 4, 80), r.integers(0, 3, 80), r.integers(2000, 2008, 80), r.integers(0, 3, 80))]
+    rows = spark.createDataFrame(data, "u long, s string, y long, c string")
+    moves = [(u, f, t) for u in range(4) for f in "abc" for t in "abc" if f != t]
+    staged, stage = {}, similarity.stage
+    monkeypatch.setattr(similarity, "stage", lambda df, name="stage": staged.setdefault(name, stage(df, name)))
+    active = {(u, y) for u, _, y, _ in data}
+    for history in ("active", "all"):
+        staged.clear()
+        got = {(x["u"], x["from_state"], x["to_state"], x["y"]): x for x in similarity.rolling_similarity(spark.createDataFrame(moves, "u long, from_state string, to_state string"), rows, "u", "s", "y", "c", 2, history).collect()}
+        assert got.keys() == {(u, f, t, y) for u, f, t in moves for a, y in active if a == u}
+        assert staged["places"].count() == staged["places"].select("u", "p", "at").distinct().count() <= 4 * 3 * 10  # units, places and years, not moves
+        for (u, f, _, y), x in got.items():
+            now, hist, place = (np.array([sum(on(*d) and d[3] == c for d in data) for c in "xyz"], float) for on in (
+                lambda v, s, at, c: v == u and at == y, lambda v, s, at, c: v == u and y - 2 <= at < y,
+                lambda v, s, at, c: s == f and y - 2 <= at < y and (history == "all" or (u, at) in active)))
+            for name, a, b in (("inv_self", now, hist), ("inv_from", now, place), ("hist_from", hist, place)):
+                assert x[name] is None if not a.any() or not b.any() else abs(x[name] - a @ b / np.sqrt(a @ a * (b @ b))) < 1e-9

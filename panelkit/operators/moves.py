@@ -59,8 +59,9 @@ def peer_benchmark(moves: DataFrame, rows: DataFrame, unit: str, firm: str, year
     """
     cells = stage(rows.groupBy(firm, year, unit).agg(sum0(metric).alias("s"), F.count(metric).alias("n")), "cells")
     firm_years = cells.groupBy(firm, year).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    docs = stage(rows.select(firm, year, doc, unit).distinct(), "docs")
-    teams = stage(docs.groupBy(firm, year, doc).agg(F.count("*").alias("k")), "teams")
+    # dealt by document, so that no count of a document's rows shuffles them again
+    docs = stage(dealt(rows.select(firm, year, doc, unit), doc).distinct(), "docs")
+    teams = stage(dealt(docs, doc).groupBy(firm, year, doc).agg(F.count("*").alias("k")), "teams")
     m = moves.select(F.col(unit).alias("__u"), F.col("move_year").alias("__m"), "from_state", "to_state").distinct()
     # each move twice, at its origin and at its destination; both windows are summed in one join
     place = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("at"))
@@ -79,15 +80,17 @@ def peer_benchmark(moves: DataFrame, rows: DataFrame, unit: str, firm: str, year
     # totals depend on the firm and the year of the move only, so they are made once for all its moves
     pairs = m.select("at", "__m").distinct()
     total = near(pairs, firm_years).groupBy("at", "__m").agg(*by_side(F.sum, ts="s", tn="n"))
-    seen = near(pairs, teams).groupBy("at", "__m", doc).agg(*by_side(F.count, c="k"))
+    seen = near(pairs, dealt(teams, doc)).groupBy("at", "__m", doc).agg(*by_side(F.count, c="k"))
     all_docs = seen.groupBy("at", "__m").agg(*[F.count_if(F.col(f"c_{n}") > 0).alias(f"all_{n}") for n in sides])
-    own = near(m, cells, cells[unit] == m["__u"]).groupBy(*keys, "role").agg(*by_side(F.sum, ms="s", mn="n"))
-    mine = near(m, docs, docs[unit] == m["__u"]).groupBy(*keys, "role", "at", docs[doc].alias("__d")).agg(*by_side(F.count, years="role"))
+    # the mover's depend on unit, year and firm only
+    units = stage(m.select("__u", "__m", "at").distinct(), "units")
+    own = near(units, cells, cells[unit] == units["__u"]).groupBy("__u", "__m", "at").agg(*by_side(F.sum, ms="s", mn="n"))
+    mine = near(units, docs, docs[unit] == units["__u"]).groupBy("__u", "__m", "at", docs[doc].alias("__d")).agg(*by_side(F.count, years="at"))
     # alone: in no year of the window does another unit have the document at the firm
-    mine = near(mine, teams, teams[doc] == mine["__d"]).groupBy(*keys, "role", "__d", *[f"years_{n}" for n in sides]).agg(*by_side(F.sum, k="k"))
+    mine = near(mine, teams, teams[doc] == mine["__d"]).groupBy("__u", "__m", "at", "__d", *[f"years_{n}" for n in sides]).agg(*by_side(F.sum, k="k"))
     has = lambda n: F.col(f"years_{n}") > 0
-    mine = mine.groupBy(*keys, "role").agg(*[F.count_if(has(n)).alias(f"md_{n}") for n in sides], *[F.count_if(has(n) & (F.col(f"k_{n}") == F.col(f"years_{n}"))).alias(f"alone_{n}") for n in sides])
-    x = m.join(total, ["at", "__m"], "left").join(all_docs, ["at", "__m"], "left").join(own, [*keys, "role"], "left").join(mine, [*keys, "role"], "left")
+    mine = mine.groupBy("__u", "__m", "at").agg(*[F.count_if(has(n)).alias(f"md_{n}") for n in sides], *[F.count_if(has(n) & (F.col(f"k_{n}") == F.col(f"years_{n}"))).alias(f"alone_{n}") for n in sides])
+    x = m.join(total, ["at", "__m"], "left").join(all_docs, ["at", "__m"], "left").join(own, ["__u", "__m", "at"], "left").join(mine, ["__u", "__m", "at"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     parts = []
     for role, side in (("origin", "pre"), ("dest", "pre"), ("dest", "post")):

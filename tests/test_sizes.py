@@ -133,3 +133,17 @@ def test_rolling_similarity_makes_vectors_once_for_all_moves(spark, monkeypatch)
                 lambda v, s, at, c: s == f and y - 2 <= at < y and (history == "all" or (u, at) in active)))
             for name, a, b in (("inv_self", now, hist), ("inv_from", now, place), ("hist_from", hist, place)):
                 assert x[name] is None if not a.any() or not b.any() else abs(x[name] - a @ b / np.sqrt(a @ a * (b @ b))) < 1e-9
+
+
+def test_peers_are_counted_once_a_mover_and_firm(spark, monkeypatch):
+    rows = spark.createDataFrame([(u, f, y, 10 * y + d, float(u + y)) for u in range(3) for f in "ab" for y in (1, 2, 3) for d in range(u + 1)], "u long, f string, y long, d long, v double")
+    events = spark.createDataFrame([(0, 2, "a", "b"), (0, 2, "b", "a"), (0, 2, "a", "c")], "u long, move_year long, from_state string, to_state string")
+    staged, stage = {}, moves.stage
+    monkeypatch.setattr(moves, "stage", lambda df, name="stage": staged.setdefault(name, stage(df, name)))
+    got = moves.peer_benchmark(events, rows, "u", "f", "y", "d", "v", 2)
+    assert staged["units"].count() == 3 and "REPARTITION_BY_NUM" in plan(got)
+    x = {(r["from_state"], r["to_state"]): r for r in got.collect()}
+    assert len(x) == 3 and x["a", "c"]["mover_docs_dest_post"] == x["a", "c"]["peers_docs_dest_post"] == 0
+    one = x["a", "b"]
+    assert (one["mover_origin_pre"], one["peers_origin_pre"], one["mover_docs_origin_pre"], one["peers_docs_origin_pre"]) == (1.0, 13 / 5, 1, 3)
+    assert (one["mover_docs_dest_post"], one["peers_docs_dest_post"]) == (2, 6)

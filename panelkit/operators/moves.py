@@ -17,10 +17,11 @@ def stable_moves(rows: DataFrame, unit: str, state: str, order: list[str], min_r
     Two rows before have one state, this and the two after another; all of them have a state. Units with fewer than
     min_rows rows are left out; the first move per (unit, to, from) stays.
     """
-    rows = dealt(rows.where(F.col(unit).isNotNull()), unit)
-    enough = rows.groupBy(unit).agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select(unit)
+    rows = dealt(rows.select(unit, state, *order).where(F.col(unit).isNotNull()), unit)
+    if min_rows > 5:  # a move itself takes five rows
+        rows = rows.join(rows.groupBy(unit).agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select(unit), unit, "left_semi")
     w = Window.partitionBy(unit).orderBy(*order)
-    x = rows.join(enough, unit, "left_semi").withColumns({"__p1": F.lag(state, 1).over(w), "__p2": F.lag(state, 2).over(w), "__n1": F.lead(state, 1).over(w), "__n2": F.lead(state, 2).over(w)})
+    x = rows.withColumns({"__p1": F.lag(state, 1).over(w), "__p2": F.lag(state, 2).over(w), "__n1": F.lead(state, 1).over(w), "__n2": F.lead(state, 2).over(w)})
     hit = x.where((F.col(state) != F.col("__p1")) & (F.col("__p2") == F.col("__p1")) & (F.col("__n1") == F.col(state)) & (F.col("__n2") == F.col("__n1")))
     out = hit.select(unit, *order, F.col("__p1").alias("from_state"), F.col(state).alias("to_state"))
     return first_by(out, [unit, "to_state", "from_state"], order)

@@ -138,7 +138,7 @@ p AS (SELECT *, CASE WHEN rel < 0 THEN 'pre' ELSE 'post' END AS period FROM x)""
 
 
 def _around(spark, sf):
-    return M.performance_around(*moves_and_rows(spark, sf), "person", "move_year", "ship_year", {"n_docs": "doc_id"}, ["value"], ["qty"], 2)
+    return M.performance_around(*moves_and_rows(spark, sf, "value", "qty"), "person", "move_year", "ship_year", {"n_docs": "doc_id"}, ["value"], ["qty"], 2)
 
 
 @query("performance_around_long", f"WITH {_AROUND} SELECT person, move_year, period, count(DISTINCT doc_id) AS n_docs, round(coalesce(sum(value), 0), 2) AS sum_value, round(avg(qty), 5) AS mean_qty FROM p GROUP BY 1, 2, 3")
@@ -230,7 +230,7 @@ _PROX_VECTORS = ", ".join(
 
 @query("event_proximity", f"WITH {MOVES}, k AS (SELECT DISTINCT person, move_year, from_state, to_state FROM moves), {_PROX_VECTORS}, " + _cos(["person", "move_year", "from_state", "to_state"], None, _PROX))
 def _(spark, sf):
-    got = S.event_proximity(*moves_and_rows(spark, sf), "person", "state", "ship_year", "class", "doc_id", 5)
+    got = S.event_proximity(*moves_and_rows(spark, sf, "class"), "person", "state", "ship_year", "class", "doc_id", 5)
     return got.select("person", "move_year", "from_state", "to_state", *[R(c) for c in _PROX])
 
 
@@ -274,7 +274,7 @@ vb AS (SELECT k.*, class AS c, count(DISTINCT (doc_id, ship_year))::DOUBLE AS n
     + _cos(["from_state", "to_state", "move_year"], None, {"similarity": ("va", "vb")}),
 )
 def _(spark, sf):
-    got = S.pairwise_similarity(*moves_and_rows(spark, sf), "from_state", "to_state", "move_year", "state", "ship_year", "class", "doc_id", 2)
+    got = S.pairwise_similarity(*moves_and_rows(spark, sf, "class"), "from_state", "to_state", "move_year", "state", "ship_year", "class", "doc_id", 2)
     return got.withColumn("similarity", F.round("similarity", 5))
 
 

@@ -173,8 +173,8 @@ SELECT firm, data_year, n_docs, n_people, round(v, 2) AS sum_value, round(q, 5)
 FROM sp JOIN m USING (firm, data_year) LEFT JOIN a USING (firm, data_year) LEFT JOIN b USING (firm, data_year)""",
 )
 def _(spark, sf):
-    moved, rows = moves_and_rows(spark, sf)
-    s = rows.drop("firm").withColumnsRenamed({"state": "firm", "ship_year": "data_year"})
+    moved, rows = moves_and_rows(spark, sf, "value", "qty")
+    s = rows.withColumnsRenamed({"state": "firm", "ship_year": "data_year"})
     m = P.metrics(s, ["firm", "data_year"], {"n_docs": "doc_id", "n_people": "person"}, ["value"], ["qty"])
     got = P.firm_year_panel(s.select("firm", "data_year").distinct(), [m, P.departures_arrivals(moved, "person")], ["n_docs", "n_people", "n_departures", "n_arrivals"])
     return got.select("firm", "data_year", "n_docs", "n_people", r("sum_value", 2), r("mean_qty"), "n_departures", "n_arrivals")

@@ -82,6 +82,19 @@ def test_stable_moves_are_dealt_by_unit(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 2, "a", "b")]
 
 
+def test_moves_take_five_rows_without_a_count(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, i, s, "x") for i, s in enumerate("aabb")] + [(2, i, s, "x") for i, s in enumerate("aabbb")], "u long, t int, s string, other string")
+    got = moves.stable_moves(rows, "u", "s", ["t"])
+    assert "Join" not in plan(got) and plan(got).count("REPARTITION_BY_NUM") == 1
+    assert [tuple(r) for r in got.collect()] == [(2, 2, "a", "b")]
+    assert moves.stable_moves(rows, "u", "s", ["t"], 6).collect() == []
+    staged, stage = {}, domain.stage
+    monkeypatch.setattr(domain, "stage", lambda df, name="stage": staged.setdefault(name, stage(df, name)))
+    domain.moves_and_rows(spark, SF)
+    assert plan(domain.docs(spark, SF)).count("REPARTITION_BY_NUM") == 2
+    assert staged["segment-rows"].columns == ["person", "state", *domain.MOVE_ORDER, "ship_year"]
+
+
 def test_band_of_synthetic_controls_makes_no_row_a_draw_and_unit(spark):
     gaps = spark.createDataFrame([(u, k, float(u * (k + 2) % 5)) for u in range(9) for k in range(-1, 3) if u or k < 2], "id long, k long, gap double")
     got = resample.scm_band(gaps, "id", 40, hi=1)

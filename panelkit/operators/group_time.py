@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import nan_to_null
 from ..functions.scalars import ratio
 from ..sources.files import Parameters
-from .stages import stage
+from .stages import dealt, stage
 from .windows import first_by
 
 
@@ -71,20 +71,25 @@ def role_sample(df: DataFrame, y: str, entity: str, time: str, roles: dict[str,
 
 
 def changes(d: DataFrame, x: list[str]) -> tuple[DataFrame, dict[str, tuple]]:
-    """Rows (cell, w, dy, x0..) of all comparisons, and the cells by name: (role, g, t).
+    """Rows (cell, w, x0.., n, dy) of all comparisons, and the cells by name: (role, g, t).
 
     A cell compares its cohort (w = 1) with units not yet or never treated by the change from the base period: g - 1
     from g on, the period before t earlier. Units without one of both periods are not in it; x is that of the base.
+    Units that agree in cell, w and x are one row with their number n and the sum dy of their changes: effects are sums
+    that need no more. A unit's periods meet in its own row, so that no row of a cell is shuffled.
     """
     names = [f"x{i}" for i in range(len(x))]
     seen = sorted((r["role"], r["g"], r["t"]) for r in d.where("g > 0").select("role", "g", "t").distinct().collect())
     cells = {f"{r}|{g}|{t}": (r, g, t) for r, g, t in seen}
     table = d.sparkSession.createDataFrame([(n, r, g, t, g - 1 if t >= g else t - 1) for n, (r, g, t) in cells.items()], "cell string, role string, cg long, ct long, cb long")
-    base = d.select("role", "e", F.col("t").alias("cb"), F.col("y").alias("y0"), *names)
-    now = d.select("role", "e", "g", F.col("t").alias("ct"), F.col("y").alias("y1")).join(F.broadcast(table), ["role", "ct"])  # one row a cell
-    now = now.where((F.col("g") == F.col("cg")) | (F.col("g") == 0) | (F.col("g") > F.greatest("ct", "cb")))
-    z = now.join(base, ["role", "e", "cb"])
-    return z.select("cell", (F.col("g") == F.col("cg")).cast("double").alias("w"), (F.col("y1") - F.col("y0")).alias("dy"), *names), cells
+    # a unit has one row a period in a role
+    of = table.groupBy("role").agg(F.collect_list(F.struct("cell", "cg", "ct", "cb")).alias("cells"))
+    units = dealt(d, "role", "e").groupBy("role", "e").agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct("g", "y", *names)))).alias("at"))
+    z = units.join(F.broadcast(of), "role").select("at", F.explode("cells").alias("c"))  # one row a role
+    z = z.select("c.*", F.col("at")[F.col("c.ct")].alias("now"), F.col("at")[F.col("c.cb")].alias("base")).where("now IS NOT NULL AND base IS NOT NULL")
+    z = z.where((F.col("now.g") == F.col("cg")) | (F.col("now.g") == 0) | (F.col("now.g") > F.greatest("ct", "cb")))
+    z = z.select("cell", (F.col("now.g") == F.col("cg")).cast("double").alias("w"), (F.col("now.y") - F.col("base.y")).alias("dy"), *[F.col(f"base.{n}").alias(n) for n in names])
+    return z.groupBy("cell", "w", *names).agg(F.count("*").cast("double").alias("n"), F.sum("dy").alias("dy")), cells
 
 
 def _sums(z: DataFrame, columns: list[str], work: Callable, shared: dict, width: int) -> dict[str, np.ndarray]:
@@ -110,7 +115,7 @@ def _sums(z: DataFrame, columns: list[str], work: Callable, shared: dict, width:
 
 
 def fit_cells(z: DataFrame, k: int, rounds: int = 25, trim: float = 0.995) -> dict[str, tuple[float, int, int, str]]:
-    """Effect, treated, controls and method of each cell of changes with k covariates; cells without both groups are left out.
+    """Effect, treated, controls and method of each cell of changes with k covariates; cells without both groups are left out. Rows without n are one unit each.
 
     All cells are fitted together by sums grouped by cell: the outcome regression of controls' changes on x from one
     pass of cross products, the logistic propensity by Newton steps of one pass each. The methods, the first that can be
@@ -119,12 +124,14 @@ def fit_cells(z: DataFrame, k: int, rounds: int = 25, trim: float = 0.995) -> di
     difference of means (weights of a propensity without covariates, where the propensity does not settle).
     """
     p = k + 1
-    columns = ["w", "dy", *(f"x{i}" for i in range(k))]
-    ones = lambda m: np.column_stack([np.ones(len(m)), m[:, 2:]])
+    if "n" not in z.columns:
+        z = z.withColumn("n", F.lit(1.0))
+    columns = ["w", "n", "dy", *(f"x{i}" for i in range(k))]
+    ones = lambda m: np.column_stack([np.ones(len(m)), m[:, 3:]])
 
     def moments(m, _):
-        q, c = ones(m), m[:, 0] == 0
-        return np.r_[m[:, 0].sum(), (1 - m[:, 0]).sum(), (q[c].T @ q[c]).ravel(), q[c].T @ m[c, 1], q.sum(axis=0), (q * q).sum(axis=0)]
+        q, c, n = ones(m), m[:, 0] == 0, m[:, 1]
+        return np.r_[m[:, 0] @ n, (1 - m[:, 0]) @ n, ((q[c].T * n[c]) @ q[c]).ravel(), q[c].T @ m[c, 2], n @ q, n @ (q * q)]
 
     got = {c: v for c, v in _sums(z, columns, moments, {}, 2 + p * p + 3 * p).items() if v[0] and v[1]}
     beta, centre = {}, {}
@@ -145,7 +152,7 @@ def fit_cells(z: DataFrame, k: int, rounds: int = 25, trim: float = 0.995) -> di
             return np.zeros(p + p * p)
         q = standard(m, *given[1:])
         ps = 1 / (1 + np.exp(-np.clip(q @ given[0], -35, 35)))
-        return np.r_[q.T @ (m[:, 0] - ps), ((q * (ps * (1 - ps))[:, None]).T @ q).ravel()]
+        return np.r_[q.T @ (m[:, 1] * (m[:, 0] - ps)), ((q * (m[:, 1] * ps * (1 - ps))[:, None]).T @ q).ravel()]
 
     theta = {c: np.r_[np.log(v[0] / v[1]), np.zeros(p - 1)] for c, v in got.items()}
     walking, settled = set(theta) if k else set(), {}
@@ -169,9 +176,10 @@ def fit_cells(z: DataFrame, k: int, rounds: int = 25, trim: float = 0.995) -> di
         if given is None:
             return np.zeros(4)
         b, th, mean, sd = given
-        res, w = m[:, 1] - (0 if b is None else ones(m) @ b), m[:, 0]
+        w, n = m[:, 0], m[:, 1]
+        res = m[:, 2] - (0 if b is None else n * (ones(m) @ b))  # summed over the n units of a row
         odds = (1 - w) if th is None else (1 - w) * (lambda ps: ps / (1 - ps))(np.minimum(1 / (1 + np.exp(-np.clip(standard(m, mean, sd) @ th, -35, 35))), trim))
-        return np.array([(w * res).sum(), w.sum(), (odds * res).sum(), odds.sum()])
+        return np.array([w @ res, w @ n, odds @ res, odds @ n])
 
     last = _sums(z, columns, effect, {c: (beta.get(c) if c in settled else None, settled.get(c), *centre[c]) for c in got}, 4)
     method = {c: "difference of means" if c not in settled else "doubly robust" if c in beta else "inverse probability" for c in got}

@@ -119,3 +119,17 @@ def test_nulls_repeats_and_empty_tables(spark):
     none = G.role_sample(d.limit(0), "y", "id", "year", roles, "g", ["x"])
     assert none.collect() == [] and G.att_gt_by_role(none, ["x"]).collect() == []
     assert G.att_gt_by_role(G.role_sample(d.withColumns({"ga": F.lit(None).cast("long"), "gb": F.lit(0)}), "y", "id", "year", roles, "g")).collect() == []
+
+
+def test_equal_units_of_a_cell_are_one_row(spark, monkeypatch):
+    d = spark.createDataFrame(panel(3), SCHEMA)
+    staged, stage = {}, G.stage
+    monkeypatch.setattr(G, "stage", lambda df, name="stage": staged.setdefault(name, stage(df, name)))
+    sample = G.role_sample(d, "y", "id", "year", {"a": "ga", "b": "gb"}, "g", ["s"], True, 20, 2, 3)
+    got, p, z = G.att_gt_by_role(sample, ["s"]).collect(), sample.toPandas(), staged["changes"]
+    assert z.count() == z.select("cell", "w", "x0").distinct().count() <= 4 * z.select("cell").distinct().count()
+    for r in got:
+        c = cell(p, r["role"], r["g"], r["t"])
+        w, s, dy = (c.g == r["g"]).to_numpy(), c.x0.to_numpy(), (c.y1 - c.y).to_numpy()
+        assert (r["n_treated"], r["n_control"], r["method"]) == (w.sum(), (~w).sum(), "doubly robust")
+        assert r["att"] == pytest.approx(sum((w & (s == v)).sum() * (dy[w & (s == v)].mean() - dy[~w & (s == v)].mean()) for v in (0, 1)) / w.sum(), abs=1e-6)

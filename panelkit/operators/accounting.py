@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import isin_or_false, nan_to_null, null_out_negatives
+from ..functions.nulls import isin_or_false, keep_columns, nan_to_null, null_out_negatives
 from ..functions.scalars import clip, excluded_prefix, fiscal_year, industry_code, parse_date, ratio, sum_any
 from .quantiles import counted_quantiles
-from .stages import stage
+from .stages import dealt, stage
 from .windows import first_by, rolling_std, row_lag
 
 #: Statement items of which a negative amount is an error.
@@ -25,14 +25,14 @@ def c0(name: str) -> Column:
 
 
 def clean_fundamentals(raw: DataFrame) -> DataFrame:
-    """Typed firm-years of standard-format statements of non-financial firms, the latest per (gvkey, fyear)."""
+    """Typed firm-years of standard-format statements of non-financial firms, the latest per (gvkey, fyear); dealt by gvkey, for all that follows by firm."""
     x = raw.withColumn("datadate", parse_date(F.col("datadate"))).withColumn("sic", F.col("sic").cast("string"))
     x = x.where(excluded_prefix(F.col("sic")))
     x = x.where((F.col("indfmt") == "INDL") & (F.col("datafmt") == "STD") & (F.col("popsrc") == "D") & (F.col("consol") == "C"))
     for c in ("sale", "at", "teq"):
         x = x.where(~isin_or_false(F.col(c) < 0))
     x = x.withColumn("data_year", fiscal_year(F.col("datadate"))).where(F.col("pddur").between(9, 15))
-    x = first_by(x.where(F.col("gvkey").isNotNull()), ["gvkey", "fyear"], [F.desc("datadate"), F.desc_nulls_last("at")])
+    x = first_by(dealt(x.where(F.col("gvkey").isNotNull()), "gvkey"), ["gvkey", "fyear"], [F.desc("datadate"), F.desc_nulls_last("at")])
     x = null_out_negatives(x, NON_NEGATIVE).fillna(0.0, [c for c in ZERO_IF_MISSING if c in x.columns])
     return x.withColumns({f"sic{n}": industry_code(F.col("sic"), n) for n in (2, 3, 4)})
 
@@ -40,16 +40,17 @@ def clean_fundamentals(raw: DataFrame) -> DataFrame:
 def deflate(x: DataFrame, cpi: DataFrame, base: str = "2004-12-31") -> DataFrame:
     """at_real and randd_real in prices of the base month; without the base month, of the median."""
     level = cpi.agg(F.coalesce(F.max(F.when(F.col("month_end") == F.lit(base).cast("date"), F.col("cpi"))), F.percentile("cpi", F.lit(0.5))).alias("__base"))
-    j = x.withColumn("month_end", F.last_day("datadate")).join(cpi, "month_end", "left").crossJoin(F.broadcast(level))  # one row
+    j = x.withColumn("month_end", F.last_day("datadate")).join(F.broadcast(cpi), "month_end", "left").crossJoin(F.broadcast(level))  # one row a month, and one row
     real = lambda c: ratio(F.col(c), F.col("cpi")) * F.col("__base")
     at_real = real("at")
     return j.withColumn("at_real", F.when(at_real != 0, at_real)).withColumn("randd_real", real("xrd")).drop("__base", "month_end", "cpi")
 
 
-def fundamentals(raw: DataFrame, cpi: DataFrame, winsorised: bool = True) -> DataFrame:
+def fundamentals(raw: DataFrame, cpi: DataFrame, winsorised: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Firm-years with ratios, financing-constraint indices and rolling cash-flow volatility; infinities become NULL.
 
-    Lags are those of the statement before, by date. The volatility is of the ratios before they are winsorised.
+    Lags are those of the statement before, by date. The volatility is of the ratios before they are winsorised. keep:
+    the columns that are wanted; others are neither written nor winsorised.
     """
     x = deflate(clean_fundamentals(raw), cpi)
     x = x.withColumns({"market_value": F.col("csho") * F.col("prcc_f"), "csho_adj": F.col("csho") * F.coalesce(F.col("ajex"), F.lit(1.0))})
@@ -89,14 +90,15 @@ def fundamentals(raw: DataFrame, cpi: DataFrame, winsorised: bool = True) -> Dat
     x = financing_constraints(x)
     x = rolling_std(x, "gvkey", "data_year", "cash_flow", "cf_volatility_rolling", 5)
     x = x.withColumns({c: nan_to_null(c) for c in [*RATIOS, "ww_index", "sa_index"]})
-    return winsorize(stage(x, "fundamentals"), WINSORISED) if winsorised else x
+    x = keep_columns(x, keep) if keep else x
+    return winsorize(stage(x, "fundamentals"), [c for c in WINSORISED if c in x.columns], written=True) if winsorised else x
 
 
 def financing_constraints(x: DataFrame) -> DataFrame:
     """ww_index and sa_index. Industry growth is the mean of (year, sic3); age counts from the first public or priced year."""
     growth = x.where(F.col("data_year").isNotNull() & F.col("sic3").isNotNull()).groupBy("data_year", "sic3").agg(F.avg("sale_growth").alias("isg"))
-    priced = x.groupBy("gvkey").agg(F.min(F.when(F.col("prcc_f").isNotNull(), F.col("data_year"))).alias("__first"))
-    x = x.join(growth, ["data_year", "sic3"], "left").join(priced, "gvkey", "left")
+    priced = F.min(F.when(F.col("prcc_f").isNotNull(), F.col("data_year"))).over(Window.partitionBy("gvkey"))  # a firm has one row a year
+    x = x.join(F.broadcast(growth), ["data_year", "sic3"], "left").withColumn("__first", F.when(F.col("gvkey").isNotNull(), priced))  # one row an industry and year
     cf = ratio(F.col("ib") + F.col("dp"), F.col("at"))
     pays = (c0("dvc") + c0("dvp") > 0).cast("double")
     age = clip((F.col("data_year") - F.coalesce(F.year(parse_date(F.col("ipodate"))), F.col("__first"))).cast("double"), None, 37.0)
@@ -105,9 +107,9 @@ def financing_constraints(x: DataFrame) -> DataFrame:
     return x.withColumns({"ww_index": ww, "firm_age": age, "size_real": size, "sa_index": -0.737 * size + 0.043 * size * size - 0.040 * age}).drop("__first")
 
 
-def winsorize(df: DataFrame, columns: list[str], lo: float = 0.01, hi: float = 0.99, min_n: int = 50) -> DataFrame:
-    """Clips each column at its sample quantiles; columns with fewer than min_n values stay as they are."""
-    q, n = counted_quantiles(df, [(c, f"`{c}`", [lo, hi]) for c in columns])
+def winsorize(df: DataFrame, columns: list[str], lo: float = 0.01, hi: float = 0.99, min_n: int = 50, written: bool = False) -> DataFrame:
+    """Clips each column at its sample quantiles; columns with fewer than min_n values stay as they are. written: df is a stage."""
+    q, n = counted_quantiles(df, [(c, f"`{c}`", [lo, hi]) for c in columns], written)
     return df.withColumns({c: clip(F.col(c), *q[c]) for c in columns if n[c] >= max(min_n, 1)})
 
 

@@ -70,7 +70,7 @@ SELECT CAST(gid AS VARCHAR) AS gvkey, fyear AS data_year, s3 AS sic3, age AS fir
   round(-0.737 * sz + 0.043 * sz * sz - 0.04 * age, 3) + 0.0 AS sa_index FROM i, q""",
 )
 def _(spark, sf):
-    got = A.fundamentals(statements(spark, sf), price_index(spark, sf))
+    got = A.fundamentals(statements(spark, sf), price_index(spark, sf), keep=["gvkey", "data_year", "sic3", "firm_age", *_PLACES])
     return got.select("gvkey", F.col("data_year").cast("long").alias("data_year"), "sic3", F.col("firm_age").cast("long").alias("firm_age"), *[(F.round(c, n) + 0.0).alias(c) for c, n in _PLACES.items()])
 
 

@@ -7,9 +7,9 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelkit.operators import docs, estimators, matching, moves, panels, resample, similarity
+from panelkit.operators import accounting, docs, estimators, matching, moves, panels, quantiles, resample, similarity
 from panelkit.operators.placebos import wide_placebos
-from panelkit.plans import domain
+from panelkit.plans import domain, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,3 +160,17 @@ def test_peers_are_counted_once_a_mover_and_firm(spark, monkeypatch):
     one = x["a", "b"]
     assert (one["mover_origin_pre"], one["peers_origin_pre"], one["mover_docs_origin_pre"], one["peers_docs_origin_pre"]) == (1.0, 13 / 5, 1, 3)
     assert (one["mover_docs_dest_post"], one["peers_docs_dest_post"]) == (2, 6)
+
+
+def test_statements_are_shuffled_once_and_written_once(spark, monkeypatch):
+    raw, cpi = tables.statements(spark, SF), tables.price_index(spark, SF)
+    x = accounting.fundamentals(raw, cpi, winsorised=False, keep=["gvkey", "data_year", "leverage", "isg"])
+    text = plan(x)
+    assert "SortMergeJoin" not in text and text.count("REPARTITION_BY_NUM") == 2  # the statements, and what industry growth takes of them
+    staged = []
+    for module in (accounting, quantiles):
+        monkeypatch.setattr(module, "stage", lambda df, name="stage", stage=module.stage: staged.append((name, df.columns)) or stage(df, name))
+    got = accounting.fundamentals(raw, cpi, keep=["gvkey", "data_year", "leverage", "roa"])
+    assert staged == [("fundamentals", ["gvkey", "data_year", "leverage", "roa"])]
+    whole = accounting.fundamentals(raw, cpi).select(got.columns)
+    assert got.count() > 100 and sorted(got.collect(), key=str) == sorted(whole.collect(), key=str)

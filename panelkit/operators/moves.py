@@ -86,9 +86,12 @@ def peer_benchmark(moves: DataFrame, rows: DataFrame, unit: str, firm: str, year
     # the mover's depend on unit, year and firm only
     units = stage(m.select("__u", "__m", "at").distinct(), "units")
     own = near(units, cells, cells[unit] == units["__u"]).groupBy("__u", "__m", "at").agg(*by_side(F.sum, ms="s", mn="n"))
-    mine = near(units, docs, docs[unit] == units["__u"]).groupBy("__u", "__m", "at", docs[doc].alias("__d")).agg(*by_side(F.count, years="at"))
+    # dealt by document, as the teams that they meet are
+    held = dealt(near(units, docs, docs[unit] == units["__u"]).select("__u", "__m", "at", docs[doc].alias("__d"), "rel"), "__d")
+    mine = held.groupBy("__u", "__m", "at", "__d").agg(*by_side(F.count, years="at"))
     # alone: in no year of the window does another unit have the document at the firm
-    mine = near(mine, teams, teams[doc] == mine["__d"]).groupBy("__u", "__m", "at", "__d", *[f"years_{n}" for n in sides]).agg(*by_side(F.sum, k="k"))
+    dealt_teams = dealt(teams, doc)
+    mine = near(mine, dealt_teams, dealt_teams[doc] == mine["__d"]).groupBy("__u", "__m", "at", "__d", *[f"years_{n}" for n in sides]).agg(*by_side(F.sum, k="k"))
     has = lambda n: F.col(f"years_{n}") > 0
     mine = mine.groupBy("__u", "__m", "at").agg(*[F.count_if(has(n)).alias(f"md_{n}") for n in sides], *[F.count_if(has(n) & (F.col(f"k_{n}") == F.col(f"years_{n}"))).alias(f"alone_{n}") for n in sides])
     x = m.join(total, ["at", "__m"], "left").join(all_docs, ["at", "__m"], "left").join(own, ["__u", "__m", "at"], "left").join(mine, ["__u", "__m", "at"], "left")

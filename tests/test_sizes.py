@@ -174,3 +174,11 @@ def test_statements_are_shuffled_once_and_written_once(spark, monkeypatch):
     assert staged == [("fundamentals", ["gvkey", "data_year", "leverage", "roa"])]
     whole = accounting.fundamentals(raw, cpi).select(got.columns)
     assert got.count() > 100 and sorted(got.collect(), key=str) == sorted(whole.collect(), key=str)
+
+
+def test_documents_of_movers_and_teams_are_dealt_alike(spark):
+    rows = spark.createDataFrame([(u, f, y, 10 * y + d, float(u + y)) for u in range(3) for f in "ab" for y in (1, 2, 3) for d in range(u + 1)], "u long, f string, y long, d long, v double")
+    events = spark.createDataFrame([(0, 2, "a", "b"), (0, 2, "b", "a")], "u long, move_year long, from_state string, to_state string")
+    got = moves.peer_benchmark(events, rows, "u", "f", "y", "d", "v", 2)
+    assert plan(got).count("REPARTITION_BY_NUM") == 3  # teams of all firms, documents of movers, and the teams that they meet
+    assert {r["mover_docs_dest_post"] for r in got.collect()} == {2}

@@ -182,3 +182,19 @@ def test_documents_of_movers_and_teams_are_dealt_alike(spark):
     got = moves.peer_benchmark(events, rows, "u", "f", "y", "d", "v", 2)
     assert plan(got).count("REPARTITION_BY_NUM") == 3  # teams of all firms, documents of movers, and the teams that they meet
     assert {r["mover_docs_dest_post"] for r in got.collect()} == {2}
+
+
+def test_synthetic_controls_settle_over_several_blocks_of_donors(spark, monkeypatch):
+    """Four blocks: one pass after the start, as units settle over all of them in one task; a unit's years are one row."""
+    r = np.random.default_rng(4)
+    rows = [(i, t, float(v), 6 * (i < 5)) for i in range(60) for t, v in enumerate(r.normal(size=9).cumsum())]
+    df, names, stage = spark.createDataFrame(rows, "id long, year long, y double, g long"), [], estimators.stage
+    want = {(x["id"], x["k"]): x["gap"] for x in estimators.synthetic_control(df, "y", "id", "year", "g", min_post=2).collect()}
+    monkeypatch.setattr(estimators, "stage", lambda d, name="stage": names.append((name, d.count() if name == "scm" else 0)) or stage(d, name))
+    monkeypatch.setattr(estimators, "DONORS", 16)
+    got = {(x["id"], x["k"]): x["gap"] for x in estimators.synthetic_control(df, "y", "id", "year", "g", min_post=2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+    assert names.count(("dual", 0)) == 2 and ("scm", 60) in names
+    monkeypatch.setattr(estimators, "HELD", 2)  # what is not held is met in passes
+    got = {(x["id"], x["k"]): x["gap"] for x in estimators.synthetic_control(df, "y", "id", "year", "g", min_post=2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)

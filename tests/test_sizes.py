@@ -198,3 +198,9 @@ def test_synthetic_controls_settle_over_several_blocks_of_donors(spark, monkeypa
     monkeypatch.setattr(estimators, "HELD", 2)  # what is not held is met in passes
     got = {(x["id"], x["k"]): x["gap"] for x in estimators.synthetic_control(df, "y", "id", "year", "g", min_post=2).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+
+
+def test_draws_of_synthetic_controls_are_summed_once(spark, monkeypatch):
+    """The band reads a table of sums by draw and period: no Python step is left in its plan, let alone two."""
+    gaps = spark.createDataFrame([(u, k, float(u * (k + 2) % 5)) for u in range(9) for k in range(-1, 3)], "id long, k long, gap double")
+    assert "FlatMapGroupsInPandas" not in plan(resample.scm_band(gaps, "id", 40, hi=1))
